@@ -52,3 +52,19 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+
+@_query("op1_license_scan")
+def op1(spark, sf_dir):
+    from loomgraph.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    from loomgraph.llm.license_scan import duckdb_sql
+
+    return duckdb_sql()
+
+
+ORACLE_SQL["op1_license_scan"] = _license_sql()
