@@ -68,3 +68,10 @@ def _license_sql() -> str:
 
 
 ORACLE_SQL["op1_license_scan"] = _license_sql()
+
+
+@_query("op3_simhash")
+def op3(spark, sf_dir):
+    from loomgraph.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"))
