@@ -75,3 +75,16 @@ def op3(spark, sf_dir):
     from loomgraph.llm.simhash import simhash_components
 
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def _tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query("op10_bpe")
+def op10(spark, sf_dir):
+    from loomgraph.llm.bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), _tokenizer_path())
