@@ -88,3 +88,10 @@ def op10(spark, sf_dir):
     from loomgraph.llm.bpe import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), _tokenizer_path())
+
+
+@_query("op8_packing")
+def op8(spark, sf_dir):
+    from loomgraph.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _tokenizer_path())
