@@ -95,3 +95,20 @@ def op8(spark, sf_dir):
     from loomgraph.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), _tokenizer_path())
+
+
+@_query("op5_top_k")
+def op5(spark, sf_dir):
+    from loomgraph.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op5_top_k"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::bigint AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, k::int AS rank, vec_id, score FROM r WHERE k <= 10
+"""
