@@ -112,3 +112,11 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, k::int AS rank, vec_id, score FROM r WHERE k <= 10
 """
+
+
+@_query("op9_language")
+def op9(spark, sf_dir):
+    from loomgraph.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs, _tokenizer_path()))
