@@ -120,3 +120,10 @@ def op9(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs, _tokenizer_path()))
+
+
+@_query("op6_html_extract")
+def op6(spark, sf_dir):
+    from loomgraph.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
