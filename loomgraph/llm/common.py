@@ -24,16 +24,16 @@ def no_null(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that the session names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; only a session without it, as in tests, gets one of its own."""
+    return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "loomgraph-checkpoints")
+
 
-    Only a session without that setting, as in tests, gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "loomgraph-checkpoints")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -77,7 +77,7 @@ def op3(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-def _tokenizer_path() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -87,14 +87,14 @@ def _tokenizer_path() -> str:
 def op10(spark, sf_dir):
     from loomgraph.llm.bpe import encode_decode
 
-    return encode_decode(table(spark, sf_dir, "documents"), _tokenizer_path())
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 @_query("op8_packing")
 def op8(spark, sf_dir):
     from loomgraph.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _tokenizer_path())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 @_query("op5_top_k")
@@ -119,7 +119,7 @@ def op9(spark, sf_dir):
     from loomgraph.llm import language
 
     docs = table(spark, sf_dir, "documents")
-    return language.predict(docs, language.fit(docs, _tokenizer_path()))
+    return language.predict(docs, language.fit(docs, tokenizer_path()))
 
 
 @_query("op6_html_extract")
@@ -127,3 +127,11 @@ def op6(spark, sf_dir):
     from loomgraph.llm.html_extract import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@_query("op2_toxicity")
+def op2(spark, sf_dir):
+    from loomgraph.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
