@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from loomgraph.plans import pairs  # noqa: F401
+from loomgraph.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
