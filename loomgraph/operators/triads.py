@@ -119,8 +119,8 @@ def discordant(ranks: DataFrame, rank_fp: int = 10, sim_fp: float = 0.90, rank_f
 
 def with_discord(t: DataFrame, edges: DataFrame) -> DataFrame:
     """A, B, C, kind, n_hits, hits: triads with a discordant side."""
-    sides = F.array(*[F.struct(F.lit(p + q).alias("side"), F.col(p).alias("a"), F.col(q).alias("b")) for p, q in (("A", "B"), ("B", "C"), ("A", "C"))])
-    hit = t.withColumn("e", F.explode(sides)).select("A", "B", "C", "e.side", "e.a", "e.b").join(edges.select("a", "b", "kind").distinct(), ["a", "b"])
+    sides = F.array(*[F.struct(F.lit(p + q).alias("side"), F.col(p).alias("low"), F.col(q).alias("high")) for p, q in (("A", "B"), ("B", "C"), ("A", "C"))])
+    hit = t.withColumn("e", F.explode(sides)).select("A", "B", "C", "e.side", "e.low", "e.high").join(edges.select(F.col("a").alias("low"), F.col("b").alias("high"), "kind").distinct(), ["low", "high"])
     return hit.groupBy("A", "B", "C", "kind").agg(F.count(F.lit(1)).alias("n_hits"), F.array_join(F.array_sort(F.collect_list("side")), ",").alias("hits"))
 
 
@@ -132,10 +132,10 @@ def confusion(rank, sim, judgment, k: int, t: float):
 
 def edge_roles(t: DataFrame, arcs: DataFrame) -> DataFrame:
     """A, B, C, source, target, role: sides that start at the node which starts two or more are `hub`, others `completing`."""
-    sides = F.array(*[F.struct(F.col(p).alias("a"), F.col(q).alias("b")) for p, q in (("A", "B"), ("B", "C"), ("A", "C"))])
-    e = t.withColumn("e", F.explode(sides)).select("A", "B", "C", "e.a", "e.b")
-    directed = arcs.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "source", "target").groupBy("a", "b").agg(F.min("source").alias("source"), F.max_by("target", F.struct(-F.col("source"))).alias("target"))
-    d = e.join(directed, ["a", "b"])
+    sides = F.array(*[F.struct(F.col(p).alias("low"), F.col(q).alias("high")) for p, q in (("A", "B"), ("B", "C"), ("A", "C"))])
+    e = t.withColumn("e", F.explode(sides)).select("A", "B", "C", "e.low", "e.high")
+    directed = arcs.select(F.least("source", "target").alias("low"), F.greatest("source", "target").alias("high"), "source", "target").groupBy("low", "high").agg(F.min("source").alias("source"), F.max_by("target", F.struct(-F.col("source"))).alias("target"))
+    d = e.join(directed, ["low", "high"])
     n = d.groupBy("A", "B", "C", "source").agg(F.count(F.lit(1)).alias("starts"))
     return d.join(n, ["A", "B", "C", "source"]).select("A", "B", "C", "source", "target", F.when(F.col("starts") >= 2, "hub").otherwise("completing").alias("role"))
 

@@ -503,7 +503,7 @@ def nb2(spark, d):
 
 def nb2_rows(spark, d):
     n = a.citations(spark, d).groupBy("pid").agg(N().alias("n"))
-    multi = a.patents(spark, d).select("pid", (F.size(F.array_distinct(F.split(F.regexp_replace("classes_text", "D", ""), ","))) > 1).alias("multi"))
+    multi = a.patents(spark, d).select("pid", (F.col("size") % 2 == 0).alias("multi"))
     return n.join(multi, "pid").join(a.publications(spark, d).select("pid", "year"), "pid")
 
 
