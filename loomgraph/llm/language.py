@@ -105,6 +105,8 @@ class Model:
 
         def predict(texts: list[str | None]) -> list[tuple[str, float]]:
             nonlocal rows
+            if not self.languages:
+                return [(UNKNOWN, 0.0)] * len(texts)
             counts = [Counter(words_of(t)) if t else Counter() for t in texts]
             new = list({w: None for c in counts for w in c if w not in known})
             if len(known) + len(new) > WORD_CACHE and known:
@@ -116,7 +118,7 @@ class Model:
                 rows = np.concatenate([rows, self.log_words(new)])
             out = []
             for text, c in zip(texts, counts):
-                if not self.languages or not c or not has_letter(text):
+                if not c or not has_letter(text):
                     out.append((UNKNOWN, 0.0))
                     continue
                 n = np.fromiter(c.values(), dtype=np.float64, count=len(c))
