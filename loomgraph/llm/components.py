@@ -11,8 +11,9 @@ from loomgraph.llm.common import checkpointed
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links(a, b): root is one node of its component, the same for all its nodes.
 
-    Each round maps every node to the least of itself and its neighbours and contracts the graph along that map. A
-    component of n nodes keeps n / 2 at most, so there are log2(n) rounds, on ever smaller tables; a node with very
+    Each round maps every node to the least of itself and its neighbours in the order of a hash, follows that map once
+    more, and contracts the graph along it. In a random order a constant share of a component's nodes is nobody's least
+    neighbour, chains included, so the expected number of rounds is logarithmic, on ever smaller tables; a node with very
     many links costs one row for each task, as its minimum is combined on the map side. Every round's tables are
     checkpointed, so lost executors cost one round. Empty links give an empty result.
     """
@@ -20,7 +21,9 @@ def components(links: DataFrame) -> DataFrame:
     roots = None
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+        order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+        near = checkpointed(both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", order("a"))["n"].alias("root")))
+        step = checkpointed(_follow(near, near))
         roots = step if roots is None else checkpointed(_follow(roots, step))
         ends = edges.join(step.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(step.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         edges = checkpointed(ends.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
