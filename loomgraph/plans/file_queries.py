@@ -492,3 +492,116 @@ def step_flags(spark, d):
 def pipeline_state(spark, d):
     at = lambda rows: spark.createDataFrame(rows, "name string, s string").select("name", F.to_timestamp("s").alias("modified"))
     return r.stale(at([("edges", "2024-01-01"), ("judge", "2024-01-01")]), at([("edges", "2024-01-02")])).withColumnRenamed("name", "step")
+
+
+@query("SRC-16", "SELECT 1 AS read, 1 AS failed")
+def image_load(spark, d):
+    """Content that cannot be decoded becomes an error row."""
+    import io
+
+    import numpy as np
+
+    from loomgraph.operators import images
+
+    out = io.BytesIO()
+    np.save(out, np.zeros((4, 4, 3), dtype=np.uint8))
+    table = spark.createDataFrame([("a.npy", bytearray(out.getvalue())), ("b.tif", bytearray(b"no image"))], "path string, content binary")
+    return images.sizes(table).agg(F.count("width").cast("int").alias("read"), F.count("error").cast("int").alias("failed"))
+
+
+def _picture():
+    import numpy as np
+
+    p = np.full((40, 60, 3), 255, dtype=np.uint8)
+    p[10:20, 15:45] = 0
+    return p
+
+
+@query("IMG-02", "SELECT 32 AS width, 12 AS height")
+def cropped(spark, d):
+    from loomgraph.operators.images import crop_margin
+
+    h, w_, _ = crop_margin(_picture()).shape
+    return spark.createDataFrame([(w_, h)], "width int, height int")
+
+
+@query("IMG-03", "SELECT 30 AS width, 20 AS height, 60 AS unchanged")
+def resized(spark, d):
+    from loomgraph.operators.images import shrink
+
+    h, w_, _ = shrink(_picture(), 30).shape
+    return spark.createDataFrame([(w_, h, shrink(_picture(), 768).shape[1])], "width int, height int, unchanged int")
+
+
+@query("IMG-04", "SELECT 'a.npy' AS path, 32 AS width, 12 AS height")
+def processed(spark, d):
+    import io
+
+    import numpy as np
+
+    from loomgraph.operators import images
+
+    out = io.BytesIO()
+    np.save(out, _picture())
+    return images.sizes(spark.createDataFrame([("a.npy", bytearray(out.getvalue()))], "path string, content binary")).select("path", "width", "height")
+
+
+@query("IMG-05", "SELECT 35 AS width, 23 AS height")
+def second_cap(spark, d):
+    from loomgraph.operators.images import shrink
+
+    h, w_, _ = shrink(_picture(), 35, floor=True).shape
+    return spark.createDataFrame([(w_, h)], "width int, height int")
+
+
+@query("IMG-06", "SELECT * FROM (VALUES ('closing', 300), ('dilation', 384), ('none', 300)) t(mode, dark)")
+def line_enhancement(spark, d):
+    from loomgraph.operators.images import enhance_lines
+
+    return spark.createDataFrame([(m, int((enhance_lines(_picture(), m) < 128).sum())) for m in ("closing", "dilation", "none")], "mode string, dark int")
+
+
+@query("IMG-07", "SELECT p_partkey, 'data:image/png;base64,' || to_base64(p_name::blob) AS url FROM part")
+def data_urls(spark, d):
+    return a.table(spark, d, "part").select("p_partkey", F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(F.col("p_name").cast("binary")), r"\s", "")).alias("url"))
+
+
+@query("MTH-16", "SELECT count(*) AS n, true AS close FROM (SELECT DISTINCT deg FROM deg)", "deg")
+def jittered(spark, d):
+    k = g.distribution(g.degrees(a.graph(spark, d)))
+    j = k.select("k", (F.log10(F.col("k").cast("double")) + 0.01 * F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.randn(42)))).alias("x"))
+    return j.agg(N().alias("n"), F.min(F.abs(F.col("x") - F.log10(F.col("k").cast("double"))) <= 0.05 + 1e-9).alias("close"))
+
+
+@query("MTH-17", "SELECT 10.0::double AS low, 1000.0::double AS high FROM (SELECT 1)")
+def axis_limits(spark, d):
+    """Both axes get the limits that hold the data of either, in whole powers of ten."""
+    both = spark.createDataFrame([(12.0, 40.0), (90.0, 800.0)], "x double, y double")
+    low, high = F.least(F.min("x"), F.min("y")), F.greatest(F.max("x"), F.max("y"))
+    return both.agg(F.round(F.pow(10.0, F.floor(F.log10(low))), 6).alias("low"), F.round(F.pow(10.0, F.ceil(F.log10(high))), 6).alias("high"))
+
+
+@query("ORC-03", "SELECT unnest(['ranks', 'join']) AS step")
+def numbered_steps(spark, d):
+    from loomgraph.plans.steps import Steps
+
+    s = Steps()
+    for n, needs in (("filter", ()), ("vectors", ("filter",)), ("index", ("vectors",)), ("ranks", ("index",)), ("join", ("ranks",))):
+        s.add(n, needs)(lambda *x, **y: None)
+    try:
+        s.chosen(["ranks"], start="join")
+    except ValueError:
+        pass  # the two ways of choosing exclude each other
+    return spark.createDataFrame([(x,) for x in s.chosen(start="ranks")], "step string")
+
+
+@query("ORC-05", "SELECT count(*) AS n FROM scored", "scored")
+def refreshed_grids(spark, d):
+    from loomgraph.operators import triads as tr
+    from loomgraph.plans.steps import Steps
+
+    s = Steps()
+    s.add("edges")(lambda: a.graph(spark, d))
+    s.add("triads", ("edges",))(lambda edges: tr.scored(edges))
+    s.add("grid", ("triads",))(lambda triads: tr.grid(triads, "s1", "s3", [-1.0], [-100.0]))
+    return s.run(["edges", "triads", "grid"])["grid"].filter("t2 is not null").select("n")

@@ -524,9 +524,9 @@ def mann_whitney(spark, d):
     return stats.mann_whitney(a.judged_edges(spark, d).withColumn("f", F.col("judgment") == "Yes"), "similarity", "f").select(F.round("u", 4).alias("u"))
 
 
-@query("STA-05")
+@query("STA-05", "SELECT k::int AS k, round(exp(lgamma(k + 2.5) - lgamma(2.5) - lgamma(k + 1) + 2.5 * ln(2.5 / 5.8) + k * ln(3.3 / 5.8)), 9) AS p FROM (SELECT unnest(range(1, 18))::double AS k)")
 def pmf(spark, d):
-    return spark.createDataFrame(stats.nb_pmf(3.3, 0.4, range(1, 18)), "k int, p double")
+    return spark.createDataFrame(stats.nb_pmf(3.3, 0.4, range(1, 18)), "k int, p double").select("k", F.round("p", 9).alias("p"))
 
 
 @query("STA-06", "SELECT p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM (SELECT unnest([0.0001, 0.005, 0.02, 0.5])::double AS p)")
