@@ -66,8 +66,12 @@ def _trust(distinct: int) -> float:
 def buckets(word: str, size: int = BUCKETS) -> list[int]:
     """The rows of a word's n-grams, with marks at its ends, and of the whole word."""
     marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in N_GRAMS for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) & (size - 1) for g in grams] + [zlib.crc32(b"=" + marked.encode()) & (size - 1)]
+    text = marked.encode() if marked.isascii() else marked  # grams are of characters; here a character is a byte
+    grams = [text[i : i + n] for n in N_GRAMS for i in range(len(text) - n + 1)]
+    if text is marked:
+        grams = [g.encode() for g in grams]
+    mask = size - 1
+    return [zlib.crc32(g) & mask for g in grams] + [zlib.crc32(b"=" + marked.encode()) & mask]
 
 
 @dataclass
@@ -78,15 +82,25 @@ class Model:
     bias: float
     scale: float = SCALE
 
-    def word(self, word: str) -> float:
-        return float(self.weights[buckets(word, len(self.weights))].mean())
-
     def scorer(self):
+        weights, size = self.weights.tolist(), len(self.weights)
+
+        def weight(word: str) -> float:
+            rows = buckets(word, size)
+            return sum(map(weights.__getitem__, rows)) / len(rows)
+
+        old: dict[str, float] = {}  # two generations: what is in use stays known
+
         class Remembered(dict):
             def __missing__(inner, w):
+                out = old.get(w)
+                if out is None:
+                    out = weight(w)
                 if len(inner) >= WORD_CACHE:
+                    old.clear()
+                    old.update(inner)
                     inner.clear()
-                inner[w] = out = self.word(w)
+                inner[w] = out
                 return out
 
         known = Remembered()
