@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomgraph.llm.common import checkpointed, small_batches
 from loomgraph.llm.components import components
@@ -194,19 +195,58 @@ def links(fps: DataFrame) -> DataFrame:
     return met.mapInArrow(meet, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id; one row per row of docs."""
+def _named(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp of every row; and fp, root, component_id of every distinct fingerprint."""
     marked = checkpointed(fingerprints(docs, id_col, text_col, words, seed))
     nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", "root")
     linked = rooted.filter("root is not null")
-    named = linked.join(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
-    names = checkpointed(named.unionAll(rooted.filter("root is null").select("fp", F.col("least_id").alias("component_id"))))
-    return marked.join(names, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = linked.join(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "root", "component_id")
+    return marked, checkpointed(named.unionAll(rooted.filter("root is null").select("fp", F.col("fp").alias("root"), F.col("least_id").alias("component_id"))))
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id; one row per row of docs."""
+    marked, names = _named(docs, id_col, text_col, words, seed)
+    return marked.join(names.select("fp", "component_id"), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that name their component, with all their columns."""
-    kept = simhash_components(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    """Of every component the row that names it, with all its columns.
+
+    Ids are looked up alone, so texts are not moved for that. Only rows whose id is null or repeated, and names a
+    component, are marked again: of those in the component one stays, the first by the hashes of its text and of the row.
+    """
+    marked, names = _named(docs, id_col, text_col)
+    winners = names.select(F.col("component_id").alias("kept")).distinct()
+    found = marked.groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = checkpointed(found.filter("n > 1 and kept is not null").select("kept").join(winners, "kept", "left_semi"))
+    none = not names.filter("component_id is null").isEmpty()
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of our own cannot clash
+    doc, text = (rows[f"c{docs.columns.index(c)}"] for c in (id_col, text_col))
+    some = not repeated.isEmpty()
+    single = winners.join(repeated, "kept", "left_anti") if some else winners
+    kept = rows.join(single, doc == F.col("kept"), "left_semi")
+    if some or none:
+        again = rows.filter(doc.isNull()) if none else rows.limit(0)
+        if some:
+            again = again.unionAll(rows.join(repeated, doc == F.col("kept"), "left_semi"))
+        kept = kept.unionAll(_first_of_each(again, names, *(f"c{docs.columns.index(c)}" for c in (id_col, text_col))))
+    return kept.toDF(*docs.columns)
+
+
+def _first_of_each(rows: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of every component one of the rows whose id is its name."""
+    small_batches(rows.sparkSession)
+    at = rows.columns.index(text_col)
+
+    def mark(batches):
+        for batch in batches:
+            made = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], [*batch.schema.names, "fp"])
+
+    marked = rows.mapInArrow(mark, StructType([*rows.schema.fields, StructField("fp", LongType())]))
+    own = marked.join(names, "fp").filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    order = F.struct(F.sha2(F.coalesce(text_col, F.lit("")), 256), F.sha2(F.to_json(F.struct(*rows.columns)), 256))
+    return own.groupBy("root").agg(F.min_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
