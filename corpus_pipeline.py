@@ -4,6 +4,11 @@ toxicity and language drop the documents that their models reject; line_dedup ta
 (n_chars follows); near_dedup keeps the document with the smallest id of every SimHash component; packing cuts what is
 left into sequences. Every stage works on all rows that its predecessor kept. The models are fitted on the stage's own
 input and on `labels`.
+
+Defined results: a null or empty text is scored by the prior alone, then rejected as of no language; it is one empty
+line, has fingerprint zero, and packs to the end mark. Null ids, sources, languages and labels reject nothing. Rows that
+repeat an id are judged one by one, and of the equal or near ones a single row stays, null ids included. Columns of any
+other name pass through all stages but the last, which does not read them. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,9 +33,12 @@ def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cleaned = line_dedup.line_dedup(docs, carry=others)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # columns of any name are carried along
+    names = dict(zip(docs.columns, plain.columns))
+    others = tuple(names[c] for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    cleaned = line_dedup.line_dedup(plain, names["doc_id"], names["text"], carry=others)
+    cleaned = cleaned.withColumn(names["n_chars"], F.length(names["text"]).cast("long"))
+    return cleaned.select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
