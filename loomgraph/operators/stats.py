@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.graph import checkpointed
+
 # --- special functions
 
 
@@ -268,3 +271,43 @@ def bootstrap_mean(values: np.ndarray, rounds: int = 1000, seed: int = 42) -> tu
     """mean, sample std, and the 2.5 % and 97.5 % order statistics of resampled means."""
     means = np.sort(np.random.default_rng(seed).choice(values, (rounds, len(values))).mean(axis=1))
     return float(values.mean()), float(values.std(ddof=1)) if len(values) > 1 else 0.0, float(means[int(0.025 * rounds) - 1]), float(means[int(0.975 * rounds) - 1])
+
+
+#: Distinct values in one chunk of a bootstrap, on average.
+CHUNK = 4_096
+
+
+def bootstrap_means(df: DataFrame, value: str, group: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """group, mean, std, low, high as bootstrap_mean has them, of all values that are not NULL; no group is in one task.
+
+    Equal values are counted once and dealt over chunks. How many draws of a round fall to each chunk is multinomial by
+    the chunks' sizes, and each chunk then draws so many of its own values: together that is drawing from the whole group.
+    """
+    known = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x")).filter("x is not null")
+    kind = known.schema["g"].dataType.simpleString()
+    cells = checkpointed(known.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n")))
+    sizes = cells.groupBy(F.col("g").alias("h")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    dealt = cells.join(sizes, F.col("g").eqNullSafe(F.col("h"))).select("g", "x", "n", F.expr("pmod(xxhash64(x), chunks)").alias("chunk"))
+
+    def rng(g, *more):
+        return np.random.default_rng([seed, *more, *hashlib.blake2b(repr(g).encode(), digest_size=8).digest()])
+
+    def allot(pdf):
+        pdf = pdf.sort_values("chunk")
+        n = pdf["n"].to_numpy()
+        draws = rng(pdf["g"].iloc[0]).multinomial(n.sum(), n / n.sum(), rounds)
+        return pdf[["g", "chunk"]].assign(draws=list(draws.T))
+
+    def draw(pdf, told):
+        pdf = pdf.sort_values("x")
+        n = pdf["n"].to_numpy()
+        taken = rng(pdf["g"].iloc[0], 1 + int(pdf["chunk"].iloc[0])).multinomial(told["draws"].iloc[0], n / n.sum())
+        return pdf[["g"]].head(1).assign(sums=[taken @ pdf["x"].to_numpy()])
+
+    allotted = dealt.groupBy("g", "chunk").agg(F.sum("n").alias("n")).groupBy("g").applyInPandas(allot, f"g {kind}, chunk long, draws array<long>")
+    sums = dealt.groupBy("g", "chunk").cogroup(allotted.groupBy("g", "chunk")).applyInPandas(draw, f"g {kind}, sums array<double>")
+    by_round = sums.select("g", F.posexplode("sums")).groupBy("g", "pos").agg(F.sum("col").alias("s"))
+    ends = by_round.groupBy(F.col("g").alias("h")).agg(F.sort_array(F.collect_list("s")).alias("s"))
+    whole = known.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"))
+    at = lambda share: F.col("s")[int(share * rounds) - 1] / F.col("n")
+    return whole.join(ends, F.col("g").eqNullSafe(F.col("h"))).select(F.col("g").alias(group), "mean", "std", at(0.025).alias("low"), at(0.975).alias("high"))

@@ -620,15 +620,8 @@ def match_scores(spark, d):
 
 @query("MTH-19")
 def bootstrapped(spark, d):
-    def run(pdf):
-        import pandas as pd
-
-        m, s, low, high = stats.bootstrap_mean(pdf["x"].to_numpy(), seed=int(pdf["label"].iloc[0]))
-        return pd.DataFrame([(int(pdf["label"].iloc[0]), m, s, low, high)], columns=["label", "mean", "std", "low", "high"])
-
-    # at most 50 paraphrase scores for each label, as a rationale run has them
-    first = p.first_rows(a.table(spark, d, "embeddings").select("label", (F.col("vec_id") % 50).alias("k"), F.abs(F.col("embedding")[0].cast("double")).alias("x"), "vec_id"), ["label", "k"], ["vec_id"])
-    return first.select("label", "x").groupBy("label").applyInPandas(run, "label int, mean double, std double, low double, high double")
+    e = a.table(spark, d, "embeddings").select(F.col("label").cast("int").alias("label"), F.abs(F.col("embedding")[0].cast("double")).alias("x"))
+    return stats.bootstrap_means(e, "x", "label")
 
 
 @query("MTH-20", "SELECT vec_id, coalesce(label % 2 = 0 AND abs(a - b) < 0.15, false) AS same, round(CASE WHEN label % 2 = 0 AND abs(a - b) < 0.15 THEN (a + b) / 2 END, 6) AS p FROM (SELECT vec_id, label, embedding[1]::double AS a, embedding[2]::double AS b FROM embeddings)")

@@ -225,3 +225,20 @@ def test_live_limiter(spark, tmp_path):
     except Exception as e:  # the state server of this Spark build may lack a dependency
         pytest.skip(str(e)[:100])
     assert spark.read.parquet(str(tmp_path / "out")).filter("allowed").count() == 3
+
+
+def test_bootstrap_takes_all_rows(spark, tmp_path, monkeypatch):
+    from loomgraph.plans import registry
+
+    monkeypatch.setattr(stats, "CHUNK", 64)
+    rng = np.random.default_rng(3)
+    x = {0: rng.normal(0.5, 0.1, 900).astype("float32"), 1: np.repeat(np.float32(0.25), 80), None: rng.random(70).astype("float32"), 2: np.float32([0.5])}
+    rows = [(50 * k, [float(v)], label) for label, values in x.items() for k, v in enumerate(values)]
+    spark.createDataFrame(rows + [(1, None, 0)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.label: r for r in registry.QUERIES["MTH-19"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(x)
+    for label, values in x.items():
+        values, r = np.abs(values.astype(float)), got[label]
+        mean, std, low, high = stats.bootstrap_mean(values)
+        assert (r["mean"], r["std"]) == pytest.approx((mean, std), abs=1e-9)
+        assert (r["low"], r["high"]) == pytest.approx((low, high), abs=0.3 * std / math.sqrt(len(values)) + 1e-9)
