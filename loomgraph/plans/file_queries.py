@@ -12,7 +12,7 @@ from loomgraph.functions import text as t
 from loomgraph.operators import ergm, models
 from loomgraph.operators import graph as g
 from loomgraph.plans.base import query
-from loomgraph.plans.graph_queries import classes, top_nodes
+from loomgraph.plans.graph_queries import classes
 from loomgraph.plans.pairs import N, dense
 from loomgraph.sources import adapters as a
 from loomgraph.sources import readers as r
@@ -439,9 +439,14 @@ def attached(spark, d):
 
 @query("GRF-23")
 def network_model(spark, d):
-    e, top = top_nodes(spark, d)
-    inside = e.join(top.select(F.col("node").alias("a")), "a", "left_semi").join(top.select(F.col("node").alias("b")), "b", "left_semi")
-    return ergm.fit_chains(inside, classes(spark, d), [1, 2], rounds=20, toggles=100)
+    e = a.graph(spark, d)
+    top = g.degrees(e).orderBy(F.desc("deg"), "node").limit(500).select("node")
+    inside = within(e, top)
+    return ergm.fit_chains(within(inside, g.largest_component(inside)), classes(spark, d), [1, 2])
+
+
+def within(edges, nodes):
+    return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
 
 
 @query("IMG-01", "SELECT 6 AS width, 5 AS height, 255 AS corner")

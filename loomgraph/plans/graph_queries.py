@@ -226,17 +226,17 @@ def components(spark, d):
 
 @query("GRF-11")
 def average_path(spark, d):
-    return g.average_path(a.graph(spark, d), 50)
+    return g.average_path(a.graph(spark, d), 500)
 
 
 @query("GRF-12")
 def betweenness(spark, d):
-    return g.betweenness(a.graph(spark, d), 30, "double")
+    return g.betweenness(a.graph(spark, d), 200, "double")
 
 
 @query("GRF-13")
 def betweenness_standard(spark, d):
-    return g.betweenness(a.graph(spark, d), 30)
+    return g.betweenness(a.graph(spark, d), 500)
 
 
 @query("GRF-16", "SELECT 1000 AS n_edges, true AS simple")
@@ -247,7 +247,7 @@ def random_graph(spark, d):
 
 @query("GRF-17")
 def small_world(spark, d):
-    return g.small_world(a.graph(spark, d), 1, 15)
+    return g.small_world(a.graph(spark, d), 5, 500)
 
 
 HOM = "hom AS (SELECT cu, cv, count(*) AS n FROM (SELECT x.grp AS cu, y.grp AS cv FROM g JOIN vec x ON x.pid = a JOIN vec y ON y.pid = b UNION ALL SELECT y.grp, x.grp FROM g JOIN vec x ON x.pid = a JOIN vec y ON y.pid = b WHERE x.grp <> y.grp) GROUP BY ALL)"

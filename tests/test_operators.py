@@ -242,3 +242,18 @@ def test_bootstrap_takes_all_rows(spark, tmp_path, monkeypatch):
         mean, std, low, high = stats.bootstrap_mean(values)
         assert (r["mean"], r["std"]) == pytest.approx((mean, std), abs=1e-9)
         assert (r["low"], r["high"]) == pytest.approx((low, high), abs=0.3 * std / math.sqrt(len(values)) + 1e-9)
+
+
+def test_registered_sampling_parameters(spark, monkeypatch):
+    from loomgraph.operators import ergm
+    from loomgraph.plans import registry
+
+    data, seen = "/root/testdata/sf0.001", []
+    assert registry.QUERIES["GRF-11"](spark, data).first()["n_sources"] > 50
+    for at, name in ((g, "betweenness"), (g, "small_world")):
+        monkeypatch.setattr(at, name, lambda edges, *more: seen.append(more))
+    monkeypatch.setattr(ergm, "fit_chains", lambda edges, kinds, seeds, rounds=40, toggles=300: seen.append((g.degrees(edges).count(), rounds, toggles)))
+    for name in ("GRF-12", "GRF-13", "GRF-17", "GRF-23"):
+        registry.QUERIES[name](spark, data)
+    assert seen[:3] == [(200, "double"), (500,), (5, 500)]
+    assert seen[3][0] > 20 and seen[3][1:] == (40, 300)
