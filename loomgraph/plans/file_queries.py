@@ -334,10 +334,8 @@ def manifest(spark, d):
 
 @query("SNK-18", "SELECT printf('P%03d', row_number() OVER (ORDER BY source, target)) AS pair_id, source, target, '' AS human_verdict FROM (SELECT source, target FROM je ORDER BY source, target LIMIT 23)", "je")
 def annotation_sheet(spark, d):
-    from pyspark.sql import Window
-
-    some = a.judged_edges(spark, d).orderBy("source", "target").limit(23)
-    return some.select(F.format_string("P%03d", F.row_number().over(Window.orderBy("source", "target"))).alias("pair_id"), "source", "target", F.lit("").alias("human_verdict"))
+    numbered = dense(a.judged_edges(spark, d).select(F.struct("source", "target").alias("pair")), "pair")
+    return numbered.select(F.format_string("P%03d", F.col("id") + 1).alias("pair_id"), "pair.source", "pair.target", F.lit("").alias("human_verdict"))
 
 
 @query("SNK-19", "SELECT k, n FROM (SELECT deg AS k, count(*) AS n FROM deg GROUP BY deg)", "deg")

@@ -257,3 +257,13 @@ def test_registered_sampling_parameters(spark, monkeypatch):
         registry.QUERIES[name](spark, data)
     assert seen[:3] == [(200, "double"), (500,), (5, 500)]
     assert seen[3][0] > 20 and seen[3][1:] == (40, 300)
+
+
+def test_annotation_sheet_has_all_pairs(spark):
+    from loomgraph.plans import registry
+    from loomgraph.sources import adapters
+
+    data = "/root/testdata/sf0.001"
+    pairs_ = sorted(map(tuple, adapters.judged_edges(spark, data).select("source", "target").collect()))
+    got = sorted((tuple(r) for r in registry.QUERIES["SNK-18"](spark, data).collect()), key=lambda r: int(r[0][1:]))
+    assert len(pairs_) > 23 and got == [(f"P{k:03d}", *pair, "") for k, pair in enumerate(pairs_, 1)]
