@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import checkpointed, small_batches
@@ -37,6 +37,8 @@ SHARD_KEYS = 65_536
 #: Filters and exact rows together are broadcast up to this size; a blocked key takes about 32 bytes.
 BROADCAST_BYTES = 64 << 20
 SALTS = 16
+#: The keep_id of lines that only null ids hold.
+NO_ID = -(2**63)
 #: White space at the ends of a line; bytes.strip() would be the same set, str.strip() would not.
 BLANK = " \t\n\x0b\x0c\r"
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -112,20 +114,24 @@ class CuckooFilter:
             room = 2 * max(1, room)
 
 
-def memberships(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(digest, doc_id): each long key once for each row of docs."""
+def memberships(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, row: Column | None = None) -> DataFrame:
+    """(digest, doc_id): each long key once for each row of docs; with `row`, that string of the row beside them."""
     small_batches(docs.sparkSession)
+    names = ["digest", "doc_id", *(["row"] if row is not None else [])]
 
     def keys(batches):
         for batch in batches:
-            marks, ids = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            marks, ids, rows = [], [], []
+            for n, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 found = {k for k in map(line_key, (text or "").split("\n")) if len(k) >= min_chars}
                 marks += map(digest, found)
                 ids += [doc] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(ids, pa.int64())], ["digest", "doc_id"])
+                rows += [n] * len(found)
+            more = [batch.column(2).take(pa.array(rows, pa.int64()))] if len(names) > 2 else []
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(ids, pa.int64()), *more], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(keys, "digest binary, doc_id long")
+    picked = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([row.alias("row")] if row is not None else [])]
+    return docs.select(*picked).mapInArrow(keys, "digest binary, doc_id long" + ", row string" * (row is not None))
 
 
 def references(members: DataFrame) -> DataFrame:
@@ -142,7 +148,7 @@ def shard_filters(blocked: DataFrame, n_shards: int) -> DataFrame:
         out = [rows["shard"][0].as_py(), CuckooFilter.of(marks).table.tobytes(), b"".join(marks), np.array([k for _, k in keys], dtype=np.int64).tobytes()]
         return pa.table({n: pa.array([v], t) for n, v, t in zip(("shard", "filter", "digests", "keep_ids"), out, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))})
 
-    sharded = blocked.select(_shard(n_shards).alias("shard"), "digest", F.coalesce("keep_id", F.lit(-(2**63))).alias("keep_id"))
+    sharded = blocked.select(_shard(n_shards).alias("shard"), "digest", F.coalesce("keep_id", F.lit(NO_ID)).alias("keep_id"))
     return sharded.groupBy("shard").applyInArrow(build, "shard int, filter binary, digests binary, keep_ids binary")
 
 
@@ -215,9 +221,14 @@ def drop_blocked(docs: DataFrame, blocked: DataFrame, id_col: str = "doc_id", te
 
         out = source.mapInArrow(mapped, schema)
     else:
-        lines = memberships(docs, id_col, text_col, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        salted = blocked.select("digest", "keep_id", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-        lost = lines.join(salted, ["digest", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("digest").alias("__gone"))
+        # rows of the same id and text lose the same lines, so these two are the key of a row; salts spread its copies
+        row = F.md5(F.coalesce("__1", F.lit("")))
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+        salts = F.explode(F.array(*map(F.lit, range(SALTS))))
+        lines = memberships(source, "__0", "__1", min_chars, row).withColumn("salt", salt)
+        salted = blocked.select("digest", F.coalesce("keep_id", F.lit(NO_ID)).alias("keep_id"), salts.alias("salt"))
+        lost = lines.join(salted, ["digest", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("doc_id").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_set("digest").alias("__gone"))
+        lost = lost.select("*", salts.alias("__salt"))
 
         def joined(batches):
             for batch in batches:
@@ -226,7 +237,9 @@ def drop_blocked(docs: DataFrame, blocked: DataFrame, id_col: str = "doc_id", te
                     done.append(_rewrite(t, set(g or ()).__contains__, min_chars))
                 yield emit(batch, [x[0] for x in done], [x[1:] for x in done])
 
-        out = source.join(lost, F.col("__0").eqNullSafe(F.col("__doc")), "left").drop("__doc").mapInArrow(joined, schema)
+        keyed = source.withColumns({"__r": row, "__s": salt})
+        here = F.col("__0").eqNullSafe(F.col("__doc")) & (F.col("__r") == F.col("__row")) & (F.col("__s") == F.col("__salt"))
+        out = keyed.join(lost, here, "left").drop("__doc", "__row", "__salt", "__r", "__s").mapInArrow(joined, schema)
     return out.select(F.col("__0").alias(id_col), F.col("__1").alias(text_col), "n_lines", "n_dropped", *[F.col(f"__{i + 2}").alias(c) for i, c in enumerate(carry)])
 
 

@@ -62,6 +62,15 @@ def test_lines(spark, limit):
     assert line_dedup.line_dedup(frame.limit(0), broadcast_bytes=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, 0])
+def test_lines_of_null_ids(spark, limit):
+    null_only, shared = "Only rows without any id hold this long line 1", "Rows with ids and rows without hold this line 2"
+    docs = [(None, f"{null_only}\nrow {k % 3}\n{shared}") for k in range(7)] + [(4, shared), (9, f"{shared}\n{shared}"), (9, shared), (9, f"x\n{shared}")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(tuple, line_dedup.line_dedup(frame, broadcast_bytes=limit).collect()), key=str)
+    assert got == lines_by_hand(docs, 40, 5) and not any(null_only in r[1] for r in got)
+
+
 def test_lines_come_back(spark, tmp_path):
     docs = [d for d in some_docs() if d[0] is not None][:41]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
