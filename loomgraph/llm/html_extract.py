@@ -1,9 +1,10 @@
 """Main text of web pages by consensus host paths.
 
 Each page is read into its containers and blocks. Containers are scored by the text of their blocks, less that of
-links; the best one's generalised path (tags and classes, digits as #) is the page's vote. Votes are added up by host in
-Spark, with map-side partials, and each page is read again along its host's winning path. A page without that path uses
-its own best container.
+links, and the best one grows to the wrappers that hold more such text, up to an article, and to the body only where
+that holds a block of PROSE characters itself. Its generalised path (tags and classes, digits as #) is the page's vote.
+Votes are added up by host in Spark, with map-side partials, and each page is read again along its host's winning path.
+A page without that path uses its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out by tag, role, class and id.
 White space and <br> inside a block become one space; blocks stand in page order, joined by one line feed.
@@ -32,6 +33,8 @@ BROADCAST_BYTES = 16 << 20
 SALTS = 16
 #: Steps of a path, counted from its end.
 STEPS = 6
+#: A block of so many characters right in the body is no stray line of the site.
+PROSE = 70
 
 CONTAINERS = frozenset("html body main article section div table tbody td ul ol dl header footer nav aside form fieldset center details dialog menu search".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr th pre blockquote figure figcaption caption address hr summary thead tfoot title legend optgroup option hgroup".split())
@@ -182,13 +185,36 @@ class Page:
         if not score:
             return 0
         node = max(score, key=lambda n: (score[n], -n))
-        while node:  # an article in several sections is one text
+        return self._whole(node)
+
+    def _whole(self, node: int) -> int:
+        """The wrapper of what belongs to one text with this container: sections, lists and tables beside it."""
+        total, prose = Counter(), set()
+        for at, line, linked in self.blocks:
+            if not self.out[at]:
+                total[at] += len(line) - 2 * linked
+                if len(line) - 2 * linked >= PROSE:
+                    prose.add(at)
+        for i in range(len(self.tags) - 1, 0, -1):  # parents come first
+            total[self.parents[i]] += total[i]
+        alike = Counter((self.parents[i], self.steps[i]) for i in range(1, len(self.tags)))
+        kept = node
+        while node:
             parent = self.parents[node]
-            alike = sum(1 for i in range(1, len(self.tags)) if self.parents[i] == parent and self.steps[i] == self.steps[node])
-            if not parent or self.tags[parent] in ("html", "body") or not (self.tags[parent] in ("article", "main") or alike > 1 and self.tags[node] != "article"):
+            if self.tags[parent] in ("#", "html", "body"):
+                if self.tags[node] not in ("article", "main", "body") and parent in prose:
+                    kept = parent
+                break
+            whole = self.tags[parent] in ("article", "main")
+            if self.tags[node] == "article" and not whole:
+                break
+            several = alike[parent, self.steps[node]] > 1
+            if self.tags[node] == "main" and not (whole or several):
                 break
+            if whole or several or total[parent] > total[node]:
+                kept = parent
             node = parent
-        return node
+        return kept
 
     def text(self, path: str | None = None) -> str:
         """The blocks in all containers on this path, or else in the best one."""

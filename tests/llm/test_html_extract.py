@@ -1,6 +1,7 @@
 """Main text of pages whose text is known."""
 
 import html
+import re
 
 from loomgraph.llm import html_extract as h
 
@@ -45,3 +46,26 @@ def test_hosts_agree(spark):
         assert got[7].text == got[8].text == "" and got[7].n_chars == 0 and got[9].text == "no url"
     assert h.extract(pages(spark)).count() == 10
     assert h.extract(pages(spark).limit(0)).count() == 0
+
+
+def test_nothing_beside_the_largest_part_is_lost(spark):
+    paragraphs = "".join(f"<p>Paragraph number {k} of the text, with some words more in it.</p>" for k in range(8))
+    table = "<table>" + "".join(f"<tr><td>cell {k} of a long table</td><td>and its second cell</td></tr>" for k in range(40)) + "</table>"
+    items = "<ul>" + "".join(f"<li>item {k} of a list that is longer than the text</li>" for k in range(40)) + "</ul>"
+    inner = [
+        f'<div class="wrap"><div class="content">{paragraphs}</div>{table}</div>',
+        f'<div class="wrap"><div class="content">{paragraphs}{items}</div></div>',
+        f'<div class="wrap"><div class="intro"><p>A short start.</p></div><div class="body">{paragraphs}</div><div><div>{items}</div></div></div>',
+        f"<article><div><p>A short start.</p><div><div>{table}</div></div></div>{paragraphs}</article>",
+        f"<p>{'A long paragraph right in the body. ' * 3}</p>{table}",
+    ]
+    rows = [(k, f"http://h{k}.example/" if k else None, PAGE % x) for k, x in enumerate(inner)]
+    for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        x = inner[r.page_id]
+        assert r.text.split() == html.unescape(re.sub("<[^>]*>", " ", x)).split()
+
+
+def test_links_beside_the_text_stay_out():
+    links = "".join(f'<li><a href="/{k}">Another page {k}</a></li>' for k in range(9))
+    inner = f'<div class="wrap"><div class="links"><ul>{links}</ul></div><div class="content"><p>{"The text of the page. " * 20}</p></div></div>'
+    assert h.Page(PAGE % inner).text() == ("The text of the page. " * 20).strip()
