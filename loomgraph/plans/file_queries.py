@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,12 +15,12 @@ from loomgraph.plans.pairs import N, dense
 from loomgraph.sources import adapters as a
 from loomgraph.sources import readers as r
 from loomgraph.sources import writers as w
+from loomgraph.sources.shared import shared_folder
 from loomgraph.streaming import limits
 
 
 def scratch(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "loomgraph-checkpoints")
-    return f"{root}/queries/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/queries/{name}-{uuid.uuid4().hex}"
 
 
 PARTS = "id string, title string, class string"
