@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import string
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import shared_folder
+
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 #: Rows in one Arrow batch to Python. Texts may hold 100 KB and more, so the default of 10,000 rows is too many.
 ARROW_ROWS = 1000
+#: And its bytes: a batch ends with the row that passes this, so very long texts travel alone.
+ARROW_BYTES = 16 << 20
 
 
 def lower_ascii(col: Column) -> Column:
@@ -24,11 +26,6 @@ def no_null(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; only a session without it, as in tests, gets one of its own."""
-    return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "loomgraph-checkpoints")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the shared folder."""
     context = df.sparkSession.sparkContext
@@ -42,6 +39,7 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS or int(spark.conf.get(key, "10000")) <= 0:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
