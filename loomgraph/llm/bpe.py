@@ -5,9 +5,9 @@ the merge trees of the two decide alone. So the last token of the encoding of ev
 over the bytes keeps it for the last few positions only. A token leaves once all positions that a later token can
 start from agree on it. How far behind the input that is at most follows from the merge list: a border can depend on
 what follows only through a chain of merges of ever higher priority, each sharing a token with the one before
-(`Vocabulary.lookahead` is the longest such chain in bytes). A pre-token no longer than that can be decided only when
-it ends, so it is merged in place, and its ids are remembered for the next time. Memory is constant for a pre-token of any length; text is
-cut into pre-tokens as it comes, also within runs of letters or blanks that never end.
+(`Vocabulary.lookahead` is the longest such chain in bytes). Every pre-token goes through the transducer; the ids of
+short ones are remembered for the next time, in bounded memory. Memory is constant for a pre-token of any length; text
+is cut into pre-tokens as it comes, also within runs of letters or blanks that never end.
 
 Decoding is a state machine from token bytes to text: bytes of an unfinished character wait, broken ones become U+FFFD.
 
@@ -28,6 +28,7 @@ import sys
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,12 +39,15 @@ from loomgraph.llm.common import small_batches
 MAX_FILE = 64 << 20
 #: Characters taken from a text at once.
 CHUNK = 1 << 15
+#: The low bits of a token's number in the transducer hold its length.
+_LENGTH_BITS = 12
+_LENGTH = (1 << _LENGTH_BITS) - 1
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Words whose ids are remembered, in each of two generations.
 CACHE = 150_000
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
-_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: The same for text of these characters only, where the faster built-in module has the same classes.
 _PLAIN_WORDS = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
 _NOT_PLAIN = r"[^\t\n\r\x20-\x7e\xa1\xab\xbb\xbf\xc0-\xd6\xd8-\xf6\xf8-ɏ–—‘’“”…]"
@@ -70,6 +74,8 @@ class Vocabulary:
         for t, i in self.special.items():
             self.table[i] = t.encode()
         self.longest = max(map(len, self.ids))
+        if self.longest > _LENGTH or len(self.ids) > 1 << 32 - _LENGTH_BITS:
+            raise ValueError(f"{len(self.ids)} tokens of up to {self.longest} bytes")
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for k, m in enumerate(model["merges"]):
@@ -78,15 +84,17 @@ class Vocabulary:
             pair = self.ids[left], self.ids[right]
             self.rank.setdefault(pair, k)
             self.parts.setdefault(self.ids[left + right], (k, *pair))
-        # rank and merged token in one number
-        self._merge = {left << 32 | right: k << 32 | self.ids[self.table[left] + self.table[right]] for (left, right), k in self.rank.items()}
-        self._bytes = [self.ids[bytes([b])] for b in range(256)]
+        # finds the tokens that end at each byte, the longest first, in one pass; bytes are shown as the characters of the same numbers
+        self.automaton = ahocorasick.Automaton()
+        for t, i in self.ids.items():
+            self.automaton.add_word(t.decode("latin-1"), i << _LENGTH_BITS | len(t))
+        self.automaton.make_automaton()
         self.lookahead = self._lookahead()
         never = len(self.rank)
         # the tokens that stand at a token's right and left edge while it is built, with the rank of the merge that ends each
         self._right = [self._edge(i, 2, never) for i in range(len(self.table))]
         self._left = [self._edge(i, 1, never) for i in range(len(self.table))]
-        self._valid: dict[int, bool] = {}
+        self.valid: dict[int, bool] = {}
 
     def _edge(self, token: int, side: int, until: int) -> list[tuple[int, int]]:
         out = [(token, until)]
@@ -105,33 +113,11 @@ class Vocabulary:
             most = max(most, reach)
         return most
 
-    def merged(self, content: bytes) -> list[int]:
-        """The encoding of a short pre-token: the merge of the lowest rank, leftmost first, until none is left."""
-        one, merge, none = self._bytes, self._merge.get, 1 << 62
-        ids = [one[b] for b in content]
-        pairs = [merge(x << 32 | y, none) for x, y in zip(ids, ids[1:])]
-        while pairs:
-            best = min(pairs)
-            if best == none:
-                break
-            i = pairs.index(best)
-            token = best & 0xFFFFFFFF
-            ids[i] = token
-            del ids[i + 1], pairs[i]
-            if i:
-                pairs[i - 1] = merge(ids[i - 1] << 32 | token, none)
-            if i < len(pairs):
-                pairs[i] = merge(token << 32 | ids[i + 1], none)
-        return ids
-
     def borders(self, left: int, right: int) -> bool:
-        """Whether left and right can stand side by side: no merge takes the edges of both while they are there."""
-        key = left << 32 | right
-        found = self._valid.get(key)
-        if found is None:
-            if len(self._valid) > 1_000_000:
-                self._valid.clear()
-            found = self._valid[key] = self._borders(left, right)
+        """Whether two tokens, with their lengths, can stand side by side: no merge takes the edges of both while they are there."""
+        if len(self.valid) > 1_000_000:
+            self.valid.clear()
+        found = self.valid[left << 32 | right] = self._borders(left >> _LENGTH_BITS, right >> _LENGTH_BITS)
         return found
 
     def _borders(self, left: int, right: int) -> bool:
@@ -146,54 +132,79 @@ class Vocabulary:
 
 
 class Transducer:
-    """Bytes of one pre-token in, tokens out."""
+    """Bytes of one pre-token in, tokens out. Tokens are kept with their lengths, as the automaton gives them."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.step = vocabulary.lookahead + vocabulary.longest
         self.reset()
 
     def reset(self) -> None:
-        self.bytes = b""  # from position self.base on
+        self.size = 0  # bytes from position self.base on
         self.base = 0
         self.last: list[int] = [-1]  # last token of the encoding of each prefix, from self.base on
+        self.found = None
 
     def feed(self, more: bytes) -> list[int]:
         out: list[int] = []
-        step = self.v.lookahead + self.v.longest
-        for at in range(0, len(more), step):
-            self._extend(more[at : at + step])
-            if len(self.bytes) > step:
+        for at in range(0, len(more), self.step):
+            self._extend(more[at : at + self.step])
+            if self.size > self.step:
                 out += self._stable()
         return out
 
     def finish(self) -> list[int]:
-        out = self._chain(len(self.bytes))
+        out = self._chain(self.size)
         self.reset()
-        return out
+        return [t >> _LENGTH_BITS for t in out]
+
+    def whole(self, content: bytes) -> list[int]:
+        """The tokens of a pre-token that is at hand; the one that spans all of it is the first that would be tried."""
+        token = self.v.ids.get(content)
+        return [token] if token is not None else self.feed(content) + self.finish()
 
     def _extend(self, more: bytes) -> None:
-        n = len(self.bytes)
-        self.bytes += more
-        text, ids, last, longest, borders = self.bytes, self.v.ids, self.last, self.v.longest, self.v.borders
-        for end in range(n + 1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(text[start:end])
-                if token is not None and last[start] != -2 and (last[start] == -1 or borders(last[start], token)):
-                    last.append(token)
-                    break
-            else:
+        self.size += len(more)
+        shown = more.decode("latin-1")
+        if self.found is None:
+            self.found = self.v.automaton.iter(shown)
+        else:
+            self.found.set(shown)  # goes on where it stands
+        last, ahead, valid, borders = self.last, self.base - 1, self.v.valid.get, self.v.borders
+        n = len(last)
+        for at, token in self.found:
+            end = at - ahead
+            if end < n:
+                continue  # its token is known
+            start = end - (token & _LENGTH)
+            if start < 0:
+                continue
+            while end > n:
                 last.append(-2)  # only before self.base: not a place where a token can end
+                n += 1
+            before = last[start]
+            if before >= 0:
+                fits = valid(before << 32 | token)
+                if fits is None:
+                    fits = borders(before, token)
+                if not fits:
+                    continue
+            elif before == -2:
+                continue
+            last.append(token)
+            n += 1
+        last += [-2] * (self.size + 1 - n)
 
     def _chain(self, end: int) -> list[int]:
-        out = []
+        out, last = [], self.last
         while end > 0:
-            out.append(self.last[end])
-            end -= len(self.v.table[self.last[end]])
+            out.append(last[end])
+            end -= last[end] & _LENGTH
         return out[::-1]
 
     def _stable(self) -> list[int]:
         """Tokens that all places where a later token can start agree on."""
-        n = len(self.bytes)
+        n = self.size
         chains = [self._chain(end) for end in range(max(1, n + 1 - self.v.longest), n + 1) if self.last[end] != -2]
         agreed = []
         for tokens in zip(*chains):
@@ -203,12 +214,12 @@ class Transducer:
         if len(agreed) < 2:
             return []
         out = agreed[:-1]  # the last one is kept, as a neighbour to what follows
-        cut = sum(len(self.v.table[t]) for t in out)
+        cut = sum(t & _LENGTH for t in out)
         self.last = [out[-1]] + self.last[cut + 1 :]
         # positions inside the tokens that left can start nothing
-        self.bytes = self.bytes[cut:]
+        self.size -= cut
         self.base += cut
-        return out
+        return [t >> _LENGTH_BITS for t in out]
 
 
 class _Remembered(dict):
@@ -240,10 +251,10 @@ class Encoder:
         self.v = vocabulary
         self.transducer = Transducer(vocabulary)
         self.known = _Remembered(self)
-        self._words, self._plain = regex.compile(_WORDS), re.compile(_PLAIN_WORDS)
+        self._words, self._plain = regex.compile(WORDS), re.compile(_PLAIN_WORDS)
         self._odd = re.compile(_NOT_PLAIN)
-        self._border = regex.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])")
-        self._blank = regex.compile(rf"[{_SPACE}]+")
+        self.border = regex.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+        self.blank = regex.compile(rf"[{_SPACE}]+")
         self._runs = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", rf"[{_SPACE}]+", rf"[^{_SPACE}\p{{L}}\p{{N}}]+")]
         self._special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
         self.buffer = ""
@@ -254,17 +265,21 @@ class Encoder:
         return np.array(ids, dtype="<u4").tobytes()
 
     def word(self, word: str) -> bytes:
-        content = word.encode()
-        if len(content) <= self.v.lookahead:
-            return array("I", self.v.merged(content)).tobytes() if _LITTLE else self._pack(self.v.merged(content))
-        out = self.transducer.feed(content)
-        return self._pack(out + self.transducer.finish())
+        ids = self.transducer.whole(word.encode())
+        return array("I", ids).tobytes() if _LITTLE else self._pack(ids)
 
     def _closed(self, text: str) -> bytes:
         """Text with a border of pre-tokens at its end."""
         find = self._words if self._odd.search(text) else self._plain
         return b"".join(map(self.known.__getitem__, find.findall(text)))
 
+    def last_border(self, text: str, begin: int, end: int) -> int:
+        """The last place in (begin, end] where a blank follows another character, so that a pre-token ends; 0 if there is none."""
+        for at in range(min(end, len(text) - 1), begin, -1):
+            if text[at].isspace() and self.blank.match(text[at]) and not self.blank.match(text[at - 1]):
+                return at
+        return 0
+
     def feed(self, text: str) -> bytes:
         self.buffer += text
         out = []
@@ -303,12 +318,7 @@ class Encoder:
             self.buffer = ""
             return b"".join(out)
         limit = len(self.buffer) - self._held()
-        cut = 0
-        for at in range(max(0, limit), 0, -1):
-            if self.buffer[at].isspace() and self._blank.match(self.buffer[at]) and not self._blank.match(self.buffer[at - 1]):
-                cut = at
-                break
-        if cut:
+        if cut := self.last_border(self.buffer, 0, max(0, limit)):
             out.append(self._closed(self.buffer[:cut]))
             self.buffer = self.buffer[cut:]
         elif limit > CHUNK // 8:  # no blank in sight

@@ -32,6 +32,8 @@ TIERS = (1024, 512, 256, 128)
 END_MARK = 0
 STEP_TOKENS = 8 * 1024
 PENDING_TOKENS = 1 << 20
+#: Characters given to the compiled encoder at once.
+PIECE_CHARS = 1 << 16
 
 
 class Packer:
@@ -56,7 +58,7 @@ class Packer:
         whole = len(ids) // longest * longest
         for at in range(0, whole, longest):
             self.out.append((longest, [(doc, at, ids[at : at + longest])]))
-        self._route((doc, whole, ids[whole:]))
+        self._route((doc, whole, ids[whole:].copy()))  # a view would keep the whole document's ids
 
     def settle(self) -> None:
         """Close every window whose gap the shorter tiers can fill."""
@@ -118,22 +120,45 @@ class Packer:
 
 
 def tokenizer_of(content: bytes):
-    """text -> ids. Where ids are ordered as the merges are, a compiled encoder does the same faster."""
+    """text -> ids. Where ids are ordered as the merges are, a compiled encoder does the same faster.
+
+    The compiled encoder's word pattern takes stack space for every character of a run of blanks, so it gets at most
+    PIECE_CHARS at once, cut before a blank that follows another character, where a word always ends. What has no such
+    place for longer than that goes to the streaming encoder.
+    """
     encoder = encoder_of(content)
     v = encoder.v
-    if sorted(v.ids.values()) == list(range(len(v.ids))) and all(v.ids[v.table[a] + v.table[b]] == 256 + k for (a, b), k in v.rank.items()):
-        import tiktoken
-
-        from loomgraph.llm.bpe import _WORDS
-
-        compiled = tiktoken.Encoding("loomgraph", pat_str=_WORDS, mergeable_ranks=v.ids, special_tokens=v.special)
-        special = tuple(v.special)
-
-        def encode(text: str):
-            return compiled.encode(text, allowed_special="all") if any(s in text for s in special) else compiled.encode_ordinary(text)
-
-        return encode
-    return lambda text: np.frombuffer(encoder.encode(text), dtype="<u4")
+    streamed = lambda text: np.frombuffer(encoder.encode(text), dtype="<u4")
+    ordered = sorted(v.ids.values()) == list(range(len(v.ids))) and all(v.ids[v.table[a] + v.table[b]] == 256 + k for (a, b), k in v.rank.items())
+    if not ordered or any(encoder.blank.search(s) for s in v.special):
+        return streamed
+    import tiktoken
+
+    from loomgraph.llm.bpe import WORDS
+
+    compiled = tiktoken.Encoding("loomgraph", pat_str=WORDS, mergeable_ranks=v.ids, special_tokens=v.special)
+    special = tuple(v.special)
+
+    def at_once(text: str):
+        return compiled.encode(text, allowed_special="all") if any(s in text for s in special) else compiled.encode_ordinary(text)
+
+    def encode(text: str):
+        if len(text) <= PIECE_CHARS:
+            return at_once(text)
+        out, at = [], 0
+        while at < len(text):
+            end = min(at + PIECE_CHARS, len(text))
+            cut = end if end == len(text) else encoder.last_border(text, at, end)
+            if cut:
+                out.append(np.array(at_once(text[at:cut]), dtype="<u4"))
+            else:
+                after = encoder.border.search(text, end)
+                cut = after.start() if after else len(text)
+                out.append(streamed(text[at:cut]))
+            at = cut
+        return np.concatenate(out)
+
+    return encode
 
 
 _TOKENIZERS: dict[int, object] = {}

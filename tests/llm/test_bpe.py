@@ -24,6 +24,15 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
+def merged(v, content):
+    """Plain BPE: the merge of the lowest rank, leftmost first, until none is left."""
+    ids = [v.ids[bytes([b])] for b in content]
+    while ranked := [(v.rank[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in v.rank]:
+        _, i = min(ranked)
+        ids[i : i + 2] = [v.ids[v.table[ids[i]] + v.table[ids[i + 1]]]]
+    return ids
+
+
 def ids_of(packed):
     return np.frombuffer(packed, dtype="<u4").tolist()
 
@@ -46,20 +55,35 @@ def test_like_the_library(encoder, library):
 
 @pytest.mark.parametrize("text", ["a" * 9000, "ab" * 40000 + "c", " " * 40000 + "x", "\xa0" * 40001, "!" * 45000 + "'s", "日本" * 20000, "\n " * 30000 + "q", "1" * 40000, "x'" * 20000])
 def test_pretokens_without_end(encoder, library, text):
-    assert ids_of(encoder.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    want = library.encode(text, add_special_tokens=False).ids
+    assert ids_of(encoder.encode(text)) == want
+    assert list(packing.tokenizer_of(bpe.read_file(PATH))(text)) == want
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "\n" * 300_000 + " y", "words and more\n" * 40_000, "a b" * 60_000 + "\t" * 100_000 + "<|endoftext|>" + " c" * 50_000 + " <|endo", "z" * 140_000 + " z" * 66_000 + " ", "日" * 70_000 + "  日" * 70_000])
+def test_very_long_texts_in_packing(library, text):
+    """Long enough for the stack of the compiled encoder's word pattern."""
+    assert list(packing.tokenizer_of(bpe.read_file(PATH))(text)) == library.encode(text, add_special_tokens=False).ids
 
 
-def test_memory_of_the_transducer_is_bounded(encoder):
+def test_memory_of_the_transducer_is_bounded(encoder, library):
     t = bpe.Transducer(encoder.v)
     rng, most, out = random.Random(1), 0, []
     content = bytes(rng.choice(b"abcdehinrst") for _ in range(20000))
     for at in range(0, len(content), 50):
         out += t.feed(content[at : at + 50])
-        most = max(most, len(t.bytes))
+        most = max(most, t.size, len(t.last) - 1)
     out += t.finish()
     assert b"".join(encoder.v.table[i] for i in out) == content
     assert most <= 2 * (encoder.v.lookahead + encoder.v.longest) + 50
-    assert out == encoder.v.merged(content)
+    assert out == library.encode(content.decode(), add_special_tokens=False).ids
+
+
+def test_every_word_like_plain_merging(encoder):
+    rng = random.Random(7)
+    for _ in range(4000):
+        content = bytes(rng.choice(rng.choice([b"ab", b"etaoin ", b"-=_", bytes(range(256))])) for _ in range(rng.randint(1, 30)))
+        assert encoder.transducer.whole(content) == merged(encoder.v, content)
 
 
 def test_decoder(encoder, library):
@@ -109,6 +133,32 @@ def test_packing_round_trip(spark, library):
     assert packing.pack(frame.limit(0), PATH).count() == 0
 
 
+def test_open_pieces_do_not_keep_their_documents():
+    packer = packing.Packer()
+    for i in range(50):
+        packer.add((i, 100_001), np.arange(100_001, dtype="<u4"))
+        packer.batch_over()
+    assert all(p[2].base is None or p[2].base.size <= 1024 for pool in packer.pools.values() for p in pool)
+
+
+def test_packing_across_batches(spark, library):
+    """More rows than one Arrow batch, very long texts among them."""
+    texts = [(i, "word " * (i % 40)) for i in range(2600)] + [(9000, " " * 1_000_000 + "x"), (9001, "ab " * 200_000)]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), PATH).collect()
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+    for i, t in texts:
+        found = sorted(pieces[i], key=lambda r: r.start)
+        ids = np.array(library.encode(t, add_special_tokens=False).ids + [0], dtype="<u4")
+        assert [p.start for p in found] == list(np.cumsum([0] + [p.length for p in found])[:-1]) and sum(p.length for p in found) == len(ids)
+        assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in found)
+    sizes = {}
+    for r in rows:
+        sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
+    assert all(n <= 1024 and n & (n - 1) == 0 for n in sizes.values()) and sum(n < 1024 for n in sizes.values()) < 0.2 * len(sizes)
+
+
 def test_pending_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "PENDING_TOKENS", 3000)
     packer, seen = packing.Packer(), 0
