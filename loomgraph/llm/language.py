@@ -1,14 +1,16 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Every language has a distribution over the pieces of a fixed public vocabulary. The probability of a word is the sum
-over all its segmentations into pieces, by a forward pass over its bytes; that of a text is the product over its
-words. The piece probabilities are those that expectation-maximisation over all segmentations gives for the training
-words. Vocabularies hold every single byte, so every word has a probability.
+Every language has a distribution over the pieces of a fixed public vocabulary, all of them. The probability of a word
+is the sum over all its segmentations into pieces, by a forward pass over its bytes in logarithms; that of a text is
+the product over its words. A string automaton finds the pieces that end at each byte. The piece probabilities are
+those that expectation-maximisation over all segmentations gives for the training words. Vocabularies hold every
+single byte, so every word has a probability.
 
 The training sample is bounded: in each language the documents whose hashed id falls below a threshold that makes
-SAMPLE_DOCS of them in expectation. Their words are counted on the executors. Scoring is one pass over all whole
-texts; a word's log-probabilities are computed once and remembered for each worker, in bounded memory, and new words of
-a batch are scored together, grouped by length.
+SAMPLE_DOCS of them in expectation. Their words are counted on the executors, whole; words of more than TRAIN_CHARS
+characters, as in scripts without spaces, are learned from in parts of that length. Scoring is one pass over all whole
+texts and never cuts a word; a word's log-probabilities are computed once and remembered for each worker, in bounded
+memory, and new words of a batch are scored together.
 
 Defined results: a null text and a text without a letter are `und` with score 0. Documents with a null language or a
 null id are not learned from. Repeated rows are learned from and scored like others. Without any training document all
@@ -20,8 +22,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,14 +37,17 @@ from loomgraph.llm.common import small_batches
 SAMPLE_DOCS = 400
 FOLDS, HELD_OUT = 4, 2
 ROUNDS = 3
-#: Longest piece in bytes.
-PIECE = 8
+#: Longest part of a word, in characters, in training.
+TRAIN_CHARS = 64
 #: Added to every piece's expected count.
 SMOOTH = 0.02
 UNKNOWN = "und"
-WORD_CACHE = 150_000
-#: Words that are run through the forward pass together.
-WORDS_AT_ONCE = 4096
+#: Words, and characters of words, that a worker remembers.
+WORD_CACHE, CHAR_CACHE = 150_000, 4_000_000
+#: Bytes that are run through the forward pass together.
+BYTES_AT_ONCE = 1 << 16
+_LENGTH_BITS = 12
+_LENGTH = (1 << _LENGTH_BITS) - 1
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -56,63 +63,131 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
-def lattice(words: list[bytes], pieces: dict[bytes, int]) -> np.ndarray:
-    """For words of one length n: [word, end, length - 1] -> piece that ends there, or -1."""
-    n = len(words[0])
-    get = pieces.get
-    flat = [get(w[e - k : e], -1) if k <= e else -1 for w in words for e in range(1, n + 1) for k in range(1, PIECE + 1)]
-    return np.array(flat, dtype=np.int32).reshape(len(words), n, PIECE)
-
-
-def forward(pieces_at: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log of the sum over all segmentations, [word, language], and the scaled sums of all prefixes. p[-1] is zero."""
-    n_words, n, _ = pieces_at.shape
-    a = np.zeros((n + 1, n_words, p.shape[1]))
-    a[0] = 1.0
-    scale = np.zeros((n_words, 1))
-    for e in range(1, n + 1):
-        for k in range(1, min(PIECE, e) + 1):
-            a[e] += a[e - k] * p[pieces_at[:, e - 1, k - 1]]
-        if e % PIECE == 0:  # keep the numbers in range
-            s = np.maximum(a[e].max(axis=1, keepdims=True), 1e-300)
-            a[max(0, e - PIECE + 1) : e + 1] /= s
-            scale += np.log(s)
-    return np.log(np.maximum(a[n], 1e-300)) + scale, a
+class Lattice:
+    """Where pieces stand in some words: for each end, shortest first, the words, starts and pieces. Positions are bytes."""
+
+    def __init__(self, words: list[bytes], found, offsets: np.ndarray, first: int = 0):
+        """found: pairs (place of the last byte, piece and its length); offsets: place of each word; first: bytes of a word before these."""
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.int64).reshape(-1, 2)
+        word = np.searchsorted(offsets, flat[:, 0], side="right") - 1
+        end = flat[:, 0] - offsets[word] + 1 + first
+        order = np.lexsort((word, end))
+        self.word, self.piece = word[order], flat[order, 1] >> _LENGTH_BITS
+        self.start = (end - (flat[:, 1] & _LENGTH))[order]
+        self.ends, self.at = np.unique(end[order], return_index=True)
+        self.at = np.append(self.at, len(order))
+
+    def steps(self):
+        return zip(self.ends.tolist(), map(slice, self.at[:-1].tolist(), self.at[1:].tolist()))
+
+
+def forward(lattice: Lattice, log_p: np.ndarray, a: np.ndarray, first: int = 0) -> None:
+    """Fills a[word, end - first]: the log of the sum over all segmentations of the word up to there, by language."""
+    for end, some in lattice.steps():
+        word = lattice.word[some]
+        x = a[word, lattice.start[some] - first] + log_p[lattice.piece[some]]
+        begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        if len(begin) < len(word):
+            most = np.maximum.reduceat(x, begin, axis=0)
+            x = most + np.log(np.add.reduceat(np.exp(x - np.repeat(most, np.diff(np.append(begin, len(word))), axis=0)), begin, axis=0))
+        a[word[begin], end - first] = x
+
+
+def _expected(lattice: Lattice, sizes: np.ndarray, n: np.ndarray, log_q: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece, over all segmentations of words that occur n times."""
+    shape = len(sizes), int(sizes.max()) + 1
+    a, b = np.zeros((*shape, 1)), np.full(shape, -np.inf)
+    forward(lattice, log_q[:, None], a)
+    every = np.arange(len(sizes))
+    total, b[every, sizes] = a[every, sizes, 0], 0.0
+    out = np.zeros(len(log_q))
+    for end, some in reversed(list(lattice.steps())):
+        word, start, piece = lattice.word[some], lattice.start[some], lattice.piece[some]
+        x = b[word, end] + log_q[piece]
+        b[word, start] = np.logaddexp(b[word, start], x)
+        out += np.bincount(piece, weights=n[word] * np.exp(a[word, start, 0] + x - total[word]), minlength=len(out))
+    return out
 
 
-@dataclass
 class Model:
-    languages: list[str]
-    pieces: dict[bytes, int]
-    p: np.ndarray  # [piece, language], and a last row of zeros
+    def __init__(self, languages: list[str], pieces: list[bytes], log_p: np.ndarray):
+        self.languages, self.pieces, self.log_p = languages, pieces, log_p  # log_p: [piece, language]
+
+    def __getstate__(self):
+        return self.languages, self.pieces, self.log_p
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    @cached_property
+    def automaton(self):
+        """Finds all pieces in a text of bytes, shown as the characters of the same numbers."""
+        found = ahocorasick.Automaton()
+        for i, t in enumerate(self.pieces):
+            found.add_word(t.decode("latin-1"), i << _LENGTH_BITS | len(t))
+        found.make_automaton()
+        return found
+
+    def groups(self, words: list[bytes]):
+        """Indices of words of similar length, of BYTES_AT_ONCE together or one longer word."""
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        begin = 0
+        while begin < len(order):
+            end = begin + 1
+            while end < len(order) and (end + 1 - begin) * (len(words[order[end]]) + 1) <= BYTES_AT_ONCE:
+                end += 1
+            yield order[begin:end]
+            begin = end
+
+    def lattice(self, words: list[bytes]) -> Lattice:
+        sizes = np.array([len(w) + 1 for w in words])
+        text = "\u0100".join(w.decode("latin-1") for w in words)  # a mark that is no byte keeps words apart
+        return Lattice(words, self.automaton.iter(text), np.cumsum(sizes) - sizes)
 
     def log_words(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
-        by_length: dict[int, list[int]] = {}
         marked = [b" " + w.encode() for w in words]
-        for i, w in enumerate(marked):
-            by_length.setdefault(len(w), []).append(i)
-        for n, members in by_length.items():
-            step = max(1, WORDS_AT_ONCE * 16 // max(16, n))
-            for at in range(0, len(members), step):
-                some = members[at : at + step]
-                out[some] = forward(lattice([marked[i] for i in some], self.pieces), self.p)[0]
+        for group in self.groups(marked):
+            some = [marked[i] for i in group]
+            if len(some[0]) > BYTES_AT_ONCE:
+                out[group[0]] = self._long(some[0])
+                continue
+            a = np.zeros((len(some), len(some[-1]) + 1, len(self.languages)))
+            forward(self.lattice(some), self.log_p, a)
+            out[group] = a[np.arange(len(some)), [len(w) for w in some]]
         return out
 
+    def _long(self, word: bytes) -> np.ndarray:
+        """One word in parts, of which only the sums that a piece can still start from are kept."""
+        longest = max(map(len, self.pieces))
+        found, a, kept = None, np.zeros((1, 1, len(self.languages))), 0  # a[0, i]: the sum up to byte kept + i
+        for at in range(0, len(word), BYTES_AT_ONCE):
+            part = word[at : at + BYTES_AT_ONCE].decode("latin-1")
+            if found is None:
+                found = self.automaton.iter(part)
+            else:
+                found.set(part)  # goes on where it stands, places too
+            a = np.concatenate([a, np.zeros((1, len(part), len(self.languages)))], axis=1)
+            forward(Lattice([word], found, np.zeros(1, dtype=np.int64)), self.log_p, a, kept)
+            kept, a = kept + max(0, a.shape[1] - longest), a[:, -longest:]
+        return a[0, -1]
+
     def predictor(self):
         known: dict[str, int] = {}
-        rows = np.zeros((0, len(self.languages)))
+        rows, characters = np.zeros((0, len(self.languages))), 0
 
         def predict(texts: list[str | None]) -> list[tuple[str, float]]:
-            nonlocal rows
+            nonlocal rows, characters
             if not self.languages:
                 return [(UNKNOWN, 0.0)] * len(texts)
             counts = [Counter(words_of(t)) if t else Counter() for t in texts]
             new = list({w: None for c in counts for w in c if w not in known})
-            if len(known) + len(new) > WORD_CACHE and known:
+            characters += sum(map(len, new))
+            if known and (len(known) + len(new) > WORD_CACHE or characters > CHAR_CACHE):
                 known.clear()
                 rows = rows[:0]
                 new = list({w: None for c in counts for w in c})
+                characters = sum(map(len, new))
             if new:
                 known.update(zip(new, range(len(rows), len(rows) + len(new))))
                 rows = np.concatenate([rows, self.log_words(new)])
@@ -133,46 +208,22 @@ class Model:
 def learn(counts: dict[str, dict[str, int]], vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
     """counts: of each language, its words. Expectation-maximisation over all segmentations."""
     languages = sorted(counts)
-    pieces = {t: i for i, t in enumerate(sorted(t for t in vocabulary.ids if len(t) <= PIECE))}
-    p = np.zeros((len(pieces) + 1, len(languages)))
+    pieces = sorted(vocabulary.ids)
+    model = Model(languages, pieces, np.zeros((len(pieces), len(languages))))
     for at, language in enumerate(languages):
-        groups: dict[int, list[tuple[bytes, int]]] = {}
-        for w, n in sorted(counts[language].items()):
-            marked = b" " + w.encode()
-            if len(marked) <= 64:  # longer ones say little, and cost most
-                groups.setdefault(len(marked), []).append((marked, n))
-        lattices = [(lattice([w for w, _ in g], pieces), np.array([n for _, n in g], dtype=np.float64)) for g in groups.values()]
-        q = np.full(len(pieces) + 1, 1.0 / len(pieces))
-        q[-1] = 0
+        words = [(b" " + w.encode(), n) for w, n in sorted(counts[language].items())]
+        groups = []
+        for group in model.groups([w for w, _ in words]):
+            some = [words[i] for i in group]
+            groups.append((model.lattice([w for w, _ in some]), np.array([len(w) for w, _ in some]), np.array([n for _, n in some], dtype=np.float64)))
+        q = np.full(len(pieces), 1.0 / len(pieces))
         for _ in range(rounds):
-            expected = np.full(len(pieces) + 1, SMOOTH)
-            for pieces_at, n in lattices:
-                expected += _expected(pieces_at, n, q)
-            expected[-1] = 0
+            expected = np.full(len(pieces), SMOOTH)
+            for lattice, sizes, n in groups:
+                expected += _expected(lattice, sizes, n, np.log(q))
             q = expected / expected.sum()
-        p[:, at] = q
-    return Model(languages, pieces, p)
-
-
-def _expected(pieces_at: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece, over all segmentations of words of one length."""
-    size = pieces_at.shape[1]
-    big = 1024.0  # a factor for each byte, which cancels out: keeps sums over 64 bytes in range
-    a, b = np.zeros((size + 1, len(n))), np.zeros((size + 1, len(n)))
-    a[0] = b[size] = 1.0
-    for e in range(1, size + 1):
-        for k in range(1, min(PIECE, e) + 1):
-            a[e] += a[e - k] * q[pieces_at[:, e - 1, k - 1]] * big**k
-    for s in range(size - 1, -1, -1):
-        for k in range(1, min(PIECE, size - s) + 1):
-            b[s] += b[s + k] * q[pieces_at[:, s + k - 1, k - 1]] * big**k
-    total = np.where(a[size] > 0, a[size], 1.0)
-    out = np.zeros(len(q))
-    for e in range(1, size + 1):
-        for k in range(1, min(PIECE, e) + 1):
-            ids = pieces_at[:, e - 1, k - 1]
-            out += np.bincount(ids + 1, weights=n * a[e - k] * q[ids] * big**k * b[e] / total, minlength=len(q) + 1)[1:]
-    return out
+        model.log_p[:, at] = np.log(q)
+    return model
 
 
 def training_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, dict[str, int]]:
@@ -189,7 +240,7 @@ def training_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str
         for batch in batches:
             found: Counter = Counter()
             for text, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.update((language, w) for w in words_of(text))
+                found.update((language, w[i : i + TRAIN_CHARS]) for w in words_of(text) for i in range(0, len(w), TRAIN_CHARS))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
     counted = drawn.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()

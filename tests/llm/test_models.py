@@ -66,9 +66,10 @@ def vocabulary():
 
 
 def test_forward_sums_all_segmentations(vocabulary):
-    pieces = {b: i for i, b in enumerate([b" ", b"a", b"b", b"ab", b" a", b" ab", b"ba"])}
+    listed = [b" ", b"a", b"b", b"ab", b" a", b" ab", b"ba", b"abababababab"]
+    pieces = {b: i for i, b in enumerate(listed)}
     rng = np.random.default_rng(1)
-    p = np.vstack([rng.dirichlet(np.ones(len(pieces)), 2).T, np.zeros(2)])
+    p = rng.dirichlet(np.ones(len(pieces)), 2).T
     for word in ["a", "ab", "abab", "ba" * 12]:
         marked = b" " + word.encode()
         total = np.zeros(2)
@@ -84,12 +85,37 @@ def test_forward_sums_all_segmentations(vocabulary):
         else:  # the same by recursion
             best = {0: np.ones(2)}
             for e in range(1, len(marked) + 1):
-                best[e] = sum((best[s] * p[pieces[marked[s:e]]] for s in range(max(0, e - 3), e) if marked[s:e] in pieces), np.zeros(2))
+                best[e] = sum((best[s] * p[pieces[marked[s:e]]] for s in range(max(0, e - 12), e) if marked[s:e] in pieces), np.zeros(2))
             total = best[len(marked)]
-        model = language.Model(["x", "y"], pieces, p)
+        model = language.Model(["x", "y"], listed, np.log(p))
         assert np.allclose(model.log_words([word])[0], np.log(total))
-    long = language.Model(["x", "y"], pieces, p).log_words(["ab" * 3000])
+    long = model.log_words(["ab" * 3000])
     assert np.isfinite(long).all() and (long < -1000).all()
+    together = model.log_words(["ab" * n for n in (3000, 1, 7, 200, 3000)])
+    assert np.allclose(together[0], long) and np.allclose(together[[1, 2]], [model.log_words(["ab" * n])[0] for n in (1, 7)])
+
+
+def test_long_words_in_parts(vocabulary, monkeypatch):
+    model = language.learn({"en": {"the": 5, "thethe": 2}, "ja": {"日本語": 5}}, vocabulary)
+    words = ["日本語" * 400, "the" * 900, "x", "日本" * 150]
+    whole = model.log_words(words)
+    monkeypatch.setattr(language, "BYTES_AT_ONCE", 150)
+    assert np.allclose(model.log_words(words), whole)
+
+
+def test_scripts_without_spaces_are_learned(spark, vocabulary):
+    """Runs of letters far beyond any word's length; all pieces of the vocabulary take part."""
+    rng = random.Random(3)
+    letters = {"ja": "あいうえおかきくけこ", "th": "กขคงจฉชซญดต", "zh": "天地人日月山水火木金"}
+    rows = [(i, "".join(rng.choices(letters[lang], k=rng.randint(80, 300))) + "。", lang) for i, lang in enumerate(sorted(letters) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, PATH)
+    assert len(model.pieces) == len(vocabulary.ids) and max(map(len, model.pieces)) == vocabulary.longest
+    counts = language.training_counts(docs)
+    used = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert {k: sum(n * len(w) for w, n in c.items()) for k, c in counts.items()} == {k: sum(len(t) - 1 for _, t, lang in used if lang == k) for k in letters}
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
 
 
 def test_expectation_maximisation_raises_the_likelihood(vocabulary):
@@ -97,7 +123,7 @@ def test_expectation_maximisation_raises_the_likelihood(vocabulary):
     scores = []
     for rounds in (1, 3, 6):
         m = language.learn(counts, vocabulary, rounds)
-        assert np.allclose(m.p[:-1].sum(axis=0), 1)
+        assert np.allclose(np.exp(m.log_p).sum(axis=0), 1)
         scores.append(sum(n * m.log_words([w])[0, m.languages.index(l)] for l, c in counts.items() for w, n in c.items()))
     assert scores[0] <= scores[1] <= scores[2] + 1e-9
 
@@ -110,7 +136,7 @@ def test_language_edges(spark, vocabulary):
     assert [got[i].lang_pred for i in range(6)] == ["und", "und", "und", "und", "de", "en"]
     assert all(0 <= r.score <= 1 and math.isfinite(r.score) for r in got.values()) and got[6].lang_pred != "und" != got[7].lang_pred
     assert language.predict(docs.limit(0), model).count() == 0
-    empty = language.Model([], {}, np.zeros((1, 0)))
+    empty = language.Model([], [], np.zeros((0, 0)))
     assert {r.lang_pred for r in language.predict(docs, empty).collect()} == {"und"}
     assert language.fit(docs.filter("doc_id < 0"), PATH).languages == []
     assert sorted(r.doc_id for r in language.keep_languages(docs, model).collect()) == [4, 5, 6, 7]
