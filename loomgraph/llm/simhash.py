@@ -37,6 +37,8 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 #: Runs of one key up to this length are compared in a window.
 WINDOW = 16
 ROWS_AT_ONCE = 50_000
+#: Fingerprints whose variants one task emits, at most.
+ROWS_A_TASK = 200_000
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -191,10 +193,17 @@ def links(fps: DataFrame) -> DataFrame:
         if held and len(held[0][0]):
             yield emit([np.concatenate([h[i] for h in held]) for i in range(3)])
 
-    met = variants(fps).repartition("mask", "key").sortWithinPartitions("mask", "key")
+    # each fingerprint becomes 131 rows, so the few bytes of the fingerprints are dealt over all tasks before that
+    dealt = fps.select("fp").repartition(_tasks(fps), "fp")
+    met = variants(dealt).repartition("mask", "key").sortWithinPartitions("mask", "key")
     return met.mapInArrow(meet, "a long, b long")
 
 
+def _tasks(fps: DataFrame) -> int:
+    """Tasks that emit variants: as many as shuffles have, and more where a task would hold over ROWS_A_TASK fingerprints."""
+    return max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() // ROWS_A_TASK))
+
+
 def _named(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """doc_id, fp of every row; and fp, root, component_id of every distinct fingerprint."""
     marked = checkpointed(fingerprints(docs, id_col, text_col, words, seed))
