@@ -1,16 +1,18 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the sum of the vectors of its character n-grams and of the word itself, hashed into BUCKETS rows of one
-table; a document is the mean over its words, drawn towards zero if they are few; a linear softmax reads the mean. Table and softmax are trained together
-(Adam on the softmax loss, with weight decay), so a misspelling or a form that was never seen shares most of its n-grams' vectors with known
-words.
+table; a document is the mean over its words and PRIOR_WORDS zero vectors, which keep short texts near the prior; a
+linear softmax reads the mean. Table and softmax are trained together (Adam on the softmax loss, with weight decay), so
+a misspelling or a form that was never seen shares most of its n-grams' vectors with known words. Errors on clean
+documents cost CLEAN_COST times those on toxic ones in that loss, both classes weighing the same otherwise.
 
-Training reads at most TRAIN_ROWS labelled rows of each class, whole, the first by a hash of their id: the only bounded
-sample here. Scoring is a plain pass over all whole texts. As the model is linear in the mean, a word adds one number,
+Training reads the documents of at most TRAIN_ROWS labelled ids of each class, whole, the first by a hash of the id
+that have a document: the only bounded sample here. Scoring is a plain pass over all whole texts. As the model is linear in the mean, a word adds one number,
 which is remembered for each worker; what travels to the executors is one number per bucket.
 
 Defined results: null, empty and wordless texts score by the prior alone. Labels that are null, or whose id is null or
-has no document, are not learned from; repeated rows are learned from and scored like others. With no labelled rows, or
+has no document, are not learned from and take no place in the sample. An id is learned from once for each label that
+it has, with the least of its texts; repeated rows are scored like others. With no labelled rows, or
 labels of one kind only, the score is the smoothed share of label 1. An empty table gives an empty result. Other
 columns, the labels among them, are never inputs of a score.
 """
@@ -38,14 +40,14 @@ EPOCHS = 150
 RATE = 0.2
 #: Holds back the vectors of n-grams that few documents explain.
 DECAY = 1e-5
-#: Words of fewer training documents are not learned from; they are scored by their n-grams.
-MIN_DOCS = 3
 #: The mean over words is multiplied by this, so that a few words among hundreds can decide.
 SCALE = 30.0
-#: The mean is taken as if this many words without any weight were added to the distinct ones: few words prove little.
+#: Least training documents of a word, as in other subword models: rarer words are no examples of their own and are scored by their n-grams.
+MIN_DOCS = 3
+#: Zero vectors that the mean takes in beside the distinct words: few words prove little.
 PRIOR_WORDS = 20
-#: Taken from the score's logit: classes are trained as if equally frequent, but most documents are clean.
-CAUTION = 0.5
+#: Cost of an error on a clean document in the loss, of one on a toxic document 1: most documents are clean.
+CLEAN_COST = 1.65
 FOLDS, HELD_OUT = 5, 0
 WORD_CACHE = 200_000
 _WORD = re.compile(r"[^\W_]+")
@@ -146,7 +148,7 @@ def train(texts: Iterable[str | None], labels: Iterable[int], buckets_size: int
     table = (rng.standard_normal((len(used), dim)) * 0.01).astype(np.float32)
     softmax = np.stack([-np.ones(dim), np.ones(dim)]).astype(np.float32) * rng.choice([-0.5, 0.5], dim).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
-    class_weight = np.where(y > 0, 0.5 / positive, 0.5 / (len(y) - positive)).astype(np.float32)[:, None]
+    class_weight = (np.where(y > 0, 1 / positive, CLEAN_COST / (len(y) - positive)) / (1 + CLEAN_COST)).astype(np.float32)[:, None]
     target = np.stack([1 - y, y], axis=1).astype(np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, softmax, bias)]
     for epoch in range(1, epochs + 1):
@@ -166,24 +168,30 @@ def train(texts: Iterable[str | None], labels: Iterable[int], buckets_size: int
             value -= rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-9)
     weights = np.zeros(buckets_size, dtype=np.float32)
     weights[used] = table @ (softmax[1] - softmax[0])
-    return Model(weights, float(bias[1] - bias[0]) - CAUTION)
+    return Model(weights, float(bias[1] - bias[0]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list:
-    """At most `rows` labelled, not held-out documents of each label, the first by a hash of the id."""
+    """doc_id, text, toxic of at most `rows` labelled, not held-out ids of each label, the first by a hash of the id that have a document."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").filter(~held_out())
-    chosen = None
-    for label in (0, 1):  # an ordered limit keeps `rows` of each task, whatever the table's size
-        some = marked.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        chosen = some if chosen is None else chosen.unionAll(some)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    return sorted(found.collect(), key=lambda r: (r.doc_id, r.text or "", r.toxic))
+    out = []
+    for label in (0, 1):
+        ids, drawn = marked.filter(F.col("toxic") == label).select("doc_id").distinct(), rows
+        while True:  # ordered limits keep `drawn` ids of each task; only labels without documents make a second turn
+            chosen = ids.orderBy(*order).limit(drawn)
+            found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(*order).limit(rows).collect()
+            if len(found) == rows or chosen.count() < drawn:
+                break
+            drawn *= 4
+        out += [(r.doc_id, r.text, label) for r in found]
+    return sorted(out, key=lambda r: (r[0], r[1] or "", r[2]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     found = training_rows(docs, labels, rows)
-    return train([r.text for r in found], [r.toxic for r in found])
+    return train([text for _, text, _ in found], [toxic for _, _, toxic in found])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

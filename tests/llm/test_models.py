@@ -48,6 +48,18 @@ def test_toxicity_edges(spark):
     assert toxicity.keep_clean(docs, toxicity.Model(np.zeros(8, dtype=np.float32), -3.0)).count() == 4
 
 
+def test_toxicity_sample_takes_labelled_documents_alone(spark):
+    """Labels without a document take no place, and a repeated id is learned from once, with its least text."""
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids[::100]] + [(ids[100], "again")] * 50 + [(None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids for _ in range(2)] + [(ids[0], None), (None, 1), (ids[100], 0)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, rows=20)
+    assert [x[2] for x in got].count(0) == 1 and [x[2] for x in got].count(1) == 20 and len(set(got)) == 21
+    assert {x[1] for x in got if x[0] == ids[100]} == {"again"}
+    more = toxicity.training_rows(docs, labels, rows=1000)
+    assert sorted(x[0] for x in more if x[2]) == ids[::100]
+
+
 def test_toxicity_on_documents(spark):
     """On a bounded sample of the small table: rankings of held-out rows are far from chance."""
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
