@@ -6,18 +6,21 @@ the length into the first coordinates; a shard compares blocks of queries with a
 bounds what is missing by Cauchy-Schwarz, with the lengths of the rests. Only pairs whose bound reaches the query's
 threshold get their exact integer product.
 
-The thresholds come from a first pass over the longest vectors: the k-th score found there is a lower bound of the
-final one. Every shard then starts from them, skips what the product of lengths rules out, and raises them as it goes.
+The thresholds come from a first pass over the longest vectors, at most SEED_ROWS and SEED_BYTES of them, which are
+broadcast: blocks of queries are spread over all tasks, and the k-th score that a query finds there is a lower bound of
+its final one. A threshold over the query's length is the least length of a vector that can still matter, so queries
+are put into blocks by that, and a block is sent only to the shards that hold such lengths. Every shard then starts
+from the thresholds, skips what the product of lengths rules out, and raises them as it goes.
 
 Queries travel to the shards in blocks of QUERY_BLOCK as rows of an ordinary shuffle, and a task holds one shard and
 one block at a time, so neither the queries nor the vectors need fit in memory. Each shard returns at most k rows of a
 query, and only those that reach its threshold.
 
-Defined results: vectors that are null or empty, or hold null or non-finite components, take no part, nor do rows
-without an id. Vectors of different lengths are compared as if the shorter ended in zeros. Rows that repeat an id are
-candidates one by one; a query that repeats is asked once, with the largest of its vectors in array order; its own id
-is never its candidate. Ties go to the smaller id. Fewer candidates than k give fewer rows; an empty table gives none.
-Other columns are not read.
+Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id.
+An empty vector is all zeros: its scores are 0. Vectors of different lengths are compared as if the shorter ended in
+zeros. Every row is a candidate of its own, and every query row a query of its own, also where ids repeat; a query's
+own row is never its candidate, other rows with its id are. Ties go to the smaller id. Fewer candidates than k give
+fewer rows; an empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,20 +35,27 @@ from loomgraph.llm.common import checkpointed
 K = 10
 QUANTUM = 1024
 QUERY_EVERY = 100
-SHARD_ROWS = 16_384
+#: Most rows, and bytes, of a shard.
+SHARD_ROWS, SHARD_BYTES = 16_384, 32 << 20
+#: Groups of like length, at most; beyond, more shards hold the same lengths.
+GROUPS = 1024
 QUERY_BLOCK = 512
-#: Vectors of the first pass: the longest ones.
-SEED_ROWS = 4_096
+#: Vectors of the first pass: the longest ones. They are broadcast.
+SEED_ROWS, SEED_BYTES = 4_096, 16 << 20
+#: Numbers in one gathered array.
+GATHERED = 1 << 22
 #: Share of the rotated coordinates that is compared first.
 HEAD = 0.5
+#: The threshold of a query that has found too little.
+NOTHING = float(-(2**62))
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id, v array<double> of integers, norm2; sound vectors only."""
+    """row (a number of its own), vec_id, v array<double> of integers, norm2; sound vectors only."""
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    sound = raw.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(~bad)
-    whole = sound.select("vec_id", F.transform("v", lambda x: F.floor(x * QUANTUM).cast("double")).alias("v"))
+    sound = raw.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(~bad)
+    whole = sound.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("v", lambda x: F.floor(x * QUANTUM).cast("double")).alias("v"))
     return whole.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
 
 
@@ -83,18 +93,18 @@ def _matrix(lists, dim: int) -> np.ndarray:
 class Shard:
     """Vectors by descending length, and their rotated heads and the lengths of the rests."""
 
-    def __init__(self, ids: np.ndarray, m: np.ndarray, rotation: np.ndarray, k: int):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, m: np.ndarray, rotation: np.ndarray, k: int):
         norm = np.sqrt((m * m).sum(axis=1))
         order = np.lexsort((ids, -norm))
-        self.ids, self.m, self.norm, self.k = ids[order], m[order], norm[order], k
+        self.rows, self.ids, self.m, self.norm, self.k = rows[order], ids[order], m[order], norm[order], k
         self.rotation = rotation
         self.head = max(1, int(HEAD * m.shape[1]))
         rotated = self.m @ rotation
         self.front = rotated[:, : self.head]
         self.rest = np.sqrt((rotated[:, self.head :] ** 2).sum(axis=1))
 
-    def search(self, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, step: int = 2048):
-        """(query, id, score) of all that may be among a query's k best; floor: scores that k candidates reach at least."""
+    def search(self, q_rows: np.ndarray, q: np.ndarray, floor: np.ndarray, step: int = 2048):
+        """(place of the query, id, score) of all that may be among a query's k best; floor: scores that k candidates reach at least."""
         norm = np.sqrt((q * q).sum(axis=1))
         rotated = q @ self.rotation
         front, rest = rotated[:, : self.head], np.sqrt((rotated[:, self.head :] ** 2).sum(axis=1))
@@ -109,9 +119,10 @@ class Shard:
             bound = front[live] @ self.front[part].T + np.outer(rest[live], self.rest[part]) + slack[live][:, None]
             i, j = np.nonzero(bound >= floor[live][:, None])
             i, j = live[i], j + at
-            keep = q_ids[i] != self.ids[j]
+            keep = q_rows[i] != self.rows[j]
             i, j = i[keep], j[keep]
-            s = np.einsum("nd,nd->n", q[i], self.m[j]) if len(i) < len(live) * step // 4 else (q[live] @ self.m[part].T)[np.searchsorted(live, i), j - at]
+            few = len(i) < len(live) * step // 4 and len(i) * q.shape[1] <= GATHERED
+            s = np.einsum("nd,nd->n", q[i], self.m[j]) if few else (q[live] @ self.m[part].T)[np.searchsorted(live, i), j - at]
             good = s >= floor[i]
             i, j, s = i[good], j[good], s[good]
             for kept, new in zip(found, (i, self.ids[j], s)):
@@ -127,71 +138,110 @@ class Shard:
         if not found[0]:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         i, ids, s = (np.concatenate(x) for x in found)
-        return q_ids[i], ids, np.rint(s).astype(np.int64)
+        return i, ids, np.rint(s).astype(np.int64)
+
+
+def _numbers(column) -> np.ndarray:
+    return column.values.to_numpy(zero_copy_only=False)
+
+
+def _floors(longest: list, blocks: DataFrame, dim: int, rotation: np.ndarray, k: int) -> DataFrame:
+    """query, floor: the k-th score that each query finds among the longest vectors (row, vec_id, v), if there are k."""
+    m = np.zeros((len(longest), dim))
+    for i, r in enumerate(longest):
+        m[i, : len(r.v)] = r.v
+    seeds = blocks.sparkSession.sparkContext.broadcast((np.array([r.row for r in longest], dtype=np.int64), np.array([r.vec_id for r in longest], dtype=np.int64), m, rotation))
+
+    def run(batches):
+        built = None
+        for batch in batches:
+            built = built or Shard(*seeds.value, k)
+            for rows, vs in zip(batch.column(0), batch.column(1)):
+                queries = _numbers(rows)
+                i, _, score = built.search(queries, _matrix(vs.values, dim), np.full(len(queries), NOTHING))
+                n = np.bincount(i, minlength=len(queries))
+                floor = np.full(len(queries), np.iinfo(np.int64).max)
+                np.minimum.at(floor, i, score)
+                yield pa.RecordBatch.from_arrays([pa.array(queries[n == k]), pa.array(floor[n == k].astype(np.float64))], ["query", "floor"])
+
+    return blocks.select("rows", "vs").mapInArrow(run, "query long, floor double")
 
 
 def _search(candidates: DataFrame, blocks: DataFrame, n_shards: int, dim: int, rotation: np.ndarray, k: int) -> DataFrame:
-    """candidates: shard, vec_id, v. blocks: block, ids, vs, floors. Each shard meets each block."""
-    spark = candidates.sparkSession
-    turned = spark.sparkContext.broadcast(rotation)  # dim x dim
-    whole = "array<double>"
-    rows = candidates.select("shard", F.lit(-1).alias("block"), F.array("vec_id").alias("ids"), F.array("v").alias("vs"), F.array().cast(whole).alias("floors"))
-    asked = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), "block", "ids", "vs", "floors")
+    """candidates: shard, row, vec_id, v. blocks: block, shards (how many of the first it must meet), rows, ids, vs, floors."""
+    turned = candidates.sparkSession.sparkContext.broadcast(rotation)  # dim x dim
+    rows = candidates.select("shard", F.lit(-1).alias("block"), F.array("row").alias("rows"), F.array("vec_id").alias("ids"), F.array("v").alias("vs"), F.array().cast("array<double>").alias("floors"))
+    asked = blocks.select(F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", "rows", "ids", "vs", "floors")
 
     def run(batches):
-        held: dict = {"shard": None, "ids": [], "m": []}
+        held: dict = {"shard": None}
         built = None
         for batch in batches:
-            for shard, block, ids, vs, floors in zip(*(batch.column(c) for c in range(5))):
+            for shard, block, rows, ids, vs, floors in zip(*(batch.column(c) for c in range(6))):
                 shard, block = shard.as_py(), block.as_py()
                 if shard != held["shard"]:
-                    held, built = {"shard": shard, "ids": [], "m": []}, None
+                    held, built = {"shard": shard, "rows": [], "ids": [], "m": []}, None
                 m = _matrix(vs.values, dim)
                 if block < 0:
-                    held["ids"].append(ids.values.to_numpy(zero_copy_only=False))
+                    held["rows"].append(_numbers(rows))
+                    held["ids"].append(_numbers(ids))
                     held["m"].append(m)
                     continue
                 if not held["ids"]:
                     continue
-                built = built or Shard(np.concatenate(held["ids"]), np.concatenate(held["m"]), turned.value, k)
-                q, found, score = built.search(ids.values.to_numpy(zero_copy_only=False), m, floors.values.to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q, found, score)], ["query_id", "vec_id", "score"])
+                built = built or Shard(*(np.concatenate(held[x]) for x in ("rows", "ids", "m")), turned.value, k)
+                queries, names = _numbers(rows), _numbers(ids)
+                i, found, score = built.search(queries, m, _numbers(floors))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (queries[i], names[i], found, score)], ["query", "query_id", "vec_id", "score"])
 
     dealt = rows.unionAll(asked).repartition(n_shards, "shard").sortWithinPartitions("shard", "block")
-    return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
+    return dealt.mapInArrow(run, "query long, query_id long, vec_id long, score long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def top_k(vectors: DataFrame, queries: Column | None = None, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _groups(frame: DataFrame, column: str, n: int) -> tuple[Column, list[float]]:
+    """The place of a row among n groups of like size by descending values of the column, and the borders of the groups."""
+    borders = sorted(set(frame.approxQuantile(column, [i / n for i in range(1, n)], 0.2 / n)), reverse=True) if n > 1 else []
+    place = F.lit(0) if not borders else F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: F.col(column) < b))
+    return place, borders
+
+
+def top_k(vectors: DataFrame, queries: Column | None = None, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, seed_rows: int = SEED_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best. queries: a condition on the column vec_id."""
     spark = vectors.sparkSession
     sound = checkpointed(quantised(vectors, id_col, vec_col))
     n, dim = sound.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    if not n:
+    asked = checkpointed(sound.filter(F.col("vec_id") % QUERY_EVERY == 0 if queries is None else queries))
+    n_asked = asked.count()
+    if not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dim = max(1, dim)
     rotation = np.linalg.svd(gram(sound, dim))[0]
-    # shards of about shard_rows by descending length; the borders are quantiles of the length
-    n_shards = max(1, -(-n // shard_rows))
-    borders = sorted(set(sound.approxQuantile("norm2", [i / n_shards for i in range(1, n_shards)], 0.2 / n_shards))) if n_shards > 1 else []
-    # lengths that many vectors share must not fill one shard, so shards of a length are dealt on by id
-    by_length = F.lit(0) if not borders else F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: F.col("norm2") < b))
+
+    longest = sound.orderBy(F.desc("norm2"), "vec_id").limit(max(k + 1, min(seed_rows, SEED_BYTES // (8 * dim)))).select("row", "vec_id", "v").collect()
+    any_block = F.pmod(F.xxhash64("row"), F.lit(-(-n_asked // query_block)))
+    seeded = asked.groupBy(any_block.alias("block")).agg(F.collect_list(F.struct("row", "v")).alias("x")).select(F.col("x.row").alias("rows"), F.col("x.v").alias("vs"))
+    floors = _floors(longest, seeded, dim, rotation, k)
+    # the least squared length of a vector that can reach the threshold
+    least = F.when((F.col("floor") > 0) & (F.col("norm2") > 0), F.col("floor") * F.col("floor") / F.col("norm2") * (1 - 1e-9)).otherwise(-1.0)
+    known = asked.join(floors, asked.row == floors.query, "left").withColumn("floor", F.coalesce("floor", F.lit(NOTHING)))
+    known = checkpointed(known.select("row", "vec_id", "v", "floor", least.alias("least")))
+
+    # shards of about shard_rows by descending length; lengths that many vectors share are dealt on by the row
+    n_shards = max(1, -(-n // min(shard_rows, max(1, SHARD_BYTES // (8 * dim)))))
+    by_length, borders = _groups(sound, "norm2", min(n_shards, GROUPS))
     groups = len(borders) + 1
     split = max(1, -(-n_shards // groups))
-    sharded = sound.withColumn("shard", (by_length * split + F.pmod(F.xxhash64("vec_id"), F.lit(split))).cast("int"))
-    asked = sound.filter(F.col("vec_id") % QUERY_EVERY == 0 if queries is None else queries).groupBy("vec_id").agg(F.max("v").alias("v"))
-
-    def blocked(frame: DataFrame) -> DataFrame:
-        n_blocks = max(1, -(-frame.count() // QUERY_BLOCK))
-        block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
-        return frame.groupBy(block.alias("block")).agg(F.collect_list(F.struct("vec_id", "v", "floor")).alias("x")).select("block", F.col("x.vec_id").alias("ids"), F.col("x.v").alias("vs"), F.col("x.floor").alias("floors"))
-
-    nothing = float(-(2**62))
-    longest = sound.orderBy(F.desc("norm2"), "vec_id").limit(SEED_ROWS).select(F.lit(0).alias("shard"), "vec_id", "v")
-    seeded = _best(_search(longest, checkpointed(blocked(asked.withColumn("floor", F.lit(nothing)))), 1, dim, rotation, k), k)
-    floors = seeded.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    known = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(nothing)))
-    return _best(_search(sharded, checkpointed(blocked(known)), groups * split, dim, rotation, k), k)
+    sharded = sound.withColumn("shard", (by_length * split + F.pmod(F.xxhash64("row"), F.lit(split))).cast("int"))
+    # all lengths below the n-th border are in later groups
+    reached = 1 + F.size(F.filter(F.array(*map(F.lit, borders)).cast("array<double>"), lambda b: b > F.col("least")))
+    by_least, ends = _groups(known, "least", min(-(-n_asked // query_block), GROUPS))
+    parts = max(1, -(-n_asked // query_block // (len(ends) + 1)))
+    block = (by_least * parts + F.pmod(F.xxhash64("row"), F.lit(parts))).cast("int")
+    blocks = known.groupBy(block.alias("block")).agg(F.min("least").alias("least"), F.collect_list(F.struct("row", "vec_id", "v", "floor")).alias("x"))
+    blocks = blocks.select("block", (reached * split).cast("int").alias("shards"), F.col("x.row").alias("rows"), F.col("x.vec_id").alias("ids"), F.col("x.v").alias("vs"), F.col("x.floor").alias("floors"))
+    return _best(_search(sharded, checkpointed(blocks), groups * split, dim, rotation, k), k)

@@ -109,20 +109,21 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(frame.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("shard_rows", [16_384, 40])
-def test_top_k(spark, shard_rows, monkeypatch):
-    monkeypatch.setattr(topk, "SEED_ROWS", 30)
+@pytest.mark.parametrize("shard_rows, seed_rows", [(16_384, 4096), (40, 30), (7, 11), (7, 400)])
+def test_top_k(spark, shard_rows, seed_rows, monkeypatch):
+    monkeypatch.setattr(topk, "GROUPS", 5)
     rng = np.random.default_rng(2)
     m = rng.normal(size=(300, 7)) * rng.uniform(0.2, 2, size=(300, 1))
     rows = [(int(i), v.tolist()) for i, v in enumerate(m)] + [(400, m[3].tolist()), (500, m[3].tolist()), (600, None), (700, [1.0, float("nan")]), (800, [None, 1.0]), (900, []), (None, m[1].tolist()), (1000, [2.0, 1.0]), (200, m[200].tolist())]
     frame = spark.createDataFrame([(*r, 1.0) for r in rows], "vec_id long, embedding array<double>, score double").repartition(4)
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, shard_rows=shard_rows).collect())
-    sound = [(i, np.floor(1024 * np.array(v + [0.0] * (7 - len(v))))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, shard_rows=shard_rows, seed_rows=seed_rows, query_block=2).collect())
+    sound = [(i, np.floor(1024 * np.array(v + [0.0] * (7 - len(v))))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in sorted({i for i, _ in sound if i % 100 == 0}):
-        x = dict(sound)[q]
-        best = sorted((-int(x @ v), i) for i, v in sound if i != q)[:10]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert got == want
+    for row, (q, x) in enumerate(sound):
+        if q % 100 == 0:
+            best = sorted((-int(x @ v), i) for other, (i, v) in enumerate(sound) if other != row)[:10]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want) and {q for q, *_ in got} == {0, 100, 200, 400, 500, 900, 1000}
     assert topk.top_k(frame.limit(0)).count() == 0
     assert topk.top_k(frame.filter("vec_id in (100, 101)")).count() == 1
+    assert [tuple(r) for r in topk.top_k(frame.filter("vec_id = 900").unionAll(frame.filter("vec_id = 900"))).collect()] == [(900, 1, 900, 0)] * 2
