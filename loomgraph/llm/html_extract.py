@@ -6,15 +6,22 @@ that holds a block of PROSE characters itself. Its generalised path (tags and cl
 Votes are added up by host in Spark, with map-side partials, and each page is read again along its host's winning path.
 A page without that path uses its own best container.
 
-Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out by tag, role, class and id.
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out by tag, role, class and id,
+of containers, blocks and inline elements. A header inside an article belongs to the article. Class words that articles
+use too (MAYBE) do not decide: each page votes whether what bears such a word holds prose, the votes are added up by
+host beside those for paths, and the word leaves text out only on hosts where it mostly holds none.
 White space and <br> inside a block become one space; blocks stand in page order, joined by one line feed.
 
+Reading takes time linear in the page: markup is scanned without going back, the path of a container is kept as its last
+step, and paths are compared on the way down.
+
 The winning paths are broadcast while they stay under BROADCAST_BYTES, which is checked; beyond that, pages are joined
 to them by host, salted, so a host that holds a third of the pages is spread over tasks.
 
 Defined results: null or empty html gives an empty text. A null url is a host of its own. Repeated rows vote and are
 read like others; an empty table gives an empty result. Broken markup is read as far as it goes: unclosed elements end
-with their parents, an unclosed comment or script ends with the page. Other columns are not read.
+with their parents, an unclosed comment or script ends with the page, an unclosed quote ends with its tag, and a tag
+that is cut off is dropped. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,36 +38,42 @@ from loomgraph.llm.common import checkpointed, small_batches
 
 BROADCAST_BYTES = 16 << 20
 SALTS = 16
-#: Steps of a path, counted from its end.
-STEPS = 6
 #: A block of so many characters right in the body is no stray line of the site.
 PROSE = 70
 
 CONTAINERS = frozenset("html body main article section div table tbody td ul ol dl header footer nav aside form fieldset center details dialog menu search".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr th pre blockquote figure figcaption caption address hr summary thead tfoot title legend optgroup option hgroup".split())
+#: Blocks that end where the next of these, or their list or table, begins or ends; the others end at any block.
+ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "th": ("th", "td", "tr")}
+WRAPPERS = frozenset("blockquote figure address thead tfoot hgroup".split())
+LISTS = frozenset("ul ol dl table".split())
 LEFT_OUT = frozenset("nav header footer aside form menu search dialog fieldset".split())
 #: Elements whose content is no text of the page.
-SILENT = frozenset("script style noscript template iframe svg math object head button select textarea canvas audio video map datalist noembed noframes".split())
+SILENT = frozenset("script style noscript template iframe svg object head button select textarea canvas audio video map datalist noembed noframes title".split())
+#: Elements without content, and those whose content is no markup.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adslot adsense banner banners sponsor sponsored sponsors promo promos promotion promoted outbrain taboola "
+    "ad ads adv advert adverts advertisement advertising adslot adsense banner banners sponsor sponsored sponsors promo promos outbrain taboola "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar topbar masthead header footer foot copyright "
-    "sidebar sidebars aside rail widget widgets related recommended recommendations trending popular "
-    "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay paywall disclaimer "
-    "newsletter subscribe subscription signup login signin form search searchbox "
-    "comment comments commentlist disqus respond reply replies discussion "
-    "share sharing social follow".split()
-)
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<raw>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<silent>script|style|noscript|template|iframe|svg|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=silent)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
+    "sidebar sidebars aside cookie cookies consent gdpr notice notices notification notifications popup modal overlay paywall "
+    "newsletter subscribe subscription signup login signin searchbox share sharing social".split()
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Words that stand for things beside the text on some hosts and for parts of it on others.
+MAYBE = ("alert", "disclaimer", "discussion", "follow", "form", "popular", "promoted", "promotion", "rail", "recommended", "recommendations", "related", "search", "trending", "widget")
+_BIT = {w: 1 << i for i, w in enumerate(MAYBE)}
+_ARTICLE = frozenset("article post entry story".split())
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag; possessive, so that nothing is scanned twice. Quotes count after = alone, where they close, and
+#: where what they hold is no text between tags (`>` before `<`).
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"<>]*+(?:<[^"]*+|>[^"<]*+)?+"|'[^'<>]*+(?:<[^']*+|>[^'<]*+)?+'|))*+)>""")
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
+_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
 
 
 def host_of(url: str | None) -> str:
@@ -68,25 +81,69 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def markup(source: str):
+    """(text, closes, tag, attributes) of each tag and the text before it, in order; the last one has no tag."""
+    at = begin = 0
+    parts: list[str] = []
+    quotes = True
+    while (lt := source.find("<", at)) >= 0:
+        if source.startswith("<!--", lt):
+            end = source.find("-->", lt + 4)
+            parts.append(source[begin:lt])
+            begin = at = len(source) if end < 0 else end + 3
+            continue
+        if source.startswith("<![CDATA[", lt):
+            end = source.find("]]>", lt)
+            end = len(source) if end < 0 else end
+            parts += [source[begin:lt], html_lib.escape(source[lt + 9 : end], False)]
+            begin = at = min(len(source), end + 3)
+            continue
+        if source.startswith(("<!", "<?"), lt):
+            end = source.find(">", lt)
+            parts.append(source[begin:lt])
+            begin = at = len(source) if end < 0 else end + 1
+            continue
+        m = _NAME.match(source, lt + 1)
+        if m is None:
+            at = lt + 1
+            continue
+        rest = _REST.match(source, m.end()) if quotes else None
+        if rest is None:  # from here on, a tag ends at the first >
+            quotes, end = False, source.find(">", m.end())
+            if end < 0:
+                parts.append(source[begin:lt])
+                begin = len(source)
+                break
+            attrs = source[m.end() : end]
+        else:
+            attrs, end = rest[1], rest.end() - 1
+        parts.append(source[begin:lt])
+        begin = at = end + 1
+        tag = m[2].lower()
+        yield "".join(parts), bool(m[1]), tag, attrs
+        parts = []
+        if tag in RAW and not m[1]:
+            close = _END[tag].search(source, at)
+            begin = at = close.start() if close else len(source)
+    parts.append(source[begin:])
+    yield "".join(parts), False, "", ""
+
+
 class Page:
-    """Containers, in page order, and the blocks of text in them."""
+    """Containers, in page order, and the blocks of text in them. Blocks that are left out count as containers."""
 
     def __init__(self, source: str | None):
-        self.tags, self.steps, self.parents, self.out = ["#"], [""], [0], [False]
+        self.tags, self.steps, self.parents, self.marks, self.maybe, self.inside = ["#"], [""], [0], [0], [0], [False]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         self._read(source or "")
         self._keep_whole_articles()
+        self.out = self._left_out(self.words())
 
     def _read(self, source: str) -> None:
-        stack, parts, linked, in_link, skip = [0], [], 0, False, []
-        at = 0
-
-        def text(piece: str) -> None:
-            nonlocal linked
-            if not skip and piece:
-                parts.append(piece)
-                if in_link:
-                    linked += len(piece)
+        stack, parts, linked, in_link = [0], [], 0, False
+        opened: Counter = Counter()  # of each tag, how many are on the stack
+        silent: list[str] = []  # open elements without text
+        muted, mute_depth, mute_at = "", 0, 0  # an inline element that is left out
 
         def flush() -> None:
             nonlocal linked
@@ -96,80 +153,171 @@ class Page:
                 parts.clear()
             linked = 0
 
-        for m in _TOKEN.finditer(source):
-            text(source[at : m.start()])
-            at = m.end()
-            tag = m["tag"]
-            if tag is None:
-                if m["raw"] and not m["silent"]:
-                    text(html_lib.escape(m["raw"], False))
-                continue
-            tag = tag.lower()
+        def push(node: int) -> None:
+            stack.append(node)
+            opened[self.tags[node]] += 1
+
+        def pop_to(k: int) -> None:
+            nonlocal muted
+            for node in stack[k:]:
+                opened[self.tags[node]] -= 1
+            del stack[k:]
+            if len(stack) < mute_at:
+                muted = ""
+
+        def close(tag: str, until: frozenset = frozenset()) -> None:
+            if opened[tag]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if self.tags[stack[k]] == tag:
+                        pop_to(k)
+                        break
+                    if self.tags[stack[k]] in until:
+                        break
+
+        for text, closes, tag, attrs in markup(source):
+            if text and not silent and not muted:
+                parts.append(text)
+                if in_link:
+                    linked += len(text)
             if tag in SILENT:
-                if not m["end"] and not m["attrs"].endswith("/"):
-                    skip.append(tag)
-                elif m["end"] and tag in skip:
-                    del skip[len(skip) - 1 - skip[::-1].index(tag) :]
-            elif skip:
-                if tag == "body":
-                    skip.clear()  # a head that was not closed
-            if skip:
+                if not closes and not attrs.endswith("/"):
+                    silent.append(tag)
+                elif closes and tag in silent[-8:]:  # elements without text are not nested deeper
+                    while silent.pop() != tag:
+                        pass
                 continue
-            if tag == "a":
-                in_link = not m["end"]
+            if silent:
+                if tag != "body":
+                    continue
+                silent.clear()  # a head that was not closed
+            if tag in CONTAINERS or tag in BLOCKS:
+                if tag in BLOCKS or closes:
+                    muted = ""
+                flush()
+                in_link &= tag in BLOCKS
+                if closes:
+                    close(tag)
+                    continue
+                if stack[-1] and self.tags[stack[-1]] in BLOCKS and self.tags[stack[-1]] not in ITEMS and self.tags[stack[-1]] not in WRAPPERS:
+                    pop_to(len(stack) - 1)
+                for other in ITEMS.get(tag, ()):
+                    if other in BLOCKS:
+                        close(other, LISTS)
+                node = self._open(tag, attrs, stack[-1], bool(muted))
+                if node and tag not in VOID:
+                    push(node)
             elif tag == "br":
                 parts.append(" ")
-            elif tag in CONTAINERS:
-                flush()
-                in_link = False
-                if not m["end"]:
-                    stack.append(self._open(tag, m["attrs"], stack[-1]))
-                else:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tags[stack[k]] == tag:
-                            del stack[k:]
-                            break
-            elif tag in BLOCKS:
-                flush()
-        text(source[at:])
+            elif tag == "a" and not muted:
+                in_link = not closes
+            if tag and tag not in CONTAINERS and tag not in BLOCKS and tag not in VOID:
+                if muted:
+                    mute_depth += (tag == muted) * (-1 if closes else 1)
+                    if not mute_depth:
+                        muted, in_link = "", in_link and tag != "a"
+                elif not closes and attrs and not attrs.endswith("/") and self._read_marks(tag, attrs, stack[-1])[1] == 1 and not opened["pre"]:
+                    muted, mute_depth, mute_at = tag, 1, len(stack)
         flush()
 
-    def _open(self, tag: str, attrs: str, parent: int) -> int:
-        classes, out = "", tag in LEFT_OUT
+    def _read_marks(self, tag: str, attrs: str, parent: int) -> tuple[str, int, int]:
+        """The generalised classes; 1 if the attributes leave the element out, 2 if as comments, else 0; the bits of MAYBE."""
+        classes, out, maybe = "", 0, 0
         for name, a, b, c in _ATTR.findall(attrs) if attrs.strip() else ():
             name, value = name.lower(), a or b or c
             if name == "class":
                 classes = ".".join(sorted({_DIGITS.sub("#", x) for x in value.split()}))
             if name in ("class", "id") and tag not in ("html", "body", "main"):
-                out |= any(p.lower() in WORDS for p in _PARTS.findall(value))
-            elif name == "role":
-                out |= value.lower() in ROLES
-            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                out = True
+                for token in value.split():
+                    words = {x.lower() for x in _PARTS.findall(token)}
+                    if words & COMMENTS:
+                        out = 2
+                    if words & WORDS and not (words & WORDS == {"header"} and (self.inside[parent] or words & _ARTICLE)):
+                        out = out or 1
+                    maybe |= sum(_BIT[w] for w in words if w in _BIT)
+            elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+                out = out or 1
+        return classes, out, maybe
+
+    def _open(self, tag: str, attrs: str, parent: int, muted: bool) -> int:
+        """A new container; 0 for a block that needs none."""
+        classes, out, maybe = self._read_marks(tag, attrs, parent)
+        if tag in LEFT_OUT and not (tag == "header" and self.inside[parent]) or muted:
+            out = out or 1
+        if tag in BLOCKS and not out and not maybe:
+            return 0
         self.tags.append(tag)
         self.steps.append(f"{tag}.{classes}" if classes else tag)
         self.parents.append(parent)
-        self.out.append(out)
+        self.marks.append(out)
+        self.maybe.append(maybe)
+        self.inside.append(self.inside[parent] or tag in ("article", "main"))
         return len(self.tags) - 1
 
     def _keep_whole_articles(self) -> None:
-        """A class like `with-sidebar` around the article says nothing about the article."""
+        """A class like `with-sidebar` around the article says nothing about the article, one like `comments` does."""
+        known = [1] + [0] * (len(self.tags) - 1)  # 1: holds an article and is not inside comments, 2: inside comments
         for i in range(1, len(self.tags)):
-            if self.tags[i] in ("article", "main") and not self.out[i]:
-                at = self.parents[i]
-                while at:
-                    if self.tags[at] not in LEFT_OUT:
-                        self.out[at] = False
+            if self.tags[i] in ("article", "main") and not self.marks[i]:
+                at, around = self.parents[i], []
+                while not known[at] and self.marks[at] != 2:
+                    around.append(at)
                     at = self.parents[at]
+                state = known[at] or 2
+                for at in around:
+                    known[at] = state
+                    if state == 1 and self.tags[at] not in LEFT_OUT:
+                        self.marks[at] = self.maybe[at] = 0
+
+    def _left_out(self, kept: int) -> list[bool]:
+        """For each container whether its text is left out, where the words of MAYBE in kept do not leave it out."""
+        out = [False] * len(self.tags)
         for i in range(1, len(self.tags)):  # parents come first
-            self.out[i] |= self.out[self.parents[i]]
+            out[i] = bool(self.marks[i]) or bool(self.maybe[i] & ~kept) or out[self.parents[i]]
+        return out
+
+    def words(self) -> int:
+        """The words of MAYBE that stand for parts of the text on this page: what bears them holds more prose than other text."""
+        prose: Counter = Counter()
+        own = Counter()
+        for node, line, linked in self.blocks:
+            value = len(line) - 2 * linked
+            own[node] += value if value >= PROSE else -len(line)
+        for i in range(len(self.tags) - 1, 0, -1):
+            if own[i]:
+                own[self.parents[i]] += own[i]
+                for w, bit in _BIT.items() if self.maybe[i] else ():
+                    if self.maybe[i] & bit:
+                        prose[bit] += own[i]
+        return sum(bit for bit, value in prose.items() if value > 0)
+
+    def word_votes(self) -> list[tuple[str, int]]:
+        """For each word of MAYBE that the page has, 1 if it stands for text and else -1."""
+        here, kept = 0, self.words()
+        for bits in self.maybe:
+            here |= bits
+        return [(w, 1 if kept & bit else -1) for w, bit in _BIT.items() if here & bit]
 
     def path(self, node: int) -> str:
         steps = []
         while node:
             steps.append(self.steps[node])
             node = self.parents[node]
-        return ">".join(steps[:STEPS][::-1])
+        return ">".join(steps[::-1])
+
+    def on_path(self, path: str) -> set[int]:
+        """The containers with this path that are not left out; compared on the way down."""
+        done = [0] + [-1] * (len(self.tags) - 1)  # characters of the path that end with this container's step
+        found = set()
+        for i in range(1, len(self.tags)):
+            at, step = done[self.parents[i]], self.steps[i]
+            if at >= 0 and path.startswith(step, at):
+                end = at + len(step)
+                if end == len(path):
+                    if not self.out[i]:
+                        found.add(i)
+                elif path[end] == ">":
+                    done[i] = end + 1
+        return found
 
     def best(self) -> int:
         """The container with the most text; 0 if there is none."""
@@ -216,40 +364,47 @@ class Page:
             node = parent
         return kept
 
-    def text(self, path: str | None = None) -> str:
-        """The blocks in all containers on this path, or else in the best one."""
-        roots = {i for i in range(1, len(self.tags)) if not self.out[i] and self.path(i) == path} if path else set()
-        if roots and not any(self._within(node, roots) for node, _, _ in self.blocks if not self.out[node]):
-            roots = set()
-        roots = roots or {self.best()}
-        return "\n".join(line for node, line, _ in self.blocks if not self.out[node] and self._within(node, roots))
+    def text(self, path: str | None = None, kept: int | None = None) -> str:
+        """The blocks in all containers on this path, or else in the best one; kept: the host's words of MAYBE."""
+        if kept is not None:
+            self.out = self._left_out(kept)
+        roots = self.on_path(path) if path else set()
+        lines = self._lines(roots) if roots else []
+        return "\n".join(lines or self._lines({self.best()}))
 
-    def _within(self, node: int, roots: set[int]) -> bool:
-        while node and node not in roots:
-            node = self.parents[node]
-        return node in roots
+    def _lines(self, roots: set[int]) -> list[str]:
+        inside = [0 in roots]
+        for i in range(1, len(self.tags)):
+            inside.append(i in roots or bool(self.parents[i]) and inside[self.parents[i]])
+        return [line for node, line, _ in self.blocks if not self.out[node] and inside[node]]
 
 
 def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, n: how many pages of a host have their main text there."""
+    """host, kind, path, n: how many pages of a host have their main text there; of kind `word`, the votes for a word of MAYBE less those against."""
 
     def vote(batches):
         for batch in batches:
             found: Counter = Counter()
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                page = Page(source)
+                page, host = Page(source), host_of(url)
                 if best := page.best():
-                    found[host_of(url), page.path(best)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["host", "path", "n"])
+                    found[host, "path", page.path(best)] += 1
+                for word, n in page.word_votes():
+                    found[host, "word", word] += n
+            columns = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(list(found.values()), pa.int64())], ["host", "kind", "path", "n"])
 
-    rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(vote, "host string, path string, n long")
-    return rows.groupBy("host", "path").agg(F.sum("n").alias("n"))
+    rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(vote, "host string, kind string, path string, n long")
+    return rows.groupBy("host", "kind", "path").agg(F.sum("n").alias("n"))
 
 
 def winners(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path: one row per host; the first path in order among those with most votes."""
+    """host, path, kept: one row per host; the first path in order among those with most votes, and the bits of the words that stand for text."""
     found = votes(pages, url_col, html_col)
-    return found.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), "path")).alias("x")).select("host", F.col("x.path").alias("path"))
+    bits = F.create_map(*[F.lit(x) for pair in _BIT.items() for x in pair])
+    path = F.min(F.when(F.col("kind") == "path", F.struct((-F.col("n")).alias("n"), "path")))["path"]
+    kept = F.coalesce(F.bit_or(F.when((F.col("kind") == "word") & (F.col("n") > 0), bits[F.col("path")])), F.lit(0))
+    return found.groupBy("host").agg(path.alias("path"), kept.cast("int").alias("kept"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -257,7 +412,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     small_batches(spark)
     won = checkpointed(winners(pages, url_col, html_col))
-    size = won.agg(F.coalesce(F.sum(F.length("host") + F.length("path") + 100), F.lit(0))).first()[0]
+    size = won.agg(F.coalesce(F.sum(F.length("host") + F.coalesce(F.length("path"), F.lit(0)) + 200), F.lit(0))).first()[0]
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kind = source.schema["page_id"].dataType.simpleString()
 
@@ -265,20 +420,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         def read(batches):
             look = path_of()
             for batch in batches:
-                texts = [Page(h).text(p) for h, p in zip(batch.column("html").to_pylist(), look(batch))]
+                texts = [Page(h).text(*won) for h, won in zip(batch.column("html").to_pylist(), look(batch))]
                 made = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
                 yield pa.RecordBatch.from_arrays(made, ["page_id", "url", "text", "n_chars"])
 
         return read
 
     if size <= broadcast_bytes:
-        known = spark.sparkContext.broadcast({r.host: r.path for r in won.collect()})
-        path_of = lambda: lambda batch: [known.value.get(host_of(u)) for u in batch.column("url").to_pylist()]
+        known = spark.sparkContext.broadcast({r.host: (r.path, r.kept) for r in won.collect()})
+        path_of = lambda: lambda batch: [known.value.get(host_of(u), (None, None)) for u in batch.column("url").to_pylist()]
         dealt = source
     else:
         host = F.coalesce(F.lower(F.regexp_extract("url", _HOST.pattern, 1)), F.lit(""))
-        salted = won.select(F.col("host").alias("__host"), "path", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"))
+        salted = won.select(F.col("host").alias("__host"), "path", "kept", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"))
         dealt = source.withColumns({"__h": host, "__s": F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")})
-        dealt = dealt.join(salted, (F.col("__h") == F.col("__host")) & (F.col("__s") == F.col("__salt")), "left").select("page_id", "url", "html", "path")
-        path_of = lambda: lambda batch: batch.column("path").to_pylist()
+        dealt = dealt.join(salted, (F.col("__h") == F.col("__host")) & (F.col("__s") == F.col("__salt")), "left").select("page_id", "url", "html", "path", "kept")
+        path_of = lambda: lambda batch: zip(batch.column("path").to_pylist(), batch.column("kept").to_pylist())
     return dealt.mapInArrow(reader(path_of), f"page_id {kind}, url string, text string, n_chars long")
