@@ -6,17 +6,23 @@ references (digest, n_docs, keep_id) comes from one aggregation with map-side pa
 documents share costs one row for each task. Digests with MIN_DOCS documents or more are blocked: their lines go,
 except in the largest document id that holds them.
 
-The blocked digests are dealt over shards by their first bytes, each small enough for one task; every shard gets a
-cuckoo filter, which rejects nearly all other lines in a few instructions, and keeps its exact rows, which decide the
-rest. Filters and rows are broadcast only if they stay under BROADCAST_BYTES; beyond that the lines themselves are
-joined to the blocked table, salted, and only documents that lose lines are matched to their list.
-
-LineDedupState keeps the memberships (digest, document) as Parquet, so inserted documents can be deleted again: the
-references are counts over memberships, and a deletion that brings a line under MIN_DOCS brings the line back.
+The blocked digests are dealt over shards by their first bytes, each small enough for one task, and each shard has a
+cuckoo filter of them. The filters take about 5 bytes a key; they are broadcast and turn away nearly all other lines of
+a batch at once, in a few array operations. What passes is decided by the exact table: by search in its sorted rows (24
+bytes a key), broadcast too while both stay under BROADCAST_BYTES; beyond that by a salted join, to which only the lines
+that passed the filters go, and only documents that lose lines are matched to their list. Where even the filters would
+not fit, all long lines are joined.
+
+LineDedupState is the incremental form, in a folder: memberships (digest, document, n) are appended, an insertion with
+n = 1 and a deletion with what takes them back; the exact counts and the filter of a shard are written anew only where a
+change touches the shard. A digest that reaches MIN_DOCS is inserted into its filter, one that falls below is deleted
+from it, and its lines come back; only a full filter is built again from its counts. A manifest, written last, names
+each shard's present files, so a failed change leaves the former state, and other sessions find the state as it is.
 
 Defined results: null or empty text is one empty line. Rows that repeat a document id count one by one, and each of
 them keeps its lines if the id is the largest. A null id counts as a document and is never the largest; where only
-null ids hold a line, all of them lose it. Other columns are passed through only where `carry` names them.
+null ids hold a line, all of them lose it. Deleting an id deletes all its rows, null included; unknown ids change
+nothing. Other columns are passed through only where `carry` names them.
 """
 
 from __future__ import annotations
@@ -34,9 +40,12 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 #: Blocked keys in one shard, on average.
 SHARD_KEYS = 65_536
-#: Filters and exact rows together are broadcast up to this size; a blocked key takes about 32 bytes.
+#: Filters and exact rows are broadcast up to this size, of this many bytes a blocked key; else filters alone.
 BROADCAST_BYTES = 64 << 20
+KEY_BYTES, FILTER_BYTES = 32, 6
 SALTS = 16
+#: Parts of the memberships of a state, by document.
+BUCKETS = 64
 #: The keep_id of lines that only null ids hold.
 NO_ID = -(2**63)
 #: White space at the ends of a line; bytes.strip() would be the same set, str.strip() would not.
@@ -53,9 +62,9 @@ def digest(key: str) -> bytes:
 
 
 class CuckooFilter:
-    """Four 16-bit fingerprints a bucket, two buckets a key; supports insertion and deletion."""
+    """Four 16-bit fingerprints a bucket, two buckets a key; supports insertion and deletion of single keys."""
 
-    SLOTS, KICKS = 4, 500
+    SLOTS, KICKS, MIX = 4, 500, 0x5BD1E995
 
     def __init__(self, n_keys: int, table: np.ndarray | None = None):
         self.n_buckets = 1 << max(1, int(np.ceil(np.log2(max(1, n_keys) / self.SLOTS / 0.8)))) if table is None else len(table)
@@ -64,7 +73,7 @@ class CuckooFilter:
 
     @staticmethod
     def _mix(mark: int) -> int:
-        return mark * 0x5BD1E995
+        return mark * CuckooFilter.MIX
 
     def _places(self, key: bytes) -> tuple[int, int, int]:
         mark = int.from_bytes(key[4:6], "little") or 1
@@ -140,50 +149,90 @@ def references(members: DataFrame) -> DataFrame:
 
 
 def shard_filters(blocked: DataFrame, n_shards: int) -> DataFrame:
-    """A cuckoo filter and the exact rows of each shard: shard, filter, digests, keep_ids, all binary."""
+    """shard, filter: a cuckoo filter of each shard's digests, into which they are inserted one by one."""
 
     def build(rows: pa.Table) -> pa.Table:
-        keys = sorted(zip(rows["digest"].to_pylist(), rows["keep_id"].to_pylist()))
-        marks = [k for k, _ in keys]
-        out = [rows["shard"][0].as_py(), CuckooFilter.of(marks).table.tobytes(), b"".join(marks), np.array([k for _, k in keys], dtype=np.int64).tobytes()]
-        return pa.table({n: pa.array([v], t) for n, v, t in zip(("shard", "filter", "digests", "keep_ids"), out, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))})
+        made = CuckooFilter.of(sorted(rows["digest"].to_pylist()))
+        return pa.table({"shard": rows["shard"].slice(0, 1), "filter": pa.array([made.table.tobytes()], pa.binary())})
 
-    sharded = blocked.select(_shard(n_shards).alias("shard"), "digest", F.coalesce("keep_id", F.lit(NO_ID)).alias("keep_id"))
-    return sharded.groupBy("shard").applyInArrow(build, "shard int, filter binary, digests binary, keep_ids binary")
+    return blocked.select(_shard(n_shards).alias("shard"), "digest").groupBy("shard").applyInArrow(build, "shard int, filter binary")
 
 
 def _shard(n_shards: int):
     return (F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int") % n_shards).cast("int")
 
 
-class Blocked:
-    """The filters and exact rows of all shards, for look-ups on the map side."""
+class Filters:
+    """The filters of all shards, for many keys at once."""
 
-    def __init__(self, rows: list, n_shards: int):
-        self.n_shards = n_shards
-        self.filters = {r.shard: set_of_marks(r.filter) for r in rows}
-        self.exact = {}
-        for r in rows:
-            kept = np.frombuffer(r.keep_ids, dtype=np.int64).tolist()
-            self.exact[r.shard] = {bytes(r.digests[16 * i : 16 * i + 16]): k for i, k in enumerate(kept)}
+    def __init__(self, rows: list[tuple[int, bytes]], n_shards: int):
+        tables = {shard: np.frombuffer(table, dtype=np.uint16).reshape(-1, CuckooFilter.SLOTS) for shard, table in rows}
+        none = np.zeros((1, CuckooFilter.SLOTS), dtype=np.uint16)
+        tables = [tables.get(k, none) for k in range(n_shards)]
+        self.mask = np.array([len(t) - 1 for t in tables], dtype=np.uint64)
+        self.begin = np.cumsum([0] + [len(t) for t in tables[:-1]], dtype=np.uint64)
+        self.table = np.concatenate(tables)
 
-    def goes(self, key: bytes, doc: int | None) -> bool:
-        shard = int.from_bytes(key[:3], "big") % self.n_shards
-        found = self.filters.get(shard)
-        if found is None or key not in found:
-            return False
-        keep = self.exact[shard].get(key)
-        return keep is not None and keep != doc
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """keys: rows of 16 bytes."""
+        if not len(keys):
+            return np.zeros(0, dtype=bool)
+        whole = keys.astype(np.uint64)
+        shard = ((whole[:, 0] << np.uint64(16)) + (whole[:, 1] << np.uint64(8)) + whole[:, 2]) % np.uint64(len(self.mask))
+        mark = whole[:, 4] + (whole[:, 5] << np.uint64(8))
+        mark[mark == 0] = 1
+        first = np.ascontiguousarray(keys[:, 8:16]).view("<u8")[:, 0]
+        mask, begin = self.mask[shard], self.begin[shard]
+        one, two = first & mask, (first ^ mark * np.uint64(CuckooFilter.MIX)) & mask
+        marks = mark.astype(np.uint16)[:, None]
+        return (self.table[one + begin] == marks).any(axis=1) | (self.table[two + begin] == marks).any(axis=1)
 
 
-def set_of_marks(table: bytes) -> CuckooFilter:
-    return CuckooFilter(0, np.frombuffer(table, dtype=np.uint16).reshape(-1, CuckooFilter.SLOTS))
+def _keys(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, 16)
 
 
-def _rewrite(text: str | None, gone, min_chars: int) -> tuple[str, int, int]:
-    lines = (text or "").split("\n")
-    kept = [x for x in lines if len(x) < min_chars or len(k := line_key(x)) < min_chars or not gone(digest(k))]
-    return "\n".join(kept), len(lines), len(lines) - len(kept)
+class Blocked:
+    """The exact rows of all blocked digests, sorted, behind the filters."""
+
+    def __init__(self, filters: Filters, digests: bytes, keep_ids: bytes):
+        self.filters = filters
+        order = np.argsort(np.frombuffer(digests, dtype="S16"), kind="stable")
+        self.digests, self.keep_ids = np.frombuffer(digests, dtype="S16")[order], np.frombuffer(keep_ids, dtype=np.int64)[order]
+
+    def goes(self, digests: list[bytes], docs: list[int | None]) -> np.ndarray:
+        """For each line, by its digest and the document that holds it."""
+        keys = _keys(digests)
+        out = self.filters.may_hold(keys)
+        passed = np.flatnonzero(out)
+        if len(passed):
+            asked = np.ascontiguousarray(keys[passed]).view("S16")[:, 0]
+            at = np.minimum(np.searchsorted(self.digests, asked), len(self.digests) - 1)
+            null = np.array([docs[i] is None for i in passed])
+            own = np.array([docs[i] or 0 for i in passed], dtype=np.int64)
+            out[passed] = (self.digests[at] == asked) & (null | (self.keep_ids[at] != own))
+        return out
+
+
+def _long_lines(texts: list[str | None], min_chars: int) -> tuple[list[list[str]], list[tuple[int, int]], list[bytes]]:
+    """The lines of each text; of those with a long key, their places (text, line) and digests."""
+    lines = [(t or "").split("\n") for t in texts]
+    places, digests = [], []
+    for n, some in enumerate(lines):
+        for i, x in enumerate(some):
+            if len(x) >= min_chars and len(k := line_key(x)) >= min_chars:
+                places.append((n, i))
+                digests.append(digest(k))
+    return lines, places, digests
+
+
+def _without(lines: list[list[str]], gone: list[tuple[int, int]]) -> tuple[list[str], list[int], list[int]]:
+    """Texts without the lines at these places, numbers of lines, and of those that went."""
+    counts, lost = list(map(len, lines)), [0] * len(lines)
+    for n, i in gone:
+        lines[n][i] = None
+        lost[n] += 1
+    return ["\n".join(some if not k else [x for x in some if x is not None]) for some, k in zip(lines, lost)], counts, lost
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -192,32 +241,37 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return drop_blocked(docs, checkpointed(refs.filter(F.col("n_docs") >= min_docs)), id_col, text_col, carry, min_chars, broadcast_bytes)
 
 
-def drop_blocked(docs: DataFrame, blocked: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def drop_blocked(docs: DataFrame, blocked: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, filters: DataFrame | None = None, n_shards: int = 0) -> DataFrame:
+    """blocked: digest, keep_id. filters (shard, filter) over n_shards may be given where they exist."""
     spark = docs.sparkSession
     small_batches(spark)
     n_keys = blocked.count()
-    n_shards = max(1, -(-n_keys // SHARD_KEYS))
+    if filters is None:
+        n_shards = max(1, -(-n_keys // SHARD_KEYS))
+        filters = shard_filters(blocked, n_shards)
     rest = docs.select(*carry).schema.fields
     source = docs.select(F.col(id_col).cast("long").alias("__0"), F.col(text_col).cast("string").alias("__1"), *[F.col(c).alias(f"__{i + 2}") for i, c in enumerate(carry)])
     kinds = ", ".join(f"__{i + 2} {f.dataType.simpleString()}" for i, f in enumerate(rest))
     schema = "__0 long, __1 string, n_lines long, n_dropped long" + f", {kinds}" * bool(kinds)
 
-    def emit(batch, texts, counts):
+    def emit(batch, texts, counts, lost):
         kept = [batch.column(f"__{i + 2}") for i in range(len(carry))]
-        made = [batch.column("__0"), pa.array(texts, pa.string()), pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64()), *kept]
+        made = [batch.column("__0"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), *kept]
         return pa.RecordBatch.from_arrays(made, ["__0", "__1", "n_lines", "n_dropped", *[f"__{i + 2}" for i in range(len(carry))]])
 
-    if n_keys * 32 <= broadcast_bytes:
-        known = spark.sparkContext.broadcast([tuple(r) for r in shard_filters(blocked, n_shards).collect()])
+    known = None
+    if n_keys * FILTER_BYTES <= broadcast_bytes:
+        known = spark.sparkContext.broadcast([(r.shard, bytes(r.filter)) for r in filters.collect()])
+    if n_keys * KEY_BYTES <= broadcast_bytes:
+        rows = blocked.select("digest", F.coalesce("keep_id", F.lit(NO_ID)).alias("keep_id")).toArrow()
+        exact = spark.sparkContext.broadcast((b"".join(rows["digest"].to_pylist()), rows["keep_id"].to_numpy().tobytes()))
 
         def mapped(batches):
-            from collections import namedtuple
-
-            row = namedtuple("row", "shard filter digests keep_ids")
-            look = Blocked([row(*r) for r in known.value], n_shards)
+            look = Blocked(Filters(known.value, n_shards), *exact.value)
             for batch in batches:
-                done = [_rewrite(t, lambda k, d=d: look.goes(k, d), min_chars) for d, t in zip(batch.column("__0").to_pylist(), batch.column("__1").to_pylist())]
-                yield emit(batch, [x[0] for x in done], [x[1:] for x in done])
+                docs, (lines, places, digests) = batch.column("__0").to_pylist(), _long_lines(batch.column("__1").to_pylist(), min_chars)
+                gone = look.goes(digests, [docs[n] for n, _ in places])
+                yield emit(batch, *_without(lines, [places[i] for i in np.flatnonzero(gone)]))
 
         out = source.mapInArrow(mapped, schema)
     else:
@@ -225,17 +279,19 @@ def drop_blocked(docs: DataFrame, blocked: DataFrame, id_col: str = "doc_id", te
         row = F.md5(F.coalesce("__1", F.lit("")))
         salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
         salts = F.explode(F.array(*map(F.lit, range(SALTS))))
-        lines = memberships(source, "__0", "__1", min_chars, row).withColumn("salt", salt)
+        lines = memberships(source, "__0", "__1", min_chars, row)
+        if known is not None:
+            lines = lines.mapInArrow(_passing(known, n_shards), lines.schema)
+        lines = lines.withColumn("salt", salt)
         salted = blocked.select("digest", F.coalesce("keep_id", F.lit(NO_ID)).alias("keep_id"), salts.alias("salt"))
         lost = lines.join(salted, ["digest", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("doc_id").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_set("digest").alias("__gone"))
         lost = lost.select("*", salts.alias("__salt"))
 
         def joined(batches):
             for batch in batches:
-                done = []
-                for t, g in zip(batch.column("__1").to_pylist(), batch.column("__gone").to_pylist()):
-                    done.append(_rewrite(t, set(g or ()).__contains__, min_chars))
-                yield emit(batch, [x[0] for x in done], [x[1:] for x in done])
+                gone = [set(g or ()) for g in batch.column("__gone").to_pylist()]
+                lines, places, digests = _long_lines(batch.column("__1").to_pylist(), min_chars)
+                yield emit(batch, *_without(lines, [(n, i) for (n, i), k in zip(places, digests) if k in gone[n]]))
 
         keyed = source.withColumns({"__r": row, "__s": salt})
         here = F.col("__0").eqNullSafe(F.col("__doc")) & (F.col("__r") == F.col("__row")) & (F.col("__s") == F.col("__salt"))
@@ -243,36 +299,116 @@ def drop_blocked(docs: DataFrame, blocked: DataFrame, id_col: str = "doc_id", te
     return out.select(F.col("__0").alias(id_col), F.col("__1").alias(text_col), "n_lines", "n_dropped", *[F.col(f"__{i + 2}").alias(c) for i, c in enumerate(carry)])
 
 
+def _passing(known, n_shards: int):
+    def passing(batches):
+        filters = Filters(known.value, n_shards)
+        for batch in batches:
+            yield batch.filter(pa.array(filters.may_hold(_keys(batch.column("digest").to_pylist()))))
+
+    return passing
+
+
 class LineDedupState:
-    """Memberships in Parquet folders under `path`, one generation for each change; insert and delete are both exact.
+    """Memberships, exact counts and filters under `path`, which all machines share; insert and delete are exact.
 
     A document is inserted once; inserting an id again adds its lines again. `apply` drops the lines that the present
-    state blocks. Folders are written beside the old ones and named by a manifest row, so a failed change leaves the
-    former state.
+    state blocks. One session changes a state at a time; any session reads it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
-        self.spark, self.path, self.min_chars, self.min_docs = spark, path.rstrip("/"), min_chars, min_docs
+    def __init__(self, spark: SparkSession, path: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_shards: int = 64):
+        self.spark, self.path, self.min_chars, self.min_docs, self.n_shards = spark, path.rstrip("/"), min_chars, min_docs, n_shards
+        self.manifest: dict[int, int] = {}  # of each shard, the generation of its files
         self.generation = 0
+        if self._exists(f"{self.path}/manifest"):
+            rows = spark.read.schema("shard int, files int, min_chars int, min_docs int, n_shards int, generation int").parquet(f"{self.path}/manifest")
+            last = rows.agg(F.max("generation")).first()[0] or 0
+            for r in rows.filter(F.col("generation") == last).collect():
+                self.min_chars, self.min_docs, self.n_shards, self.generation = r.min_chars, r.min_docs, r.n_shards, last
+                if r.shard is not None:
+                    self.manifest[r.shard] = r.files
+
+    def _exists(self, path: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+    def _read(self, kind: str, schema: str, places: list[str]) -> DataFrame:
+        found = [p for p in places if self._exists(p)]
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*found) if found else self.spark.createDataFrame([], schema)
 
     def _members(self) -> DataFrame:
-        if not self.generation:
-            return self.spark.createDataFrame([], "digest binary, doc_id long")
-        return self.spark.read.parquet(f"{self.path}/members-{self.generation}")
+        schema = "digest binary, doc_id long, n long, generation int, bucket int"
+        return self._read("members", schema, [f"{self.path}/members/generation={g}" for g in range(1, self.generation + 1)])
+
+    def counts(self) -> DataFrame:
+        """The exact references: digest, n_docs, keep_id, shard."""
+        places = [f"{self.path}/counts/generation={g}/shard={k}" for k, g in self.manifest.items()]
+        return self._read("counts", "digest binary, n_docs long, keep_id long, generation int, shard int", places).drop("generation")
 
-    def _put(self, members: DataFrame) -> None:
-        members.write.mode("overwrite").parquet(f"{self.path}/members-{self.generation + 1}")
-        self.generation += 1
+    def filters(self) -> DataFrame:
+        """shard, filter."""
+        places = [f"{self.path}/filters/generation={g}/shard={k}" for k, g in self.manifest.items()]
+        return self._read("filters", "filter binary, generation int, shard int", places).select("shard", "filter")
+
+    def blocked(self) -> DataFrame:
+        return self.counts().filter(F.col("n_docs") >= self.min_docs)
 
     def insert(self, docs: DataFrame) -> None:
-        self._put(self._members().unionAll(memberships(docs, min_chars=self.min_chars)))
+        self._change(memberships(docs, min_chars=self.min_chars).withColumn("n", F.lit(1).cast("long")))
 
     def delete(self, doc_ids: DataFrame) -> None:
-        gone = doc_ids.select(F.col("doc_id").cast("long").alias("__gone")).distinct()
-        self._put(self._members().join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti"))
+        gone = checkpointed(doc_ids.select(F.col("doc_id").cast("long").alias("__gone"), self._bucket("doc_id").alias("__bucket")).distinct())
+        buckets = [r[0] for r in gone.select("__bucket").distinct().collect()]  # BUCKETS of them at most
+        here = self._members().filter(F.col("bucket").isin(buckets))
+        members = here.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.col("bucket") == F.col("__bucket")), "left_semi")
+        self._change(members.groupBy("digest", "doc_id").agg((-F.sum("n")).alias("n")).filter("n < 0"))
 
-    def blocked(self) -> DataFrame:
-        return references(self._members()).filter(F.col("n_docs") >= self.min_docs)
+    @staticmethod
+    def _bucket(column: str):
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BUCKETS)).cast("int")
+
+    def _change(self, changed: DataFrame) -> None:
+        """changed: digest, doc_id, n rows to add."""
+        new, folder = self.generation + 1, lambda kind: f"{self.path}/{kind}/generation={self.generation + 1}"
+        changed.groupBy("digest", "doc_id").agg(F.sum("n").alias("n")).withColumn("bucket", self._bucket("doc_id")).write.mode("overwrite").partitionBy("bucket").parquet(folder("members"))
+        added = self._read("members", "digest binary, doc_id long, n long, generation int, bucket int", [folder("members")])
+        delta = checkpointed(added.groupBy("digest").agg(F.sum("n").alias("n"), F.max(F.when(F.col("n") > 0, F.col("doc_id"))).alias("most"), F.max(F.when(F.col("n") < 0, F.col("doc_id"))).alias("most_gone")).withColumn("shard", _shard(self.n_shards)))
+        touched = [r[0] for r in delta.select("shard").distinct().collect()]  # n_shards of them at most
+        old = self.counts().filter(F.col("shard").isin(touched)).select("digest", F.col("n_docs").alias("before"), "keep_id", "shard")
+        both = checkpointed(old.join(delta.withColumnRenamed("shard", "__shard"), "digest", "full").select("digest", F.coalesce("shard", "__shard").alias("shard"), F.coalesce("before", F.lit(0)).alias("before"), (F.coalesce("before", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("keep_id", "most").alias("keep_id"), (F.col("most_gone") >= F.col("keep_id")).alias("lost")))
+        # where the largest document went, the next one is looked up: one pass over the memberships of those digests
+        lost = both.filter("lost and n_docs > 0").select("digest")
+        largest = self._members().unionAll(added).join(lost, "digest", "left_semi").groupBy("digest", "doc_id").agg(F.sum("n").alias("n")).filter("n > 0").groupBy("digest").agg(F.max("doc_id").alias("next"))
+        exact = both.join(largest, "digest", "left").select("digest", "n_docs", F.when(F.col("lost"), F.col("next")).otherwise(F.col("keep_id")).alias("keep_id"), "shard")
+        exact.filter("n_docs > 0").write.mode("overwrite").partitionBy("shard").parquet(folder("counts"))
+        crossed = both.select("shard", "digest", ((F.col("n_docs") >= self.min_docs).cast("int") - (F.col("before") >= self.min_docs).cast("int")).alias("turn"))
+        self._filters(crossed, both.filter(F.col("n_docs") >= self.min_docs).select("shard", "digest"), touched).write.mode("overwrite").partitionBy("shard").parquet(folder("filters"))
+        manifest = self.manifest | dict.fromkeys(touched, new)
+        rows = [(k, g, self.min_chars, self.min_docs, self.n_shards) for k, g in manifest.items()] or [(None, 0, self.min_chars, self.min_docs, self.n_shards)]
+        self.spark.createDataFrame(rows, "shard int, files int, min_chars int, min_docs int, n_shards int").coalesce(1).write.mode("overwrite").parquet(folder("manifest"))
+        self.manifest, self.generation = manifest, new
+
+    def _filters(self, crossed: DataFrame, blocked: DataFrame, touched: list[int]) -> DataFrame:
+        """shard, filter of the touched shards: keys that crossed the limit are inserted and deleted; a full filter is built again."""
+
+        def turn(key, changes: pa.Table, old: pa.Table) -> pa.Table:
+            made = set_of_marks(old["filter"][0].as_py()) if old.num_rows else CuckooFilter(0)
+            rows = list(zip(changes["digest"].to_pylist(), changes["turn"].to_pylist()))
+            whole = all([made.delete(k) for k, by in rows if by < 0]) and all(made.insert(k) for k, by in rows if by > 0)
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([made.table.tobytes() if whole else None], pa.binary())})
+
+        old = self.filters().filter(F.col("shard").isin(touched))
+        shards = self.spark.createDataFrame([(k, None, 0) for k in touched], "shard int, digest binary, turn int")
+        turned = checkpointed(crossed.filter("turn <> 0").unionAll(shards).groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(turn, "shard int, filter binary"))
+        full = [r.shard for r in turned.filter("filter is null").select("shard").collect()]
+        if not full:
+            return turned
+        again = shard_filters(blocked.filter(F.col("shard").isin(full)), self.n_shards)
+        return turned.filter("filter is not null").unionAll(again)
+
+    def apply(self, docs: DataFrame, carry: tuple[str, ...] = (), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+        return drop_blocked(docs, checkpointed(self.blocked()), carry=carry, min_chars=self.min_chars, broadcast_bytes=broadcast_bytes, filters=self.filters(), n_shards=self.n_shards)
 
-    def apply(self, docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-        return drop_blocked(docs, checkpointed(self.blocked()), carry=carry, min_chars=self.min_chars)
+
+def set_of_marks(table: bytes) -> CuckooFilter:
+    return CuckooFilter(0, np.frombuffer(table, dtype=np.uint16).reshape(-1, CuckooFilter.SLOTS).copy())

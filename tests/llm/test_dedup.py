@@ -51,7 +51,7 @@ def some_docs():
     return docs + [(70, None), (71, ""), (None, lines[0]), (5, lines[1])]
 
 
-@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, 100, 0])
 def test_lines(spark, limit):
     docs = some_docs()
     frame = spark.createDataFrame([(i, t, "x", 9) for i, t in docs], "doc_id long, text string, digest string, n_lines int")
@@ -62,7 +62,7 @@ def test_lines(spark, limit):
     assert line_dedup.line_dedup(frame.limit(0), broadcast_bytes=limit).count() == 0
 
 
-@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, 100, 0])
 def test_lines_of_null_ids(spark, limit):
     null_only, shared = "Only rows without any id hold this long line 1", "Rows with ids and rows without hold this line 2"
     docs = [(None, f"{null_only}\nrow {k % 3}\n{shared}") for k in range(7)] + [(4, shared), (9, f"{shared}\n{shared}"), (9, shared), (9, f"x\n{shared}")]
@@ -86,6 +86,46 @@ def test_lines_come_back(spark, tmp_path):
     assert state.blocked().count() == 0
 
 
+def test_state_over_sessions(spark, tmp_path):
+    """Random insertions and deletions, nulls and repeats among them, each by a state that is opened anew; filters hold exactly what is blocked."""
+    rng = random.Random(9)
+    docs = {}
+    lines = [f"A line that is shared by many, of number {k}, in the text" for k in range(12)]
+    for turn in range(6):
+        state = line_dedup.LineDedupState(spark, str(tmp_path), n_shards=3)
+        if turn % 3 < 2:
+            new = [(rng.choice([None, *range(30)]), "\n".join(rng.choices(lines, k=4))) for _ in range(15)]
+            state.insert(spark.createDataFrame(new, "doc_id long, text string"))
+            for i, t in new:
+                docs.setdefault(i, []).append(t)
+        else:
+            gone = rng.sample(sorted(i for i in docs if i is not None), 9) + [None, 999]
+            state.delete(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+            docs = {i: t for i, t in docs.items() if i not in gone}
+        rows = [(i, t) for i, some in docs.items() for t in some]
+        state = line_dedup.LineDedupState(spark, str(tmp_path))
+        assert state.n_shards == 3 and state.generation == turn + 1
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        for limit in (line_dedup.BROADCAST_BYTES, 200, 0):
+            assert sorted(map(tuple, state.apply(frame, broadcast_bytes=limit).collect()), key=str) == lines_by_hand(rows, 40, 5)
+        filters = line_dedup.Filters([(r.shard, bytes(r.filter)) for r in state.filters().collect()], 3)
+        blocked = [bytes(r.digest) for r in state.blocked().collect()]
+        held = sum(int((np.frombuffer(r.filter, dtype=np.uint16) != 0).sum()) for r in state.filters().collect())
+        assert held == len(blocked) and filters.may_hold(line_dedup._keys(blocked)).all()
+
+
+def test_full_filters_are_built_again(spark, tmp_path):
+    state = line_dedup.LineDedupState(spark, str(tmp_path), min_docs=1, n_shards=2)
+    for part in range(3):
+        rows = [(part * 100 + i, "\n".join(f"Line {part}.{i}.{k} with some words to make it long enough" for k in range(20))) for i in range(20)]
+        state.insert(spark.createDataFrame(rows, "doc_id long, text string"))
+    filters = line_dedup.Filters([(r.shard, bytes(r.filter)) for r in state.filters().collect()], 2)
+    blocked = [bytes(r.digest) for r in state.blocked().collect()]
+    assert len(blocked) == 1200 and filters.may_hold(line_dedup._keys(blocked)).all()
+    other = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(5000)]
+    assert filters.may_hold(line_dedup._keys(other)).mean() < 0.01
+
+
 def test_cuckoo_filter():
     keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(6000)]
     f = line_dedup.CuckooFilter.of(keys[:5000])
@@ -93,6 +133,8 @@ def test_cuckoo_filter():
     assert sum(k in f for k in keys[5000:]) < 10
     assert f.delete(keys[0]) and all(k in f for k in keys[1:5000])
     assert line_dedup.CuckooFilter.of([]) is not None
+    many = line_dedup.Filters([(0, f.table.tobytes())], 1).may_hold(line_dedup._keys(keys))
+    assert many.tolist() == [k in f for k in keys]
 
 
 def test_licenses(spark):
