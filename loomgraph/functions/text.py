@@ -246,3 +246,7 @@ def shortened(col: Column, width: int) -> Column:
 def threshold_tag(t: float, digits: int = 2) -> str:
     """.80 -> 080, or with three digits .900 -> 0900."""
     return f"{t:.{digits}f}".replace(".", "")
+
+
+def threshold_tags(x: Column, digits: int = 2) -> Column:
+    return F.regexp_replace(F.format_string(f"%.{digits}f", x), r"\.", "")

@@ -172,3 +172,8 @@ def stars(p: Column) -> Column:
 def backoff(attempt: int, kind: str, base: float = 60.0) -> float:
     """Seconds to wait before the next try."""
     return {"rate": base * (attempt + 1) * 10, "busy": 300.0 * (attempt + 1), "parse": 2.0**attempt, "quota": 30.0 * 2**attempt}[kind]
+
+
+def backoffs(attempt: Column, base: float = 60.0) -> dict[str, Column]:
+    """The same for a column of attempts, by kind."""
+    return {"rate": F.lit(base) * (attempt + 1) * 10, "busy": F.lit(300.0) * (attempt + 1), "parse": F.pow(F.lit(2.0), attempt), "quota": 30.0 * F.pow(F.lit(2.0), attempt)}

@@ -38,12 +38,27 @@ def arc_degrees(arcs: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     return counted.join(degrees(simple_graph(arcs, u, v)), "node", "left").na.fill({"deg": 0})
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """x < y < z."""
+def dense(rows: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
+    """The column, what is kept, and id: the 0-based place by the column. Sorted by range partitions; only their sizes meet in one place."""
+    kept = [column, *[c for c in keep or [] if c != column]]
+    placed = rows.select(*kept).repartitionByRange(column).sortWithinPartitions(column).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    placed = checkpointed(placed)
+    sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__m").alias("first"))
+    before = sizes.select("__p", "first", (F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(before), "__p").select(*kept, (F.col("before") + F.col("__m") - F.col("first")).alias("id"))  # one row a partition
+
+
+def oriented(edges: DataFrame) -> DataFrame:
+    """s, t: every edge from its end of lower degree, so no node starts more than the square root of twice the edges."""
     deg = degrees(edges)
     e = edges.select("a", "b").join(deg.select(F.col("node").alias("a"), F.col("deg").alias("da")), "a").join(deg.select(F.col("node").alias("b"), F.col("deg").alias("db")), "b")
     up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    arcs = e.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("t"))
+    return e.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("t"))
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """x < y < z."""
+    arcs = oriented(edges)
     one, two = arcs.select("s", F.col("t").alias("m")), arcs.select("s", F.col("t").alias("n"))
     wedges = one.join(two, "s").filter("m < n")
     closed = wedges.join(edges.select(F.col("a").alias("m"), F.col("b").alias("n")), ["m", "n"])
@@ -52,10 +67,22 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def triangles_by_cliques(edges: DataFrame) -> DataFrame:
-    """The same, by intersecting the neighbours of both ends of every edge."""
-    nbrs = both_ways(edges).groupBy("node").agg(F.collect_set("nbr").alias("n"))
-    e = edges.select("a", "b").join(nbrs.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(nbrs.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    return e.select(F.col("a").alias("x"), F.col("b").alias("y"), F.explode(F.filter(F.array_intersect("na", "nb"), lambda c: c > F.col("b"))).alias("z"))
+    """The same, by intersecting what both ends of every edge lead to; hubs lead to few nodes, as edges are oriented."""
+    arcs = oriented(edges)
+    ahead = arcs.groupBy("s").agg(F.collect_set("t").alias("n"))
+    both = arcs.join(ahead, "s").join(ahead.select(F.col("s").alias("t"), F.col("n").alias("m")), "t")
+    s = F.array_sort(F.array("s", "t", "u"))
+    return both.select("s", "t", F.explode(F.array_intersect("n", "m")).alias("u")).select(s[0].alias("x"), s[1].alias("y"), s[2].alias("z"))
+
+
+def wedges(edges: DataFrame, block: int = 1000) -> DataFrame:
+    """node, a < b: all pairs of neighbours of a node. Neighbours of a hub are dealt into blocks, and pairs of blocks are joined, so no key holds over block * block pairs."""
+    n = both_ways(edges).join(degrees(edges), "node").select("node", "nbr", F.ceil(F.col("deg") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("nbr"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    p = n.select("node", F.col("nbr").alias("a"), own.alias("i"), every.alias("j"))
+    q = n.select("node", F.col("nbr").alias("b"), own.alias("j"), every.alias("i"))
+    return p.join(q, ["node", "i", "j"]).filter("a < b").select("node", "a", "b")
 
 
 def node_triangles(edges: DataFrame, tri: DataFrame | None = None) -> DataFrame:
@@ -190,16 +217,34 @@ def betweenness(edges: DataFrame, k: int = 200, scale: str = "standard") -> Data
 
 
 def random_graph(spark, n: int, m: int, seed: int = 42) -> DataFrame:
-    """m distinct edges between n nodes, uniformly: numbered pairs in the order of a hash."""
-    m = min(m, n * (n - 1) // 2)
-    pairs = spark.range(n * (n - 1) // 2).select("id", F.xxhash64("id", F.lit(seed)).alias("h"))
-    kept = pairs.orderBy("h", "id").limit(m)
+    """m distinct edges between n nodes, uniformly: the first m distinct pair numbers of a sequence of hashes.
+
+    Where that would take most pairs, those to leave out are drawn instead. What is generated grows with m.
+    """
+    total = n * (n - 1) // 2
+    m = min(m, total)
+    if 2 * m > total:
+        kept = spark.range(total).join(_drawn(spark, total, total - m, seed), "id", "left_anti")
+    else:
+        kept = _drawn(spark, total, m, seed)
     # the pair a < b of a number: b is the largest integer with b (b - 1) / 2 <= id
     b = F.floor((1 + F.sqrt(1 + 8 * F.col("id").cast("double"))) / 2).cast("long")
     fixed = kept.withColumn("b", b).withColumn("b", F.when(F.col("b") * (F.col("b") - 1) / 2 > F.col("id"), F.col("b") - 1).otherwise(F.col("b")))
     return fixed.select((F.col("id") - (F.col("b") * (F.col("b") - 1) / 2).cast("long")).alias("a"), "b")
 
 
+def _drawn(spark, total: int, m: int, seed: int) -> DataFrame:
+    """id: the first m distinct numbers below total of a sequence of hashes; m is at most half of total."""
+    draws = m + m // 8 + 64
+    while m:
+        numbers = spark.range(draws).select(F.col("id").alias("i"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("number"))
+        first = checkpointed(numbers.groupBy("number").agg(F.min("i").alias("i")))
+        if first.count() >= m:
+            return dense(first, "i", ["number"]).filter(F.col("id") < m).select(F.col("number").alias("id"))
+        draws *= 2
+    return spark.range(0)
+
+
 def small_world(edges: DataFrame, samples: int = 2, k: int = 20) -> DataFrame:
     """Clustering and path length against random graphs of the same size: c, l, gamma, lam, sigma, small_world."""
     spark = edges.sparkSession
@@ -225,10 +270,9 @@ def two_paths(edges: DataFrame) -> DataFrame:
 
 def shared_partners(edges: DataFrame) -> DataFrame:
     """kind (edge or other), partners, pairs: pairs by number of shared neighbours; pairs without any are left out of `other`."""
-    n = both_ways(edges)
-    wedges = n.alias("p").join(n.alias("q"), "node").filter("p.nbr < q.nbr").groupBy(F.col("p.nbr").alias("a"), F.col("q.nbr").alias("b")).agg(F.count(F.lit(1)).alias("partners"))
-    on_edges = edges.select("a", "b").join(wedges, ["a", "b"], "left").na.fill({"partners": 0}).groupBy("partners").agg(F.count(F.lit(1)).alias("pairs")).select(F.lit("edge").alias("kind"), "partners", "pairs")
-    others = wedges.join(edges.select("a", "b"), ["a", "b"], "left_anti").groupBy("partners").agg(F.count(F.lit(1)).alias("pairs")).select(F.lit("other").alias("kind"), "partners", "pairs")
+    by_pair = checkpointed(wedges(edges).groupBy("a", "b").agg(F.count(F.lit(1)).alias("partners")))
+    on_edges = edges.select("a", "b").join(by_pair, ["a", "b"], "left").na.fill({"partners": 0}).groupBy("partners").agg(F.count(F.lit(1)).alias("pairs")).select(F.lit("edge").alias("kind"), "partners", "pairs")
+    others = by_pair.join(edges.select("a", "b"), ["a", "b"], "left_anti").groupBy("partners").agg(F.count(F.lit(1)).alias("pairs")).select(F.lit("other").alias("kind"), "partners", "pairs")
     return on_edges.unionAll(others)
 
 
@@ -264,9 +308,21 @@ def homophily(edges: DataFrame, classes: DataFrame) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("cu")), 6))
 
 
+def open_pairs(edges: DataFrame) -> DataFrame:
+    """a < b, partners: pairs with common neighbours that are no edges."""
+    return wedges(edges).groupBy("a", "b").agg(F.count(F.lit(1)).alias("partners")).join(edges.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def violations(verdicts: DataFrame) -> DataFrame:
-    """a, b of pairs judged No whose ends are both Yes-linked to a third node."""
+    """a, b of pairs judged No whose ends are both Yes-linked to a third node.
+
+    It starts from the No pairs: the Yes-neighbours of the end that has fewer are looked up at the other end.
+    """
     yes = verdicts.filter("judgment = 'Yes'").select("a", "b").distinct()
-    n = both_ways(yes)
-    open_pairs = n.alias("p").join(n.alias("q"), "node").filter("p.nbr < q.nbr").select(F.col("p.nbr").alias("a"), F.col("q.nbr").alias("b")).distinct()
-    return verdicts.filter("judgment = 'No'").select("a", "b").distinct().join(open_pairs, ["a", "b"], "left_semi").join(yes, ["a", "b"], "left_anti")
+    n, deg = both_ways(yes), degrees(yes)
+    no = verdicts.filter("judgment = 'No'").select("a", "b").distinct().join(yes, ["a", "b"], "left_anti")
+    no = no.join(deg.select(F.col("node").alias("a"), F.col("deg").alias("da")), "a").join(deg.select(F.col("node").alias("b"), F.col("deg").alias("db")), "b")
+    few = F.col("da") <= F.col("db")
+    asked = no.select("a", "b", F.when(few, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(few, F.col("b")).otherwise(F.col("a")).alias("other"))
+    thirds = asked.join(n, "node").select("a", "b", "other", "nbr")
+    return thirds.join(n.select(F.col("node").alias("other"), "nbr"), ["other", "nbr"], "left_semi").select("a", "b").distinct()

@@ -87,19 +87,43 @@ def data_url(name: str, content: bytes) -> str:
     return f"data:{kind};base64,{base64.b64encode(content).decode()}"
 
 
-def sizes(images, long_side: int = 768):
-    """path, width, height, error of a binaryFile table after processing."""
+def applied(images, f, fields: str):
+    """path, the fields that f gives for the decoded pixels, and error, of a table of path and content.
+
+    Content that cannot be read makes a row with its error and no values.
+    """
     import pyarrow as pa
 
+    names = [x.split()[0] for x in fields.split(",")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+    types = [pa.string(), *[kinds[x.split()[1]] for x in fields.split(",")], pa.string()]
+
     def run(batches):
         for batch in batches:
             out = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    h, w = process(content, long_side).shape[:2]
-                    out.append((path, w, h, None))
+                    out.append((path, *f(decode(content)), None))
                 except (ValueError, OSError) as e:
-                    out.append((path, None, None, str(e)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.string()))], ["path", "width", "height", "error"])
+                    out.append((path, *[None] * len(names), str(e)))
+            columns = zip(*out) if out else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["path", *names, "error"])
+
+    return images.select("path", "content").mapInArrow(run, f"path string, {fields}, error string")
+
+
+def of_types(images, suffixes: tuple[str, ...]):
+    """The rows of a table with path whose suffix is one of these, in any case."""
+    from pyspark.sql import functions as F
+
+    return images.filter(F.lower(F.substring_index("path", ".", -1)).isin(*suffixes))
+
+
+def sizes(images, long_side: int = 768):
+    """path, width, height, error of a binaryFile table after processing."""
+
+    def size(pixels: np.ndarray) -> tuple[int, int]:
+        h, w = shrink(crop_margin(on_white(pixels)), long_side).shape[:2]
+        return w, h
 
-    return images.select("path", "content").mapInArrow(run, "path string, width int, height int, error string")
+    return applied(images, size, "width int, height int")

@@ -267,6 +267,25 @@ def krippendorff(table: list[list[float | None]], level: str = "nominal") -> flo
     return 1.0 if expected == 0 else 1 - seen / expected
 
 
+def agreement(ratings: DataFrame, raters: list[str]) -> DataFrame:
+    """alpha: nominal agreement of raters (columns) on units (rows), some missing, from counts that are summed on the map side."""
+    known = ratings.select(F.array_compact(F.array(*[F.col(c).cast("string") for c in raters])).alias("v")).filter(F.size("v") > 1)
+    m = F.size("v").cast("double")
+    same = F.aggregate("v", F.lit(0), lambda n, x: n + F.size(F.filter("v", lambda y: y == x)))
+    seen = known.agg(F.sum((m * m - same) / (m - 1)).alias("apart"))
+    totals = known.select(F.explode("v").alias("c")).groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
+    n, expected = F.col("n"), F.col("n") * F.col("n") - F.col("s")
+    alpha = F.when(n.isNull(), F.lit(None)).when(expected == 0, 1.0).otherwise(1 - F.col("apart") / n / (expected / (n * (n - 1))))
+    return seen.join(totals).select(alpha.alias("alpha"))  # one row each
+
+
+def nb_pmf_of(mu: Column, alpha: float, k: Column) -> Column:
+    """The same as a column; k is a whole number, so its factorials are sums."""
+    r = 1 / alpha
+    steps = F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda s, i: s + F.log((i - 1 + r) / i))
+    return F.exp(steps + r * F.log(r / (r + mu)) + k * F.log(mu / (r + mu)))
+
+
 def bootstrap_mean(values: np.ndarray, rounds: int = 1000, seed: int = 42) -> tuple[float, float, float, float]:
     """mean, sample std, and the 2.5 % and 97.5 % order statistics of resampled means."""
     means = np.sort(np.random.default_rng(seed).choice(values, (rounds, len(values))).mean(axis=1))

@@ -45,9 +45,16 @@ def _common_to_three(edges: DataFrame, t: DataFrame) -> DataFrame:
 
 
 def ranked(scores: DataFrame, by: str = "confidence") -> DataFrame:
-    from pyspark.sql import Window
+    """scores with rank, from 1, by descending values and then by the triad; numbered by range partitions."""
+    key = F.struct((-F.col(by)).alias("k"), "A", "B", "C")
+    return g.dense(scores.withColumn("__key", key), "__key", scores.columns).withColumn("rank", (F.col("id") + 1).cast("int")).select(*scores.columns, "rank")
 
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), "A", "B", "C")))
+
+def plot_rows(scores: DataFrame, title=None, meta=None, borders=None, captions=None) -> DataFrame:
+    """seq and what a plot of each triad shows; each of the functions gets the place as a column and may use the row's."""
+    r = ranked(scores)
+    seq = F.col("rank")
+    return r.select(seq.alias("seq"), *[(f(seq) if f else F.lit(None)).alias(n) for n, f in (("title", title), ("meta", meta), ("borders", borders), ("captions", captions))])
 
 
 def tiered(scores: DataFrame) -> DataFrame:

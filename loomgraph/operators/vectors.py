@@ -1,8 +1,8 @@
 """Exact retrieval over vectors: ranks of given targets, top-k, similarity edges, class overlap.
 
-Two back ends give the same numbers: `sql` multiplies in column expressions, `block` deals the vectors into shards and
-multiplies query blocks with them in numpy. Ranks are counted, never sorted for: the rank of a target is one more than
-the number of candidates above it, summed over shards.
+Blocks of queries meet blocks of vectors. Two back ends give the same numbers: `block` multiplies them in numpy, `sql`
+in column expressions; neither makes a row for a query and a candidate. Ranks are counted, never sorted for: the rank
+of a target is one more than the number of candidates above it, summed over blocks.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def similarity_edges(vectors: DataFrame, threshold: float, digits: int = 6, rows
     return grid.repartition(parts, "type", "i", "j").mapInArrow(multiply, "type string, a long, b long, sim double")
 
 
-def ranks(pairs: DataFrame, vectors: DataFrame, backend: str = "sql", digits: int = 6, rows: int = BLOCK_ROWS) -> DataFrame:
+def ranks(pairs: DataFrame, vectors: DataFrame, backend: str = "block", digits: int = 6, rows: int = BLOCK_ROWS) -> DataFrame:
     """source, target, type, rank, n_candidates, similarity.
 
     The rank is one more than the candidates of the type, source left out, that are more similar to the source. Pairs of
@@ -82,21 +82,35 @@ def ranks(pairs: DataFrame, vectors: DataFrame, backend: str = "sql", digits: in
     """
     known = pair_similarity(pairs.filter("source <> target").select("source", "target").distinct(), vectors, digits)
     sizes = vectors.groupBy("type").agg((F.count(F.lit(1)) - 1).cast("int").alias("n_candidates"))
-    if backend == "sql":
-        q = known.select("type", "source").distinct().join(vectors.select("type", F.col("pid").alias("source"), F.col("vec").alias("va")), ["type", "source"])
-        all_sims = q.join(vectors.select("type", "pid", "vec"), "type").filter("pid <> source").select("type", "source", F.round(dot(F.col("va"), F.col("vec")), digits).alias("s"))
-        above = known.join(all_sims, ["type", "source"]).groupBy("source", "target", "type", "similarity").agg(F.count_if(F.col("s") > F.col("similarity")).alias("above"))
-    else:
-        above = _counted(known, vectors, digits, rows)
+    above = (_counted_in_sql if backend == "sql" else _counted)(known, vectors, digits, rows)
     return above.join(sizes, "type").select("source", "target", "type", (F.col("above") + 1).cast("int").alias("rank"), "n_candidates", "similarity")
 
 
-def _counted(known: DataFrame, vectors: DataFrame, digits: int, rows: int) -> DataFrame:
+def _query_blocks(known: DataFrame, vectors: DataFrame, rows: int) -> DataFrame:
+    """type, q, x: blocks of sources with vector and targets."""
     targets = known.groupBy("type", "source").agg(F.collect_list(F.struct("target", "similarity")).alias("t"))
     asked = targets.join(vectors.select("type", F.col("pid").alias("source"), "vec"), ["type", "source"])
     n = max(1, -(-asked.count() // rows))
-    queries = asked.groupBy("type", F.pmod(F.xxhash64("source"), F.lit(n)).cast("int").alias("q")).agg(F.collect_list(F.struct("source", "vec", "t")).alias("x")).select("type", "q", F.col("x.source").alias("sources"), F.col("x.vec").alias("qv"), F.col("x.t").alias("t"))
-    grid = queries.join(_blocks(vectors, rows), "type").select("type", "sources", "qv", F.to_json("t").alias("t"), "ids", "vecs")
+    return asked.groupBy("type", F.pmod(F.xxhash64("source"), F.lit(n)).cast("int").alias("q")).agg(F.collect_list(F.struct("source", "vec", "t")).alias("x"))
+
+
+def _spread(grid: DataFrame) -> DataFrame:
+    """Pairs of blocks over all tasks, whatever their type."""
+    return grid.repartition(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "type", "q", "block")
+
+
+def _counted_in_sql(known: DataFrame, vectors: DataFrame, digits: int, rows: int) -> DataFrame:
+    grid = _spread(_query_blocks(known, vectors, rows).join(_blocks(vectors, rows), "type")).select("type", F.explode("x").alias("s"), F.arrays_zip("ids", "vecs").alias("c"))
+    sims = F.transform(F.filter("c", lambda y: y["ids"] != F.col("s.source")), lambda y: F.round(dot(F.col("s.vec"), y["vecs"]), digits))
+    each = grid.select("type", "s.source", "s.t", sims.alias("sims")).select("type", "source", F.explode("t").alias("t"), "sims")
+    counted = each.select("source", "t.target", "type", "t.similarity", F.size(F.filter("sims", lambda y: y > F.col("t.similarity"))).alias("n"))
+    return counted.groupBy("source", "target", "type", "similarity").agg(F.sum("n").alias("above"))
+
+
+def _counted(known: DataFrame, vectors: DataFrame, digits: int, rows: int, ties: bool = False) -> DataFrame:
+    """above: the candidates more similar than the target and, with ties, those as similar of a smaller id."""
+    queries = _query_blocks(known, vectors, rows).select("type", "q", F.col("x.source").alias("sources"), F.col("x.vec").alias("qv"), F.to_json(F.col("x.t")).alias("t"))
+    grid = _spread(queries.join(_blocks(vectors, rows), "type")).select("type", "sources", "qv", "t", "ids", "vecs")
 
     def count(batches):
         import json
@@ -110,7 +124,10 @@ def _counted(known: DataFrame, vectors: DataFrame, digits: int, rows: int) -> Da
                 out = [[], [], [], []]
                 for k, found in enumerate(json.loads(batch.column(3)[n].as_py())):
                     for t in found:
-                        for column, value in zip(out, (int(sources[k]), t["target"], t["similarity"], int((sims[k] > t["similarity"]).sum()))):
+                        above = int((sims[k] > t["similarity"]).sum())
+                        if ties:
+                            above += int(((sims[k] == t["similarity"]) & (ids < t["target"])).sum())
+                        for column, value in zip(out, (int(sources[k]), t["target"], t["similarity"], above)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(out[0]), pa.string()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64())], ["type", "source", "target", "similarity", "n"])
 
@@ -118,21 +135,45 @@ def _counted(known: DataFrame, vectors: DataFrame, digits: int, rows: int) -> Da
     return counted.groupBy("source", "target", "type", "similarity").agg(F.sum("n").alias("above"))
 
 
-def positional_ranks(pairs: DataFrame, vectors: DataFrame, digits: int = 6) -> DataFrame:
+def positional_ranks(pairs: DataFrame, vectors: DataFrame, digits: int = 6, rows: int = BLOCK_ROWS) -> DataFrame:
     """The place of the target in the list of all candidates, ties by id; -1 and 0.0 where it is missing."""
     q = pairs.select("source", "target").distinct()
-    a = vectors.select("type", F.col("pid").alias("source"), F.col("vec").alias("va"))
-    all_sims = a.join(q.select("source").distinct(), "source").join(vectors, "type").filter("pid <> source").select("type", "source", F.col("pid").alias("target"), F.round(dot(F.col("va"), F.col("vec")), digits).alias("similarity"))
-    placed = all_sims.withColumn("rank", F.row_number().over(Window.partitionBy("type", "source").orderBy(F.desc("similarity"), "target")))
+    known = pair_similarity(q.filter("source <> target"), vectors, digits)
+    placed = _counted(known, vectors, digits, rows, ties=True).select("source", "target", (F.col("above") + 1).cast("int").alias("rank"), "similarity")
     return q.join(placed, ["source", "target"], "left").select("source", "target", F.coalesce("rank", F.lit(-1)).alias("rank"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
-def top_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """source, rank, target, similarity; the query itself is left out, ties go to the smaller id."""
-    a = queries.select(F.col("pid").alias("source"), "type").join(vectors.select(F.col("pid").alias("source"), "type", F.col("vec").alias("va")), ["source", "type"])
-    sims = a.join(vectors, "type").filter("pid <> source").select("source", F.col("pid").alias("target"), F.round(dot(F.col("va"), F.col("vec")), digits).alias("similarity"))
+def top_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int = 6, rows: int = BLOCK_ROWS) -> DataFrame:
+    """source, rank, target, similarity; the query itself is left out, ties go to the smaller id. Each pair of blocks gives k rows a query at most."""
+    asked = queries.select("type", F.col("pid").alias("source")).join(vectors.select("type", F.col("pid").alias("source"), "vec"), ["type", "source"])
+    n = max(1, -(-asked.count() // rows))
+    blocks = asked.groupBy("type", F.pmod(F.xxhash64("source"), F.lit(n)).cast("int").alias("q")).agg(F.collect_list(F.struct("source", "vec")).alias("x"))
+    grid = _spread(blocks.join(_blocks(vectors, rows), "type")).select(F.col("x.source").alias("sources"), F.col("x.vec").alias("qv"), "ids", "vecs")
+
+    def best(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                sources, ids = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in (0, 2))
+                order = np.argsort(ids, kind="stable")
+                ids = ids[order]
+                sims = np.round(_matrix(batch.column(1)[n].values) @ _matrix(batch.column(3)[n].values)[order].T, digits)
+                sims[sources[:, None] == ids[None, :]] = -np.inf
+                first = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # ties stay in the order of ids
+                found = np.take_along_axis(sims, first, axis=1)
+                i, j = np.nonzero(np.isfinite(found))
+                yield pa.RecordBatch.from_arrays([pa.array(sources[i], pa.int64()), pa.array(ids[first[i, j]], pa.int64()), pa.array(found[i, j], pa.float64())], ["source", "target", "similarity"])
+
     w = Window.partitionBy("source").orderBy(F.desc("similarity"), "target")
-    return sims.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("source", "rank", "target", "similarity")
+    found = grid.mapInArrow(best, "source long, target long, similarity double")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("source", "rank", "target", "similarity")
+
+
+def pair_jaccard(pairs: DataFrame, items: DataFrame, a: str = "source", b: str = "target", key: str = "pid", classes: str = "classes", digits: int = 6) -> DataFrame:
+    """pairs with jaccard of the classes of both ends: look-ups of these pairs alone. Items without a class share nothing."""
+    sets = items.select(F.col(key).alias("__k"), F.array_distinct(classes).alias("__s"))
+    both = pairs.join(sets.select(F.col("__k").alias(a), F.col("__s").alias("__x")), a).join(sets.select(F.col("__k").alias(b), F.col("__s").alias("__y")), b)
+    shared, union = F.size(F.array_intersect("__x", "__y")), F.size(F.array_union("__x", "__y"))
+    return both.withColumn("jaccard", F.when(union > 0, F.round(shared / union, digits)).otherwise(0.0)).select(*pairs.columns, "jaccard")
 
 
 def class_jaccard(items: DataFrame, key: str = "pid", classes: str = "classes", digits: int = 6) -> DataFrame:

@@ -12,6 +12,7 @@ from loomgraph.operators import graph as g
 from loomgraph.plans.base import query
 from loomgraph.plans.graph_queries import classes
 from loomgraph.plans.pairs import N, dense
+from loomgraph.plans.steps import Steps
 from loomgraph.sources import adapters as a
 from loomgraph.sources import readers as r
 from loomgraph.sources import writers as w
@@ -209,13 +210,15 @@ def cached_dimension(spark, d):
     return spark.read.parquet(path)
 
 
-@query("SRC-17", "SELECT 'b_theta_2.csv' AS name")
+@query("SRC-17", "SELECT max(name) AS name FROM (SELECT n_name || CASE n_nationkey % 3 WHEN 0 THEN '_theta_' WHEN 1 THEN '_coef_' ELSE '_other_' END || n_nationkey || '.csv' AS name FROM nation) WHERE regexp_matches(name, '(theta|coef).*\\.csv$')")
 def latest_coefficients(spark, d):
-    path = scratch(spark, "coef")
-    for n in ("a_coef_1.csv", "b_theta_2.csv", "c_other.csv"):
-        spark.createDataFrame([("x",)], "v string").coalesce(1).write.text(f"{path}/{n}")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -2).alias("name"))
-    return found.filter(F.col("name").rlike(r"(theta|coef).*\.csv$")).agg(F.max("name").alias("name"))
+    """One folder for each nation's file, as Spark names the files inside; the last by name of those that match."""
+    path, key = scratch(spark, "coef"), F.col("n_nationkey")
+    kind = F.when(key % 3 == 0, "_theta_").when(key % 3 == 1, "_coef_").otherwise("_other_")
+    names = a.table(spark, d, "nation").select(F.concat("n_name", kind, key.cast("string"), F.lit(".csv")).alias("file"), F.lit("x").alias("value"))
+    names.coalesce(1).write.partitionBy("file").text(path)
+    found = r.files(spark, path, parent=True).select(F.regexp_replace("name", "^file=", "").alias("path"))
+    return r.latest(found).select(F.col("path").alias("name"))
 
 
 @query("SRC-18", "SELECT true AS missing, count(*) AS n FROM pat", "pat")
@@ -291,11 +294,12 @@ def completed_files(spark, d):
     return resumable(spark, d).agg(N().alias("n"), F.count_distinct("source", "target").alias("n_distinct"))
 
 
-@query("SNK-11", "SELECT 35 AS n_classes, 17 AS first_half")
+@query("SNK-11", "SELECT count(DISTINCT grp)::int AS n_classes, (count(DISTINCT grp) // 2)::int AS first_half, min(grp)::varchar AS first FROM vec", "vec")
 def config(spark, d):
-    text = w.model_config(list(t.CLASS_NAMES), "arcs.txt", "attributes.txt")
-    first = text.split("# second")[0]
-    return spark.createDataFrame([(text.count("Matching("), first.count("Matching("))], "n_classes int, first_half int")
+    names = [x[0] for x in classes(spark, d).select("cls").distinct().orderBy(F.col("cls").cast("int")).collect()]
+    text = w.model_config(names, "arcs.txt", "attributes.txt")
+    half = text.split("# second")[0]
+    return spark.createDataFrame([(text.count("Matching("), half.count("Matching("), half.split("IsClass_")[1].split(")")[0])], "n_classes int, first_half int, first string")
 
 
 @query("SNK-12", "SELECT pid AS row, round(vec[1], 6) AS x FROM vec", "vec")
@@ -305,17 +309,19 @@ def matrix_blocks(spark, d):
     return spark.read.parquet(path).select("row", "x")
 
 
-@query("SNK-14", "SELECT 'é' AS caption, 'line' AS description")
+@query("SNK-14", "SELECT p_name || ' é \"' AS caption, p_type AS description FROM part")
 def caption(spark, d):
     path = scratch(spark, "meta")
-    spark.createDataFrame([(w.sidecar("é", "line"),)], "value string").write.text(path)
+    p = a.table(spark, d, "part").select(F.concat("p_name", F.lit(' é "')).alias("caption"), F.col("p_type").alias("description"))
+    w.sidecars(p, "caption", "description").write.text(path)
     return spark.read.schema("caption string, description string").json(path)
 
 
-@query("SNK-15", "SELECT 7 AS lines, true AS escaped")
+@query("SNK-15", "SELECT concat_ws(chr(10), '\\begin{tabular}{lr}', '\\hline', 'Statistic & Value \\\\', '\\hline', string_agg('n\\_' || lower(r_name) || ' & ' || n || ' \\\\', chr(10) ORDER BY r_name), '\\hline', '\\end{tabular}') AS text FROM (SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name)")
 def latex(spark, d):
-    text = w.latex_table([("mean_degree", 3.05)])
-    return spark.createDataFrame([(text.count("\n") + 1, r"mean\_degree" in text)], "lines int, escaped boolean")
+    n = a.table(spark, d, "nation").join(a.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(N().alias("n"))
+    text = w.latex_table([(f"n_{x.r_name.lower()}", x.n) for x in n.orderBy("r_name").collect()])
+    return spark.createDataFrame([(text,)], "text string")
 
 
 @query("SNK-16", "SELECT '| judgment | n |' AS head, count(DISTINCT judgment) + 2 AS lines FROM je", "je")
@@ -330,7 +336,7 @@ def manifest(spark, d):
     return w.copy_manifest(a.patent_images(spark, d).select(F.explode(F.map_values("images")).alias("path")), "out")
 
 
-@query("SNK-18", "SELECT printf('P%03d', row_number() OVER (ORDER BY source, target)) AS pair_id, source, target, '' AS human_verdict FROM (SELECT source, target FROM je ORDER BY source, target LIMIT 23)", "je")
+@query("SNK-18", "SELECT printf('P%03d', row_number() OVER (ORDER BY source, target)) AS pair_id, source, target, '' AS human_verdict FROM je", "je")
 def annotation_sheet(spark, d):
     numbered = dense(a.judged_edges(spark, d).select(F.struct("source", "target").alias("pair")), "pair")
     return numbered.select(F.format_string("P%03d", F.col("id") + 1).alias("pair_id"), "pair.source", "pair.target", F.lit("").alias("human_verdict"))
@@ -349,19 +355,20 @@ def lines_per_file(spark, d):
     return lines.groupBy("year").agg(N().alias("n"))
 
 
-@query("STM-05", "SELECT * FROM (VALUES ('a.jsonl', 'stale'), ('b.jsonl', 'fresh'), ('c.jsonl', 'missing')) t(name, state)")
+@query("STM-05", "SELECT o_orderkey::varchar AS name, CASE WHEN o_orderkey % 4 = 3 THEN 'missing' WHEN o_orderkey % 3 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM orders")
 def staleness(spark, d):
-    at = lambda rows: spark.createDataFrame(rows, "name string, s string").select("name", F.to_timestamp("s").alias("modified"))
-    return r.stale(at([("a.jsonl", "2024-01-02"), ("b.jsonl", "2024-01-01"), ("c.jsonl", "2024-01-01")]), at([("a.jsonl", "2024-01-01"), ("b.jsonl", "2024-01-02")]))
+    o, key = a.table(spark, d, "orders"), F.col("o_orderkey")
+    at = lambda days: F.date_add(F.col("o_orderdate").cast("date"), days).cast("timestamp").alias("modified")
+    made = o.select(key.cast("string").alias("name"), at(F.lit(0)))
+    return r.stale(made, o.filter(key % 4 != 3).select(key.cast("string").alias("name"), at((key % 3 - 1).cast("int"))))
 
 
-@query("DAT-07", "SELECT true AS known, 2 AS n")
+@query("DAT-07", "SELECT year, true AS known FROM pub GROUP BY year", "pub")
 def modification_times(spark, d):
     path = scratch(spark, "mtime")
-    for k in ("1", "2"):
-        spark.createDataFrame([(k,)], "v string").coalesce(1).write.text(f"{path}/{k}")
-    f = r.files(spark, path).filter("name like 'part-%'")
-    return f.agg(F.min(F.col("modified") > F.to_timestamp(F.lit("2020-01-01"))).alias("known"), N().cast("int").alias("n"))
+    by_year(spark, d).repartition("year").write.partitionBy("year").json(path)
+    f = r.files(spark, path, parent=True).select(F.regexp_extract("name", r"year=(\d+)", 1).cast("int").alias("year"), "modified")
+    return f.groupBy("year").agg((F.max("modified") > F.to_timestamp(F.lit("2020-01-01"))).alias("known"))
 
 
 # --- models, images, steps
@@ -389,10 +396,17 @@ def failure_rows(spark, d):
     return models.judge(left_right(spark, d), lambda: models.MockJudge(4), "p").groupBy(F.col("error").isNotNull().alias("failed")).agg(N().alias("n"))
 
 
-@query("UDF-02", "SELECT 3 AS n, 3 AS answered")
+PAIR_HASH = "('0x' || left(md5(n_name || '|' || r_name || '|p'), 8))::bigint"
+
+
+@query("UDF-02", f"SELECT n_name AS left_name, r_name AS right_name, CASE WHEN {PAIR_HASH} % 3 = 0 THEN 'Yes' ELSE 'No' END AS similarity FROM nation JOIN region ON r_regionkey = n_regionkey")
 def judged_on_driver(spark, d):
-    out = models.judge_batch([("a", "b"), ("c", "d"), ("e", "f")], models.MockJudge)
-    return spark.createDataFrame([(len(out), sum(x is not None for x in out))], "n int, answered int")
+    """A list of pairs on the driver, as many as there are nations."""
+    import json
+
+    rows = a.table(spark, d, "nation").join(a.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name").collect()
+    answers = models.judge_batch([tuple(x) for x in rows], models.MockJudge, "p")
+    return spark.createDataFrame([(*x, json.loads(answer)["similarity"]) for x, answer in zip(rows, answers)], "left_name string, right_name string, similarity string")
 
 
 @query("UDF-03", "SELECT pid, CASE WHEN pid % 50 = 0 THEN NULL ELSE 1.0 END AS length FROM vec", "vec")
@@ -435,41 +449,33 @@ def attached(spark, d):
 
 @query("GRF-23")
 def network_model(spark, d):
-    e = a.graph(spark, d)
-    top = g.degrees(e).orderBy(F.desc("deg"), "node").limit(500).select("node")
-    inside = within(e, top)
-    return ergm.fit_chains(within(inside, g.largest_component(inside)), classes(spark, d), [1, 2])
+    return ergm.fit_chains(a.graph(spark, d), classes(spark, d), [1, 2])
 
 
-def within(edges, nodes):
-    return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
-
+def one_step_each(names) -> Steps:
+    """Steps of these names, each on the one before."""
+    s = Steps()
+    for before, name in zip([None, *names], names):
+        s.add(name, (before,) if before else ())(lambda *x, **y: None)
+    return s
 
-@query("IMG-01", "SELECT 6 AS width, 5 AS height, 255 AS corner")
-def image_steps(spark, d):
-    import io
 
-    import numpy as np
+def step_rows(spark, names):
+    return spark.createDataFrame([(x,) for x in names], "step string")
 
-    from loomgraph.operators import images
 
-    p = np.full((20, 30, 4), 255, dtype=np.uint8)
-    p[8:11, 10:14, :3] = 0
-    p[0, 0] = (0, 0, 0, 0)  # transparent black is white
-    out = io.BytesIO()
-    np.save(out, p)
-    done = images.process(out.getvalue())
-    return spark.createDataFrame([(done.shape[1], done.shape[0], int(done[0, 0, 0]))], "width int, height int, corner int")
+def names_of(spark, d, table: str, key: str, name: str) -> list[str]:
+    """The names of a dimension of a few rows, by its key."""
+    return [r[0] for r in a.table(spark, d, table).orderBy(key).select(name).collect()]
 
 
-@query("ORC-01", "SELECT unnest(['pairs', 'judge']) AS step")
+@query("ORC-01", "SELECT n_name AS step FROM nation WHERE n_nationkey BETWEEN 5 AND 20 AND n_nationkey <> 8")
 def step_slice(spark, d):
-    return spark.createDataFrame([(x,) for x in upstream().chosen(start="pairs", skip=("plot",))], "step string")
+    names = names_of(spark, d, "nation", "n_nationkey", "n_name")
+    return step_rows(spark, one_step_each(names).chosen(start=names[5], end=names[20], skip=(names[8],)))
 
 
 def upstream():
-    from loomgraph.plans.steps import Steps
-
     s = Steps()
     s.add("edges")(lambda spark, d: a.edges(spark, d))
     s.add("pairs", ("edges",))(lambda spark, d, edges: edges.select("source", "target").distinct())
@@ -484,82 +490,41 @@ def step_run(spark, d):
     return s.run(s.chosen(["edges", "pairs"]), spark, d)["pairs"].agg(N().alias("n"))
 
 
-@query("ORC-04", "SELECT unnest(['edges', 'pairs', 'plot']) AS step")
+@query("ORC-04", "SELECT r_name AS step FROM region WHERE r_name NOT LIKE 'A%'")
 def step_flags(spark, d):
-    return spark.createDataFrame([(x,) for x in upstream().chosen(flags={"WITH_MODEL": False}, optional={"judge": "WITH_MODEL"})], "step string")
+    names = names_of(spark, d, "region", "r_regionkey", "r_name")
+    return step_rows(spark, one_step_each(names).chosen(flags={"WITH_A": False}, optional={n: "WITH_A" for n in names if n.startswith("A")}))
 
 
-@query("ORC-06", "SELECT * FROM (VALUES ('edges', 'fresh'), ('judge', 'missing')) t(step, state)")
+@query("ORC-06", "SELECT n_name AS step, CASE WHEN n_nationkey % 4 = 3 THEN 'run' WHEN n_nationkey % 5 > n_nationkey % 3 THEN 'run again' ELSE 'nothing' END AS command FROM nation")
 def pipeline_state(spark, d):
-    at = lambda rows: spark.createDataFrame(rows, "name string, s string").select("name", F.to_timestamp("s").alias("modified"))
-    return r.stale(at([("edges", "2024-01-01"), ("judge", "2024-01-01")]), at([("edges", "2024-01-02")])).withColumnRenamed("name", "step")
-
-
-@query("SRC-16", "SELECT 1 AS read, 1 AS failed")
-def image_load(spark, d):
-    """Content that cannot be decoded becomes an error row."""
-    import io
-
-    import numpy as np
-
-    from loomgraph.operators import images
-
-    out = io.BytesIO()
-    np.save(out, np.zeros((4, 4, 3), dtype=np.uint8))
-    table = spark.createDataFrame([("a.npy", bytearray(out.getvalue())), ("b.tif", bytearray(b"no image"))], "path string, content binary")
-    return images.sizes(table).agg(F.count("width").cast("int").alias("read"), F.count("error").cast("int").alias("failed"))
-
-
-def _picture():
-    import numpy as np
-
-    p = np.full((40, 60, 3), 255, dtype=np.uint8)
-    p[10:20, 15:45] = 0
-    return p
+    n = a.table(spark, d, "nation")
+    at = lambda days: F.date_add(F.lit("2024-01-01").cast("date"), days.cast("int")).cast("timestamp").alias("modified")
+    key = F.col("n_nationkey")
+    return r.commands(r.stale(n.select(F.col("n_name").alias("name"), at(key % 5)), n.filter(key % 4 != 3).select(F.col("n_name").alias("name"), at(key % 3)))).select(F.col("name").alias("step"), "command")
 
 
-@query("IMG-02", "SELECT 32 AS width, 12 AS height")
-def cropped(spark, d):
-    from loomgraph.operators.images import crop_margin
+@query("ORC-07", f"SELECT n AS n_nodes, {'{'}'bytes': n * n * 4{'}'}.bytes AS dense_bytes, n * 500 * 4 AS chunk_bytes, n * n * 4 <= 1000000 AS dense_fits FROM (SELECT count(*) AS n FROM deg)", "deg")
+def memory_guard(spark, d):
+    """What a dense similarity matrix and one chunk of its rows would take, and whether the dense one stays under the limit; Spark spills instead."""
+    n = F.col("n_nodes")
+    sizes = g.degrees(a.graph(spark, d)).agg(N().alias("n_nodes"))
+    return sizes.select("n_nodes", (n * n * 4).alias("dense_bytes"), (n * 500 * 4).alias("chunk_bytes"), (n * n * 4 <= 1_000_000).alias("dense_fits"))
 
-    h, w_, _ = crop_margin(_picture()).shape
-    return spark.createDataFrame([(w_, h)], "width int, height int")
 
+@query("UDF-11", "SELECT seq::int AS seq, 'triad ' || printf('%03d', seq) || ': ' || A || ', ' || B || ', ' || C AS title, ['rank ' || seq, 'confidence ' || printf('%.3f', confidence)] AS meta, [CASE WHEN s_AB >= 0.35 THEN 'green' ELSE 'red' END, CASE WHEN s_BC >= 0.35 THEN 'green' ELSE 'red' END, CASE WHEN s_AC >= 0.35 THEN 'green' ELSE 'red' END] AS borders, ['AB ' || printf('%.3f', s_AB), 'BC ' || printf('%.3f', s_BC), 'AC ' || printf('%.3f', s_AC)] AS captions FROM (SELECT *, row_number() OVER (ORDER BY confidence DESC, A, B, C) AS seq FROM scored)", "scored")
+def plot_rows(spark, d):
+    """What a plot of each triad shows, by functions of its row: title, lines of the panel, border colours, captions."""
+    from loomgraph.operators import triads as tr
 
-@query("IMG-03", "SELECT 30 AS width, 20 AS height, 60 AS unchanged")
-def resized(spark, d):
-    from loomgraph.operators.images import shrink
-
-    h, w_, _ = shrink(_picture(), 30).shape
-    return spark.createDataFrame([(w_, h, shrink(_picture(), 768).shape[1])], "width int, height int, unchanged int")
-
-
-@query("IMG-04", "SELECT 'a.npy' AS path, 32 AS width, 12 AS height")
-def processed(spark, d):
-    import io
-
-    import numpy as np
-
-    from loomgraph.operators import images
-
-    out = io.BytesIO()
-    np.save(out, _picture())
-    return images.sizes(spark.createDataFrame([("a.npy", bytearray(out.getvalue()))], "path string, content binary")).select("path", "width", "height")
-
-
-@query("IMG-05", "SELECT 35 AS width, 23 AS height")
-def second_cap(spark, d):
-    from loomgraph.operators.images import shrink
-
-    h, w_, _ = shrink(_picture(), 35, floor=True).shape
-    return spark.createDataFrame([(w_, h)], "width int, height int")
-
-
-@query("IMG-06", "SELECT * FROM (VALUES ('closing', 300), ('dilation', 384), ('none', 300)) t(mode, dark)")
-def line_enhancement(spark, d):
-    from loomgraph.operators.images import enhance_lines
-
-    return spark.createDataFrame([(m, int((enhance_lines(_picture(), m) < 128).sum())) for m in ("closing", "dilation", "none")], "mode string, dark int")
+    sides = ("AB", "BC", "AC")
+    return tr.plot_rows(
+        tr.scored(a.graph(spark, d)),
+        title=lambda seq: F.concat(F.format_string("triad %03d: ", seq), F.concat_ws(", ", "A", "B", "C")),
+        meta=lambda seq: F.array(F.concat(F.lit("rank "), seq.cast("string")), F.format_string("confidence %.3f", "confidence")),
+        borders=lambda seq: F.array(*[F.when(F.col(f"s_{x}") >= 0.35, "green").otherwise("red") for x in sides]),
+        captions=lambda seq: F.array(*[F.format_string(f"{x} %.3f", f"s_{x}") for x in sides]),
+    )
 
 
 @query("IMG-07", "SELECT p_partkey, 'data:image/png;base64,' || to_base64(p_name::blob) AS url FROM part")
@@ -574,32 +539,27 @@ def jittered(spark, d):
     return j.agg(N().alias("n"), F.min(F.abs(F.col("x") - F.log10(F.col("k").cast("double"))) <= 0.05 + 1e-9).alias("close"))
 
 
-@query("MTH-17", "SELECT 10.0::double AS low, 1000.0::double AS high FROM (SELECT 1)")
+@query("MTH-17", "SELECT pow(10, floor(log10(least(min(k), min(n)))))::double AS low, pow(10, ceil(log10(greatest(max(k), max(n)))))::double AS high FROM (SELECT deg AS k, count(*) AS n FROM deg GROUP BY deg)", "deg")
 def axis_limits(spark, d):
     """Both axes get the limits that hold the data of either, in whole powers of ten."""
-    both = spark.createDataFrame([(12.0, 40.0), (90.0, 800.0)], "x double, y double")
-    low, high = F.least(F.min("x"), F.min("y")), F.greatest(F.max("x"), F.max("y"))
-    return both.agg(F.round(F.pow(10.0, F.floor(F.log10(low))), 6).alias("low"), F.round(F.pow(10.0, F.ceil(F.log10(high))), 6).alias("high"))
+    both = g.distribution(g.degrees(a.graph(spark, d)))
+    low, high = F.least(F.min("k"), F.min("n")), F.greatest(F.max("k"), F.max("n"))
+    return both.agg(F.pow(F.lit(10.0), F.floor(F.log10(low))).alias("low"), F.pow(F.lit(10.0), F.ceil(F.log10(high))).alias("high"))
 
 
-@query("ORC-03", "SELECT unnest(['ranks', 'join']) AS step")
+@query("ORC-03", "SELECT r_name AS step FROM region WHERE r_regionkey >= 3")
 def numbered_steps(spark, d):
-    from loomgraph.plans.steps import Steps
-
-    s = Steps()
-    for n, needs in (("filter", ()), ("vectors", ("filter",)), ("index", ("vectors",)), ("ranks", ("index",)), ("join", ("ranks",))):
-        s.add(n, needs)(lambda *x, **y: None)
+    names = names_of(spark, d, "region", "r_regionkey", "r_name")
+    s = one_step_each(names)
     try:
-        s.chosen(["ranks"], start="join")
-    except ValueError:
-        pass  # the two ways of choosing exclude each other
-    return spark.createDataFrame([(x,) for x in s.chosen(start="ranks")], "step string")
+        s.chosen([names[3]], start=names[4])
+    except ValueError:  # the two ways of choosing exclude each other
+        return step_rows(spark, s.chosen(start=names[3]))
 
 
 @query("ORC-05", "SELECT count(*) AS n FROM scored", "scored")
 def refreshed_grids(spark, d):
     from loomgraph.operators import triads as tr
-    from loomgraph.plans.steps import Steps
 
     s = Steps()
     s.add("edges")(lambda: a.graph(spark, d))

@@ -75,9 +75,9 @@ def ccdf_of_values(spark, d):
 
 @query("WIN-05", "SELECT node, deg, round((count(*) OVER () - row_number() OVER (ORDER BY deg, node) + 1) / count(*) OVER ()::double, 8) AS ccdf FROM deg", "deg")
 def ccdf_by_order(spark, d):
-    deg = g.degrees(a.graph(spark, d))
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    return deg.select("node", "deg", F.round((n - F.row_number().over(Window.orderBy("deg", "node")) + 1) / n, 8).alias("ccdf"))
+    placed = g.dense(g.degrees(a.graph(spark, d)).select(F.struct("deg", "node").alias("k")), "k")
+    total = placed.agg(N().alias("total"))
+    return placed.join(total).select("k.node", "k.deg", F.round((F.col("total") - F.col("id")) / F.col("total"), 8).alias("ccdf"))  # one row beside
 
 
 FIT = "round(regr_slope(log10(n), log10(k)), 6) AS slope, round(regr_intercept(log10(n), log10(k)), 6) AS intercept, round(regr_r2(log10(n), log10(k)), 6) AS r2"
@@ -191,10 +191,7 @@ def dsp(spark, d):
 
 @query("JN-21", "SELECT a, b, partners FROM wedge WHERE (a, b) NOT IN (SELECT a, b FROM g)", "g wedge")
 def open_wedges(spark, d):
-    e = a.graph(spark, d)
-    n = g.both_ways(e)
-    w = n.alias("p").join(n.alias("q"), "node").filter("p.nbr < q.nbr").groupBy(F.col("p.nbr").alias("a"), F.col("q.nbr").alias("b")).agg(N().alias("partners"))
-    return w.join(e.select("a", "b"), ["a", "b"], "left_anti")
+    return g.open_pairs(a.graph(spark, d))
 
 
 def gw_sql(alphas):
@@ -239,10 +236,13 @@ def betweenness_standard(spark, d):
     return g.betweenness(a.graph(spark, d), 500)
 
 
-@query("GRF-16", "SELECT 1000 AS n_edges, true AS simple")
+@query("GRF-16", "SELECT count(*) AS n_edges, true AS simple FROM g", "g deg")
 def random_graph(spark, d):
-    e = g.random_graph(spark, 200, 1000)
-    return e.agg(F.count_distinct("a", "b").cast("int").alias("n_edges"), F.min((F.col("a") < F.col("b")) & (F.col("b") < 200)).alias("simple"))
+    """As many edges between as many nodes as the similarity graph has."""
+    edges = a.graph(spark, d)
+    n = g.degrees(edges).count()
+    e = g.random_graph(spark, n, edges.count())
+    return e.agg(F.count_distinct("a", "b").alias("n_edges"), F.min((F.col("a") >= 0) & (F.col("a") < F.col("b")) & (F.col("b") < n)).alias("simple"))
 
 
 @query("GRF-17")
@@ -524,14 +524,17 @@ def mann_whitney(spark, d):
     return stats.mann_whitney(a.judged_edges(spark, d).withColumn("f", F.col("judgment") == "Yes"), "similarity", "f").select(F.round("u", 4).alias("u"))
 
 
-@query("STA-05", "SELECT k::int AS k, round(exp(lgamma(k + 2.5) - lgamma(2.5) - lgamma(k + 1) + 2.5 * ln(2.5 / 5.8) + k * ln(3.3 / 5.8)), 9) AS p FROM (SELECT unnest(range(1, 18))::double AS k)")
+@query("STA-05", "SELECT k::int AS k, round(exp(lgamma(k + 2.5) - lgamma(2.5) - lgamma(k + 1) + 2.5 * ln(2.5 / (2.5 + mu)) + k * ln(mu / (2.5 + mu))), 9) AS p FROM (SELECT avg(n) AS mu FROM (SELECT count(*) AS n FROM cit GROUP BY pid)), (SELECT unnest(range(1, 18))::double AS k)", "cit")
 def pmf(spark, d):
-    return spark.createDataFrame(stats.nb_pmf(3.3, 0.4, range(1, 18)), "k int, p double").select("k", F.round("p", 9).alias("p"))
+    """The curve at the mean number of citations of a part."""
+    mu = a.citations(spark, d).groupBy("pid").agg(N().alias("n")).agg(F.avg("n").alias("mu"))
+    rows = mu.select("mu", F.explode(F.sequence(F.lit(1), F.lit(17))).alias("k"))
+    return rows.select("k", F.round(stats.nb_pmf_of(F.col("mu"), 0.4, F.col("k")), 9).alias("p"))
 
 
-@query("STA-06", "SELECT p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM (SELECT unnest([0.0001, 0.005, 0.02, 0.5])::double AS p)")
+@query("STA-06", "SELECT event_id, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM (SELECT event_id, (event_id % 997) / 9970.0::double AS p FROM events)")
 def significance(spark, d):
-    return spark.createDataFrame([(x,) for x in (0.0001, 0.005, 0.02, 0.5)], "p double").select("p", val.stars(F.col("p")).alias("stars"))
+    return a.events(spark, d).select("event_id", val.stars((F.col("event_id") % 997) / F.lit(9970.0)).alias("stars"))
 
 
 @query("STA-07", "SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (SELECT rank() OVER (ORDER BY similarity) + (count(*) OVER (PARTITION BY similarity) - 1) / 2.0 AS rx, rank() OVER (ORDER BY confidence) + (count(*) OVER (PARTITION BY confidence) - 1) / 2.0 AS ry FROM je)", "je")
@@ -586,11 +589,14 @@ def boxes(spark, d):
     return stats.box_stats(degree_with_year(spark, d).withColumn("deg", F.col("deg").cast("double")), "deg", "year", 5)
 
 
-@query("STA-19", "SELECT 1.0::double AS same, 0.0::double AS split")
+RATED = "r AS (SELECT u, v::varchar AS v FROM (SELECT row_number() OVER () AS u, unnest([quality, CASE WHEN doc_id % 11 <> 0 THEN toxic END, doc_id % 2]) AS v FROM labels) WHERE v IS NOT NULL), k AS (SELECT u, v, count(*) AS n FROM r GROUP BY ALL), m AS (SELECT u, sum(n)::double AS m, sum(n * n)::double AS s FROM k GROUP BY u HAVING sum(n) > 1), c AS (SELECT v, sum(n)::double AS n FROM k WHERE u IN (SELECT u FROM m) GROUP BY v), t AS (SELECT sum(n) AS n, sum(n * n) AS s FROM c)"
+
+
+@query("STA-19", f"WITH {RATED} SELECT round(1 - (SELECT sum((m * m - s) / (m - 1)) FROM m) / n / ((n * n - s) / (n * (n - 1))), 6) AS alpha FROM t")
 def agreement(spark, d):
-    even = stats.krippendorff([[1, 0, 1, 0], [1, 0, 1, 0]])
-    half = stats.krippendorff([[1, 1, 0, 0, 1, 1, 0, 0, 1], [1, 0, 1, 0, 1, 0, 1, 0, 1]])
-    return spark.createDataFrame([(even, float(round(half, 0)) + 0.0)], "same double, split double")
+    """Three raters of the labelled documents, one of them with gaps."""
+    rated = a.table(spark, d, "labels").select("quality", F.when(F.col("doc_id") % 11 != 0, F.col("toxic")).alias("toxic"), (F.col("doc_id") % 2).alias("odd"))
+    return stats.agreement(rated, ["quality", "toxic", "odd"]).select(F.round("alpha", 6).alias("alpha"))
 
 
 @query("STA-20", "SELECT vec_id, round(x - 1.96 * coalesce(se, 0), 6) AS low, round(x + 1.96 * coalesce(se, 0), 6) AS high FROM (SELECT vec_id, embedding[1]::double AS x, CASE WHEN label > 4 THEN abs(embedding[2]::double) END AS se FROM embeddings)")
@@ -624,6 +630,12 @@ def bootstrapped(spark, d):
     return stats.bootstrap_means(e, "x", "label")
 
 
+@query("MTH-19-moments", "SELECT label::int AS label, round(avg(abs(embedding[1]::double)), 6) AS mean, round(coalesce(stddev_samp(abs(embedding[1]::double)), 0), 6) AS std FROM embeddings GROUP BY label")
+def bootstrapped_moments(spark, d):
+    """The columns of the bootstrap that no random number decides."""
+    return bootstrapped(spark, d).select("label", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 @query("MTH-20", "SELECT vec_id, coalesce(label % 2 = 0 AND abs(a - b) < 0.15, false) AS same, round(CASE WHEN label % 2 = 0 AND abs(a - b) < 0.15 THEN (a + b) / 2 END, 6) AS p FROM (SELECT vec_id, label, embedding[1]::double AS a, embedding[2]::double AS b FROM embeddings)")
 def swaps(spark, d):
     e = a.table(spark, d, "embeddings").select("vec_id", F.lit("x").alias("la"), F.when(F.col("label") % 2 == 0, "x").otherwise("y").alias("lb"), F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
@@ -662,9 +674,9 @@ def uniform(spark, d):
     return sampling.sample(a.table(spark, d, "documents").filter("doc_id is not null").select("doc_id", "lang"), 25, ["doc_id"])
 
 
-@query("TOP-10", "SELECT node FROM deg ORDER BY md5(node::varchar), node LIMIT 20", "deg")
+@query("TOP-10", "SELECT node FROM deg ORDER BY md5(node::varchar), node LIMIT 500", "deg")
 def search_sources(spark, d):
-    return g.sampled(g.degrees(a.graph(spark, d)).select("node"), 20)
+    return g.sampled(g.degrees(a.graph(spark, d)).select("node"), 500)
 
 
 @query("TOP-08")
@@ -677,12 +689,13 @@ def head(spark, d):
     return a.judged_edges(spark, d).limit(50_000).agg(N().alias("n"))
 
 
-@query("SRC-14", "SELECT count(*) AS n FROM g JOIN vec x ON x.pid = a JOIN vec y ON y.pid = b WHERE x.grp = y.grp", "g vec")
+@query("SRC-14", "SELECT g.a AS a, g.b AS b, CASE WHEN x.grp = y.grp THEN 1.0 WHEN x.grp % 3 = y.grp % 3 THEN 0.333333 ELSE 0.0 END::double AS jaccard FROM g JOIN vec x ON x.pid = g.a JOIN vec y ON y.pid = g.b", "g vec")
 def point_lookup(spark, d):
-    from loomgraph.operators.vectors import class_jaccard
+    """The class overlap of every edge, looked up for these pairs alone."""
+    from loomgraph.operators.vectors import pair_jaccard
 
-    items = a.vectors(spark, d).select("pid", F.array(F.col("grp").cast("string")).alias("classes"))
-    return a.graph(spark, d).join(class_jaccard(items).select("a", "b", "jaccard"), ["a", "b"]).limit(50_000).agg(N().alias("n"))
+    items = a.vectors(spark, d).select("pid", F.array(F.col("grp").cast("string"), F.concat(F.lit("of "), (F.col("grp") % 3).cast("string"))).alias("classes"))
+    return pair_jaccard(a.graph(spark, d).select("a", "b"), items, "a", "b")
 
 
 # --- limits and streams
@@ -705,10 +718,10 @@ def reserving_limiter(spark, d):
     return limits.replay(log(spark, d), 3600, 15, 800, strict=False).select("event_id", "allowed")
 
 
-@query("STM-07", "SELECT * FROM (VALUES (0, 600.0::double, 300.0::double, 1.0::double, 30.0::double), (1, 1200.0, 600.0, 2.0, 60.0), (2, 1800.0, 900.0, 4.0, 120.0), (3, 2400.0, 1200.0, 8.0, 240.0)) t(attempt, rate, busy, parse, quota)")
+@query("STM-07", "SELECT conv_id, turn, 600.0::double * (turn % 6 + 1) AS rate, 300.0::double * (turn % 6 + 1) AS busy, pow(2, turn % 6)::double AS parse, 30 * pow(2, turn % 6)::double AS quota FROM conversations")
 def backoffs(spark, d):
-    kinds = ("rate", "busy", "parse", "quota")
-    return spark.createDataFrame([(n, *[float(val.backoff(n, k)) for k in kinds]) for n in range(4)], "attempt int, rate double, busy double, parse double, quota double")
+    wait = val.backoffs((F.col("turn") % 6).cast("double"))
+    return a.table(spark, d, "conversations").select("conv_id", "turn", *[wait[k].alias(k) for k in ("rate", "busy", "parse", "quota")])
 
 
 @query("WIN-tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

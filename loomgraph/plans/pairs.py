@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as t
 from loomgraph.functions import values as val
 from loomgraph.operators import pairs as p
+from loomgraph.operators.graph import dense
 from loomgraph.plans.base import query
 from loomgraph.sources import adapters as a
 
@@ -444,21 +444,10 @@ def fixed_domain(spark, d):
 
 @query("WIN-08", "SELECT printf('P%03d', row_number() OVER (ORDER BY doc_id)) AS pair_id, doc_id FROM labels WHERE toxic = 1")
 def sequence_ids(spark, d):
-    n = F.row_number().over(Window.orderBy("doc_id"))
-    return a.table(spark, d, "labels").filter("toxic = 1").select(F.format_string("P%03d", n).alias("pair_id"), "doc_id")
+    toxic = dense(a.table(spark, d, "labels").filter("toxic = 1").select("doc_id"), "doc_id")
+    return toxic.select(F.format_string("P%03d", F.col("id") + 1).alias("pair_id"), "doc_id")
 
 
 @query("WIN-09", "SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS id FROM (SELECT DISTINCT source AS pid FROM edge UNION SELECT DISTINCT target FROM edge)", "edge")
 def dense_ids(spark, d):
     return dense(ends(a.edges(spark, d)).select(F.col("node").alias("pid")).distinct(), "pid")
-
-
-def dense(nodes, column: str):
-    """id: 0-based place by the column. Sorted by range partitions; only their sizes meet in one place."""
-    placed = nodes.repartitionByRange(column).sortWithinPartitions(column).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    from loomgraph.operators.graph import checkpointed
-
-    placed = checkpointed(placed)
-    sizes = placed.groupBy("__p").agg(N().alias("n"), F.min("__m").alias("first"))
-    before = sizes.select("__p", "first", (F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    return placed.join(F.broadcast(before), "__p").select(column, (F.col("before") + F.col("__m") - F.col("first")).alias("id"))

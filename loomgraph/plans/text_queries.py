@@ -171,9 +171,10 @@ def shortened(spark, d):
     return reasons(spark, d).select("pid", t.shortened(F.col("reason"), 20).alias("short"))
 
 
-@query("STR-25", "SELECT '080' AS two, '0900' AS three")
+@query("STR-25", "SELECT DISTINCT replace(printf('%.2f', l_discount), '.', '') AS two, replace(printf('%.3f', l_discount), '.', '') AS three FROM lineitem")
 def tags(spark, d):
-    return spark.createDataFrame([(t.threshold_tag(0.80), t.threshold_tag(0.9, 3))], "two string, three string")
+    x = F.col("l_discount").cast("double")
+    return a.table(spark, d, "lineitem").select(t.threshold_tags(x).alias("two"), t.threshold_tags(x, 3).alias("three")).distinct()
 
 
 # --- JSON
@@ -432,9 +433,7 @@ def jaccard(spark, d):
 
 @query("JN-19", f"WITH {JAC} SELECT source, target, coalesce(round(len(list_intersect(x.cs, y.cs)) / len(list_distinct(list_concat(x.cs, y.cs))), 6), 0.0) AS jaccard FROM (SELECT DISTINCT source, target FROM edge) JOIN m x ON x.pid = source JOIN m y ON y.pid = target", "edge pat")
 def pair_jaccard(spark, d):
-    j = v.class_jaccard(classed_patents(spark, d)).select(F.col("a").alias("source"), F.col("b").alias("target"), "jaccard")
-    e = a.edges(spark, d).select("source", "target").distinct()
-    return e.join(j, ["source", "target"], "left").na.fill({"jaccard": 0.0})
+    return v.pair_jaccard(a.edges(spark, d).select("source", "target").distinct(), classed_patents(spark, d))
 
 
 # --- windows

@@ -124,14 +124,18 @@ def images(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("tif",
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
 
 
-def latest_file(spark: SparkSession, folder: str, patterns: tuple[str, ...] = ("*theta*.csv", "*coef*.csv")) -> DataFrame:
-    """path: the last by name of the files that match any pattern."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+def latest(files: DataFrame, patterns: tuple[str, ...] = ("*theta*.csv", "*coef*.csv")) -> DataFrame:
+    """path: the last by name of the files (path) that match any pattern."""
     name = F.substring_index("path", "/", -1)
     match = F.lit(False)
     for p in patterns:
         match |= name.rlike("^" + p.replace(".", r"\.").replace("*", ".*") + "$")
-    return found.filter(match).agg(F.max("path").alias("path"))
+    return files.filter(match).agg(F.max("path").alias("path"))
+
+
+def latest_file(spark: SparkSession, folder: str, patterns: tuple[str, ...] = ("*theta*.csv", "*coef*.csv")) -> DataFrame:
+    """path: the last by name of the files in the folder that match any pattern."""
+    return latest(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path"), patterns)
 
 
 def optional_csv(spark: SparkSession, path: str | None, schema: str) -> DataFrame | None:
@@ -144,9 +148,10 @@ def optional_csv(spark: SparkSession, path: str | None, schema: str) -> DataFram
 
 
 def file_order(df: DataFrame, column: str = "file") -> DataFrame:
-    """file_ord: the place of a row's file among all, by name."""
-    names = df.select(column).distinct()
-    return df.join(F.broadcast(names.withColumn("file_ord", F.row_number().over(Window.orderBy(column)))), column)
+    """file_ord: the place of a row's file among all, by name. Names are numbered by range partitions, and joined as their size asks for."""
+    from loomgraph.operators.graph import dense
+
+    return df.join(dense(df.select(column).distinct(), column).select(column, (F.col("id") + 1).cast("int").alias("file_ord")), column)
 
 
 def stale(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -155,6 +160,12 @@ def stale(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     return both.select("name", F.when(F.col("done").isNull(), "missing").when(F.col("made") > F.col("done"), "stale").otherwise("fresh").alias("state"))
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    """name, modified, bytes."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.substring_index("path", "/", -1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+def commands(states: DataFrame) -> DataFrame:
+    """states with command: what to do about each."""
+    return states.withColumn("command", F.when(F.col("state") == "missing", "run").when(F.col("state") == "stale", "run again").otherwise("nothing"))
+
+
+def files(spark: SparkSession, folder: str, parent: bool = False) -> DataFrame:
+    """name (with parent, that of the folder that holds the file), modified, bytes."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return found.select(F.element_at(F.split("path", "/"), -2 if parent else -1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))

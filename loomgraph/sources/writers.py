@@ -79,7 +79,6 @@ def copy_manifest(images: DataFrame, target: str) -> DataFrame:
     return images.select(F.col("path").alias("src"), F.when(F.col("path") != "", F.concat(F.lit(target + "/"), F.substring_index("path", "/", -1))).alias("dst"))
 
 
-def sidecar(caption: str, description: str) -> str:
-    import json
-
-    return json.dumps({"caption": caption, "description": description}, ensure_ascii=False)
+def sidecars(df: DataFrame, caption: str, description: str) -> DataFrame:
+    """value: one JSON object with caption and description for each row."""
+    return df.select(F.to_json(F.struct(F.col(caption).alias("caption"), F.col(description).alias("description")), {"ignoreNullFields": "false"}).alias("value"))
