@@ -19,6 +19,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """df for several uses: computed once and kept in the shared folder, unless it has been already."""
+    plan = df._jdf.queryExecution().logical()
+    return df if plan.getClass().getSimpleName() == "LogicalRDD" else checkpointed(df)
+
+
 def simple_graph(arcs: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     return arcs.filter(F.col(u) != F.col(v)).select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).distinct()
 

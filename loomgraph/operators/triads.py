@@ -21,7 +21,8 @@ def triads(edges: DataFrame) -> DataFrame:
 
 def scored(edges: DataFrame, digits: int = 6) -> DataFrame:
     """triads with s1 (weakest link), s2 (tightness), s3 (compliance), s4 (shared neighbours), confidence."""
-    t = triads(edges)
+    edges = g.reused(edges)
+    t = g.checkpointed(triads(edges))
     # neighbours of all three: a fourth node that closes a triangle with every side
     quads = _common_to_three(edges, t)
     deg = g.degrees(edges)
@@ -73,6 +74,7 @@ def clustering_scores(edges: DataFrame, digits: int = 6) -> DataFrame:
     Left out of v's neighbourhood, x and y take with them all links that v's triangles have there: what is left is
     tri(v) - cn(v, x) - cn(v, y) + 1 links among deg(v) - 2 nodes; undefined under two nodes.
     """
+    edges = g.reused(edges)
     tri = g.checkpointed(g.triangles(edges))
     cc = g.clustering(edges, tri)
     cn = g.common_neighbours(edges, tri)

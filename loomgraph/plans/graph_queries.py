@@ -451,7 +451,8 @@ XS, YS = [round(0.2 + 0.025 * i, 3) for i in range(9)], [round(0.05 * i, 2) for
 
 @query("AGG-21", f"WITH w AS (SELECT s1, CASE WHEN adj_A IS NOT NULL AND adj_B IS NOT NULL AND adj_C IS NOT NULL THEN round(least(adj_A, adj_B, adj_C), 6) END AS y FROM scored s JOIN wcc w ON s.A = w.A AND s.B = w.B AND s.C = w.C), xs AS (SELECT unnest({XS})::double AS t1), ys AS (SELECT unnest({YS})::double AS t2 UNION ALL SELECT NULL) SELECT t1, t2, count(w.s1) AS n FROM xs CROSS JOIN ys LEFT JOIN w ON w.s1 >= t1 AND (w.y >= t2 OR (t2 IS NULL AND w.y IS NULL)) GROUP BY t1, t2", "scored wcc")
 def threshold_grid(spark, d):
-    both = scored(spark, d).join(wcc(spark, d), ["A", "B", "C"]).select("s1", "wcc_adj")
+    edges = g.reused(a.graph(spark, d))
+    both = tr.scored(edges).join(tr.clustering_scores(edges), ["A", "B", "C"]).select("s1", "wcc_adj")
     return tr.grid(both, "s1", "wcc_adj", XS, YS)
 
 

@@ -267,3 +267,100 @@ def test_annotation_sheet_has_all_pairs(spark):
     pairs_ = sorted(map(tuple, adapters.judged_edges(spark, data).select("source", "target").collect()))
     got = sorted((tuple(r) for r in registry.QUERIES["SNK-18"](spark, data).collect()), key=lambda r: int(r[0][1:]))
     assert len(pairs_) > 23 and got == [(f"P{k:03d}", *pair, "") for k, pair in enumerate(pairs_, 1)]
+
+
+def test_wedges_of_hubs(spark):
+    rng = random.Random(4)
+    rows = sorted({(min(a, b), max(a, b)) for a, b in [(0, k) for k in range(1, 60)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(80)] if a != b})
+    edges = spark.createDataFrame(rows, "a long, b long")
+    nbrs = {}
+    for a, b in rows:
+        nbrs.setdefault(a, set()).add(b)
+        nbrs.setdefault(b, set()).add(a)
+    want = sorted((n, x, y) for n, s in nbrs.items() for x, y in itertools.combinations(sorted(s), 2))
+    for block in (7, 1000):
+        assert sorted(map(tuple, g.wedges(edges, block).collect())) == want
+    linked = set(rows)
+    count = {}
+    for _, x, y in want:
+        count[x, y] = count.get((x, y), 0) + 1
+    assert sorted(map(tuple, g.open_pairs(edges).collect())) == sorted((*p, n) for p, n in count.items() if p not in linked)
+    assert sorted(map(tuple, g.triangles_by_cliques(edges).collect())) == sorted(map(tuple, g.triangles(edges).collect()))
+    verdicts = spark.createDataFrame([(*r, "Yes") for r in rows] + [(a, b, "No") for a, b in itertools.combinations(range(60), 2) if (a + b) % 3 == 0], "a long, b long, judgment string")
+    assert sorted(map(tuple, g.violations(verdicts).collect())) == sorted(p for p in count if p not in linked and sum(p) % 3 == 0)
+    assert g.wedges(edges.limit(0)).count() == g.violations(verdicts.limit(0)).count() == 0
+
+
+def test_dense_numbers(spark):
+    rows = [(k * 7 % 501, "x") for k in range(501)]
+    got = g.dense(spark.createDataFrame(rows, "k int, v string").repartition(5), "k", ["v"]).collect()
+    assert sorted((r.k, r.id) for r in got) == [(k, k) for k in range(501)] and {r.v for r in got} == {"x"}
+    assert g.dense(spark.createDataFrame([], "k int"), "k").count() == 0
+
+
+def test_random_graphs_have_their_size(spark):
+    for n, m in ((20, 50), (20, 180), (20, 500), (5, 0), (300, 2000)):
+        e = g.random_graph(spark, n, m, seed=3).collect()
+        assert len(e) == len(set(map(tuple, e))) == min(m, n * (n - 1) // 2) and all(0 <= a < b < n for a, b in e)
+    assert sorted(map(tuple, g.random_graph(spark, 300, 2000, seed=3).collect())) == sorted(map(tuple, e))
+
+
+def test_limits_over_buckets(spark):
+    """A log without keys, in buckets, against a scan of the whole log."""
+    rng = random.Random(8)
+    rows = [(k, rng.choice([rng.uniform(0, 400), float(rng.randrange(0, 400, 10))]), rng.randint(1, 9)) for k in range(300)]
+    log = spark.createDataFrame(rows, "id int, s double, tokens int").withColumn("ts", F.timestamp_seconds("s"))
+    second = {k: round(s, 6) for k, s, _ in rows}
+    for r in limits.replay(log, 10, 5, 30).collect():
+        near = [(second[k], n) for k, _, n in rows if k != r.id and -1e-9 <= second[r.id] - second[k] <= 10 + 1e-6]
+        assert abs(r.n_recent - len(near)) <= sum(abs(second[r.id] - s - 10) < 2e-6 for s, _ in near) and r.allowed == (r.n_recent < 5 and r.t_recent < 30)
+    assert limits.replay(log, 10, 5, 30).count() == 300
+
+
+def test_neighbours_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    m = np.round(rng.normal(size=(70, 3)), 1)
+    m[40:50] = m[0]  # ties
+    frame = spark.createDataFrame([("ab"[k % 2], k, v.tolist()) for k, v in enumerate(m)], "type string, pid long, vec array<double>").repartition(3)
+    lists = {k: sorted((-round(float(m[k] @ m[j]), 6), j) for j in range(70) if j != k and j % 2 == k % 2) for k in range(70)}
+    got = sorted((r["source"], r["rank"], r["target"], r["similarity"]) for r in vectors.top_neighbours(frame, frame, 4, rows=16).collect())
+    assert got == [(k, n + 1, j, -s) for k in range(70) for n, (s, j) in enumerate(lists[k][:4])]
+    pairs_ = spark.createDataFrame([(k, (k * 3 + 2) % 80) for k in range(70)], "source long, target long")
+    for r in vectors.positional_ranks(pairs_, frame, rows=16).collect():
+        place = [n for n, (_, j) in enumerate(lists[r["source"]]) if j == r["target"]]
+        assert (r["rank"], r["similarity"]) == ((place[0] + 1, -lists[r["source"]][place[0]][0]) if place else (-1, 0.0))
+
+
+def test_pair_jaccard(spark):
+    items = spark.createDataFrame([(1, ["a", "b", "b"]), (2, ["b", "c"]), (3, []), (4, ["x"])], "pid long, classes array<string>")
+    pairs_ = spark.createDataFrame([(1, 2), (1, 3), (3, 3), (1, 4), (2, 2), (1, 9)], "source long, target long")
+    got = {(r["source"], r["target"]): r["jaccard"] for r in vectors.pair_jaccard(pairs_, items).collect()}
+    assert got == {(1, 2): 0.333333, (1, 3): 0.0, (3, 3): 0.0, (1, 4): 0.0, (2, 2): 1.0}
+
+
+def test_agreement_of_columns(spark):
+    rng = random.Random(6)
+    for raters in (2, 3):
+        rows = [tuple(rng.choice([None, "x", "y", "z"]) for _ in range(raters)) for _ in range(60)]
+        frame = spark.createDataFrame(rows, ", ".join(f"r{k} string" for k in range(raters)))
+        want = stats.krippendorff([list(c) for c in zip(*rows)])
+        assert abs(stats.agreement(frame, frame.columns).first()["alpha"] - want) < 1e-9
+    same = spark.createDataFrame([("x", "x")] * 3, "a string, b string")
+    assert stats.agreement(same, ["a", "b"]).first()["alpha"] == 1.0 and stats.agreement(same.limit(0), ["a", "b"]).first()["alpha"] is None
+
+
+def test_pmf_column(spark):
+    got = spark.range(1, 18).select(stats.nb_pmf_of(F.lit(3.3), 0.4, F.col("id").cast("int")).alias("p")).collect()
+    assert np.allclose([r["p"] for r in got], [p for _, p in stats.nb_pmf(3.3, 0.4, range(1, 18))])
+
+
+def test_network_model_takes_the_focus(spark):
+    """A graph over the limit is cut to its nodes of highest degree; nothing larger reaches the driver."""
+    from loomgraph.operators import ergm
+
+    rows = [(a, b) for a, b in itertools.combinations(range(12), 2) if (a + b) % 4] + [(k, 100 + k) for k in range(12)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    inside = ergm.focus(edges, 12)
+    assert {x for r in inside.collect() for x in r} == set(range(12))
+    fitted = ergm.fit_chains(edges, spark.createDataFrame([(k, str(k % 2)) for k in range(200)], "node long, cls string"), [1], rounds=4, toggles=20, size=12).collect()
+    assert {r["statistic"] for r in fitted} == set(ergm.STATISTICS) and all(math.isfinite(r["theta"]) for r in fitted)
