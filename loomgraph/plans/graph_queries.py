@@ -221,17 +221,36 @@ def components(spark, d):
     return g.components(a.graph(spark, d).filter("sim >= 0.42"))
 
 
-@query("GRF-11")
+BFS = """reach(node, root) AS (SELECT node, node FROM nb UNION SELECT nb.nbr, reach.root FROM reach JOIN nb ON nb.node = reach.node), comp AS (SELECT node, min(root) AS c FROM reach GROUP BY node),
+    lcc AS MATERIALIZED (SELECT node FROM comp WHERE c = (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)), src AS (SELECT node FROM lcc ORDER BY md5(node::varchar), node LIMIT 500),
+    walk(source, node, d) AS (SELECT node, node, 0 FROM src UNION SELECT source, nbr, d + 1 FROM walk JOIN nb ON nb.node = walk.node WHERE d < 16), dist AS (SELECT source, node, min(d) AS d FROM walk GROUP BY ALL)"""
+
+
+@query("GRF-11", f"WITH {BFS} SELECT count(DISTINCT source) AS n_sources, count(*) AS n_pairs, round(avg(d), 6) AS avg_path FROM dist WHERE d > 0", "nb")
 def average_path(spark, d):
     return g.average_path(a.graph(spark, d), 500)
 
 
-@query("GRF-12")
+def betweenness_sql(k: int, factor: str, levels: int = 16) -> str:
+    """Shortest paths counted level by level outward, and shares of them back."""
+    out = [f"src AS (SELECT node FROM deg ORDER BY md5(node::varchar), node LIMIT {k})", f"walk(source, node, d) AS (SELECT node, node, 0 FROM src UNION SELECT source, nbr, d + 1 FROM walk JOIN nb ON nb.node = walk.node WHERE d < {levels})"]
+    out += ["dist AS MATERIALIZED (SELECT source, node, min(d) AS d FROM walk GROUP BY ALL)", "p0 AS MATERIALIZED (SELECT source, node, 1.0::double AS paths FROM dist WHERE d = 0)"]
+    for n in range(1, levels + 1):
+        out.append(f"p{n} AS MATERIALIZED (SELECT q.source AS source, t.node AS node, sum(q.paths) AS paths FROM p{n - 1} q JOIN nb ON nb.node = q.node JOIN dist t ON t.source = q.source AND t.node = nb.nbr AND t.d = {n} GROUP BY ALL)")
+    out.append(f"b{levels} AS MATERIALIZED (SELECT source, node, paths, 0.0::double AS share FROM p{levels})")
+    for n in range(levels - 1, 0, -1):
+        below = f"SELECT x.source AS source, nb.node AS node, sum((1 + x.share) / x.paths) AS x FROM b{n + 1} x JOIN nb ON nb.nbr = x.node GROUP BY ALL"
+        out.append(f"b{n} AS MATERIALIZED (SELECT q.source AS source, q.node AS node, paths, paths * coalesce(x, 0) AS share FROM p{n} q LEFT JOIN ({below}) y ON y.source = q.source AND y.node = q.node)")
+    every = " UNION ALL ".join(f"SELECT node, share FROM b{n}" for n in range(1, levels + 1))
+    return f"WITH {', '.join(out)}, tot AS (SELECT node, sum(share) AS s FROM ({every}) GROUP BY node), m AS (SELECT count(*)::double AS n, (SELECT count(*) FROM src)::double AS k FROM deg) SELECT deg.node AS node, round(coalesce(s, 0) * {factor}, 10) AS betweenness FROM deg LEFT JOIN tot ON tot.node = deg.node, m"
+
+
+@query("GRF-12", betweenness_sql(200, "(n / 200) * 2 / ((n - 1) * (n - 2))"), "nb deg")
 def betweenness(spark, d):
     return g.betweenness(a.graph(spark, d), 200, "double")
 
 
-@query("GRF-13")
+@query("GRF-13", betweenness_sql(500, "(n / k) / ((n - 1) * (n - 2))"), "nb deg")
 def betweenness_standard(spark, d):
     return g.betweenness(a.graph(spark, d), 500)
 
@@ -566,21 +585,36 @@ def roc_auc(spark, d):
     return stats.auc(binary(spark, d), "similarity", "y")
 
 
-@query("STA-11")
+#: The normal distribution by its series, as there is no error function.
+STEIGER = """c AS (SELECT corr(similarity, y) AS r1, corr(confidence, y) AS r2, corr(similarity, confidence) AS r12, count(*) AS n FROM (SELECT similarity, confidence, (judgment = 'Yes')::int::double AS y FROM je)),
+    st AS (SELECT (atanh(r1) - atanh(r2)) / sqrt(1.0 / (n - 3) + pow(1 - r12, 2) / (2 * pow(1 - pow((r1 + r2) / 2, 2), 2)) / (n - 1)) AS z FROM c),
+    sz AS (SELECT z, CASE WHEN z > 6 THEN 0.0 WHEN z < -6 THEN 1.0 ELSE 0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 90), lambda i: pow(z, 2 * i + 1) * sqrt(pi()) / (pow(2, i + 1) * gamma(i + 1.5)))) END AS p FROM st)"""
+
+
+@query("STA-11", f"WITH {STEIGER} SELECT round(z, 6) AS z, round(p, 6) AS p FROM sz", "je")
 def steiger(spark, d):
     b = binary(spark, d)
     r = b.agg(F.corr("similarity", "y").alias("x"), F.corr("confidence", "y").alias("y"), F.corr("similarity", "confidence").alias("z"), N().alias("n")).first()
-    return spark.createDataFrame([stats.steiger(r["x"], r["y"], r["z"], r["n"])], "z double, p double")
+    return spark.createDataFrame([stats.steiger(r["x"], r["y"], r["z"], r["n"])], "z double, p double").select(F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
 
 
-@query("STA-12")
+@query("STA-12", f"WITH {STEIGER} SELECT ({AUC}) AS auc_a, ({AUC.replace('ORDER BY similarity', 'ORDER BY confidence').replace('PARTITION BY similarity', 'PARTITION BY confidence')}) AS auc_b, round(z, 6) AS z, round(p, 6) AS p, CASE WHEN p BETWEEN 0.05 AND 0.95 THEN 'undecided' WHEN p < 0.05 THEN 'first' ELSE 'second' END AS verdict FROM sz", "je")
 def compared_aucs(spark, d):
-    return stats.auc_comparison(binary(spark, d), "similarity", "confidence", "y")
+    r = stats.auc_comparison(binary(spark, d), "similarity", "confidence", "y")
+    return r.select("auc_a", "auc_b", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"), "verdict")
+
+
+KDE = """pt AS (SELECT rank::double AS x, similarity AS y FROM rank1), s AS (SELECT min(x) AS lx, max(x) AS ux, stddev_samp(x) * pow(count(*), -1 / 6.0::double) AS hx, min(y) AS ly, max(y) AS uy, stddev_samp(y) * pow(count(*), -1 / 6.0::double) AS hy FROM pt),
+    cell AS (SELECT i, j, count(*) AS c FROM (SELECT round((x - lx) / ((ux - lx) / 2000)) AS i, round((y - ly) / ((uy - ly) / 2000)) AS j FROM pt, s) GROUP BY ALL),
+    near AS (SELECT gi, gj, c, (i * ((ux - lx) / 2000) - gi * ((ux - lx) / 19)) / hx AS dx, (j * ((uy - ly) / 2000) - gj * ((uy - ly) / 19)) / hy AS dy FROM cell, s, (SELECT unnest(range(20)) AS gi), (SELECT unnest(range(20)) AS gj)
+        WHERE gi BETWEEN floor((i * ((ux - lx) / 2000) - 5 * hx) / ((ux - lx) / 19)) AND ceil((i * ((ux - lx) / 2000) + 5 * hx) / ((ux - lx) / 19)) AND gj BETWEEN floor((j * ((uy - ly) / 2000) - 5 * hy) / ((uy - ly) / 19)) AND ceil((j * ((uy - ly) / 2000) + 5 * hy) / ((uy - ly) / 19))),
+    dens AS (SELECT gi, gj, sum(c * exp(-0.5 * (dx * dx + dy * dy))) AS d FROM near GROUP BY ALL)"""
 
 
-@query("STA-15")
+@query("STA-15", f"WITH {KDE} SELECT round(lx + gi * ((ux - lx) / 19), 6) AS gx, round(ly + gj * ((uy - ly) / 19), 6) AS gy, round(d / max(d) OVER (), 6) AS density FROM dens, s", "rank1")
 def density_map(spark, d):
-    return stats.kde(a.ranked_pairs(spark, d).select(F.col("rank").cast("double").alias("rank"), "similarity"), "rank", "similarity")
+    map_ = stats.kde(a.ranked_pairs(spark, d).select(F.col("rank").cast("double").alias("rank"), "similarity"), "rank", "similarity")
+    return map_.select(F.round("gx", 6).alias("gx"), F.round("gy", 6).alias("gy"), F.round("density", 6).alias("density"))
 
 
 @query("STA-16", f"WITH {DEG}, j AS (SELECT year, deg FROM dg JOIN pub ON pid = node), q AS (SELECT year, count(*) AS n, quantile_cont(deg, 0.25) AS q1, quantile_cont(deg, 0.5) AS med, quantile_cont(deg, 0.75) AS q3 FROM j GROUP BY year HAVING count(*) >= 5) SELECT q.year AS year, n, round(q1, 6) AS q1, round(med, 6) AS med, round(q3, 6) AS q3, min(deg) FILTER (deg >= q1 - 1.5 * (q3 - q1))::double AS low, max(deg) FILTER (deg <= q3 + 1.5 * (q3 - q1))::double AS high FROM q JOIN j ON j.year = q.year GROUP BY ALL", "edge pub")
