@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import values as val
+from loomgraph.functions.text import EXACT_WORDS, word_pattern
 from loomgraph.operators import graph as g
 from loomgraph.operators import pairs as p
 from loomgraph.operators import sampling, stats
@@ -714,7 +715,25 @@ def search_sources(spark, d):
     return g.sampled(g.degrees(a.graph(spark, d)).select("node"), 500)
 
 
-@query("TOP-08")
+def pilot_sql(high: float, low: float, upto: float) -> str:
+    """Strata in turn, each from what the ones before have left."""
+    yes, no = "lower(trim(judgment)) = 'yes'", "lower(trim(judgment)) = 'no'"
+    strata = [
+        (f"confidence = 5 AND {no} AND regexp_matches(reason, '{word_pattern(EXACT_WORDS)}')", 4, ""), (f"similarity >= {high} AND {no}", 4, ""), (f"similarity >= {high} AND {yes}", 4, ""),
+        (yes, 4, "similarity, "), (f"similarity BETWEEN {low} AND {upto}", 4, ""), ("source IN (SELECT node FROM fc WHERE c = (SELECT c FROM fc GROUP BY c ORDER BY count(*) DESC, c LIMIT 1))", 3, ""),
+    ]
+    out, left = [], "je"
+    for k, (condition, size, order) in enumerate(strata, 1):
+        if k == len(strata):
+            out.append(f"fn AS (SELECT source AS x, target AS y FROM {left} UNION ALL SELECT target, source FROM {left}), fr(node, root) AS (SELECT x, x FROM fn UNION SELECT fn.y, fr.root FROM fr JOIN fn ON fn.x = fr.node), fc AS (SELECT node, min(root) AS c FROM fr GROUP BY node)")
+        out.append(f"l{k} AS MATERIALIZED (SELECT *, 'L{k}' AS stratum FROM {left} WHERE {condition} ORDER BY {order}md5(concat_ws('|', source, target, 42)), source, target LIMIT {size})")
+        out.append(f"left{k} AS MATERIALIZED (SELECT * FROM {left} WHERE (source, target) NOT IN (SELECT source, target FROM l{k}))")
+        left = f"left{k}"
+    every = " UNION ALL ".join(f"SELECT source, target, similarity, judgment, confidence, reason, stratum FROM l{k}" for k in range(1, len(strata) + 1))
+    return f"WITH {', '.join(out)} {every}"
+
+
+@query("TOP-08", pilot_sql(0.35, 0.26, 0.27), "je")
 def pilot(spark, d):
     return sampling.stratified(a.judged_edges(spark, d), sampling.pilot_strata(0.35, 0.26, 0.27))
 
