@@ -31,11 +31,20 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 
 #: label, template words, mandatory key phrase. Openings of public licence texts.
 TEMPLATES = [
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied", "conditions under which a package may be copied"),
+    ("boost", "distributed under the boost software license version 1 0", "boost software license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", "dedicated the work to the public domain"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", "common development and distribution license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gnu free documentation license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
@@ -43,6 +52,7 @@ TEMPLATES = [
     ("mit", "released under the mit license", "the mit license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
 ]
 ANCHORS = 3
 
@@ -62,59 +72,72 @@ def _index() -> tuple[dict[str, float], list[tuple[str, list[str], list[int], in
     return idf, index
 
 
-def _stands(words: Column, start: Column, at: int, phrase: list[str]) -> Column:
-    found = F.lit(True)
-    for i, w in enumerate(phrase):
-        found &= F.coalesce(F.get(words, start + (at + i)) == w, F.lit(False))
-    return found
+def _literal(values) -> Column:
+    return F.array(*map(F.lit, values))
 
 
-def _implied(words: Column, hits: Column, anchor: str, position: int) -> Column:
-    """Where a template would start, by each occurrence of one of its anchors."""
-    return F.transform(F.filter(hits, lambda p: F.get(words, p) == anchor), lambda p: p - position)
+def _index_column() -> Column:
+    """The index as one constant: an array of templates."""
+    idf, index = _index()
+    rows = []
+    for label, words, at, phrase_at, phrase, _ in index:
+        anchors = F.array(*[F.struct(F.lit(words[q]).alias("word"), F.lit(q).alias("at")) for q in at])
+        parts = {"label": F.lit(label), "words": _literal(words), "idf": _literal([idf[w] for w in words]), "total": F.lit(sum(idf[w] for w in words)), "anchors": anchors, "at": F.lit(phrase_at), "phrase": _literal(phrase)}
+        rows.append(F.struct(*[c.alias(n) for n, c in parts.items()]))
+    return F.array(*rows)
+
+
+def _starts(words: Column, hits: Column):
+    """template -> the verified starts of a template."""
+
+    def implied(t: Column, k: int) -> Column:
+        """Where the template would start, by each occurrence of one of its anchors."""
+        anchor = F.get(t["anchors"], F.lit(k))
+        return F.transform(F.filter(hits, lambda p: F.get(words, p) == anchor["word"]), lambda p: p - anchor["at"])
+
+    def of(t: Column) -> Column:
+        one, two, three = (implied(t, k) for k in range(ANCHORS))
+        agreed = F.array_union(F.array_union(F.array_intersect(one, two), F.array_intersect(one, three)), F.array_intersect(two, three))
+        starts = F.when(F.size(t["anchors"]) == 1, one).otherwise(agreed)
+        # a template may begin before the file, its key phrase may not
+        return F.filter(starts, lambda s: (s + t["at"] >= 0) & (F.slice(words, F.greatest(s + t["at"], F.lit(0)) + 1, F.size(t["phrase"])) == t["phrase"]))
+
+    return of
 
 
-def _verified(words: Column, starts: Column, at: int, phrase: list[str]) -> Column:
-    return F.filter(starts, lambda s: (s + at >= 0) & _stands(words, s, at, phrase))
+def _shares(words: Column):
+    """template, starts -> the largest share, by idf, of the template's words that stand at one of its starts."""
+
+    def at(t: Column, s: Column) -> Column:
+        stands = lambda i: (s + i >= 0) & (F.get(words, F.greatest(s + i, F.lit(0))) == F.get(t["words"], i))
+        return F.aggregate(F.sequence(F.lit(0), F.size(t["words"]) - 1), F.lit(0.0), lambda total, i: total + F.when(stands(i), F.get(t["idf"], i)).otherwise(0.0)) / t["total"]
+
+    return lambda t, starts: F.coalesce(F.array_max(F.transform(starts, lambda s: at(t, s))), F.lit(0.0))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per row of docs."""
-    idf, index = _index()
+    _, index = _index()
     anchors = sorted({words[q] for _, words, at, _, _, _ in index for q in at})
-    words, hits = F.col("words"), F.col("hits")
+    words, hits, starts, templates = F.col("words"), F.col("hits"), F.col("starts"), _index_column()
     split = F.array_remove(F.split(lower_ascii(no_null(F.col(text_col))), SEPARATORS), "")
     frame = docs.select(F.col(id_col).alias("doc_id"), split.alias("words")).withColumn("n", F.size("words"))
     # where the licence words of the highest idf stand: nearly always nowhere
     frame = frame.withColumn("hits", F.when(F.col("n") > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: F.get(words, i).isin(anchors))).otherwise(F.array().cast("array<int>")))
-    starts = {}
-    for k, (_, template, at, phrase_at, phrase, least) in enumerate(index):
-        by_anchor = [_implied(words, hits, template[q], q) for q in at]
-        agreed = by_anchor[0] if least == 1 else F.array_union(F.array_union(F.array_intersect(by_anchor[0], by_anchor[1]), F.array_intersect(by_anchor[0], by_anchor[2])), F.array_intersect(by_anchor[1], by_anchor[2]))
-        # a template may begin before the file, its key phrase may not
-        starts[f"s{k}"] = _verified(words, agreed, phrase_at, phrase)
-    frame = frame.withColumns(starts)
-
-    def share(k: int, template: list[str]) -> Column:
-        total = sum(idf[w] for w in template)
-
-        def at(s: Column) -> Column:
-            return sum((F.when((s + i >= 0) & (F.get(words, F.greatest(s + i, F.lit(0))) == w), idf[w]).otherwise(0.0) for i, w in enumerate(template)), F.lit(0.0))
-
-        return F.coalesce(F.array_max(F.transform(F.col(f"s{k}"), lambda s: at(s) / total)), F.lit(0.0))
-
+    frame = frame.withColumn("starts", F.transform(templates, _starts(words, hits)))
     n_base = len(BASE)
-    base = F.concat(*[F.col(f"s{k}") for k in range(n_base)])
-    found = lambda upto: F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"s{k}") > 0, F.lit(index[k][0])) for k in range(upto)]))))
-    return frame.withColumn("base", base).select(
+    base = F.flatten(F.slice(starts, 1, n_base))
+    found = F.zip_with(templates, starts, lambda t, s: F.when(F.size(s) > 0, t["label"]))
+    sorted_labels = lambda labels: F.array_join(F.array_sort(F.array_distinct(F.array_compact(labels))), ",")
+    return frame.withColumn("base", base).withColumn("found", found).select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
         F.size("base").cast("long").alias("n_base"),
         F.array_min("base").cast("long").alias("first_word"),
         F.array_max("base").cast("long").alias("last_word"),
-        F.array_join(found(n_base), ",").alias("base_labels"),
-        F.array_join(found(len(index)), ",").alias("labels"),
-        F.round(F.greatest(*[share(k, t[1]) for k, t in enumerate(index)]), 6).alias("score"),
+        sorted_labels(F.slice("found", 1, n_base)).alias("base_labels"),
+        sorted_labels(F.col("found")).alias("labels"),
+        F.round(F.array_max(F.zip_with(templates, starts, _shares(words))), 6).alias("score"),
     )
 
 
