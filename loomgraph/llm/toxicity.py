@@ -27,12 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import small_batches
 
 TRAIN_ROWS = 2500
+#: Ids of each class that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 BUCKETS = 1 << 17
 DIM = 6
 N_GRAMS = (3, 4, 5, 6)
@@ -176,16 +178,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").filter(~held_out())
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = []
-    for label in (0, 1):
-        ids, drawn = marked.filter(F.col("toxic") == label).select("doc_id").distinct(), rows
-        while True:  # ordered limits keep `drawn` ids of each task; only labels without documents make a second turn
-            chosen = ids.orderBy(*order).limit(drawn)
-            found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(*order).limit(rows).collect()
-            if len(found) == rows or chosen.count() < drawn:
-                break
-            drawn *= 4
-        out += [(r.doc_id, r.text, label) for r in found]
+    ids = {label: marked.filter(F.col("toxic") == label).distinct() for label in (0, 1)}
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(*order))
+    drawn = rows
+    while True:  # ordered limits keep `drawn` ids of each task; only labels without documents make a second turn
+        chosen = ids[0].orderBy(*order).limit(drawn).unionAll(ids[1].orderBy(*order).limit(drawn))
+        found = texts.join(F.broadcast(chosen) if drawn <= BROADCAST_IDS else chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+        out = [(r.doc_id, r.text, r.toxic) for r in found.withColumn("place", place).filter(F.col("place") <= rows).collect()]
+        have = Counter(toxic for _, _, toxic in out)
+        if all(have[label] == rows or ids[label].limit(drawn).count() < drawn for label in ids):
+            break
+        drawn *= 4
     return sorted(out, key=lambda r: (r[0], r[1] or "", r[2]))
 
 
