@@ -169,3 +169,17 @@ def test_top_k(spark, shard_rows, seed_rows, monkeypatch):
     assert topk.top_k(frame.limit(0)).count() == 0
     assert topk.top_k(frame.filter("vec_id in (100, 101)")).count() == 1
     assert [tuple(r) for r in topk.top_k(frame.filter("vec_id = 900").unionAll(frame.filter("vec_id = 900"))).collect()] == [(900, 1, 900, 0)] * 2
+
+
+def test_very_long_texts(spark):
+    """Half a million words with licence phrases at both ends, and equal texts of some megabytes."""
+    middle = "word and " * 250_000
+    texts = [(1, "All rights reserved " + middle + "cc by"), (2, "cc " * 20_000 + "by"), (3, middle), (4, middle.upper()), (5, "x" * 3_000_000)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in license_scan.scan_licenses(frame).collect()}
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (500_005, 2, 0, 500_003, "cc-by,reserved")
+    assert (got[2].n_words, got[2].n_base, got[2].first_word) == (20_001, 1, 19_999) and got[5].n_words == 1 and got[3].score == 0
+    kept = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(frame).collect()}
+    assert kept[3] == (4, 2, False, hashlib.sha256(middle.encode()).hexdigest()) and kept[4][:3] == (4, 2, True) and kept[5][:3] == (5, 1, True)
+    lines = {r.doc_id: r.n_lines for r in line_dedup.line_dedup(frame).collect()}
+    assert lines == dict.fromkeys(range(1, 6), 1)
