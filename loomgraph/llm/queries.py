@@ -136,3 +136,30 @@ def op2(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@_query("op11_fill_middle")
+def op11(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from loomgraph.llm.fill_middle import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+ORACLE_SQL["op11_fill_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::varchar, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls, ('0x' || substr(h, 1, 8))::bigint AS h1, ('0x' || substr(h, 9, 8))::bigint AS h2,
+             ('0x' || substr(h, 17, 8))::bigint AS h3, ('0x' || substr(h, 25, 8))::bigint AS h4,
+             CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, chr(10), '')) + (right(t, 1) <> chr(10))::int END AS n FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT *, CASE WHEN lo = 0 THEN '' WHEN lo = n THEN t ELSE array_to_string(list_slice(ls, 1, lo), chr(10)) || chr(10) END AS p,
+             CASE WHEN hi = 0 THEN '' WHEN hi = n THEN t ELSE array_to_string(list_slice(ls, 1, hi), chr(10)) || chr(10) END AS q FROM f),
+m AS (SELECT doc_id, t, n, form, p, substr(t, length(p) + 1, length(q) - length(p)) AS mid, substr(t, length(q) + 1) AS s FROM c)
+SELECT doc_id, n::bigint AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || mid ELSE '<S>' || s || '<P>' || p || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM m
+"""
