@@ -163,3 +163,10 @@ SELECT doc_id, n::bigint AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
        sha256(t) AS restored_sha256
 FROM m
 """
+
+
+@_query("op12_fingerprints")
+def op12(spark, sf_dir):
+    from loomgraph.llm.weighted_sampling import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
