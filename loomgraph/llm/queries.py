@@ -170,3 +170,11 @@ def op12(spark, sf_dir):
     from loomgraph.llm.weighted_sampling import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@_query("op13_conversations")
+def op13(spark, sf_dir):
+    from loomgraph.llm.conversations import damaged, repair_report
+
+    turns = table(spark, sf_dir, "conversations")
+    return repair_report(turns, damaged(turns))
