@@ -7,9 +7,14 @@ Votes are added up by host in Spark, with map-side partials, and each page is re
 A page without that path uses its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out by tag, role, class and id,
-of containers, blocks and inline elements. A header inside an article belongs to the article. Class words that articles
-use too (MAYBE) do not decide: each page votes whether what bears such a word holds prose, the votes are added up by
-host beside those for paths, and the word leaves text out only on hosts where it mostly holds none.
+of containers, blocks and inline elements. A header inside an article belongs to the article. No class word decides
+alone: each page votes about what bears it, the votes are added up by host beside those for paths, and text is left out
+only on hosts where most votes say so. There are three kinds of votes. A class of WORDS and plain additions (NEUTRAL)
+stays if it holds most of the prose of the page, as the wrapper of all text does. A class with other words beside them
+(`social-sciences`) votes as a whole, and stays if it holds prose. So do the words that articles use too (MAYBE). Classes
+like `with-sidebar` (MODIFIERS) name what is elsewhere and count for nothing. Ids of headings, of sections that have a
+heading, and of sections in articles are names of the text itself; other ids in articles count for adverts and reader
+comments alone. A page that would be empty keeps what only class words leave out, if that is prose.
 White space and <br> inside a block become one space; blocks stand in page order, joined by one line feed.
 
 Reading takes time linear in the page: markup is scanned without going back, the path of a container is kept as its last
@@ -40,6 +45,8 @@ BROADCAST_BYTES = 16 << 20
 SALTS = 16
 #: A block of so many characters right in the body is no stray line of the site.
 PROSE = 70
+#: What only class words leave out must hold so many characters of prose to be the text of a page.
+TEXT = 3 * PROSE
 
 CONTAINERS = frozenset("html body main article section div table tbody td ul ol dl header footer nav aside form fieldset center details dialog menu search".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr th pre blockquote figure figcaption caption address hr summary thead tfoot title legend optgroup option hgroup".split())
@@ -60,10 +67,19 @@ WORDS = frozenset(
     "sidebar sidebars aside cookie cookies consent gdpr notice notices notification notifications popup modal overlay paywall "
     "newsletter subscribe subscription signup login signin searchbox share sharing social".split()
 )
+#: Parts of a class that say nothing about what it holds.
+NEUTRAL = frozenset(
+    "site page main top bottom left right upper lower box list bar container wrapper wrap inner outer block area item items slot slots unit units button buttons btn link links icon icons "
+    "primary secondary global mobile desktop sticky fixed floating inline strip panel row col column group label text title heading body image img frame embed placeholder js module component "
+    "message small large wide full default first last new my post entry article blog web widget section holder count thread user reader author meta".split()
+)
+#: A class that begins with one of these says what stands beside its element, or does not.
+MODIFIERS = frozenset("with without has have no show hide".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adslot adsense outbrain taboola".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: Words that stand for things beside the text on some hosts and for parts of it on others.
-MAYBE = ("alert", "disclaimer", "discussion", "follow", "form", "popular", "promoted", "promotion", "rail", "recommended", "recommendations", "related", "search", "trending", "widget")
-_BIT = {w: 1 << i for i, w in enumerate(MAYBE)}
+MAYBE = frozenset("alert disclaimer discussion follow form popular promoted promotion rail recommended recommendations related search trending widget".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ARTICLE = frozenset("article post entry story".split())
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 #: The rest of a tag; possessive, so that nothing is scanned twice. Quotes count after = alone, where they close, and
@@ -133,7 +149,9 @@ class Page:
     """Containers, in page order, and the blocks of text in them. Blocks that are left out count as containers."""
 
     def __init__(self, source: str | None):
-        self.tags, self.steps, self.parents, self.marks, self.maybe, self.inside = ["#"], [""], [0], [0], [0], [False]
+        self.tags, self.steps, self.parents, self.marks, self.inside = ["#"], [""], [0], [0], [False]
+        self.keys: list[tuple[str, ...]] = [()]  # what the host votes about, of each container
+        self.sections: set[int] = set()  # open to lose the keys of their ids to a heading
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         self._read(source or "")
         self._keep_whole_articles()
@@ -215,41 +233,72 @@ class Page:
                     mute_depth += (tag == muted) * (-1 if closes else 1)
                     if not mute_depth:
                         muted, in_link = "", in_link and tag != "a"
-                elif not closes and attrs and not attrs.endswith("/") and self._read_marks(tag, attrs, stack[-1])[1] == 1 and not opened["pre"]:
-                    muted, mute_depth, mute_at = tag, 1, len(stack)
+                elif not closes and attrs and not attrs.endswith("/") and not opened["pre"]:
+                    _, out, keys, _ = self._read_marks(tag, attrs, stack[-1])
+                    if out == 1 or any(k[0] == "!" for k in keys):
+                        muted, mute_depth, mute_at = tag, 1, len(stack)
         flush()
 
-    def _read_marks(self, tag: str, attrs: str, parent: int) -> tuple[str, int, int]:
-        """The generalised classes; 1 if the attributes leave the element out, 2 if as comments, else 0; the bits of MAYBE."""
-        classes, out, maybe = "", 0, 0
+    def _read_marks(self, tag: str, attrs: str, parent: int) -> tuple[str, int, tuple[str, ...], bool]:
+        """The generalised classes; 1 if the attributes leave the element out, 2 if as comments, else 0; what the host votes about; whether that is of the id alone."""
+        classes, ident, out = "", "", 0
         for name, a, b, c in _ATTR.findall(attrs) if attrs.strip() else ():
             name, value = name.lower(), a or b or c
             if name == "class":
-                classes = ".".join(sorted({_DIGITS.sub("#", x) for x in value.split()}))
-            if name in ("class", "id") and tag not in ("html", "body", "main"):
-                for token in value.split():
-                    words = {x.lower() for x in _PARTS.findall(token)}
-                    if words & COMMENTS:
-                        out = 2
-                    if words & WORDS and not (words & WORDS == {"header"} and (self.inside[parent] or words & _ARTICLE)):
-                        out = out or 1
-                    maybe |= sum(_BIT[w] for w in words if w in _BIT)
+                classes = value
+            elif name == "id":
+                ident = value
             elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                out = out or 1
-        return classes, out, maybe
+                out = 1
+        keys: set[str] = set()
+        by_id = False
+        tokens = classes.split()
+        if tag not in ("html", "body", "main"):
+            for token in tokens:
+                out = self._read_token(token, parent, keys) or out
+            if ident and tag not in HEADINGS:
+                inside, section = self.inside[parent], tag == "section" or "section" in tokens
+                words = {x.lower() for x in _PARTS.findall(ident)}
+                if not (inside and (section or not words & (ADVERTS | COMMENTS))):
+                    of_id: set[str] = set()
+                    mark = self._read_token(ident, parent, of_id)
+                    by_id = section and not keys and not out and (bool(of_id) or mark == 2)
+                    out = mark or out
+                    keys |= {k for k in of_id if k[0] == "!" or k in MAYBE}  # ids with other words are names
+        return ".".join(sorted({_DIGITS.sub("#", x) for x in tokens})), out, tuple(sorted(keys)), by_id
+
+    def _read_token(self, token: str, parent: int, keys: set[str]) -> int:
+        """2 if the token stands for comments, else 0; adds to the keys: `!` and its words if it is plain, a word of MAYBE, or else the token."""
+        words = [x.lower() for x in _PARTS.findall(token)]
+        if not words or words[0] in MODIFIERS:
+            return 0
+        known = set(words)
+        if known & COMMENTS:
+            return 2
+        keys |= known & MAYBE
+        hit = known & WORDS
+        if hit and not (hit == {"header"} and (self.inside[parent] or known & _ARTICLE)):
+            plain = known <= WORDS | NEUTRAL | MAYBE
+            keys.add("!" + "-".join(words) if plain else _DIGITS.sub("#", token.lower()))
+        return 0
 
     def _open(self, tag: str, attrs: str, parent: int, muted: bool) -> int:
         """A new container; 0 for a block that needs none."""
-        classes, out, maybe = self._read_marks(tag, attrs, parent)
+        if tag in HEADINGS and parent in self.sections:
+            self.sections.discard(parent)
+            self.keys[parent], self.marks[parent] = (), 0
+        classes, out, keys, by_id = self._read_marks(tag, attrs, parent)
         if tag in LEFT_OUT and not (tag == "header" and self.inside[parent]) or muted:
             out = out or 1
-        if tag in BLOCKS and not out and not maybe:
+        if tag in BLOCKS and not out and not keys:
             return 0
         self.tags.append(tag)
         self.steps.append(f"{tag}.{classes}" if classes else tag)
         self.parents.append(parent)
         self.marks.append(out)
-        self.maybe.append(maybe)
+        self.keys.append(keys)
+        if by_id:
+            self.sections.add(len(self.tags) - 1)
         self.inside.append(self.inside[parent] or tag in ("article", "main"))
         return len(self.tags) - 1
 
@@ -266,36 +315,42 @@ class Page:
                 for at in around:
                     known[at] = state
                     if state == 1 and self.tags[at] not in LEFT_OUT:
-                        self.marks[at] = self.maybe[at] = 0
+                        self.marks[at], self.keys[at] = 0, ()
 
-    def _left_out(self, kept: int) -> list[bool]:
-        """For each container whether its text is left out, where the words of MAYBE in kept do not leave it out."""
+    def _left_out(self, kept: frozenset | None) -> list[bool]:
+        """For each container whether its text is left out, where the keys in kept do not leave it out; None keeps all of them."""
         out = [False] * len(self.tags)
         for i in range(1, len(self.tags)):  # parents come first
-            out[i] = bool(self.marks[i]) or bool(self.maybe[i] & ~kept) or out[self.parents[i]]
+            out[i] = bool(self.marks[i]) or kept is not None and any(k not in kept for k in self.keys[i]) or out[self.parents[i]]
         return out
 
-    def words(self) -> int:
-        """The words of MAYBE that stand for parts of the text on this page: what bears them holds more prose than other text."""
-        prose: Counter = Counter()
-        own = Counter()
+    def words(self) -> frozenset:
+        """The keys that stand for parts of the text on this page: what bears them holds more prose than other text, or, for plain classes, most of the prose."""
+        if not any(self.keys):
+            return frozenset()
+        gone = self._left_out(None)
+        own, solid = Counter(), Counter()
         for node, line, linked in self.blocks:
             value = len(line) - 2 * linked
             own[node] += value if value >= PROSE else -len(line)
+            if value >= PROSE and not gone[node]:
+                solid[node] += value
+        votes: Counter = Counter()
         for i in range(len(self.tags) - 1, 0, -1):
-            if own[i]:
-                own[self.parents[i]] += own[i]
-                for w, bit in _BIT.items() if self.maybe[i] else ():
-                    if self.maybe[i] & bit:
-                        prose[bit] += own[i]
-        return sum(bit for bit, value in prose.items() if value > 0)
+            own[self.parents[i]] += own[i]
+            solid[self.parents[i]] += solid[i]
+        for i, keys in enumerate(self.keys):
+            for key in keys:
+                if key[0] == "!":
+                    votes[key] += 2 * solid[i] > solid[0] and solid[i] >= TEXT
+                else:
+                    votes[key] += own[i]
+        return frozenset(k for k, value in votes.items() if value > 0)
 
     def word_votes(self) -> list[tuple[str, int]]:
-        """For each word of MAYBE that the page has, 1 if it stands for text and else -1."""
-        here, kept = 0, self.words()
-        for bits in self.maybe:
-            here |= bits
-        return [(w, 1 if kept & bit else -1) for w, bit in _BIT.items() if here & bit]
+        """For each key that the page has, 1 if it stands for text and else -1."""
+        kept = self.words()
+        return [(k, 1 if k in kept else -1) for k in sorted({k for keys in self.keys for k in keys})]
 
     def path(self, node: int) -> str:
         steps = []
@@ -364,13 +419,18 @@ class Page:
             node = parent
         return kept
 
-    def text(self, path: str | None = None, kept: int | None = None) -> str:
-        """The blocks in all containers on this path, or else in the best one; kept: the host's words of MAYBE."""
+    def text(self, path: str | None = None, kept: frozenset | None = None) -> str:
+        """The blocks in all containers on this path, or else in the best one; kept: the keys that stand for text on the host."""
         if kept is not None:
             self.out = self._left_out(kept)
         roots = self.on_path(path) if path else set()
-        lines = self._lines(roots) if roots else []
-        return "\n".join(lines or self._lines({self.best()}))
+        lines = (self._lines(roots) if roots else []) or self._lines({self.best()})
+        if not lines and any(self.keys):
+            self.out = self._left_out(None)
+            lines = self._lines({self.best()})
+            if sum(len(x) for x in lines if len(x) >= PROSE) < TEXT:
+                lines = []
+        return "\n".join(lines)
 
     def _lines(self, roots: set[int]) -> list[str]:
         inside = [0 in roots]
@@ -380,7 +440,7 @@ class Page:
 
 
 def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, kind, path, n: how many pages of a host have their main text there; of kind `word`, the votes for a word of MAYBE less those against."""
+    """host, kind, path, n: how many pages of a host have their main text there; of kind `word`, the votes for a key less those against."""
 
     def vote(batches):
         for batch in batches:
@@ -399,12 +459,11 @@ def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
 
 def winners(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, kept: one row per host; the first path in order among those with most votes, and the bits of the words that stand for text."""
+    """host, path, kept: one row per host; the first path in order among those with most votes, and the keys that stand for text."""
     found = votes(pages, url_col, html_col)
-    bits = F.create_map(*[F.lit(x) for pair in _BIT.items() for x in pair])
     path = F.min(F.when(F.col("kind") == "path", F.struct((-F.col("n")).alias("n"), "path")))["path"]
-    kept = F.coalesce(F.bit_or(F.when((F.col("kind") == "word") & (F.col("n") > 0), bits[F.col("path")])), F.lit(0))
-    return found.groupBy("host").agg(path.alias("path"), kept.cast("int").alias("kept"))
+    kept = F.collect_set(F.when((F.col("kind") == "word") & (F.col("n") > 0), F.col("path")))
+    return found.groupBy("host").agg(path.alias("path"), kept.alias("kept"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -412,7 +471,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     small_batches(spark)
     won = checkpointed(winners(pages, url_col, html_col))
-    size = won.agg(F.coalesce(F.sum(F.length("host") + F.coalesce(F.length("path"), F.lit(0)) + 200), F.lit(0))).first()[0]
+    size = won.agg(F.coalesce(F.sum(F.length("host") + F.coalesce(F.length("path"), F.lit(0)) + F.length(F.array_join("kept", "")) + 200), F.lit(0))).first()[0]
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kind = source.schema["page_id"].dataType.simpleString()
 
@@ -420,7 +479,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         def read(batches):
             look = path_of()
             for batch in batches:
-                texts = [Page(h).text(*won) for h, won in zip(batch.column("html").to_pylist(), look(batch))]
+                texts = [Page(h).text(path, None if kept is None else frozenset(kept)) for h, (path, kept) in zip(batch.column("html").to_pylist(), look(batch))]
                 made = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
                 yield pa.RecordBatch.from_arrays(made, ["page_id", "url", "text", "n_chars"])
 

@@ -79,7 +79,7 @@ def test_links_beside_the_text_stay_out():
     "inner, want",
     [
         ('<article><p>Kept text.</p><p class="advert">Buy this<p>And more text.</p></article>', "Kept text.\nAnd more text."),
-        ('<article><p class="cookie-notice">We use cookies.</p><p>Kept text.</p><h2 id="share">Share<h2>Next</h2></article>', "Kept text.\nNext"),
+        ('<article><p class="cookie-notice">We use cookies.</p><p>Kept text.</p><h2 id="share">Share<h2>Next</h2></article>', "Kept text.\nShare\nNext"),
         ('<article><ul><li>one<li class="comment">no<p>no</p><ul><li>no</ul><li>two</ul><p>Kept text.</article>', "one\ntwo\nKept text."),
         ('<article><p>Kept <span class="ad">not <span>this</span> one</span>text<span hidden>no</span>.</p><p>More <span role="alert">no<p>text</article>', "Kept text.\nMore\ntext"),
         ('<article><header class="entry-header"><h1>The title</h1></header><p>Kept text.</p><footer>by me</footer></article>', "The title\nKept text."),
@@ -160,3 +160,41 @@ def test_random_pages_against_what_they_were_made_of():
     for _ in range(200):
         inner, lines = content(3)
         assert h.Page(PAGE % f"<article><h1>Title</h1>{inner}</article>").text().split("\n") == ["Title", *lines]
+
+
+PROSE_TEXT = ["The first paragraph of the text is long enough to be prose, with words and words in it.", "The second paragraph of the text is long enough too, and it has some more words to read.", "And there is a third one, so that nobody takes this for a notice or a line of the site."]
+
+
+@pytest.mark.parametrize("word", sorted(h.WORDS | h.MAYBE))
+def test_class_words_around_the_text(word):
+    """Whatever the wrapper, section or heading of the text is called, the text stays; boilerplate beside it goes."""
+    body = "".join(f"<p>{x}</p>" for x in PROSE_TEXT)
+    site = '<nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies on this site.</div>%s<footer>&copy; us</footer>'
+    want = "\n".join(PROSE_TEXT)
+    for wrapper in (f'class="with-{word}"', f'class="content-{word}-wrap"', f'class="{word}"', f'id="{word}"', f'class="no-{word} layout"'):
+        assert h.Page(site % f'<div {wrapper}><div class="text">{body}</div></div>').text() == want
+    for holder in ("article", "main"):
+        for section in (f'<section id="{word}">', f'<section id="{word}-and-more">', f'<div class="section" id="{word}">'):
+            end = "</section>" if section.startswith("<section") else "</div>"
+            page = h.Page(site % f"<{holder}><p>{PROSE_TEXT[2]}</p>{section}<h2 id='{word}-x'>Title {word}</h2>{body}{end}</{holder}>")
+            assert page.text() == f"{PROSE_TEXT[2]}\nTitle {word}\n{want}"
+        page = h.Page(site % f'<{holder}><h1 id="{word}-history">The title</h1><div class="{word}-sciences">{body}</div><h2 id="{word}">Next</h2><p>End.</p></{holder}>')
+        assert page.text() == f"The title\n{want}\nNext\nEnd."
+
+
+def test_sections_with_headings_outside_articles():
+    body = "".join(f"<p>{x}</p>" for x in PROSE_TEXT)
+    page = h.Page(f'<div class="body">{body}<section id="notifications"><h2>Notifications</h2><p>{PROSE_TEXT[0]}</p></section></div><div class="sidebar"><p>{PROSE_TEXT[1]}</p></div>')
+    assert page.text() == "\n".join([*PROSE_TEXT, "Notifications", PROSE_TEXT[0]])
+
+
+def test_hosts_vote_about_classes(spark):
+    """On pages of little text a notice is most of the prose; the host's other pages know better. A wrapper with a class word is kept by its host."""
+    notice = f'<div class="cookie-notice">{"".join(f"<p>{x}</p>" for x in PROSE_TEXT)}</div>'
+    long = "".join(f"<p>{x} It goes on for a while. {x}</p>" for x in PROSE_TEXT)
+    rows = [(i, "http://a.example/x", f"<div class='t'>{long if i else '<p>Short.</p>'}</div>{notice}") for i in range(5)]
+    rows += [(10 + i, "http://b.example/x", f"<div class='sidebar'>{long if i else '<p>Short, but it is the text of the page.</p>'}</div><footer>x</footer>") for i in range(5)]
+    for limit in (h.BROADCAST_BYTES, 0):
+        got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_bytes=limit).collect()}
+        assert got[0] == "Short." and all("This" not in got[i] and got[i].count("goes on") == 3 for i in range(1, 5))
+        assert got[10] == "Short, but it is the text of the page." and got[11].count("goes on") == 3
