@@ -106,9 +106,9 @@ def op5(spark, sf_dir):
 
 ORACLE_SQL["op5_top_k"] = """
 WITH e AS MATERIALIZED (
-  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::hugeint) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.n AS q, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::bigint AS score
+s AS (SELECT q.n AS q, q.vec_id AS query_id, c.vec_id AS vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::bigint AS score
       FROM e q JOIN e c ON q.n <> c.n WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, k::int AS rank, vec_id, score FROM r WHERE k <= 10

@@ -1,6 +1,9 @@
 """Exact top-k inner products of quantised vectors.
 
-Components become the integers floor(1024 * x), so scores are exact. Vectors are dealt by descending length into shards
+Components become the integers floor(1024 * x), and scores are exact whatever their size: while the largest squared length
+is under 2^53, products of doubles are; beyond, doubles only choose the candidates, with a margin for their error, and
+scores are sums of longs modulo 2^64, which are right as long as the score itself is a long. A score that is none is an
+error, as is a component that is none. Vectors are dealt by descending length into shards
 of bounded size. A rotation from the SVD of the vectors' Gram matrix (DIM x DIM, summed over all of them) moves most of
 the length into the first coordinates; a shard compares blocks of queries with a few rotated coordinates first and
 bounds what is missing by Cauchy-Schwarz, with the lengths of the rests. Only pairs whose bound reaches the query's
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import checkpointed
+from loomgraph.llm.common import checkpointed, small_batches
 
 K = 10
 QUANTUM = 1024
@@ -55,7 +58,10 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = raw.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(~bad)
-    whole = sound.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("v", lambda x: F.floor(x * QUANTUM).cast("double")).alias("v"))
+    # doubles from 2^53 on are integers
+    large = lambda x: F.when(F.abs(x * QUANTUM) < 2.0**63, x * QUANTUM).otherwise(F.raise_error(F.lit("a component is no long")).cast("double"))
+    number = lambda x: F.when(F.abs(x * QUANTUM) < 2.0**53, F.floor(x * QUANTUM).cast("double")).otherwise(large(x))
+    whole = sound.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("v", number).alias("v"))
     return whole.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
 
 
@@ -70,10 +76,9 @@ def gram(vectors: DataFrame, dim: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "row"])
 
     rows = vectors.select("v").mapInArrow(add, "i int, row array<double>")
-    summed = rows.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    summed = rows.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toArrow()
     out = np.zeros((dim, dim))
-    for r in summed:
-        out[r.i, r.j] = r.x
+    out[summed.column("i").to_numpy(), summed.column("j").to_numpy()] = summed.column("x").to_numpy()
     return out
 
 
@@ -90,6 +95,11 @@ def _matrix(lists, dim: int) -> np.ndarray:
     return out
 
 
+def _least(scores: np.ndarray) -> np.ndarray:
+    """Doubles that are not above these longs, and near them."""
+    return np.nextafter(scores.astype(np.float64), -np.inf)
+
+
 class Shard:
     """Vectors by descending length, and their rotated heads and the lengths of the rests."""
 
@@ -104,11 +114,12 @@ class Shard:
         self.rest = np.sqrt((rotated[:, self.head :] ** 2).sum(axis=1))
 
     def search(self, q_rows: np.ndarray, q: np.ndarray, floor: np.ndarray, step: int = 2048):
-        """(place of the query, id, score) of all that may be among a query's k best; floor: scores that k candidates reach at least."""
+        """(place of the query, id, score as a long) of all that may be among a query's k best; floor: scores that k candidates reach at least."""
         norm = np.sqrt((q * q).sum(axis=1))
         rotated = q @ self.rotation
         front, rest = rotated[:, : self.head], np.sqrt((rotated[:, self.head :] ** 2).sum(axis=1))
         floor = floor.copy()
+        exact = not len(norm) or not len(self.norm) or float(norm.max()) * float(self.norm[0]) < 2.0**52
         found: list[list[np.ndarray]] = [[], [], []]
         slack = 1e-6 * (1 + norm * (self.norm[0] if len(self.norm) else 0))  # of the rotation in floating point
         for at in range(0, len(self.ids), step):
@@ -123,22 +134,33 @@ class Shard:
             i, j = i[keep], j[keep]
             few = len(i) < len(live) * step // 4 and len(i) * q.shape[1] <= GATHERED
             s = np.einsum("nd,nd->n", q[i], self.m[j]) if few else (q[live] @ self.m[part].T)[np.searchsorted(live, i), j - at]
-            good = s >= floor[i]
+            good = s + (0 if exact else slack[i]) >= floor[i]
             i, j, s = i[good], j[good], s[good]
+            s = np.rint(s).astype(np.int64) if exact else self._long_scores(q, i, j, s)
             for kept, new in zip(found, (i, self.ids[j], s)):
                 kept.append(new)
             i, ids, s = (np.concatenate(x) for x in found)
-            order = np.lexsort((ids, -s, i))
+            order = np.lexsort((ids, ~s, i))
             i, ids, s = i[order], ids[order], s[order]
             place = np.arange(len(i)) - np.searchsorted(i, i)
             top = place < self.k
             found = [[i[top]], [ids[top]], [s[top]]]
             last = place == self.k - 1
-            floor[i[last]] = np.maximum(floor[i[last]], s[last])
+            floor[i[last]] = np.maximum(floor[i[last]], _least(s[last]))
         if not found[0]:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        i, ids, s = (np.concatenate(x) for x in found)
-        return i, ids, np.rint(s).astype(np.int64)
+        return tuple(np.concatenate(x) for x in found)
+
+    def _long_scores(self, q: np.ndarray, i: np.ndarray, j: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """The scores of these pairs modulo 2^64; near: what doubles make of them."""
+        if (np.abs(near) >= 2.0**63 * (1 - 1e-6)).any():
+            raise OverflowError("a score is no long")
+        out = np.zeros(len(i), dtype=np.int64)
+        some = max(1, GATHERED // q.shape[1])
+        for at in range(0, len(i), some):
+            part = slice(at, at + some)
+            out[part] = (q[i[part]].astype(np.int64) * self.m[j[part]].astype(np.int64)).sum(axis=1)
+        return out
 
 
 def _numbers(column) -> np.ndarray:
@@ -162,7 +184,7 @@ def _floors(longest: list, blocks: DataFrame, dim: int, rotation: np.ndarray, k:
                 n = np.bincount(i, minlength=len(queries))
                 floor = np.full(len(queries), np.iinfo(np.int64).max)
                 np.minimum.at(floor, i, score)
-                yield pa.RecordBatch.from_arrays([pa.array(queries[n == k]), pa.array(floor[n == k].astype(np.float64))], ["query", "floor"])
+                yield pa.RecordBatch.from_arrays([pa.array(queries[n == k]), pa.array(_least(floor[n == k]))], ["query", "floor"])
 
     return blocks.select("rows", "vs").mapInArrow(run, "query long, floor double")
 
@@ -177,22 +199,25 @@ def _search(candidates: DataFrame, blocks: DataFrame, n_shards: int, dim: int, r
         held: dict = {"shard": None}
         built = None
         for batch in batches:
-            for shard, block, rows, ids, vs, floors in zip(*(batch.column(c) for c in range(6))):
-                shard, block = shard.as_py(), block.as_py()
-                if shard != held["shard"]:
-                    held, built = {"shard": shard, "rows": [], "ids": [], "m": []}, None
-                m = _matrix(vs.values, dim)
-                if block < 0:
-                    held["rows"].append(_numbers(rows))
-                    held["ids"].append(_numbers(ids))
+            shards, blocks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # a run of candidates of one shard is taken at once, a block of queries alone
+            edge = (blocks[1:] >= 0) | (blocks[:-1] >= 0) | (shards[1:] != shards[:-1])
+            bounds = [0, *(np.flatnonzero(edge) + 1), batch.num_rows] if batch.num_rows else [0]
+            for begin, end in zip(bounds, bounds[1:]):
+                rows, ids, floors = (batch.column(c).slice(begin, end - begin).flatten().to_numpy(zero_copy_only=False) for c in (2, 3, 5))
+                if shards[begin] != held["shard"]:
+                    held, built = {"shard": shards[begin], "rows": [], "ids": [], "m": []}, None
+                m = _matrix(batch.column(4).slice(begin, end - begin).flatten(), dim)
+                if blocks[begin] < 0:
+                    held["rows"].append(rows)
+                    held["ids"].append(ids)
                     held["m"].append(m)
                     continue
                 if not held["ids"]:
                     continue
                 built = built or Shard(*(np.concatenate(held[x]) for x in ("rows", "ids", "m")), turned.value, k)
-                queries, names = _numbers(rows), _numbers(ids)
-                i, found, score = built.search(queries, m, _numbers(floors))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (queries[i], names[i], found, score)], ["query", "query_id", "vec_id", "score"])
+                i, found, score = built.search(rows, m, floors)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows[i], ids[i], found, score)], ["query", "query_id", "vec_id", "score"])
 
     dealt = rows.unionAll(asked).repartition(n_shards, "shard").sortWithinPartitions("shard", "block")
     return dealt.mapInArrow(run, "query long, query_id long, vec_id long, score long")
@@ -213,6 +238,7 @@ def _groups(frame: DataFrame, column: str, n: int) -> tuple[Column, list[float]]
 def top_k(vectors: DataFrame, queries: Column | None = None, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, seed_rows: int = SEED_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best. queries: a condition on the column vec_id."""
     spark = vectors.sparkSession
+    small_batches(spark)
     sound = checkpointed(quantised(vectors, id_col, vec_col))
     n, dim = sound.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     asked = checkpointed(sound.filter(F.col("vec_id") % QUERY_EVERY == 0 if queries is None else queries))

@@ -171,6 +171,31 @@ def test_top_k(spark, shard_rows, seed_rows, monkeypatch):
     assert [tuple(r) for r in topk.top_k(frame.filter("vec_id = 900").unionAll(frame.filter("vec_id = 900"))).collect()] == [(900, 1, 900, 0)] * 2
 
 
+@pytest.mark.parametrize("size", [1e3, 1e5, 3e5])
+def test_top_k_of_large_components(spark, size):
+    """Scores past 2^53 equal those of Python's integers; near ties are decided by them."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(250, 64)) * size
+    m[100:150] = m[100] + rng.normal(size=(50, 64)) * 1e-4  # scores that differ in their last bits
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").repartition(3)
+    whole = [[int(np.floor(1024 * x)) for x in v] for v in m]
+    want = []
+    for q in (0, 100, 200):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in enumerate(whole) if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for shard_rows, seed_rows in ((16_384, 4096), (40, 30)):
+        assert sorted(map(tuple, topk.top_k(frame, shard_rows=shard_rows, seed_rows=seed_rows).collect())) == want
+
+
+def test_top_k_of_components_beyond_scores(spark):
+    few = spark.createDataFrame([(0, [1e12, 0.0, 5.0]), (1, [0.0, 3e12, 7.0]), (2, [0.0, 0.0, -1e3])], "vec_id long, embedding array<double>")
+    assert [tuple(r)[1:] for r in topk.top_k(few).collect()] == [(1, 1, 35 * 1024 * 1024), (2, 2, -5 * 1024 * 1024 * 1000)]
+    with pytest.raises(Exception, match="no long"):
+        topk.top_k(few.unionAll(spark.createDataFrame([(3, [1e12, 0.0, 0.0])], few.schema))).collect()
+    with pytest.raises(Exception, match="no long"):
+        topk.top_k(few.unionAll(spark.createDataFrame([(3, [1e17, 0.0, 0.0])], few.schema))).collect()
+
+
 def test_very_long_texts(spark):
     """Half a million words with licence phrases at both ends, and equal texts of some megabytes."""
     middle = "word and " * 250_000
