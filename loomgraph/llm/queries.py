@@ -42,15 +42,15 @@ def op4(spark, sf_dir):
 
 ORACLE_SQL["op4_line_dedup"] = f"""
 WITH l AS (
-  SELECT doc_id, g.i AS i, g.line AS line,
+  SELECT r, doc_id, g.i AS i, g.line AS line,
          translate(trim(g.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) d,
+  FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) d,
        LATERAL (SELECT unnest(range(len(d.ls))) AS i, unnest(d.ls) AS line) g),
-b AS (SELECT k, max(doc_id) AS keep_id FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT l.doc_id, l.i, l.line, b.k IS NOT NULL AND l.doc_id <> b.keep_id AS gone FROM l LEFT JOIN b USING (k))
+b AS (SELECT k, max(doc_id) AS keep_id FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT r) >= 5),
+m AS (SELECT l.r, l.doc_id, l.i, l.line, b.k IS NOT NULL AND (l.doc_id IS NULL OR l.doc_id <> b.keep_id) AS gone FROM l LEFT JOIN b USING (k))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r, doc_id
 """
 
 

@@ -71,6 +71,22 @@ def test_lines_of_null_ids(spark, limit):
     assert got == lines_by_hand(docs, 40, 5) and not any(null_only in r[1] for r in got)
 
 
+def test_lines_of_repeated_ids_as_in_sql(spark, tmp_path):
+    """A document is a row: rows that repeat an id count one by one, here and in the SQL counterpart."""
+    import duckdb
+
+    from loomgraph.llm.queries import ORACLE_SQL, QUERIES
+
+    shared, other = "One line that all five of these rows hold alike", "A second line that only four rows hold, so it stays"
+    docs = [(1, shared), (1, f"{shared}\n{other}"), (1, f"{other}\n{shared}"), (2, f"x\n{shared}\n{other}"), (3, f"{shared}\n{other}"), (None, f"{shared} "), (None, None), (3, shared.upper())]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()), key=str)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(duck.execute(ORACLE_SQL["op4_line_dedup"]).fetchall(), key=str)
+    assert sum(r[2] for r in got) == 5
+
+
 def test_lines_come_back(spark, tmp_path):
     docs = [d for d in some_docs() if d[0] is not None][:41]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
