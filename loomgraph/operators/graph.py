@@ -6,23 +6,12 @@ and searches from sampled sources are loops over ever smaller frontiers with che
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from loomgraph.sources.shared import shared_folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+import math
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def reused(df: DataFrame) -> DataFrame:
-    """df for several uses: computed once and kept in the shared folder, unless it has been already."""
-    plan = df._jdf.queryExecution().logical()
-    return df if plan.getClass().getSimpleName() == "LogicalRDD" else checkpointed(df)
+from loomgraph.sources.shared import checkpointed, reused
 
 
 def simple_graph(arcs: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -64,6 +53,7 @@ def oriented(edges: DataFrame) -> DataFrame:
 
 def triangles(edges: DataFrame) -> DataFrame:
     """x < y < z."""
+    edges = reused(edges)
     arcs = oriented(edges)
     one, two = arcs.select("s", F.col("t").alias("m")), arcs.select("s", F.col("t").alias("n"))
     wedges = one.join(two, "s").filter("m < n")
@@ -74,7 +64,7 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def triangles_by_cliques(edges: DataFrame) -> DataFrame:
     """The same, by intersecting what both ends of every edge lead to; hubs lead to few nodes, as edges are oriented."""
-    arcs = oriented(edges)
+    arcs = reused(oriented(reused(edges)))
     ahead = arcs.groupBy("s").agg(F.collect_set("t").alias("n"))
     both = arcs.join(ahead, "s").join(ahead.select(F.col("s").alias("t"), F.col("n").alias("m")), "t")
     s = F.array_sort(F.array("s", "t", "u"))
@@ -98,6 +88,7 @@ def node_triangles(edges: DataFrame, tri: DataFrame | None = None) -> DataFrame:
 
 def transitivity(edges: DataFrame) -> DataFrame:
     """n_triangles, n_triples, transitivity."""
+    edges = reused(edges)
     t = triangles(edges).agg(F.count(F.lit(1)).alias("n_triangles"))
     d = degrees(edges).agg(F.coalesce(F.sum((F.col("deg") * (F.col("deg") - 1) / 2).cast("long")), F.lit(0)).alias("n_triples"))
     return t.join(d).select("n_triangles", "n_triples", F.round(F.when(F.col("n_triples") > 0, 3 * F.col("n_triangles") / F.col("n_triples")).otherwise(0.0), 6).alias("transitivity"))
@@ -110,12 +101,14 @@ def reciprocity(arcs: DataFrame) -> DataFrame:
 
 def clustering(edges: DataFrame, tri: DataFrame | None = None) -> DataFrame:
     """node, deg, tri, cc; 0 for nodes of fewer than two neighbours."""
+    edges = reused(edges)
     d = degrees(edges).join(node_triangles(edges, tri), "node", "left").na.fill({"tri": 0})
     return d.withColumn("cc", F.when(F.col("deg") < 2, 0.0).otherwise(2 * F.col("tri") / (F.col("deg") * (F.col("deg") - 1))))
 
 
 def common_neighbours(edges: DataFrame, tri: DataFrame | None = None) -> DataFrame:
     """a, b, cn of every edge."""
+    edges = reused(edges)
     t = triangles(edges) if tri is None else tri
     sides = F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("x").alias("a"), F.col("z").alias("b")), F.struct(F.col("y").alias("a"), F.col("z").alias("b")))
     counted = t.select(F.explode(sides).alias("e")).groupBy(F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.count(F.lit(1)).alias("cn"))
@@ -124,6 +117,7 @@ def common_neighbours(edges: DataFrame, tri: DataFrame | None = None) -> DataFra
 
 def density(edges: DataFrame) -> DataFrame:
     """Both definitions: of pairs, and of ordered pairs."""
+    edges = reused(edges)
     n = degrees(edges).agg(F.count(F.lit(1)).alias("n_nodes"))
     m = edges.agg(F.count(F.lit(1)).alias("n_edges"))
     return n.join(m).select("n_nodes", "n_edges", F.round(2 * F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), 8).alias("density"), F.round(F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), 8).alias("density_ordered"))
@@ -168,55 +162,116 @@ def sampled(nodes: DataFrame, k: int) -> DataFrame:
     return nodes.orderBy(F.md5(F.col("node").cast("string")), "node").limit(k)
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """node, chunk, bit of each source: 64 sources a chunk. Sources are few."""
+    place = F.row_number().over(Window.orderBy(F.md5(F.col("node").cast("string")), "node")) - 1
+    return sources.select("node", F.floor(place / 64).cast("int").alias("chunk"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
+
+
+def frontiers(edges: DataFrame, sources: DataFrame, paths: bool = False):
+    """The layers of a breadth-first search from all sources at once, as (node, chunk, bits): the sources at that distance.
+
+    64 sources share a row, so a layer has at most a row for each node and chunk. Neighbours of an undirected graph lie
+    in the same layer, the one before or the one after, so only the last two are looked at. With paths, p is an array of
+    the number of shortest paths from each of the 64.
+    """
+    nbrs = reused(both_ways(edges))
+    start = _numbered(sources).groupBy("node", "chunk").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    if paths:
+        start = start.withColumn("p", _of_bits("1.0D"))
+    layer, before = checkpointed(start), None
+    while not layer.isEmpty():
+        yield layer
+        met = layer.join(nbrs, "node").groupBy(F.col("nbr").alias("node"), "chunk")
+        sums = [F.expr(f"sum(p[{i}]) AS p{i}") for i in range(64)] if paths else []
+        known = layer.select("node", "chunk", F.col("bits").alias("b1"))
+        reached = met.agg(F.bit_or("bits").alias("reached"), *sums).join(known, ["node", "chunk"], "left")
+        seen = F.coalesce("b1", F.lit(0))
+        if before is not None:
+            reached = reached.join(before.select("node", "chunk", F.col("bits").alias("b2")), ["node", "chunk"], "left")
+            seen = seen.bitwiseOR(F.coalesce("b2", F.lit(0)))
+        new = reached.withColumn("bits", F.col("reached").bitwiseAND(F.bitwise_not(seen))).filter("bits <> 0")
+        columns = ["node", "chunk", "bits"] + ([_of_bits("p{i}").alias("p")] if paths else [])
+        layer, before = checkpointed(new.select(*columns)), layer
+
+
+def _of_bits(value: str) -> Column:
+    """An array of 64 values, zero where the bit is not set; {i} in the expression is the bit."""
+    return F.expr("array(" + ", ".join(f"CASE WHEN (bits & shiftleft(1L, {i})) != 0 THEN {value.format(i=i)} ELSE 0.0D END" for i in range(64)) + ")")
+
+
 def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """source, node, dist by breadth-first search from all sources at once."""
-    nbrs = checkpointed(both_ways(edges))
-    seen = checkpointed(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("dist")))
-    frontier, d = seen, 0
-    while not frontier.isEmpty():
-        d += 1
-        reached = frontier.join(nbrs, "node").select("source", F.col("nbr").alias("node")).distinct()
-        frontier = checkpointed(reached.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("dist", F.lit(d)))
-        seen = checkpointed(seen.unionAll(frontier))
-    return seen
-
-
-def average_path(edges: DataFrame, k: int = 500) -> DataFrame:
-    """n_sources, n_pairs, avg_path of k sampled sources in the largest component."""
-    lcc = checkpointed(largest_component(edges))
-    inside = edges.join(lcc.select(F.col("node").alias("a")), "a", "left_semi")
-    return distances(inside, sampled(lcc, k)).filter("dist > 0").agg(F.count_distinct("source").alias("n_sources"), F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("dist"), 6).alias("avg_path"))
+    """source, node, dist of all that the sources reach."""
+    numbers = _numbered(sources).select(F.col("node").alias("source"), "chunk", "bit")
+    each = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0))
+    out = None
+    for dist, layer in enumerate(frontiers(edges, sources)):
+        rows = layer.select("node", "chunk", each.alias("bit"), F.lit(dist).alias("dist"))
+        out = rows if out is None else out.unionAll(rows)
+    if out is None:
+        return numbers.select("source", F.col("source").alias("node"), F.lit(0).alias("dist"))
+    return out.join(numbers, ["chunk", "bit"]).select("source", "node", "dist")
+
+
+def average_path(edges: DataFrame, k: int = 500, inside: bool = True) -> DataFrame:
+    """n_sources, n_pairs, avg_path of k sampled sources in the largest component, or in the whole graph."""
+    edges = reused(edges)
+    nodes = checkpointed(largest_component(edges)) if inside else degrees(edges).select("node")
+    within = reused(edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi")) if inside else edges
+    sources = checkpointed(sampled(nodes, k))
+    counts = [layer.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("long").alias("n"), F.lit(d).alias("dist")) for d, layer in enumerate(frontiers(within, sources)) if d]
+    total = counts[0] if counts else sources.agg(F.lit(0).cast("long").alias("n"), F.lit(0).alias("dist"))
+    for c in counts[1:]:
+        total = total.unionAll(c)
+    n = sources.agg(F.count(F.lit(1)).alias("n_sources"))
+    pairs = total.agg(F.sum("n").alias("n_pairs"), F.round(F.sum(F.col("n") * F.col("dist")) / F.nullif(F.sum("n"), F.lit(0)), 6).alias("avg_path"))
+    return n.join(pairs)  # one row each
+
+
+def sketched_paths(edges: DataFrame, precision: int = 12) -> DataFrame:
+    """n_nodes, n_pairs, diameter, avg_path over all reachable pairs, estimated from one distinct-count sketch a node.
+
+    A node's sketch after d rounds counts the nodes within d steps; a round merges the sketches of neighbours, until none
+    grows. Memory is a sketch of 2^precision bytes a node, whatever the number of pairs.
+    """
+    nbrs = reused(both_ways(edges))
+    own = nbrs.select("node").distinct()
+    balls = checkpointed(own.groupBy("node").agg(F.hll_sketch_agg("node", F.lit(precision)).alias("ball")))
+    sizes = [balls.agg(F.sum(F.hll_sketch_estimate("ball"))).first()[0] or 0]
+    n = sizes[0]
+    while len(sizes) == 1 or sizes[-1] > sizes[-2]:
+        heard = nbrs.join(balls.select(F.col("node").alias("nbr"), "ball"), "nbr").select("node", "ball").unionAll(balls)
+        balls = checkpointed(heard.groupBy("node").agg(F.hll_union_agg("ball", F.lit(False)).alias("ball")))
+        sizes.append(max(sizes[-1], balls.agg(F.sum(F.hll_sketch_estimate("ball"))).first()[0] or 0))
+    steps = sum(d * (after - before) for d, (before, after) in enumerate(zip(sizes, sizes[1:]), 1))
+    pairs = sizes[-1] - n
+    return edges.sparkSession.createDataFrame([(n, pairs, len(sizes) - 2, round(steps / pairs, 6) if pairs else None)], "n_nodes long, n_pairs long, diameter int, avg_path double")
 
 
 def betweenness(edges: DataFrame, k: int = 200, scale: str = "standard") -> DataFrame:
     """node, betweenness, estimated from k sampled sources by one breadth-first pass out and one back.
 
-    scale `double` divides by k however many nodes there are, and has a factor of 2; `standard` is the usual one for
-    undirected graphs.
+    Rows hold 64 sources each. scale `double` divides by k however many nodes there are, and has a factor of 2;
+    `standard` is the usual one for undirected graphs.
     """
-    nbrs = checkpointed(both_ways(edges))
+    nbrs = reused(both_ways(edges))
     nodes = degrees(edges).select("node")
     n = nodes.count()
     picked = checkpointed(sampled(nodes, k))
     n_sources = picked.count()
-    layers = [checkpointed(picked.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"), F.lit(0).alias("dist")))]
-    seen = layers[0].select("source", "node")
-    while not layers[-1].isEmpty():
-        nxt = layers[-1].join(nbrs, "node").select("source", F.col("nbr").alias("node"), "paths").join(seen, ["source", "node"], "left_anti")
-        layers.append(checkpointed(nxt.groupBy("source", "node").agg(F.sum("paths").alias("paths")).withColumn("dist", F.lit(len(layers)))))
-        seen = checkpointed(seen.unionAll(layers[-1].select("source", "node")))
-    back = layers[-1].select("source", "node", "paths", F.lit(0.0).alias("share")).limit(0)
-    shares = []
-    for layer in reversed(layers[:-1]):
-        given = back.select("source", F.col("node").alias("below"), ((1 + F.col("share")) / F.col("paths")).alias("x"))
-        links = layer.join(nbrs, "node").withColumnRenamed("nbr", "below").join(given, ["source", "below"])
-        got = links.groupBy("source", "node").agg(F.sum("x").alias("x"))
-        back = checkpointed(layer.join(got, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("x", F.lit(0.0))).alias("share"), "dist"))
-        shares.append(back.filter("dist > 0").select("node", "share"))
-        back = back.select("source", "node", "paths", "share")
-    total = shares[0]
-    for s in shares[1:]:
-        total = total.unionAll(s)
+    layers = list(frontiers(edges, picked, paths=True))
+    total, back = None, None
+    for layer in reversed(layers[1:]):
+        if back is None:
+            back = layer.withColumn("s", F.transform("p", lambda x: F.lit(0.0)))
+        else:
+            each = [F.expr(f"sum(CASE WHEN p[{i}] > 0 THEN (1 + s[{i}]) / p[{i}] ELSE 0.0D END) AS x{i}") for i in range(64)]
+            given = back.join(nbrs, "node").groupBy(F.col("nbr").alias("node"), "chunk").agg(*each)
+            share = _of_bits("p[{i}] * coalesce(x{i}, 0.0D)")
+            back = checkpointed(layer.join(given, ["node", "chunk"], "left").select("node", "chunk", "bits", "p", share.alias("s")))
+        rows = back.select("node", F.aggregate("s", F.lit(0.0), lambda x, y: x + y).alias("share"))
+        total = rows if total is None else total.unionAll(rows)
+    total = nodes.select("node", F.lit(0.0).alias("share")) if total is None else total
     factor = (n / k) * 2 / ((n - 1) * (n - 2)) if scale == "double" else (n / n_sources) / ((n - 1) * (n - 2))
     summed = total.groupBy("node").agg(F.sum("share").alias("s"))
     return nodes.join(summed, "node", "left").select("node", F.round(F.coalesce("s", F.lit(0.0)) * factor, 10).alias("betweenness"))
@@ -251,21 +306,32 @@ def _drawn(spark, total: int, m: int, seed: int) -> DataFrame:
     return spark.range(0)
 
 
-def small_world(edges: DataFrame, samples: int = 2, k: int = 20) -> DataFrame:
-    """Clustering and path length against random graphs of the same size: c, l, gamma, lam, sigma, small_world."""
+SMALL_WORLD = "n_lcc long, m_lcc long, c double, l double, c_er double, l_er double, l_er_std double, l_er_analytic double, lambda double, gamma double, sigma double, small_world boolean"
+
+
+def small_world(edges: DataFrame, samples: int = 5, k: int = 500, random_k: int = 100) -> DataFrame:
+    """Clustering and path length against random graphs, one row.
+
+    lambda is the transitivity over that of a random graph, which is the density of the largest component; gamma is the
+    average path of k sources in that component over the mean of as many random graphs of its nodes and edges, from
+    random_k sources each; sigma is lambda / gamma. Small world: sigma above 1 and gamma under 2. Without samples, the
+    random path length is ln(nodes) / ln(mean degree), and its spread 0.
+    """
+    edges = reused(edges)
     spark = edges.sparkSession
-    n, m = degrees(edges).count(), edges.count()
-    c, l = transitivity(edges).first()["transitivity"], average_path(edges, k).first()["avg_path"]
-    cr, lr = [], []
-    for s in range(samples):
-        g = checkpointed(random_graph(spark, n, m, seed=s))
-        cr.append(transitivity(g).first()["transitivity"])
-        lr.append(average_path(g, k).first()["avg_path"])
-    c0, l0 = sum(cr) / len(cr), sum(lr) / len(lr)
-    gamma, lam = (c / c0 if c0 else None), (l / l0 if l0 else None)
-    sigma = gamma / lam if gamma and lam else None
-    # the relations as the inventory names them: small world if sigma > 1 and the path ratio stays under 2
-    return spark.createDataFrame([(float(c), float(l), gamma, lam, sigma, bool(sigma and sigma > 1 and lam < 2))], "c double, l double, gamma double, lam double, sigma double, small_world boolean")
+    lcc = checkpointed(largest_component(edges))
+    n, m = lcc.count(), edges.join(lcc.select(F.col("node").alias("a")), "a", "left_semi").count()
+    c, path = transitivity(edges).first()["transitivity"], average_path(edges, k).first()["avg_path"]
+    c_er, mean_degree = (2 * m / (n * (n - 1)) if n > 1 else 0.0), (2 * m / n if n else 1.0)
+    analytic = math.log(n) / math.log(mean_degree) if mean_degree > 1 else math.inf
+    lengths = [average_path(checkpointed(random_graph(spark, n, m, seed=42 + s)), random_k, inside=False).first()["avg_path"] for s in range(samples)]
+    l_er = sum(lengths) / len(lengths) if lengths else analytic
+    spread = math.sqrt(sum((x - l_er) ** 2 for x in lengths) / len(lengths)) if lengths else 0.0
+    lam = c / c_er if c_er > 0 else math.inf
+    gamma = path / l_er if path is not None and 0 < l_er < math.inf else math.inf
+    sigma = lam / gamma if 0 < gamma < math.inf else math.inf
+    digits = lambda x: None if x is None else round(float(x), 6)
+    return spark.createDataFrame([(n, m, digits(c), digits(path), digits(c_er), digits(l_er), digits(spread), digits(analytic), digits(lam), digits(gamma), digits(sigma), sigma > 1 and gamma < 2)], SMALL_WORLD)
 
 
 def two_paths(edges: DataFrame) -> DataFrame:
@@ -276,6 +342,7 @@ def two_paths(edges: DataFrame) -> DataFrame:
 
 def shared_partners(edges: DataFrame) -> DataFrame:
     """kind (edge or other), partners, pairs: pairs by number of shared neighbours; pairs without any are left out of `other`."""
+    edges = reused(edges)
     by_pair = checkpointed(wedges(edges).groupBy("a", "b").agg(F.count(F.lit(1)).alias("partners")))
     on_edges = edges.select("a", "b").join(by_pair, ["a", "b"], "left").na.fill({"partners": 0}).groupBy("partners").agg(F.count(F.lit(1)).alias("pairs")).select(F.lit("edge").alias("kind"), "partners", "pairs")
     others = by_pair.join(edges.select("a", "b"), ["a", "b"], "left_anti").groupBy("partners").agg(F.count(F.lit(1)).alias("pairs")).select(F.lit("other").alias("kind"), "partners", "pairs")
@@ -284,6 +351,7 @@ def shared_partners(edges: DataFrame) -> DataFrame:
 
 def weighted_statistics(edges: DataFrame, alphas: list[float]) -> DataFrame:
     """alpha, gwdegree, gwesp, gwdsp: sums of exp(-alpha * k) over degrees and shared partners."""
+    edges = reused(edges)
     a = edges.sparkSession.createDataFrame([(float(x),) for x in alphas], "alpha double")
     d = degrees(edges).groupBy(F.col("deg").alias("k")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("gwdegree"))
     sp = shared_partners(edges).select(F.col("partners").alias("k"), F.col("pairs").alias("n"), F.when(F.col("kind") == "edge", "gwesp").otherwise("gwdsp").alias("kind"))
@@ -316,6 +384,7 @@ def homophily(edges: DataFrame, classes: DataFrame) -> DataFrame:
 
 def open_pairs(edges: DataFrame) -> DataFrame:
     """a < b, partners: pairs with common neighbours that are no edges."""
+    edges = reused(edges)
     return wedges(edges).groupBy("a", "b").agg(F.count(F.lit(1)).alias("partners")).join(edges.select("a", "b"), ["a", "b"], "left_anti")
 
 

@@ -7,14 +7,22 @@ of a target is one more than the number of candidates above it, summed over bloc
 
 from __future__ import annotations
 
+import json
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.values import dot, unit
+from loomgraph.sources.shared import reused
 
 BLOCK_ROWS = 1024
+#: Vectors that blocks are formed around, at most; they are broadcast.
+PIVOTS = 256
+#: Blocks along one side of a tile: with 1,024 vectors of 64 doubles each, 32 MB.
+TILE = 64
 
 
 def first_vectors(vectors: DataFrame, order: list[str]) -> DataFrame:
@@ -35,43 +43,145 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, digits: int = 6) -> Da
     return pairs.join(a, "source").join(b, ["type", "target"]).select("source", "target", "type", F.round(dot(F.col("va"), F.col("vb")), digits).alias("similarity"))
 
 
-def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """type, block, ids, vecs: whole vectors packed into blocks, dealt by a hash of the id."""
-    n = vectors.count()
-    blocks = max(1, -(-n // rows))
-    return vectors.groupBy("type", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("pid", "vec")).alias("x")).select("type", "block", F.col("x.pid").alias("ids"), F.col("x.vec").alias("vecs"))
-
-
 def _matrix(lists) -> np.ndarray:
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(lists), -1)
+    return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+
+
+def _near_pivots(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """type, pid, vec, pivot (the nearest of these), angle to it."""
+    known = vectors.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS at most
+
+    def place(batches):
+        for batch in batches:
+            m = _matrix(batch.column(2))
+            cosines = m @ known.value.T if len(m) else np.zeros((0, 1))
+            best = cosines.argmax(axis=1)
+            angles = np.arccos(np.clip(cosines[np.arange(len(m)), best], -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.int32()), pa.array(angles, pa.float64())], ["type", "pid", "vec", "pivot", "angle"])
+
+    return vectors.select("type", "pid", "vec").mapInArrow(place, "type string, pid long, vec array<double>, pivot int, angle double")
+
+
+def _pivots(vectors: DataFrame, rows: int) -> np.ndarray | None:
+    """Vectors of the first ids by a hash; none if there would be one block."""
+    n = min(PIVOTS, vectors.count() // rows)
+    if n < 2:
+        return None
+    return np.array([r.vec for r in vectors.select("pid", "vec").orderBy(F.md5(F.col("pid").cast("string")), "pid").limit(n).collect()], dtype=np.float64)
+
+
+def _blocks(vectors: DataFrame, rows: int, pivots: np.ndarray | None = None) -> DataFrame:
+    """type, block, pivot, radius, ids, vecs: whole vectors packed into blocks of about rows vectors of one pivot; a pivot's blocks have numbers in a row."""
+    if pivots is None:
+        near = vectors.select("type", "pid", "vec", F.lit(0).alias("pivot"), F.lit(math.pi).alias("angle"))
+    else:
+        near = reused(_near_pivots(vectors, pivots))
+    sizes = near.groupBy("type", "pivot").agg(F.ceil(F.count(F.lit(1)) / rows).alias("parts"))
+    so_far = Window.partitionBy("type").orderBy("pivot")  # PIVOTS rows at most
+    places = sizes.withColumn("first", F.sum("parts").over(so_far) - F.col("parts"))
+    block = (F.col("first") + F.pmod(F.xxhash64("pid"), F.col("parts"))).cast("int")
+    packed = near.join(places, ["type", "pivot"]).groupBy("type", block.alias("block"))
+    return packed.agg(F.first("pivot").alias("pivot"), F.max("angle").alias("radius"), F.collect_list(F.struct("pid", "vec")).alias("x")).select("type", "block", "pivot", "radius", F.col("x.pid").alias("ids"), F.col("x.vec").alias("vecs"))
+
+
+def _block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """type, i, j: all pairs of numbers of blocks of a type."""
+    ends = right.groupBy("type").agg(F.max("block").alias("last"))
+    return left.select("type", F.col("block").alias("i")).join(ends, "type").select("type", "i", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("j"))
+
+
+def near_blocks(blocks: DataFrame, pivots: np.ndarray | None, threshold: float, digits: int = 6) -> DataFrame:
+    """type, i <= j: pairs of blocks that may hold vectors with a rounded cosine of at least the threshold.
+
+    Angles obey the triangle inequality: two blocks are no nearer than the angle of their pivots less both radii.
+    Tables of TILE blocks meet, not blocks, and what is shuffled are their numbers, pivots and radii.
+    """
+    if pivots is None:
+        return _block_pairs(blocks, blocks).filter("i <= j")
+    known = blocks.sparkSession.sparkContext.broadcast(np.arccos(np.clip(pivots @ pivots.T, -1, 1)))  # PIVOTS x PIVOTS
+    reach = math.acos(max(-1.0, min(1.0, threshold - 10.0**-digits))) + 1e-6
+    tile = (F.col("block") / TILE).cast("int").alias("block")
+    tables = blocks.groupBy("type", tile).agg(F.collect_list(F.struct(F.col("block").alias("n"), "pivot", "radius")).alias("x"))
+    tables = reused(tables.select("type", "block", F.col("x.n").alias("n"), F.col("x.pivot").alias("p"), F.col("x.radius").alias("r")))
+    pairs = _block_pairs(tables, tables).filter("i <= j").repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "type", "i", "j")
+    both = pairs.join(tables.select("type", F.col("block").alias("i"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("r").alias("ra")), ["type", "i"])
+    both = both.join(tables.select("type", F.col("block").alias("j"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("r").alias("rb")), ["type", "j"])
+
+    def compare(batches):
+        for batch in batches:
+            for kind, *lists in zip(*(batch.column(c) for c in range(7))):
+                na, p, ra, nb, q, rb = (x.values.to_numpy(zero_copy_only=False) for x in lists)
+                apart = known.value[np.ix_(p, q)] - ra[:, None] - rb[None, :]
+                i, j = np.nonzero((apart <= reach) & (na[:, None] <= nb[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array([kind.as_py()] * len(i), pa.string()), pa.array(na[i], pa.int32()), pa.array(nb[j], pa.int32())], ["type", "i", "j"])
+
+    return both.select("type", "na", "pa", "ra", "nb", "pb", "rb").mapInArrow(compare, "type string, i int, j int")
+
+
+def _tiled(left: DataFrame, right: DataFrame, pairs: DataFrame, meet, schema: str) -> DataFrame:
+    """What meet(type, left block, right block) gives for these pairs (type, i, j); blocks are (number, ids, matrix, extra).
+
+    A tile is TILE x TILE pairs, and the unit of work: a block travels once for each tile, not once for each pair, and a
+    task holds the left blocks of one tile and a single right one.
+    """
+    numbers = pairs.select("type", "i", "j", (F.col("i") / TILE).cast("int").alias("ti"), (F.col("j") / TILE).cast("int").alias("tj"))
+    extra = lambda f: F.col("extra") if "extra" in f.columns else F.lit(None).cast("string").alias("extra")
+    lefts = numbers.select("type", "ti", "tj", F.col("i").alias("block"), F.lit(None).cast("array<int>").alias("wanted")).distinct()
+    rights = numbers.groupBy("type", "ti", "tj", F.col("j").alias("block")).agg(F.collect_list("i").alias("wanted"))
+    rows = [
+        f.join(b.select("type", "block", "ids", "vecs", extra(b)), ["type", "block"]).select("type", "ti", "tj", F.lit(side).alias("side"), "block", "wanted", "ids", "vecs", "extra")
+        for side, f, b in ((0, lefts, left), (1, rights, right))
+    ]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        tile, held = None, {}
+        for batch in batches:
+            for kind, ti, tj, side, number, wanted, ids, vecs, more in zip(*batch.columns):
+                here = (kind.as_py(), ti.as_py(), tj.as_py())
+                if here != tile:
+                    tile, held = here, {}
+                block = (number.as_py(), ids.values.to_numpy(zero_copy_only=False), _matrix(vecs.values), more.as_py())
+                if not side.as_py():
+                    held[block[0]] = block
+                    continue
+                for i in wanted.as_py():
+                    if i in held:
+                        yield pa.RecordBatch.from_arrays(meet(here[0], held[i], block), names)
+
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows[0].unionAll(rows[1]).repartition(parts, "type", "ti", "tj").sortWithinPartitions("type", "ti", "tj", "side", "block").mapInArrow(run, schema)
 
 
 def similarity_edges(vectors: DataFrame, threshold: float, digits: int = 6, rows: int = BLOCK_ROWS) -> DataFrame:
     """type, a < b, sim of all pairs of a type with a rounded cosine of at least the threshold; vectors are unit.
 
-    Pairs of blocks are the unit of work: a row holds two of them, so a task needs 2 * rows vectors at a time.
+    Vectors are put into blocks by the nearest of PIVOTS pivots, and pairs of blocks that are too far apart for the
+    threshold are never made.
     """
-    blocks = _blocks(vectors, rows)
-    left = blocks.select("type", F.col("block").alias("i"), F.col("ids").alias("ia"), F.col("vecs").alias("va"))
-    right = blocks.select("type", F.col("block").alias("j"), F.col("ids").alias("ib"), F.col("vecs").alias("vb"))
-    grid = left.join(right, (left.type == right.type) & (F.col("i") <= F.col("j"))).select(left.type, "i", "j", "ia", "va", "ib", "vb")
+    pivots = _pivots(vectors, rows)
+    blocks = reused(_blocks(vectors, rows, pivots))
 
-    def multiply(batches):
-        for batch in batches:
-            for n in range(batch.num_rows):
-                kind, i, j = (batch.column(c)[n].as_py() for c in range(3))
-                ids_a, ids_b = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in (3, 5))
-                sims = np.round(_matrix(batch.column(4)[n].values) @ _matrix(batch.column(6)[n].values).T, digits)
-                x, y = np.nonzero(sims >= threshold)
-                keep = ids_a[x] < ids_b[y] if i == j else np.ones(len(x), dtype=bool)
-                x, y = x[keep], y[keep]
-                a, b = np.minimum(ids_a[x], ids_b[y]), np.maximum(ids_a[x], ids_b[y])
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(x), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sims[x, y], pa.float64())], ["type", "a", "b", "sim"])
+    def meet(kind, left, right):
+        i, ids_a, ma, _ = left
+        j, ids_b, mb, _ = right
+        sims = np.round(ma @ mb.T, digits)
+        x, y = np.nonzero(sims >= threshold)
+        keep = ids_a[x] < ids_b[y] if i == j else np.ones(len(x), dtype=bool)
+        x, y = x[keep], y[keep]
+        return [pa.array([kind] * len(x), pa.string()), pa.array(np.minimum(ids_a[x], ids_b[y]), pa.int64()), pa.array(np.maximum(ids_a[x], ids_b[y]), pa.int64()), pa.array(sims[x, y], pa.float64())]
+
+    return _tiled(blocks, blocks, near_blocks(blocks, pivots, threshold, digits), meet, "type string, a long, b long, sim double")
 
-    spark = vectors.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return grid.repartition(parts, "type", "i", "j").mapInArrow(multiply, "type string, a long, b long, sim double")
+
+def pruned_pairs(vectors: DataFrame, threshold: float, digits: int = 6, rows: int = BLOCK_ROWS) -> DataFrame:
+    """type, n_blocks, n_pairs, n_near: how many pairs of blocks a similarity join has, and how many it has to compare."""
+    pivots = _pivots(vectors, rows)
+    blocks = reused(_blocks(vectors, rows, pivots))
+    n = blocks.groupBy("type").agg(F.count(F.lit(1)).alias("n_blocks"))
+    near = near_blocks(blocks, pivots, threshold, digits).groupBy("type").agg(F.count(F.lit(1)).alias("n_near"))
+    return n.join(near, "type", "left").select("type", "n_blocks", (F.col("n_blocks") * (F.col("n_blocks") + 1) / 2).cast("long").alias("n_pairs"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
 def ranks(pairs: DataFrame, vectors: DataFrame, backend: str = "block", digits: int = 6, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -87,20 +197,24 @@ def ranks(pairs: DataFrame, vectors: DataFrame, backend: str = "block", digits:
 
 
 def _query_blocks(known: DataFrame, vectors: DataFrame, rows: int) -> DataFrame:
-    """type, q, x: blocks of sources with vector and targets."""
+    """type, block, ids, vecs, t: blocks of sources with vector and targets."""
     targets = known.groupBy("type", "source").agg(F.collect_list(F.struct("target", "similarity")).alias("t"))
     asked = targets.join(vectors.select("type", F.col("pid").alias("source"), "vec"), ["type", "source"])
-    n = max(1, -(-asked.count() // rows))
-    return asked.groupBy("type", F.pmod(F.xxhash64("source"), F.lit(n)).cast("int").alias("q")).agg(F.collect_list(F.struct("source", "vec", "t")).alias("x"))
+    return _packed(asked, rows, "t").withColumn("t", F.col("x.t"))
 
 
-def _spread(grid: DataFrame) -> DataFrame:
-    """Pairs of blocks over all tasks, whatever their type."""
-    return grid.repartition(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "type", "q", "block")
+def _packed(asked: DataFrame, rows: int, *more: str) -> DataFrame:
+    """type, block, x, ids, vecs of rows (type, source, vec, more)."""
+    n = max(1, -(-asked.count() // rows))
+    blocks = asked.groupBy("type", F.pmod(F.xxhash64("source"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("source", "vec", *more)).alias("x"))
+    return blocks.select("type", "block", "x", F.col("x.source").alias("ids"), F.col("x.vec").alias("vecs"))
 
 
 def _counted_in_sql(known: DataFrame, vectors: DataFrame, digits: int, rows: int) -> DataFrame:
-    grid = _spread(_query_blocks(known, vectors, rows).join(_blocks(vectors, rows), "type")).select("type", F.explode("x").alias("s"), F.arrays_zip("ids", "vecs").alias("c"))
+    queries, blocks = reused(_query_blocks(known, vectors, rows)), reused(_blocks(vectors, rows))
+    pairs = _block_pairs(queries, blocks).repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "type", "i", "j")
+    grid = pairs.join(queries.select("type", F.col("block").alias("i"), "x"), ["type", "i"]).join(blocks.select("type", F.col("block").alias("j"), "ids", "vecs"), ["type", "j"])
+    grid = grid.select("type", F.explode("x").alias("s"), F.arrays_zip("ids", "vecs").alias("c"))
     sims = F.transform(F.filter("c", lambda y: y["ids"] != F.col("s.source")), lambda y: F.round(dot(F.col("s.vec"), y["vecs"]), digits))
     each = grid.select("type", "s.source", "s.t", sims.alias("sims")).select("type", "source", F.explode("t").alias("t"), "sims")
     counted = each.select("source", "t.target", "type", "t.similarity", F.size(F.filter("sims", lambda y: y > F.col("t.similarity"))).alias("n"))
@@ -109,29 +223,25 @@ def _counted_in_sql(known: DataFrame, vectors: DataFrame, digits: int, rows: int
 
 def _counted(known: DataFrame, vectors: DataFrame, digits: int, rows: int, ties: bool = False) -> DataFrame:
     """above: the candidates more similar than the target and, with ties, those as similar of a smaller id."""
-    queries = _query_blocks(known, vectors, rows).select("type", "q", F.col("x.source").alias("sources"), F.col("x.vec").alias("qv"), F.to_json(F.col("x.t")).alias("t"))
-    grid = _spread(queries.join(_blocks(vectors, rows), "type")).select("type", "sources", "qv", "t", "ids", "vecs")
-
-    def count(batches):
-        import json
-
-        for batch in batches:
-            for n in range(batch.num_rows):
-                kind = batch.column(0)[n].as_py()
-                sources, ids = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in (1, 4))
-                sims = np.round(_matrix(batch.column(2)[n].values) @ _matrix(batch.column(5)[n].values).T, digits)
-                sims[sources[:, None] == ids[None, :]] = -np.inf
-                out = [[], [], [], []]
-                for k, found in enumerate(json.loads(batch.column(3)[n].as_py())):
-                    for t in found:
-                        above = int((sims[k] > t["similarity"]).sum())
-                        if ties:
-                            above += int(((sims[k] == t["similarity"]) & (ids < t["target"])).sum())
-                        for column, value in zip(out, (int(sources[k]), t["target"], t["similarity"], above)):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(out[0]), pa.string()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64())], ["type", "source", "target", "similarity", "n"])
-
-    counted = grid.mapInArrow(count, "type string, source long, target long, similarity double, n long")
+    queries = reused(_query_blocks(known, vectors, rows).select("type", "block", "ids", "vecs", F.to_json("t").alias("extra")))
+    blocks = reused(_blocks(vectors, rows))
+
+    def meet(kind, left, right):
+        _, sources, mq, targets = left
+        _, ids, mv, _ = right
+        sims = np.round(mq @ mv.T, digits)
+        sims[sources[:, None] == ids[None, :]] = -np.inf
+        out = [[], [], [], []]
+        for k, found in enumerate(json.loads(targets)):
+            for t in found:
+                above = int((sims[k] > t["similarity"]).sum())
+                if ties:
+                    above += int(((sims[k] == t["similarity"]) & (ids < t["target"])).sum())
+                for column, value in zip(out, (int(sources[k]), t["target"], t["similarity"], above)):
+                    column.append(value)
+        return [pa.array([kind] * len(out[0]), pa.string()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64())]
+
+    counted = _tiled(queries, blocks, _block_pairs(queries, blocks), meet, "type string, source long, target long, similarity double, n long")
     return counted.groupBy("source", "target", "type", "similarity").agg(F.sum("n").alias("above"))
 
 
@@ -146,25 +256,22 @@ def positional_ranks(pairs: DataFrame, vectors: DataFrame, digits: int = 6, rows
 def top_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int = 6, rows: int = BLOCK_ROWS) -> DataFrame:
     """source, rank, target, similarity; the query itself is left out, ties go to the smaller id. Each pair of blocks gives k rows a query at most."""
     asked = queries.select("type", F.col("pid").alias("source")).join(vectors.select("type", F.col("pid").alias("source"), "vec"), ["type", "source"])
-    n = max(1, -(-asked.count() // rows))
-    blocks = asked.groupBy("type", F.pmod(F.xxhash64("source"), F.lit(n)).cast("int").alias("q")).agg(F.collect_list(F.struct("source", "vec")).alias("x"))
-    grid = _spread(blocks.join(_blocks(vectors, rows), "type")).select(F.col("x.source").alias("sources"), F.col("x.vec").alias("qv"), "ids", "vecs")
-
-    def best(batches):
-        for batch in batches:
-            for n in range(batch.num_rows):
-                sources, ids = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in (0, 2))
-                order = np.argsort(ids, kind="stable")
-                ids = ids[order]
-                sims = np.round(_matrix(batch.column(1)[n].values) @ _matrix(batch.column(3)[n].values)[order].T, digits)
-                sims[sources[:, None] == ids[None, :]] = -np.inf
-                first = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # ties stay in the order of ids
-                found = np.take_along_axis(sims, first, axis=1)
-                i, j = np.nonzero(np.isfinite(found))
-                yield pa.RecordBatch.from_arrays([pa.array(sources[i], pa.int64()), pa.array(ids[first[i, j]], pa.int64()), pa.array(found[i, j], pa.float64())], ["source", "target", "similarity"])
+    queries, blocks = reused(_packed(asked, rows).drop("x")), reused(_blocks(vectors, rows))
+
+    def meet(kind, left, right):
+        _, sources, mq, _ = left
+        _, ids, mv, _ = right
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        sims = np.round(mq @ mv[order].T, digits)
+        sims[sources[:, None] == ids[None, :]] = -np.inf
+        first = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # ties stay in the order of ids
+        found = np.take_along_axis(sims, first, axis=1)
+        i, j = np.nonzero(np.isfinite(found))
+        return [pa.array(sources[i], pa.int64()), pa.array(ids[first[i, j]], pa.int64()), pa.array(found[i, j], pa.float64())]
 
     w = Window.partitionBy("source").orderBy(F.desc("similarity"), "target")
-    found = grid.mapInArrow(best, "source long, target long, similarity double")
+    found = _tiled(queries, blocks, _block_pairs(queries, blocks), meet, "source long, target long, similarity double")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("source", "rank", "target", "similarity")
 
 

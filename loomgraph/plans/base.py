@@ -24,7 +24,7 @@ def with_views(names: str, body: str) -> str:
         return body
     body = body.strip()
     more = ", " + body[5:] if body[:5].upper() == "WITH " else " " + body
-    return "WITH RECURSIVE " + ", ".join(f"{k} AS {'MATERIALIZED ' * (k == 'g')}({v})" for k, v in done.items()) + more
+    return "WITH RECURSIVE " + ", ".join(f"{k} AS {'MATERIALIZED ' * (k in ('g', 'tri'))}({v})" for k, v in done.items()) + more
 
 
 def query(name: str, sql: str | None = None, views: str = ""):

@@ -267,7 +267,20 @@ def random_graph(spark, d):
 
 @query("GRF-17")
 def small_world(spark, d):
-    return g.small_world(a.graph(spark, d), 5, 500)
+    return g.small_world(a.graph(spark, d), 5, 500, 100)
+
+
+@query("GRF-17-analytic", f"""WITH {BFS}, w AS (SELECT (SELECT count(*) FROM lcc) AS n, (SELECT count(*) FROM g WHERE a IN (SELECT node FROM lcc)) AS m, round(3.0 * (SELECT count(*) FROM tri) / (SELECT sum(deg * (deg - 1) // 2) FROM deg), 6) AS c, (SELECT round(avg(d), 6) FROM dist WHERE d > 0) AS l),
+    v AS (SELECT *, 2.0::double * m / (n * (n - 1)) AS c_er, ln(n) / ln(2.0::double * m / n) AS l_er FROM w)
+    SELECT n AS n_lcc, m AS m_lcc, c, l, round(c_er, 6) AS c_er, round(l_er, 6) AS l_er, 0.0::double AS l_er_std, round(l_er, 6) AS l_er_analytic, round(c / c_er, 6) AS lambda, round(l / l_er, 6) AS gamma, round((c / c_er) / (l / l_er), 6) AS sigma, (c / c_er) / (l / l_er) > 1 AND l / l_er < 2 AS small_world FROM v""".replace(" AS lambda", ' AS "lambda"'), "nb deg tri")
+def small_world_analytic(spark, d):
+    """Without random graphs."""
+    return g.small_world(a.graph(spark, d), 0, 500)
+
+
+@query("GRF-17-sketch")
+def sketched_paths(spark, d):
+    return g.sketched_paths(a.graph(spark, d))
 
 
 HOM = "hom AS (SELECT cu, cv, count(*) AS n FROM (SELECT x.grp AS cu, y.grp AS cv FROM g JOIN vec x ON x.pid = a JOIN vec y ON y.pid = b UNION ALL SELECT y.grp, x.grp FROM g JOIN vec x ON x.pid = a JOIN vec y ON y.pid = b WHERE x.grp <> y.grp) GROUP BY ALL)"
