@@ -14,6 +14,7 @@ from loomgraph.plans.graph_queries import classes
 from loomgraph.plans.pairs import N, dense
 from loomgraph.plans.steps import Steps
 from loomgraph.sources import adapters as a
+from loomgraph.sources import npy
 from loomgraph.sources import readers as r
 from loomgraph.sources import writers as w
 from loomgraph.sources.shared import shared_folder
@@ -173,34 +174,31 @@ def arc_lines(spark, d):
 
 @query("SRC-13", "SELECT vec_id AS pid, round(embedding[1]::double, 5) AS x FROM embeddings")
 def vectors_with_sidecar(spark, d):
-    import pyarrow as pa
+    """Files of vectors, ids and paths in numpy's format."""
+    path = npy_files(spark, d)
+    return spark.read.format("npy").load(path).select(F.col("id").alias("pid"), F.round(F.col("vec")[0].cast("double"), 5).alias("x"))
 
-    path = scratch(spark, "npy")
-    e = a.table(spark, d, "embeddings").select("vec_id", "embedding")
-
-    def encode(rows: pa.Table) -> pa.Table:
-        import io
-
-        import numpy as np
 
-        out = io.BytesIO()
-        np.save(out, np.array(rows["embedding"].to_pylist(), dtype=np.float32))
-        return pa.table({"k": rows["k"][:1], "content": pa.array([out.getvalue()], pa.binary()), "ids": pa.array([",".join(map(str, rows["vec_id"].to_pylist()))])})
-
-    blocks = e.withColumn("k", F.floor(F.col("vec_id") / 256).cast("int")).groupBy("k").applyInArrow(encode, "k int, content binary, ids string")
-    blocks.write.parquet(path)  # Spark has no binary sink; the content stands in for the files
+def npy_files(spark, d, dtype: str = "float32") -> str:
+    path = scratch(spark, "npy")
+    spark.dataSource.register(npy.NpySource)
+    e = a.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("/images/"), F.col("vec_id").cast("string"), F.lit(".tif")).alias("path"), F.col("embedding").alias("vec"))
+    e.write.format("npy").option("dtype", dtype).mode("append").save(path)
+    return path
 
-    def decode(batches):
-        import io
 
-        import numpy as np
+@query("SRC-13-paths", "SELECT vec_id AS pid, '/images/' || vec_id || '.tif' AS path FROM embeddings")
+def paths_beside_vectors(spark, d):
+    return spark.read.format("npy").load(npy_files(spark, d)).select(F.col("id").alias("pid"), "path")
 
-        for batch in batches:
-            for content, ids in zip(batch.column("content").to_pylist(), batch.column("ids").to_pylist()):
-                m = np.load(io.BytesIO(content), allow_pickle=False)
-                yield pa.RecordBatch.from_arrays([pa.array([int(x) for x in ids.split(",")], pa.int64()), pa.array(m[:, 0].astype(float))], ["pid", "x"])
 
-    return spark.read.parquet(path).mapInArrow(decode, "pid long, x double").select("pid", F.round("x", 5).alias("x"))
+@query("SRC-14-npy", "SELECT g.a AS a, g.b AS b, round(vec[g.b % 64 + 1], 6) AS value FROM g JOIN vec ON pid = g.a", "g vec")
+def matrix_points(spark, d):
+    """One number of the matrix for each edge: the row of one end, a column by the other; only these rows are read."""
+    path = npy_files(spark, d, "float64")
+    rows = spark.read.format("npy").load(path).select("row", F.col("id").alias("a"))
+    places = a.graph(spark, d).select("a", "b").join(rows, "a").select("a", "b", "row", (F.col("b") % 64).cast("int").alias("column"))
+    return npy.points(places.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row"), path).select("a", "b", F.round("value", 6).alias("value"))
 
 
 @query("SRC-15", "SELECT pid, class_text FROM pat", "pat")
@@ -304,9 +302,11 @@ def config(spark, d):
 
 @query("SNK-12", "SELECT pid AS row, round(vec[1], 6) AS x FROM vec", "vec")
 def matrix_blocks(spark, d):
+    """Chunks of 64 KB, read again as they are."""
     path = scratch(spark, "blocks")
-    w.parquet_blocks(a.vectors(spark, d).select(F.col("pid").alias("row"), F.round(F.col("vec")[0], 6).alias("x")), path, 128)
-    return spark.read.parquet(path).select("row", "x")
+    spark.dataSource.register(npy.NpySource)
+    a.vectors(spark, d).select(F.col("pid").alias("id"), "vec").write.format("npy").option("dtype", "float64").option("file_bytes", 1 << 16).mode("append").save(path)
+    return spark.read.format("npy").load(path).select(F.col("id").alias("row"), F.round(F.col("vec")[0], 6).alias("x"))
 
 
 @query("SNK-14", "SELECT p_name || ' é \"' AS caption, p_type AS description FROM part")

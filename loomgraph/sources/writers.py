@@ -48,11 +48,6 @@ def arc_list(edges: DataFrame, path: str) -> None:
     arc_lines(edges).write.mode("overwrite").text(path)
 
 
-def parquet_blocks(df: DataFrame, path: str, rows: int) -> None:
-    """Matrix rows in blocks of `rows`, by row number."""
-    df.withColumn("block", F.floor(F.col("row") / rows).cast("int")).write.mode("overwrite").partitionBy("block").parquet(path)
-
-
 def model_config(classes: list[str], arcs: str, attributes: str) -> str:
     """A network model's settings, the class effects in two halves."""
     half = len(classes) // 2
