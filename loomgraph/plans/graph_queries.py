@@ -785,6 +785,30 @@ def reserving_limiter(spark, d):
     return limits.replay(log(spark, d), 3600, 15, 800, strict=False).select("event_id", "allowed")
 
 
+METER = "e AS (SELECT event_id, epoch_us(ts) / 1e6 AS s, (props->>'k')::bigint AS tokens, epoch_us(ts) / 1e6 + 1 + (event_id % 5) * 900 AS u FROM events)"
+METERED = f"""WITH {METER}, n AS (SELECT x.event_id, count(y.event_id) AS n_recent FROM e x LEFT JOIN e y ON (y.s, y.event_id) < (x.s, x.event_id) AND y.s >= x.s - 3600 AND y.s <= x.s GROUP BY ALL),
+    t AS (SELECT x.event_id, coalesce(sum(y.tokens), 0) AS t_recent FROM e x LEFT JOIN e y ON y.s >= x.s - 3600 AND y.s <= x.s AND y.u <= x.s GROUP BY ALL),
+    d AS (SELECT event_id, row_number() OVER (PARTITION BY floor((s - 28800) / 86400) ORDER BY s, event_id) - 1 AS n_today FROM e),
+    m AS (SELECT event_id, n_recent, t_recent::bigint AS t_recent, n_today FROM n JOIN t USING (event_id) JOIN d USING (event_id))"""
+
+
+def metered(spark, d, **limits_of):
+    """Every event is a request, and tells its tokens 1 to 3,601 seconds later."""
+    e = a.events(spark, d).select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("long").alias("tokens"))
+    updates = e.select("id", (F.col("ts") + F.make_dt_interval(secs=1 + F.col("id") % 5 * 900)).alias("ts"), "tokens")
+    return limits.metered(e, updates, 3600, reset_s=28_800, **limits_of)
+
+
+@query("STM-01-quota", METERED + " SELECT event_id, n_recent, t_recent, n_today, CASE WHEN n_today > 40 THEN 'day' WHEN n_recent >= 15 THEN 'requests' WHEN t_recent >= 500 THEN 'tokens' END AS stopped_by FROM m")
+def daily_quota(spark, d):
+    return metered(spark, d, per_window=15, tokens=500, daily=40, inclusive=True).select(F.col("id").alias("event_id"), "n_recent", "t_recent", "n_today", "stopped_by")
+
+
+@query("STM-02-updates", METERED + " SELECT event_id, t_recent, n_today < 40 AND n_recent < 15 AND t_recent < 500 AS allowed FROM m")
+def later_tokens(spark, d):
+    return metered(spark, d, per_window=15, tokens=500, daily=40).select(F.col("id").alias("event_id"), "t_recent", "allowed")
+
+
 @query("STM-07", "SELECT conv_id, turn, 600.0::double * (turn % 6 + 1) AS rate, 300.0::double * (turn % 6 + 1) AS busy, pow(2, turn % 6)::double AS parse, 30 * pow(2, turn % 6)::double AS quota FROM conversations")
 def backoffs(spark, d):
     wait = val.backoffs((F.col("turn") % 6).cast("double"))
