@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as t
 from loomgraph.operators import ergm, models
 from loomgraph.operators import graph as g
+from loomgraph.operators.refresh import GraphState
 from loomgraph.plans.base import query
 from loomgraph.plans.graph_queries import classes
 from loomgraph.plans.pairs import N, dense
@@ -566,3 +567,19 @@ def refreshed_grids(spark, d):
     s.add("triads", ("edges",))(lambda edges: tr.scored(edges))
     s.add("grid", ("triads",))(lambda triads: tr.grid(triads, "s1", "s3", [-1.0], [-100.0]))
     return s.run(["edges", "triads", "grid"])["grid"].filter("t2 is not null").select("n")
+
+
+@query(
+    "ORC-05-delta",
+    """WITH h AS MATERIALIZED (SELECT a, b FROM g WHERE (a + b) % 7 = 0 OR (a + b) % 5 <> 0), t AS MATERIALIZED (SELECT p.a AS x, p.b AS y, q.b AS z FROM h p JOIN h q ON p.b = q.a JOIN h r ON r.a = p.a AND r.b = q.b),
+    d AS (SELECT node, count(*) AS deg FROM (SELECT a AS node FROM h UNION ALL SELECT b FROM h) GROUP BY node), c AS (SELECT node, count(*) AS tri FROM (SELECT x AS node FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t) GROUP BY node)
+    SELECT d.node AS node, deg::bigint AS deg, coalesce(tri, 0)::bigint AS tri, CASE WHEN deg < 2 THEN 0.0 ELSE round(2.0 * coalesce(tri, 0) / (deg * (deg - 1)), 6) END AS cc FROM d LEFT JOIN c ON c.node = d.node""",
+    "g",
+)
+def refreshed_by_changes(spark, d):
+    """Edges whose ends add up to a seventh come later, those of a fifth go; the clustering follows."""
+    state = GraphState(spark, scratch(spark, "state"))
+    e = g.reused(a.graph(spark, d).select("a", "b", (F.col("a") + F.col("b")).alias("s")))
+    state.change(e.filter("s % 7 <> 0"))
+    state.change(e.filter("s % 7 = 0"), e.filter("s % 5 = 0"))
+    return state.clustering().select("node", "deg", "tri", F.round("cc", 6).alias("cc"))
