@@ -154,17 +154,6 @@ def ensemble_median(values: Column) -> Column:
     return F.when(n >= 2, mid)
 
 
-def upper_median(values: Column) -> Column:
-    s = F.array_sort(values)
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
-
-
-def min_max(col: Column, window=None) -> Column:
-    w = window or Window.partitionBy(F.lit(1))
-    low, high = F.min(col).over(w), F.max(col).over(w)
-    return (col - low) / F.when(high > low, high - low).otherwise(1.0)
-
-
 def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,64 +147,104 @@ def log_fit(df: DataFrame, x: str, y: str, low: float | None = None, high: float
     return s.select("n", F.round(F.when(ok, F.col("a")), 6).alias("slope"), F.round(F.when(ok, F.col("b")), 6).alias("intercept"), F.round(F.when(ok, F.col("r")), 6).alias("r2"))
 
 
-def _nb2(beta: np.ndarray, log_alpha: float, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Negative log-likelihood of counts with variance mu + alpha mu^2."""
-    a = math.exp(log_alpha)
-    mu = np.exp(np.clip(x @ beta, -30, 30))
-    r = 1 / a
-    lg = np.array([math.lgamma(v + r) - math.lgamma(v + 1) for v in y]) - math.lgamma(r)
-    return float(-(w * (lg + r * np.log(r / (r + mu)) + y * np.log(mu / (r + mu)))).sum())
-
-
-def nb2_fit(cells: list[tuple[float, list[float], float]]) -> dict:
-    """Weighted NB2 regression on (count, regressors, weight) cells: coef, se, alpha, loglik, by Newton with a numerical Hessian."""
-    y, x, w = np.array([c[0] for c in cells], dtype=float), np.array([[1.0, *c[1]] for c in cells]), np.array([c[2] for c in cells], dtype=float)
+def _gamma_functions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log gamma and its first two derivatives of positive numbers, by recurrence up to 10 and the asymptotic series there."""
+    x = np.asarray(x, dtype=np.float64)
+    low, first, second = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
+    z = x.copy()
+    for _ in range(10):
+        small = z < 10
+        low[small] -= np.log(z[small])
+        first[small] -= 1 / z[small]
+        second[small] += 1 / z[small] ** 2
+        z = np.where(small, z + 1, z)
+    i = 1 / z
+    i2 = i * i
+    log_gamma = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + i * (1 / 12 - i2 * (1 / 360 - i2 * (1 / 1260 - i2 / 1680)))
+    digamma = np.log(z) - 0.5 * i - i2 * (1 / 12 - i2 * (1 / 120 - i2 * (1 / 252 - i2 / 240)))
+    trigamma = i + 0.5 * i2 + i * i2 * (1 / 6 - i2 * (1 / 30 - i2 * (1 / 42 - i2 / 30)))
+    return log_gamma + low, digamma + first, trigamma + second
+
+
+def _nb2_sums(y: np.ndarray, x: np.ndarray, w: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Log-likelihood of counts with variance mu + alpha mu^2 at theta (coefficients, log alpha), its gradient and its Hessian, in a row."""
     k = x.shape[1]
-    start = np.zeros(k + 1)
-    start[0] = math.log(max(1e-9, (w * y).sum() / w.sum()))
-    start[k] = math.log(0.5)
-    f = lambda t: _nb2(t[:k], t[k], x, y, w)
-
-    def derivatives(t):
-        h = 1e-4
-        e = np.eye(k + 1) * h
-        g = np.array([(f(t + e[i]) - f(t - e[i])) / (2 * h) for i in range(k + 1)])
-        m = np.zeros((k + 1, k + 1))
-        for i in range(k + 1):
-            for j in range(i + 1):
-                m[i, j] = m[j, i] = (f(t + e[i] + e[j]) - f(t + e[i] - e[j]) - f(t - e[i] + e[j]) + f(t - e[i] - e[j])) / (4 * h * h)
-        return g, m
-
-    t, best = start, f(start)
-    for _ in range(60):
-        g, m = derivatives(t)
-        values, vectors = np.linalg.eigh(m)
-        step = vectors @ ((vectors.T @ g) / np.maximum(np.abs(values), 1e-6))
-        size = 1.0
-        while size > 1e-8 and not f(t - size * step) < best:
-            size /= 2
-        if size <= 1e-8:
+    a = math.exp(theta[k])
+    r = 1 / a
+    mu = np.exp(np.clip(x @ theta[:k], -30, 30))
+    g_y, d_y, t_y = _gamma_functions(y + r)
+    g_r, d_r, t_r = (v[0] for v in _gamma_functions(np.array([r])))
+    g_1 = _gamma_functions(y + 1)[0]
+    value = g_y - g_r - g_1 + r * np.log(r / (r + mu)) + y * np.log(mu / (r + mu))
+    by_eta = (y - mu) / (1 + a * mu)
+    by_r = d_y - d_r + np.log(r / (r + mu)) + 1 - (r + y) / (r + mu)
+    by_rr = t_y - t_r + 1 / r - 1 / (r + mu) - (mu - y) / (r + mu) ** 2
+    gradient = np.concatenate([x.T @ (w * by_eta), [-(w * r * by_r).sum()]])
+    hessian = np.zeros((k + 1, k + 1))
+    hessian[:k, :k] = -(x * (w * mu * (1 + a * y) / (1 + a * mu) ** 2)[:, None]).T @ x
+    hessian[k, :k] = hessian[:k, k] = -(x.T @ (w * a * mu * by_eta / (1 + a * mu)))
+    hessian[k, k] = (w * (r * r * by_rr + r * by_r)).sum()
+    return np.concatenate([[(w * value).sum()], gradient, hessian.ravel()])
+
+
+def nb2_fit(df: DataFrame, y: str, regressors: list[str], rounds: int = 100) -> dict:
+    """NB2 regression of counts on an intercept and these columns, which may be continuous: coef, se, alpha, loglik, rounds.
+
+    Newton steps. Value, gradient and Hessian are sums over the rows: each task adds up its own, and one row of numbers a
+    task meets in an aggregate; the driver solves a system of as many unknowns as there are coefficients. Rows with a
+    null take no part. Without rows, or without any count above zero, all values are None.
+    """
+    names = [y, *regressors]
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]).dropna()
+    rows = checkpointed(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("w")))
+    total = rows.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("c0")).alias("y")).first()
+    k = len(names)
+    if not total["n"] or not total["y"]:
+        return {"coef": [None] * k, "se": [None] * k, "alpha": None, "loglik": None, "rounds": 0}
+    size = 1 + (k + 1) + (k + 1) ** 2
+
+    def at(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def add(batches):
+            out = np.zeros(size)
+            for batch in batches:
+                m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                out += _nb2_sums(m[:, 0], np.column_stack([np.ones(len(m)), m[:, 1:-1]]), m[:, -1], theta)
+            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(out, pa.float64())], ["i", "v"])
+
+        sums = {r["i"]: r["v"] for r in rows.mapInArrow(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+        flat = np.array([sums[i] for i in range(size)])
+        return flat[0], flat[1 : k + 2], flat[k + 2 :].reshape(k + 1, k + 1)
+
+    theta = np.zeros(k + 1)
+    theta[0], theta[k] = math.log(total["y"] / total["n"]), math.log(0.5)
+    best, gradient, hessian = at(theta)
+    done = 0
+    for done in range(1, rounds + 1):
+        values, vectors = np.linalg.eigh(-hessian)
+        step = vectors @ ((vectors.T @ gradient) / np.maximum(np.abs(values), 1e-6))
+        step *= min(1.0, 4 / max(1e-12, np.abs(step).max()))
+        for _ in range(40):
+            value, *rest = at(theta + step)
+            if value >= best:
+                break
+            step = step / 2
+        else:
             break
-        t = t - size * step
-        moved, best = best - f(t), f(t)
-        if moved < 1e-10:
+        moved, theta, best, (gradient, hessian) = value - best, theta + step, value, rest
+        if moved < 1e-10 * max(1.0, abs(best)) or np.abs(step).max() < 1e-9:
             break
-    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(derivatives(t)[1])), 0))
-    return {"coef": t[:k].tolist(), "se": se[:k].tolist(), "alpha": math.exp(t[k]), "loglik": -best}
+    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(-hessian)), 0))
+    return {"coef": theta[:k].tolist(), "se": se[:k].tolist(), "alpha": math.exp(theta[k]), "loglik": float(best), "rounds": done}
 
 
 def nb2(df: DataFrame, y: str, flag: str, year: str, names: tuple[str, ...] = ("intercept", "multi", "year")) -> DataFrame:
-    """term, coef, se, z, p, irr, irr_low, irr_high: counts on a flag and the standardised year.
-
-    The data enter as counts of distinct (y, flag, year), whose number the domain bounds; rows never leave Spark.
-    """
+    """term, coef, se, z, p, irr, irr_low, irr_high: counts on a flag and the standardised year, which may be any number."""
     m = df.agg(F.avg(year).alias("m"), F.greatest(F.coalesce(F.stddev_samp(year), F.lit(1.0)), F.lit(1.0)).alias("s")).first()
-    cells = df.groupBy(F.col(y).alias("y"), F.col(flag).cast("int").alias("f"), F.col(year).alias("t")).agg(F.count(F.lit(1)).alias("n")).orderBy("y", "f", "t").collect()
-    fit = nb2_fit([(r["y"], [float(r["f"]), (r["t"] - m["m"]) / m["s"]], r["n"]) for r in cells])
+    fit = nb2_fit(df.select(F.col(y).alias("y"), F.col(flag).cast("int").alias("f"), ((F.col(year) - m["m"]) / m["s"]).alias("t")), "y", ["f", "t"])
     rows = []
     for name, c, s in zip(names, fit["coef"], fit["se"]):
         z = c / s if s else None
-        rows.append((name, c, s, z, None if z is None else math.erfc(abs(z) / math.sqrt(2)), math.exp(c), math.exp(c - 1.96 * s), math.exp(c + 1.96 * s)))
+        rows.append((name, c, s, z, None if z is None else math.erfc(abs(z) / math.sqrt(2)), *(None if c is None else math.exp(c + x * s) for x in (0, -1.96, 1.96))))
     rows.append(("alpha", fit["alpha"], None, None, None, None, None, None))
     return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, z double, p double, irr double, irr_low double, irr_high double")
 
@@ -228,23 +269,95 @@ def histogram(df: DataFrame, value: str, width: float = 0.01) -> DataFrame:
     return df.groupBy(F.floor(F.col(value) / width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def kde(df: DataFrame, x: str, y: str, steps: int = 20) -> DataFrame:
-    """gx, gy, density of a Gaussian kernel (Scott's width), scaled to a maximum of 1, on a grid over the data's range.
+def kde(df: DataFrame, x: str, y: str, steps: int = 20, x_limits: tuple[float, float] | None = None, y_limits: tuple[float, float] | None = None, log_x: bool = False) -> DataFrame:
+    """gx, gy, density of a Gaussian kernel on a grid of steps x steps points, scaled to a maximum of 1.
 
-    Points are first counted on a lattice of one 2,000th of the range, so the sums run over a bounded number of cells.
+    The kernel has the points' covariance times n^(-1/3) (Scott's factor, squared), and every point adds to every grid
+    point. The grid covers the limits, else the points' range; with limits only points within them count. log_x spaces
+    the first axis by factors. Each task adds up one grid. Points without both numbers, or fewer than two, give none.
     """
-    s = df.agg(*[f(c).alias(n) for c in (x, y) for f, n in ((F.min, "lo" + c), (F.max, "hi" + c), (F.stddev_samp, "sd" + c))], F.count(F.lit(1)).alias("n")).first()
-    h = {c: (s["sd" + c] or 1e-9) * s["n"] ** (-1 / 6) for c in (x, y)}
-    lattice = lambda c: F.round((F.col(c) - s["lo" + c]) / max(1e-12, (s["hi" + c] - s["lo" + c]) / 2000)).cast("int").alias(c)
-    cells = df.select(lattice(x), lattice(y)).groupBy(x, y).agg(F.count(F.lit(1)).alias("c"))
-    at = lambda c: s["lo" + c] + F.col(c) * (max(1e-12, s["hi" + c] - s["lo" + c]) / 2000)
-    step = lambda c: (s["hi" + c] - s["lo" + c]) / (steps - 1)
-    # a cell adds to the grid points within five widths only
-    near = lambda c: F.sequence(F.greatest(F.lit(0), F.floor((at(c) - s["lo" + c] - 5 * h[c]) / step(c)).cast("int")), F.least(F.lit(steps - 1), F.ceil((at(c) - s["lo" + c] + 5 * h[c]) / step(c)).cast("int")))
-    g = cells.withColumn("gi", F.explode(near(x))).withColumn("gj", F.explode(near(y)))
-    dx, dy = (at(x) - (s["lo" + x] + F.col("gi") * step(x))) / h[x], (at(y) - (s["lo" + y] + F.col("gj") * step(y))) / h[y]
-    summed = g.groupBy("gi", "gj").agg(F.sum(F.col("c") * F.exp(-0.5 * (dx * dx + dy * dy))).alias("d"))
-    return summed.select((s["lo" + x] + F.col("gi") * step(x)).alias("gx"), (s["lo" + y] + F.col("gj") * step(y)).alias("gy"), (F.col("d") / F.max("d").over(Window.partitionBy(F.lit(1)))).alias("density"))
+    d = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    for name, limits in (("x", x_limits), ("y", y_limits)):
+        if limits is not None:
+            d = d.filter(F.col(name).between(*limits))
+    points = checkpointed(d.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    s = d.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lx"), F.max("x").alias("ux"), F.min("y").alias("ly"), F.max("y").alias("uy"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("c")).first()
+    schema = "gx double, gy double, density double"
+    if s["n"] < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    (lx, ux), (ly, uy) = x_limits or (s["lx"], s["ux"]), y_limits or (s["ly"], s["uy"])
+    gx = np.geomspace(max(lx, 1.0), ux, steps) if log_x else np.linspace(lx, ux, steps)
+    gy = np.linspace(ly, uy, steps)
+    cov = np.array([[s["vx"] or 1e-18, s["c"]], [s["c"], s["vy"] or 1e-18]]) * s["n"] ** (-1 / 3)
+    if np.linalg.det(cov) <= 1e-12 * cov[0, 0] * cov[1, 1]:
+        cov = np.diag(np.diag(cov))  # points on one line
+    inverse = np.linalg.inv(cov)
+
+    def add(batches):
+        out = np.zeros((steps, steps))
+        for batch in batches:
+            px, py, w = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for at in range(0, len(px), 512):
+                part = slice(at, at + 512)
+                dx, dy = px[part, None] - gx[None, :], py[part, None] - gy[None, :]
+                q = inverse[0, 0] * (dx * dx)[:, :, None] + 2 * inverse[0, 1] * dx[:, :, None] * dy[:, None, :] + inverse[1, 1] * (dy * dy)[:, None, :]
+                out += np.tensordot(w[part], np.exp(-0.5 * q), axes=1)
+        i, j = np.indices(out.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(out.ravel(), pa.float64())], ["i", "j", "d"])
+
+    summed = points.mapInArrow(add, "i int, j int, d double").groupBy("i", "j").agg(F.sum("d").alias("d"))
+    on = lambda values, c: F.get(F.array(*map(F.lit, values.tolist())), F.col(c))
+    return summed.select(on(gx, "i").alias("gx"), on(gy, "j").alias("gy"), (F.col("d") / F.max("d").over(Window.partitionBy(F.lit(1)))).alias("density"))  # the grid's points alone
+
+
+def order_statistic(df: DataFrame, value: str, groups: tuple[str, ...] = (), places=lambda n: [F.floor(n / 2)], limit: int = 100_000) -> DataFrame:
+    """groups, n, v0, v1, ...: the values at these 0-based places in ascending order; by default the upper median, values[n // 2].
+
+    Selection by counts: an approximate quantile brackets each place, an aggregate counts what is below and inside, and
+    while a bracket holds more than limit values of more than one size, counts in 1,024 bins narrow it. Only the distinct
+    values of the last bracket are put in order. No task sorts a group. Nulls, and rows with a null group, are left out.
+    """
+    keys = list(groups) or ["__all"]
+    rows = df.select(*[F.col(c) for c in groups], F.col(value).alias("__v")) if groups else df.select(F.lit(0).alias("__all"), F.col(value).alias("__v"))
+    rows = rows.dropna()
+    kind = rows.schema["__v"].dataType.simpleString()
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.percentile_approx("__v", [i / 100 for i in range(101)], 10_000).alias("__q"))
+    asked = sizes.select("*", F.posexplode(F.array(*places(F.col("__n")))).alias("__k", "__place"))
+    near = F.floor(F.col("__place") * 100 / F.col("__n")).cast("int")
+    state = asked.select(*keys, "__n", "__k", F.col("__place").cast("long").alias("__place"), "__low", "__high", F.get("__q", near - 1).alias("__a"), F.get("__q", near + 2).alias("__b"))
+    state = checkpointed(state.withColumns({"__a": F.coalesce("__a", "__low"), "__b": F.coalesce("__b", "__high")}))
+    counted = rows.join(state, keys).groupBy(*keys, "__k").agg(F.count_if(F.col("__v") < F.col("__a")).alias("__below"), F.count_if(F.col("__v").between(F.col("__a"), F.col("__b"))).alias("__inside"))
+    state = state.join(counted, [*keys, "__k"])
+    left, right = F.col("__place") < F.col("__below"), F.col("__place") >= F.col("__below") + F.col("__inside")
+    state = checkpointed(state.select(*keys, "__n", "__k", "__place", F.when(left, F.col("__low")).otherwise(F.col("__a")).alias("__a"), F.when(right, F.col("__high")).otherwise(F.col("__b")).alias("__b"), F.when(left, F.lit(0)).otherwise(F.col("__below")).alias("__below")))
+    while True:
+        inside = rows.join(state, keys).filter(F.col("__v").between(F.col("__a"), F.col("__b")))
+        if not inside.filter("__a < __b").groupBy(*keys, "__k").agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") > limit).limit(1).count():
+            break
+        bin_ = F.when(F.col("__b") > F.col("__a"), F.least(F.lit(1023), F.floor((F.col("__v") - F.col("__a")) / (F.col("__b") - F.col("__a")) * 1024))).otherwise(0)
+        bins = inside.groupBy(*keys, "__k", "__place", "__below", bin_.alias("__bin")).agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__a"), F.max("__v").alias("__b"))
+        so_far = Window.partitionBy(*keys, "__k").orderBy("__bin")  # 1,024 rows
+        bins = bins.withColumn("__before", F.col("__below") + F.sum("__c").over(so_far) - F.col("__c")).filter("__place >= __before AND __place < __before + __c")
+        state = checkpointed(state.select(*keys, "__n", "__k").join(bins.select(*keys, "__k", "__place", "__a", "__b", F.col("__before").alias("__below")), [*keys, "__k"]))
+    distinct = inside.groupBy(*keys, "__k", "__n", "__place", "__below", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    so_far = Window.partitionBy(*keys, "__k").orderBy("__v")
+    found = distinct.withColumn("__before", F.col("__below") + F.sum("__c").over(so_far) - F.col("__c")).filter("__place >= __before AND __place < __before + __c")
+    n = len(places(F.lit(1)))
+    return found.groupBy(*keys).agg(F.first("__n").alias("n"), *[F.max(F.when(F.col("__k") == i, F.col("__v"))).cast(kind).alias(f"v{i}") for i in range(n)]).select(*groups, "n", *[f"v{i}" for i in range(n)])
+
+
+def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with each column scaled to its range; 0 where that has no length. The ranges are one row beside."""
+    ends = df.agg(*[f(c).alias(f"__{n}{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))])
+    scaled = {c: (F.col(c) - F.col(f"__lo{i}")) / F.when(F.col(f"__hi{i}") > F.col(f"__lo{i}"), F.col(f"__hi{i}") - F.col(f"__lo{i}")).otherwise(1.0) for i, c in enumerate(columns)}
+    return df.join(F.broadcast(ends)).withColumns(scaled).select(*df.columns)  # one row
+
+
+def log_jitter(df: DataFrame, value: str, seed: int, scale: float = 0.01, most: float = 5.0) -> DataFrame:
+    """df with jittered: log10 of the value plus normal noise of this scale, of `most` scales at most, by seed and value."""
+    uniform = lambda k: (F.shiftright(F.xxhash64(value, F.lit(seed), F.lit(k)), 12).cast("double") + (2.0**51 + 0.5)) * 2.0**-52
+    noise = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
+    return df.withColumn("jittered", F.log10(F.col(value).cast("double")) + scale * F.greatest(F.lit(-most), F.least(F.lit(most), noise)))
 
 
 def interval(theta: Column, se: Column) -> tuple[Column, Column]:

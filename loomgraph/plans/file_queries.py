@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as t
-from loomgraph.operators import ergm, models
+from loomgraph.operators import ergm, models, stats
 from loomgraph.operators import graph as g
 from loomgraph.operators.refresh import GraphState
 from loomgraph.plans.base import query
@@ -364,12 +365,16 @@ def staleness(spark, d):
     return r.stale(made, o.filter(key % 4 != 3).select(key.cast("string").alias("name"), at((key % 3 - 1).cast("int"))))
 
 
-@query("DAT-07", "SELECT year, true AS known FROM pub GROUP BY year", "pub")
+@query("DAT-07", "SELECT year, year % 2 = 0 AS stale FROM pub GROUP BY year", "pub")
 def modification_times(spark, d):
-    path = scratch(spark, "mtime")
-    by_year(spark, d).repartition("year").write.partitionBy("year").json(path)
-    f = r.files(spark, path, parent=True).select(F.regexp_extract("name", r"year=(\d+)", 1).cast("int").alias("year"), "modified")
-    return f.groupBy("year").agg((F.max("modified") > F.to_timestamp(F.lit("2020-01-01"))).alias("known"))
+    """Outputs of even years are written before their inputs, so they are stale."""
+    inputs, outputs = scratch(spark, "mtime-in"), scratch(spark, "mtime-out")
+    rows = g.reused(by_year(spark, d).repartition("year"))
+    for path, even in ((outputs, 0), (inputs, None), (outputs, 1)):
+        time.sleep(1.1)  # file systems may keep whole seconds
+        (rows if even is None else rows.filter(F.col("year") % 2 == even)).write.mode("append").partitionBy("year").json(path)
+    modified = lambda path, name: r.files(spark, path, parent=True).groupBy(F.regexp_extract("name", r"year=(\d+)", 1).cast("int").alias("year")).agg(F.max("modified").alias(name))
+    return modified(inputs, "read").join(modified(outputs, "made"), "year").select("year", (F.col("read") > F.col("made")).alias("stale"))
 
 
 # --- models, images, steps
@@ -533,11 +538,14 @@ def data_urls(spark, d):
     return a.table(spark, d, "part").select("p_partkey", F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(F.col("p_name").cast("binary")), r"\s", "")).alias("url"))
 
 
-@query("MTH-16", "SELECT count(*) AS n, true AS close FROM (SELECT DISTINCT deg FROM deg)", "deg")
+@query("MTH-16", "SELECT count(*) AS n, true AS close, true AS repeatable, true AS spread FROM (SELECT DISTINCT deg FROM deg)", "deg")
 def jittered(spark, d):
-    k = g.distribution(g.degrees(a.graph(spark, d)))
-    j = k.select("k", (F.log10(F.col("k").cast("double")) + 0.01 * F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.randn(42)))).alias("x"))
-    return j.agg(N().alias("n"), F.min(F.abs(F.col("x") - F.log10(F.col("k").cast("double"))) <= 0.05 + 1e-9).alias("close"))
+    """Jitter by a seed: near the value, the same for the same seed, different by seed and by value."""
+    k = g.reused(g.distribution(g.degrees(a.graph(spark, d))))
+    one, two, other = (stats.log_jitter(k, "k", seed).select("k", F.col("jittered").alias(n)) for seed, n in ((42, "one"), (42, "two"), (43, "other")))
+    j = one.join(two, "k").join(other, "k").withColumn("off", F.col("one") - F.log10(F.col("k").cast("double")))
+    far = F.max(F.abs("off")) <= 0.05 + 1e-9
+    return j.agg(N().alias("n"), far.alias("close"), F.min(F.col("one") == F.col("two")).alias("repeatable"), ((F.stddev_samp("off") > 0.004) & (F.stddev_samp("off") < 0.02) & (F.count_if(F.col("one") == F.col("other")) == 0)).alias("spread"))
 
 
 @query("MTH-17", "SELECT pow(10, floor(log10(least(min(k), min(n)))))::double AS low, pow(10, ceil(log10(greatest(max(k), max(n)))))::double AS high FROM (SELECT deg AS k, count(*) AS n FROM deg GROUP BY deg)", "deg")

@@ -354,17 +354,17 @@ def network_row(spark, d):
 
 @query("AGG-16", "SELECT min(sim) AS low, round(median(sim), 6) AS med, max(sim) AS high, round(avg(sim), 6) AS mean, round(stddev_samp(sim), 6) AS std, list_sort(list(sim))[(count(*) // 2 + 1)::bigint] AS upper FROM g", "g")
 def summary(spark, d):
-    e = a.graph(spark, d)
-    n = F.row_number().over(Window.orderBy("sim")) - 1
-    upper = e.select("sim", n.alias("i"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("n")).filter("i = n div 2").select(F.col("sim").alias("upper"))
-    return e.agg(F.min("sim").alias("low"), F.round(F.median("sim"), 6).alias("med"), F.max("sim").alias("high"), F.round(F.avg("sim"), 6).alias("mean"), F.round(F.stddev_samp("sim"), 6).alias("std")).join(upper)
+    e = g.reused(a.graph(spark, d))
+    middle = stats.order_statistic(e, "sim", (), lambda n: [F.floor((n - 1) / 2), F.floor(n / 2)])
+    out = e.agg(F.min("sim").alias("low"), F.max("sim").alias("high"), F.round(F.avg("sim"), 6).alias("mean"), F.round(F.stddev_samp("sim"), 6).alias("std"))
+    return out.join(middle).select("low", F.round((F.col("v0") + F.col("v1")) / 2, 6).alias("med"), "high", "mean", "std", F.col("v1").alias("upper"))  # one row each
 
 
 @query("MTH-22", "SELECT node, list_sort(list(deg2))[(len(list(deg2)) // 2 + 1)::bigint] AS upper FROM (SELECT nb.node AS node, deg.deg AS deg2 FROM nb JOIN deg ON deg.node = nb.nbr) GROUP BY node", "nb deg")
 def upper_medians(spark, d):
-    e = a.graph(spark, d)
+    e = g.reused(a.graph(spark, d))
     deg = g.degrees(e).select(F.col("node").alias("nbr"), "deg")
-    return g.both_ways(e).join(deg, "nbr").groupBy("node").agg(val.upper_median(F.collect_list("deg")).alias("upper"))
+    return stats.order_statistic(g.both_ways(e).join(deg, "nbr"), "deg", ("node",)).select("node", F.col("v0").alias("upper"))
 
 
 # --- triads
@@ -475,8 +475,8 @@ def participation(spark, d):
 
 @query("TOP-12", "SELECT A, B, C, round(m, 6) AS m FROM (SELECT A, B, C, least((s1 - min(s1) OVER ()) / (max(s1) OVER () - min(s1) OVER ()), (s3 - min(s3) OVER ()) / (max(s3) OVER () - min(s3) OVER ())) AS m FROM scored) ORDER BY round(m, 6) DESC, A, B, C LIMIT 50", "scored")
 def parallel_top(spark, d):
-    m = F.round(F.least(val.min_max(F.col("s1")), val.min_max(F.col("s3"))), 6).alias("m")
-    return scored(spark, d).select("A", "B", "C", m).orderBy(F.desc("m"), "A", "B", "C").limit(50)
+    scaled = stats.min_max(g.reused(scored(spark, d).select("A", "B", "C", "s1", "s3")), ["s1", "s3"])
+    return scaled.select("A", "B", "C", F.round(F.least("s1", "s3"), 6).alias("m")).orderBy(F.desc("m"), "A", "B", "C").limit(50)
 
 
 XS, YS = [round(0.2 + 0.025 * i, 3) for i in range(9)], [round(0.05 * i, 2) for i in range(11)]
@@ -618,19 +618,28 @@ def compared_aucs(spark, d):
     return r.select("auc_a", "auc_b", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"), "verdict")
 
 
-KDE = """pt AS (SELECT rank::double AS x, similarity AS y FROM rank1), s AS (SELECT min(x) AS lx, max(x) AS ux, stddev_samp(x) * pow(count(*), -1 / 6.0::double) AS hx, min(y) AS ly, max(y) AS uy, stddev_samp(y) * pow(count(*), -1 / 6.0::double) AS hy FROM pt),
-    cell AS (SELECT i, j, count(*) AS c FROM (SELECT round((x - lx) / ((ux - lx) / 2000)) AS i, round((y - ly) / ((uy - ly) / 2000)) AS j FROM pt, s) GROUP BY ALL),
-    near AS (SELECT gi, gj, c, (i * ((ux - lx) / 2000) - gi * ((ux - lx) / 19)) / hx AS dx, (j * ((uy - ly) / 2000) - gj * ((uy - ly) / 19)) / hy AS dy FROM cell, s, (SELECT unnest(range(20)) AS gi), (SELECT unnest(range(20)) AS gj)
-        WHERE gi BETWEEN floor((i * ((ux - lx) / 2000) - 5 * hx) / ((ux - lx) / 19)) AND ceil((i * ((ux - lx) / 2000) + 5 * hx) / ((ux - lx) / 19)) AND gj BETWEEN floor((j * ((uy - ly) / 2000) - 5 * hy) / ((uy - ly) / 19)) AND ceil((j * ((uy - ly) / 2000) + 5 * hy) / ((uy - ly) / 19))),
-    dens AS (SELECT gi, gj, sum(c * exp(-0.5 * (dx * dx + dy * dy))) AS d FROM near GROUP BY ALL)"""
+KDE = """pt AS (SELECT rank::double AS x, similarity AS y FROM rank1 WHERE {where}), s AS (SELECT count(*) AS n, min(x) AS lx, max(x) AS ux, min(y) AS ly, max(y) AS uy, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c FROM pt),
+    lim AS (SELECT {limits}, vx, vy, c, (vx * vy - c * c) * pow(n, -1 / 3.0::double) AS det FROM s),
+    gr AS (SELECT i, j, lx + i * (ux - lx) / 19 AS gx, ly + j * (uy - ly) / 19 AS gy FROM lim, (SELECT unnest(range(20)) AS i), (SELECT unnest(range(20)) AS j)),
+    dens AS (SELECT gx, gy, sum(exp(-0.5 * (vy * (x - gx) * (x - gx) - 2 * c * (x - gx) * (y - gy) + vx * (y - gy) * (y - gy)) / det)) AS d FROM gr, lim, pt GROUP BY ALL)
+    SELECT round(gx, 6) AS gx, round(gy, 6) AS gy, round(d / max(d) OVER (), 6) AS density FROM dens"""
 
 
-@query("STA-15", f"WITH {KDE} SELECT round(lx + gi * ((ux - lx) / 19), 6) AS gx, round(ly + gj * ((uy - ly) / 19), 6) AS gy, round(d / max(d) OVER (), 6) AS density FROM dens, s", "rank1")
-def density_map(spark, d):
-    map_ = stats.kde(a.ranked_pairs(spark, d).select(F.col("rank").cast("double").alias("rank"), "similarity"), "rank", "similarity")
+def _rounded(map_):
     return map_.select(F.round("gx", 6).alias("gx"), F.round("gy", 6).alias("gy"), F.round("density", 6).alias("density"))
 
 
+@query("STA-15", "WITH " + KDE.format(where="true", limits="lx, ux, ly, uy"), "rank1")
+def density_map(spark, d):
+    return _rounded(stats.kde(a.ranked_pairs(spark, d).select("rank", "similarity"), "rank", "similarity"))
+
+
+@query("STA-15-zoom", "WITH " + KDE.format(where="rank BETWEEN 1 AND 40 AND similarity BETWEEN 0.25 AND 0.45", limits="1.0::double AS lx, 40.0::double AS ux, 0.25::double AS ly, 0.45::double AS uy"), "rank1")
+def zoomed_density_map(spark, d):
+    """Estimated anew from what lies within the limits."""
+    return _rounded(stats.kde(a.ranked_pairs(spark, d).select("rank", "similarity"), "rank", "similarity", x_limits=(1.0, 40.0), y_limits=(0.25, 0.45)))
+
+
 @query("STA-16", f"WITH {DEG}, j AS (SELECT year, deg FROM dg JOIN pub ON pid = node), q AS (SELECT year, count(*) AS n, quantile_cont(deg, 0.25) AS q1, quantile_cont(deg, 0.5) AS med, quantile_cont(deg, 0.75) AS q3 FROM j GROUP BY year HAVING count(*) >= 5) SELECT q.year AS year, n, round(q1, 6) AS q1, round(med, 6) AS med, round(q3, 6) AS q3, min(deg) FILTER (deg >= q1 - 1.5 * (q3 - q1))::double AS low, max(deg) FILTER (deg <= q3 + 1.5 * (q3 - q1))::double AS high FROM q JOIN j ON j.year = q.year GROUP BY ALL", "edge pub")
 def boxes(spark, d):
     from loomgraph.plans.pairs import degree_with_year
@@ -751,9 +760,13 @@ def pilot(spark, d):
     return sampling.stratified(a.judged_edges(spark, d), sampling.pilot_strata(0.35, 0.26, 0.27))
 
 
-@query("TOP-07", "SELECT least(count(*), 50000) AS n FROM je", "je")
+@query("TOP-07", "SELECT least(count(*), 50000) AS n, least(count(*), 50000) AS n_known, least(count(*), 100) AS n_few FROM je", "je")
 def head(spark, d):
-    return a.judged_edges(spark, d).limit(50_000).agg(N().alias("n"))
+    """The first rows as they come: how many there are, how many of them are different rows of the whole, and of a shorter head."""
+    e = g.reused(a.judged_edges(spark, d).select("source", "target"))
+    head = g.reused(e.limit(50_000))
+    known = head.distinct().join(e, ["source", "target"], "left_semi").agg(N().alias("n_known"))
+    return head.agg(N().alias("n")).join(known).join(e.limit(100).agg(N().alias("n_few")))  # one row each
 
 
 @query("SRC-14", "SELECT g.a AS a, g.b AS b, CASE WHEN x.grp = y.grp THEN 1.0 WHEN x.grp % 3 = y.grp % 3 THEN 0.333333 ELSE 0.0 END::double AS jaccard FROM g JOIN vec x ON x.pid = g.a JOIN vec y ON y.pid = g.b", "g vec")
