@@ -350,11 +350,17 @@ class Encoder:
             self.run = None
         return self._pack(ids)
 
-    def encode(self, text: str) -> bytes:
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """The ids of a text as they leave."""
         if len(text) <= CHUNK and (self._special is None or not self._special.search(text)):
-            return self._closed(text)
-        out = [self.feed(text[at : at + CHUNK]) for at in range(0, len(text), CHUNK)]
-        return b"".join(out) + self.finish()
+            yield self._closed(text)
+            return
+        for at in range(0, len(text), CHUNK):
+            yield self.feed(text[at : at + CHUNK])
+        yield self.finish()
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.pieces(text))
 
 
 class Decoder:
@@ -408,20 +414,25 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         decoder = Decoder(encoder.v)
         for batch in batches:
             counts, ids_sha, text_sha, all_ids, all_texts = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                packed = encoder.encode(text or "")
-                ids = np.frombuffer(packed, dtype="<u4").tolist()
-                digest, kept = hashlib.sha256(), []
-                for piece in decoder.decode(ids):
-                    digest.update(piece.encode())
+            for cell in batch.column(1):  # one text at a time, and of its ids one piece
+                n, of_ids, of_text, kept_ids, kept = 0, hashlib.sha256(), hashlib.sha256(), [], []
+                for packed in encoder.pieces(cell.as_py() or ""):
+                    of_ids.update(packed)
+                    ids = np.frombuffer(packed, dtype="<u4").tolist()
+                    n += len(ids)
+                    decoded = decoder.feed(ids)
+                    of_text.update(decoded.encode())
                     if with_ids:
-                        kept.append(piece)
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(packed).hexdigest())
-                text_sha.append(digest.hexdigest())
+                        kept_ids += ids
+                        kept.append(decoded)
+                decoded = decoder.finish()
+                of_text.update(decoded.encode())
+                counts.append(n)
+                ids_sha.append(of_ids.hexdigest())
+                text_sha.append(of_text.hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
-                    all_texts.append("".join(kept))
+                    all_ids.append(kept_ids)
+                    all_texts.append("".join([*kept, decoded]))
             made = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
