@@ -6,11 +6,13 @@ the product over its words. A string automaton finds the pieces that end at each
 those that expectation-maximisation over all segmentations gives for the training words. Vocabularies hold every
 single byte, so every word has a probability.
 
-The training sample is bounded: in each language the documents whose hashed id falls below a threshold that makes
-SAMPLE_DOCS of them in expectation. Their words are counted on the executors, whole; words of more than TRAIN_CHARS
-characters, as in scripts without spaces, are learned from in parts of that length. Scoring is one pass over all whole
-texts and never cuts a word; a word's log-probabilities are computed once and remembered for each worker, in bounded
-memory, and new words of a batch are scored together.
+The training sample is bounded: of the LANGUAGES most frequent values of the language column (ties by name), each, the
+documents whose hashed id falls below a threshold that makes SAMPLE_DOCS of them in expectation. Their words are counted
+whole and stay on the executors; a round of expectation-maximisation is an aggregate over them, and what reaches the
+driver is the model, a number for each piece and language. Neither training nor scoring cuts a word: words beyond
+BYTES_AT_ONCE go through both passes in parts, of which training keeps one number a byte. Scoring is one pass over all
+whole texts; a word's log-probabilities are computed once and remembered for each worker, in bounded memory, and new
+words of a batch are scored together.
 
 Defined results: a null text and a text without a letter are `und` with score 0. Documents with a null language or a
 null id are not learned from. Repeated rows are learned from and scored like others. Without any training document all
@@ -32,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe import Vocabulary, read_file
-from loomgraph.llm.common import small_batches
+from loomgraph.llm.common import checkpointed, small_batches
 
 SAMPLE_DOCS = 400
+#: Values of the language column that are learned, at most; a column without order may hold any number of them.
+LANGUAGES = 200
 FOLDS, HELD_OUT = 4, 2
 ROUNDS = 3
-#: Longest part of a word, in characters, in training.
-TRAIN_CHARS = 64
 #: Added to every piece's expected count.
 SMOOTH = 0.02
 UNKNOWN = "und"
@@ -93,19 +95,21 @@ def forward(lattice: Lattice, log_p: np.ndarray, a: np.ndarray, first: int = 0)
         a[word[begin], end - first] = x
 
 
-def _expected(lattice: Lattice, sizes: np.ndarray, n: np.ndarray, log_q: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece, over all segmentations of words that occur n times."""
+def _expected(lattices, sizes: np.ndarray, n: np.ndarray, log_q: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece, over all segmentations of words that occur n times; lattices: functions that give the words' parts, in order."""
     shape = len(sizes), int(sizes.max()) + 1
     a, b = np.zeros((*shape, 1)), np.full(shape, -np.inf)
-    forward(lattice, log_q[:, None], a)
+    for part in lattices:
+        forward(part(), log_q[:, None], a)
     every = np.arange(len(sizes))
     total, b[every, sizes] = a[every, sizes, 0], 0.0
     out = np.zeros(len(log_q))
-    for end, some in reversed(list(lattice.steps())):
-        word, start, piece = lattice.word[some], lattice.start[some], lattice.piece[some]
-        x = b[word, end] + log_q[piece]
-        b[word, start] = np.logaddexp(b[word, start], x)
-        out += np.bincount(piece, weights=n[word] * np.exp(a[word, start, 0] + x - total[word]), minlength=len(out))
+    for part in reversed(lattices):
+        for end, some in reversed(list((lattice := part()).steps())):
+            word, start, piece = lattice.word[some], lattice.start[some], lattice.piece[some]
+            x = b[word, end] + log_q[piece]
+            b[word, start] = np.logaddexp(b[word, start], x)
+            out += np.bincount(piece, weights=n[word] * np.exp(a[word, start, 0] + x - total[word]), minlength=len(out))
     return out
 
 
@@ -144,6 +148,28 @@ class Model:
         text = "\u0100".join(w.decode("latin-1") for w in words)  # a mark that is no byte keeps words apart
         return Lattice(words, self.automaton.iter(text), np.cumsum(sizes) - sizes)
 
+    def parts(self, words: list[bytes]) -> list:
+        """Functions that give the lattices of these words, several only for one long word."""
+        if len(words) > 1 or len(words[0]) <= BYTES_AT_ONCE:
+            whole = self.lattice(words)
+            return [lambda: whole]
+        longest = max(map(len, self.pieces))
+
+        def ending(at: int):  # the pieces that end in this part
+            first = max(0, at - longest + 1)
+            text = words[0][first : at + BYTES_AT_ONCE].decode("latin-1")
+            return lambda: Lattice(words, ((place, x) for place, x in self.automaton.iter(text) if place + first >= at), np.zeros(1, dtype=np.int64), first)
+
+        return [ending(at) for at in range(0, len(words[0]), BYTES_AT_ONCE)]
+
+    def expected(self, words: list[bytes], n: np.ndarray, log_q: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in these words, of which each occurs n times."""
+        out = np.zeros(len(self.pieces))
+        for group in self.groups(words):
+            some = [words[i] for i in group]
+            out += _expected(self.parts(some), np.array([len(w) for w in some]), n[group], log_q)
+        return out
+
     def log_words(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
         marked = [b" " + w.encode() for w in words]
@@ -205,53 +231,64 @@ class Model:
         return predict
 
 
-def learn(counts: dict[str, dict[str, int]], vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """counts: of each language, its words. Expectation-maximisation over all segmentations."""
-    languages = sorted(counts)
+def learn(words: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """words: lang, word, n. Expectation-maximisation over all segmentations; a round is an aggregate over the words."""
+    spark = words.sparkSession
+    small_batches(spark)
+    words = checkpointed(words.select("lang", F.col("word"), F.col("n").cast("double").alias("n")))
+    languages = sorted(r.lang for r in words.select("lang").distinct().collect())
     pieces = sorted(vocabulary.ids)
-    model = Model(languages, pieces, np.zeros((len(pieces), len(languages))))
-    for at, language in enumerate(languages):
-        words = [(b" " + w.encode(), n) for w, n in sorted(counts[language].items())]
-        groups = []
-        for group in model.groups([w for w, _ in words]):
-            some = [words[i] for i in group]
-            groups.append((model.lattice([w for w, _ in some]), np.array([len(w) for w, _ in some]), np.array([n for _, n in some], dtype=np.float64)))
-        q = np.full(len(pieces), 1.0 / len(pieces))
-        for _ in range(rounds):
-            expected = np.full(len(pieces), SMOOTH)
-            for lattice, sizes, n in groups:
-                expected += _expected(lattice, sizes, n, np.log(q))
-            q = expected / expected.sum()
-        model.log_p[:, at] = np.log(q)
-    return model
-
-
-def training_counts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, dict[str, int]]:
-    small_batches(docs.sparkSession)
+    place = {x: i for i, x in enumerate(languages)}
+    finder = spark.sparkContext.broadcast(Model(languages, pieces, np.zeros((0, 0))))  # its automaton is built once for each worker
+    log_q = np.full((len(pieces), len(languages)), -np.log(len(pieces)))
+    for _ in range(rounds if languages else 0):
+        now = spark.sparkContext.broadcast(log_q)
+
+        def count(batches):
+            found: dict[int, np.ndarray] = {}
+            for batch in batches:
+                lang, word = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                n = batch.column(2).to_numpy(zero_copy_only=False)
+                for language in sorted(set(lang)):
+                    at = place[language]
+                    mine = np.flatnonzero([x == language for x in lang])
+                    uses = finder.value.expected([b" " + word[i].encode() for i in mine], n[mine], now.value[:, at])
+                    found[at] = found[at] + uses if at in found else uses
+            for at, uses in found.items():
+                used = np.flatnonzero(uses)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), at), pa.int32()), pa.array(used, pa.int32()), pa.array(uses[used], pa.float64())], ["at", "piece", "uses"])
+
+        summed = words.mapInArrow(count, "at int, piece int, uses double").groupBy("at", "piece").agg(F.sum("uses").alias("uses")).toArrow()
+        expected = np.full(log_q.shape, SMOOTH)
+        expected[summed.column("piece").to_numpy(), summed.column("at").to_numpy()] += summed.column("uses").to_numpy()
+        log_q = np.log(expected / expected.sum(axis=0))
+        now.destroy()
+    return Model(languages, pieces, log_q)
+
+
+def training_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> DataFrame:
+    """lang, word, n of the training sample, whole words, dealt over tasks."""
+    spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = source.filter("doc_id is not null and lang is not null").filter(~held_out())
-    sizes = usable.groupBy("lang").count().collect()
-    if not sizes:
-        return {}
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
-    drawn = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "lang").limit(languages)
+    known = sizes.select("lang", F.least(F.lit(1.0), sample_docs / F.col("__n")).alias("__share"))
+    drawn = usable.join(F.broadcast(known), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("__share") * float(1 << 40))  # LANGUAGES rows
 
     def count(batches):
         for batch in batches:
             found: Counter = Counter()
-            for text, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.update((language, w[i : i + TRAIN_CHARS]) for w in words_of(text) for i in range(0, len(w), TRAIN_CHARS))
+            for text, language in zip(batch.column(0), batch.column(1)):
+                found.update((language.as_py(), w) for w in words_of(text.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
-    counted = drawn.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    out: dict[str, dict[str, int]] = {}
-    for language, word, n in zip(*(counted[c].to_pylist() for c in ("lang", "word", "n"))):
-        out.setdefault(language, {})[word] = n
-    return out
+    counted = drawn.select("text", "lang").mapInArrow(count, "lang string, word string, n long")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS) -> Model:
-    return learn(training_counts(docs, sample_docs), Vocabulary(read_file(path)))
+def fit(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> Model:
+    return learn(training_words(docs, sample_docs, languages), Vocabulary(read_file(path)))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -107,12 +107,32 @@ def test_forward_sums_all_segmentations(vocabulary):
     assert np.allclose(together[0], long) and np.allclose(together[[1, 2]], [model.log_words(["ab" * n])[0] for n in (1, 7)])
 
 
-def test_long_words_in_parts(vocabulary, monkeypatch):
-    model = language.learn({"en": {"the": 5, "thethe": 2}, "ja": {"日本語": 5}}, vocabulary)
+def counted(spark, counts):
+    return spark.createDataFrame([(l, w, n) for l, c in counts.items() for w, n in c.items()], "lang string, word string, n long").repartition(3)
+
+
+def test_long_words_in_parts(spark, vocabulary, monkeypatch):
+    model = language.learn(counted(spark, {"en": {"the": 5, "thethe": 2}, "ja": {"日本語": 5}}), vocabulary)
+    some, n = [b" " + w.encode() for w in ("日本語" * 90, "the" * 200, "x", "hello")], np.array([2.0, 1.0, 5.0, 3.0])
+    uses = model.expected(some, n, model.log_p[:, 0])
+    assert (uses @ np.array([len(x) for x in model.pieces])) == pytest.approx(n @ [len(w) for w in some])
     words = ["日本語" * 400, "the" * 900, "x", "日本" * 150]
     whole = model.log_words(words)
     monkeypatch.setattr(language, "BYTES_AT_ONCE", 150)
     assert np.allclose(model.log_words(words), whole)
+    assert np.allclose(model.expected(some, n, model.log_p[:, 0]), uses)
+
+
+def test_many_values_of_the_language_column(spark, vocabulary):
+    """The most frequent ones are learned, ties by name; quotes and empty strings are values like others."""
+    rows = [(i, "the and of", "en") for i in range(40)] + [(100 + i, "der die das", "d'e\"") for i in range(30)] + [(200 + i, "le la les", "") for i in range(20)] + [(1000 + i, "x y", f"l{i:03d}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words = language.training_words(docs, languages=5)
+    known = {r.lang for r in words.select("lang").distinct().collect()}
+    first = sorted(f"l{i:03d}" for i in range(300) if zlib.crc32(str(1000 + i).encode()) % 4 != 2)[:2]
+    assert known == {"en", "d'e\"", "", *first}
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, language.fit(docs, PATH, languages=5)).collect()}
+    assert got[0] == "en" and got[100] == "d'e\"" and got[200] == ""
 
 
 def test_scripts_without_spaces_are_learned(spark, vocabulary):
@@ -123,25 +143,28 @@ def test_scripts_without_spaces_are_learned(spark, vocabulary):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.fit(docs, PATH)
     assert len(model.pieces) == len(vocabulary.ids) and max(map(len, model.pieces)) == vocabulary.longest
-    counts = language.training_counts(docs)
+    counts = {}
+    for r in language.training_words(docs).collect():
+        counts.setdefault(r.lang, {})[r.word] = r.n
     used = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert min(len(w) for c in counts.values() for w in c) >= 80  # whole
     assert {k: sum(n * len(w) for w, n in c.items()) for k, c in counts.items()} == {k: sum(len(t) - 1 for _, t, lang in used if lang == k) for k in letters}
     got = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
     assert all(got[i] == lang for i, _, lang in rows)
 
 
-def test_expectation_maximisation_raises_the_likelihood(vocabulary):
+def test_expectation_maximisation_raises_the_likelihood(spark, vocabulary):
     counts = {"en": {"the": 50, "and": 30, "theand": 4}, "de": {"der": 40, "die": 30, "und": 20}}
     scores = []
     for rounds in (1, 3, 6):
-        m = language.learn(counts, vocabulary, rounds)
+        m = language.learn(counted(spark, counts), vocabulary, rounds)
         assert np.allclose(np.exp(m.log_p).sum(axis=0), 1)
         scores.append(sum(n * m.log_words([w])[0, m.languages.index(l)] for l, c in counts.items() for w, n in c.items()))
     assert scores[0] <= scores[1] <= scores[2] + 1e-9
 
 
 def test_language_edges(spark, vocabulary):
-    model = language.learn({"en": {"the": 5}, "de": {"der": 5}}, vocabulary)
+    model = language.learn(counted(spark, {"en": {"the": 5}, "de": {"der": 5}}), vocabulary)
     texts = [None, "", "123 !!", "²", "der der", "the", "d" * 5000, "中文"]
     docs = spark.createDataFrame([(i, t, "xx", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, score int")
     got = {r.doc_id: r for r in language.predict(docs, model).collect()}
