@@ -348,3 +348,11 @@ def test_network_model_takes_the_focus(spark):
     assert {x for r in inside.collect() for x in r} == set(range(12))
     fitted = ergm.fit_chains(edges, spark.createDataFrame([(k, str(k % 2)) for k in range(200)], "node long, cls string"), [1], rounds=4, toggles=20, size=12).collect()
     assert {r["statistic"] for r in fitted} == set(ergm.STATISTICS) and all(math.isfinite(r["theta"]) for r in fitted)
+    rng = np.random.default_rng(3)
+    adj = np.triu(rng.random((12, 12)) < 0.4, 1).astype(float)
+    adj += adj.T
+    chain = ergm.Chain(adj, np.array([1, 1, 2, 0, 0, 2, 1, 2, 2, 0, 1, 1]), rng)
+    for theta in (np.zeros(4), np.array([-1.0, 0.3, 0.5, 0.2])):
+        chain.draws(theta, 20, 30)
+        assert chain.now == pytest.approx(ergm.statistics(chain.adj, chain.classes)) and (chain.adj == chain.adj.T).all()
+    assert (chain.adj != adj).any() and ergm.statistics(np.ones((3, 3)) - np.eye(3), np.array([5, 5, 0])) == pytest.approx([3, 1, 3 / 4, 1])
