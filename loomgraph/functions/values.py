@@ -154,6 +154,28 @@ def ensemble_median(values: Column) -> Column:
     return F.when(n >= 2, mid)
 
 
+def kind_of(variant: Column) -> Column:
+    """null, boolean, number, string, array or object; NULL where there is no value at all."""
+    schema = F.schema_of_variant(variant)
+    named = F.when(schema == "VOID", "null").when(schema == "BOOLEAN", "boolean").when(schema == "STRING", "string").when(schema.startswith("ARRAY"), "array").when(schema.startswith("OBJECT"), "object")
+    return F.when(variant.isNotNull(), F.coalesce(named, F.lit("number")))
+
+
+def path_errors(variant: Column, rules: dict) -> Column:
+    """The paths at which a variant breaks the rules {path: (kind, condition or None)}, in their order.
+
+    A path must hold a value of this kind, of which the condition must be true; it takes text, or a double for numbers.
+    A null variant breaks them all.
+    """
+    found = []
+    for path, (kind, condition) in rules.items():
+        good = kind_of(F.try_variant_get(variant, path, "variant")) == kind
+        if condition is not None:
+            good &= condition(F.try_variant_get(variant, path, "double" if kind == "number" else "string"))
+        found.append(F.when(~F.coalesce(good, F.lit(False)), path))
+    return F.array_compact(F.array(*found))
+
+
 def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
 

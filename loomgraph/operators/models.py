@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -122,9 +123,60 @@ def claims(answers: DataFrame, raw: str = "raw") -> DataFrame:
     return answers.withColumn("__c", F.explode_outer(parsed)).select(*answers.columns, F.col("__c.claim").alias("claim"), F.col("__c.verdict").alias("verdict"))
 
 
+class ClaimReader:
+    """A table function over the pieces of one document's answer, in order: claims leave as soon as they are complete, and what is held is the unfinished one.
+
+    A document without any claim gives one row of nulls. What is no JSON ends the document's claims.
+    """
+
+    def __init__(self):
+        self.key, self.buffer, self.state, self.n = None, "", "before", 0
+
+    def eval(self, row):
+        self.key = row["key"]
+        if self.state != "done":
+            self.buffer += row["raw"] or ""
+            yield from self._complete()
+
+    def terminate(self):
+        if not self.n:
+            yield self.key, None, None
+
+    def _complete(self):
+        if self.state == "before":
+            begin = re.search(r'"claims"\s*:\s*\[', self.buffer)
+            if begin is None:
+                return
+            self.buffer, self.state = self.buffer[begin.end() :], "claims"
+        while self.state == "claims":
+            self.buffer = self.buffer.lstrip(" \t\r\n,")
+            if self.buffer[:1] not in ("", "{"):
+                self.state = "done"  # the end of the list, or no list of claims
+                return
+            try:
+                claim, end = json.JSONDecoder().raw_decode(self.buffer)
+            except ValueError:
+                return  # not all there yet
+            self.buffer, self.n = self.buffer[end:], self.n + 1
+            yield (self.key, *(None if claim.get(c) is None else str(claim[c]) for c in ("claim", "verdict")))
+
+
+def streamed_claims(pieces: DataFrame, key: str, order: str, raw: str = "raw") -> DataFrame:
+    """key, claim, verdict of answers that come in pieces; a partition of the table function is one document."""
+    kind = pieces.schema[key].dataType.simpleString()
+    read = F.udtf(ClaimReader, returnType=f"key {kind}, claim string, verdict string")
+    rows = pieces.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(raw).cast("string").alias("raw"))
+    return read(rows.asTable().partitionBy("key").orderBy("order")).withColumnRenamed("key", key)
+
+
 def faithfulness(answers: DataFrame, key: str, raw: str = "raw") -> DataFrame:
     """key, n_claims, upr, m5_score; without claims the score is 1."""
-    c = claims(answers, raw).groupBy(key).agg(F.count("claim").alias("n_claims"), F.count_if(F.col("verdict").isin("contradicted", "unverifiable")).alias("bad"))
+    return faithfulness_of(claims(answers, raw), key)
+
+
+def faithfulness_of(claims: DataFrame, key: str) -> DataFrame:
+    """The same of claims (key, claim, verdict)."""
+    c = claims.groupBy(key).agg(F.count("claim").alias("n_claims"), F.count_if(F.col("verdict").isin("contradicted", "unverifiable")).alias("bad"))
     upr = F.col("bad") / F.greatest(F.col("n_claims"), F.lit(1))
     return c.select(key, "n_claims", F.round(upr, 6).alias("upr"), F.round(F.when(F.col("n_claims") == 0, 1.0).otherwise(1 - upr), 6).alias("m5_score"))
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as t
+from loomgraph.functions import values as val
 from loomgraph.operators import ergm, models, stats
 from loomgraph.operators import graph as g
 from loomgraph.operators.refresh import GraphState
@@ -104,6 +105,23 @@ def keyed_json(spark, d):
     return r.keyed_json(spark, path).select(F.col("key").alias("pid"), F.explode("value.records").alias("x")).select("pid", F.col("x.patentApplicationNumber").alias("app"))
 
 
+@query(
+    "SRC-04-variant",
+    "SELECT pid, CASE n % 6 WHEN 0 THEN 'object' WHEN 1 THEN 'array' WHEN 2 THEN 'number' WHEN 3 THEN 'string' WHEN 4 THEN 'boolean' ELSE 'null' END AS kind, CASE n % 6 WHEN 0 THEN n WHEN 1 THEN n + 1 WHEN 2 THEN n WHEN 3 THEN NULL END::bigint AS number FROM pat",
+    "pat",
+)
+def keyed_variants(spark, d):
+    """Values of six kinds under keys that no schema knows."""
+    path = scratch(spark, "variant")
+    n = F.col("n").cast("string")
+    text = [F.concat(F.lit('{"a": {"n": '), n, F.lit('}, "b": ["x"]}')), F.concat(F.lit('["x", '), (F.col("n") + 1).cast("string"), F.lit("]")), n, F.concat(F.lit('"text '), n, F.lit('"')), F.lit("true"), F.lit("null")]
+    p = a.patents(spark, d).select("pid", F.concat(F.lit('"'), "pid", F.lit('": '), F.get(F.array(*text), (F.col("n") % 6).cast("int"))).alias("entry"))
+    p.groupBy((F.crc32("pid") % 4).alias("k")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list("entry"), ", "), F.lit("}")).alias("value")).write.partitionBy("k").text(path)
+    v = r.keyed_variants(spark, path)
+    number = F.coalesce(F.try_variant_get("value", "$.a.n", "bigint"), F.try_variant_get("value", "$[1]", "bigint"), F.when(val.kind_of(F.col("value")) == "number", F.try_variant_get("value", "$", "bigint")))
+    return v.select(F.col("key").alias("pid"), val.kind_of(F.col("value")).alias("kind"), number.alias("number"))
+
+
 EDGES = "source long, target long, similarity double, judgment string"
 
 
@@ -436,6 +454,18 @@ def claims(spark, d):
     return models.faithfulness(c, "conv_id")
 
 
+@query("UDF-08-stream", "SELECT conv_id, count(*) AS n_claims, round(count(*) FILTER (role = 'assistant') / count(*)::double, 6) AS upr, round(1 - count(*) FILTER (role = 'assistant') / count(*)::double, 6) AS m5_score FROM conversations GROUP BY conv_id")
+def claims_in_pieces(spark, d):
+    """Each turn is a piece of its conversation's answer, cut within a claim."""
+    verdict = F.when(F.col("role") == "assistant", "contradicted").otherwise("supported")
+    claim = F.to_json(F.struct(F.concat(F.col("turn").cast("string"), F.lit(" ]},{")).alias("claim"), verdict.alias("verdict")))
+    t = a.table(spark, d, "conversations").select("conv_id", "turn", claim.alias("c"))
+    head = F.when(F.col("turn") == 0, '{"claims": [').otherwise(", ")
+    cut = F.array(F.struct((F.col("turn") * 2).alias("place"), F.concat(head, F.substring("c", 1, 9)).alias("raw")), F.struct((F.col("turn") * 2 + 1).alias("place"), F.substring(F.col("c"), F.lit(10), F.length("c")).alias("raw")))
+    pieces = t.select("conv_id", F.explode(cut).alias("x")).select("conv_id", "x.place", "x.raw")
+    return models.faithfulness_of(models.streamed_claims(pieces, "conv_id", "place"), "conv_id")
+
+
 @query("UDF-09", f"SELECT {H.replace('|p', '|image only')} % 3 = 0 AS yes, count(*) AS n FROM je GROUP BY yes", "je")
 def baseline(spark, d):
     v = models.verdicts(models.judge(left_right(spark, d), models.MockJudge, "image only"))

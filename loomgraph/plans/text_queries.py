@@ -202,6 +202,20 @@ def validated_json(spark, d):
     return a.events(spark, d).select("event_id", F.coalesce(k.between(10, 60) & F.col("event_type").isin("click", "error"), F.lit(False)).alias("valid"))
 
 
+@query(
+    "JSN-03-paths",
+    "SELECT event_id, concat_ws(',', CASE WHEN k < 10 OR k > 60 OR event_id % 4 = 0 THEN '$.a.k' END, CASE WHEN event_type NOT IN ('click', 'error') THEN '$.kind' END, CASE WHEN event_id % 3 > 0 THEN '$.list' END) AS errors FROM (SELECT event_id, event_type, (props->>'k')::int AS k FROM events)",
+)
+def validated_paths(spark, d):
+    """Kinds and conditions at paths of nested values: a number that is text in every fourth record, a list that is none in two of three."""
+    k, i = F.get_json_object("props", "$.k"), F.col("event_id")
+    number = F.when(i % 4 == 0, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k)
+    some = F.when(i % 3 == 0, "[1, 2]").when(i % 3 == 1, "{}").otherwise("null")
+    v = F.try_parse_json(F.concat(F.lit('{"a": {"k": '), number, F.lit('}, "kind": "'), "event_type", F.lit('", "list": '), some, F.lit("}")))
+    rules = {"$.a.k": ("number", lambda x: x.between(10, 60)), "$.kind": ("string", lambda x: x.isin("click", "error")), "$.list": ("array", None)}
+    return a.events(spark, d).select("event_id", F.array_join(val.path_errors(v, rules), ",").alias("errors"))
+
+
 @query("JSN-04", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type || ',x' ELSE 'identical,exact,same' END AS words FROM events")
 def word_lists(spark, d):
     raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"words": ["'), F.upper("event_type"), F.lit('", "X"]}'))).otherwise("oops")

@@ -40,6 +40,12 @@ def keyed_json(spark: SparkSession, path: str, schema: str = CITATIONS) -> DataF
     return whole.select("file", F.posexplode("m").alias("pos", "key", "value"))
 
 
+def keyed_variants(spark: SparkSession, path: str) -> DataFrame:
+    """One object per file, with keys and values that no schema knows: file, pos, key, value (a variant). Files that are no JSON object have no rows."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v"))
+    return whole.filter("v is not null").lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("file", "pos", "key", "value")
+
+
 def json_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The first line that is no JSON fails the query."""
     return spark.read.schema(schema).json(path, mode="FAILFAST")
