@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,14 +73,50 @@ def triangles_by_cliques(edges: DataFrame) -> DataFrame:
     return both.select("s", "t", F.explode(F.array_intersect("n", "m")).alias("u")).select(s[0].alias("x"), s[1].alias("y"), s[2].alias("z"))
 
 
-def wedges(edges: DataFrame, block: int = 1000) -> DataFrame:
-    """node, a < b: all pairs of neighbours of a node. Neighbours of a hub are dealt into blocks, and pairs of blocks are joined, so no key holds over block * block pairs."""
+def partner_counts(edges: DataFrame, block: int = 1000, together: int = 1 << 21) -> DataFrame:
+    """a < b, partners: how many neighbours two nodes share, of those that share any.
+
+    The square of the adjacency matrix as a sum over blocks of middle nodes: a row is a node with its neighbours, a task
+    multiplies out some rows at once and adds up equal pairs, so no wedge is ever a row. Neighbours of a hub are dealt
+    into blocks, and pairs of blocks are rows, of block x block pairs at most.
+    """
+    edges = reused(edges)
     n = both_ways(edges).join(degrees(edges), "node").select("node", "nbr", F.ceil(F.col("deg") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("nbr"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    p = n.select("node", F.col("nbr").alias("a"), own.alias("i"), every.alias("j"))
-    q = n.select("node", F.col("nbr").alias("b"), own.alias("j"), every.alias("i"))
-    return p.join(q, ["node", "i", "j"]).filter("a < b").select("node", "a", "b")
+    packed = reused(n.groupBy("node", "blocks", F.pmod(F.xxhash64("nbr"), F.col("blocks")).cast("int").alias("i")).agg(F.collect_list(F.col("nbr").cast("long")).alias("x")))
+    whole = packed.filter("blocks = 1").select("x", F.lit(None).cast("array<bigint>").alias("y"))
+    hubs = packed.filter("blocks > 1").select("node", "i", "x", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
+    other = packed.filter("blocks > 1").select("node", F.col("i").alias("j"), F.col("x").alias("y"))
+    spread = hubs.join(other, ["node", "j"]).select("x", F.when(F.col("i") < F.col("j"), F.col("y")).alias("y"))
+
+    def multiply(batches):
+        pairs, size = [], 0
+
+        def put():
+            both = np.concatenate(pairs, axis=1)
+            order = np.lexsort((both[1], both[0]))
+            both = both[:, order]
+            first = np.flatnonzero(np.append(True, (both[:, 1:] != both[:, :-1]).any(axis=0)))
+            times = np.diff(np.append(first, both.shape[1]))
+            return pa.RecordBatch.from_arrays([pa.array(both[0, first]), pa.array(both[1, first]), pa.array(times.astype(np.int64))], ["a", "b", "n"])
+
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1)):
+                x = x.values.to_numpy(zero_copy_only=False)
+                if y.is_valid:
+                    i, j = np.repeat(x, len(y)), np.tile(y.values.to_numpy(zero_copy_only=False), len(x))
+                else:
+                    i, j = (x[k] for k in np.triu_indices(len(x), 1))
+                if len(i):
+                    pairs.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+                    size += len(i)
+                if size >= together:
+                    yield put()
+                    pairs, size = [], 0
+        if size:
+            yield put()
+
+    counted = whole.unionAll(spread).mapInArrow(multiply, "a long, b long, n long")
+    return counted.groupBy("a", "b").agg(F.sum("n").alias("partners"))
 
 
 def node_triangles(edges: DataFrame, tri: DataFrame | None = None) -> DataFrame:
@@ -343,7 +381,7 @@ def two_paths(edges: DataFrame) -> DataFrame:
 def shared_partners(edges: DataFrame) -> DataFrame:
     """kind (edge or other), partners, pairs: pairs by number of shared neighbours; pairs without any are left out of `other`."""
     edges = reused(edges)
-    by_pair = checkpointed(wedges(edges).groupBy("a", "b").agg(F.count(F.lit(1)).alias("partners")))
+    by_pair = checkpointed(partner_counts(edges))
     on_edges = edges.select("a", "b").join(by_pair, ["a", "b"], "left").na.fill({"partners": 0}).groupBy("partners").agg(F.count(F.lit(1)).alias("pairs")).select(F.lit("edge").alias("kind"), "partners", "pairs")
     others = by_pair.join(edges.select("a", "b"), ["a", "b"], "left_anti").groupBy("partners").agg(F.count(F.lit(1)).alias("pairs")).select(F.lit("other").alias("kind"), "partners", "pairs")
     return on_edges.unionAll(others)
@@ -385,7 +423,7 @@ def homophily(edges: DataFrame, classes: DataFrame) -> DataFrame:
 def open_pairs(edges: DataFrame) -> DataFrame:
     """a < b, partners: pairs with common neighbours that are no edges."""
     edges = reused(edges)
-    return wedges(edges).groupBy("a", "b").agg(F.count(F.lit(1)).alias("partners")).join(edges.select("a", "b"), ["a", "b"], "left_anti")
+    return partner_counts(edges).join(edges.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def violations(verdicts: DataFrame) -> DataFrame:
