@@ -38,6 +38,89 @@ def test_toxicity_learns_subwords():
     assert np.array_equal(again.weights, model.weights)
 
 
+def grams_by_hand(word, size):
+    """The rows of a word: all runs of 3 to 6 characters of <word>, repeats too, and one for the whole."""
+    marked = "<" + word + ">"
+    runs = [marked[i:j] for i in range(len(marked)) for j in range(i + 3, i + 7) if j <= len(marked)]
+    return [zlib.crc32(g.encode()) % size for g in [*runs, "=" + marked]]
+
+
+def test_toxicity_scores_by_definition():
+    """Each text's score from the table of weights, word by word, with forms that training never saw."""
+    rng = random.Random(6)
+    weights = np.random.default_rng(2).normal(size=64).astype(np.float32)
+    model = toxicity.Model(weights, -0.7)
+    score = model.scorer()
+    letters = ["a", "b", "é", "ß", "日", "x", "1", "Z"]
+    for n in [0, 1, 2, 5, 40, 300]:
+        words = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(n)]
+        text = rng.choice([" ", ", ", "--", "_"]).join(words)
+        low = [w.lower() for w in words]
+        values = [np.mean([weights[g] for g in grams_by_hand(w, 64)]) for w in low]
+        z = -0.7 + (toxicity.SCALE * len(set(low)) / (len(set(low)) + toxicity.PRIOR_WORDS) * np.mean(values) if words else 0)
+        assert score(text) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
+def test_toxicity_training_follows_the_gradient():
+    """A few rounds against Adam on numerical gradients of the loss, written from its definition."""
+    texts = ["bad zork day", "zork zork", "fine day here", "day here fine fine", "bad here zork", "fine bad day", "zork fine here", "here day bad"]
+    y = np.array([1, 1, 0, 0, 1, 0, 1, 0])
+    size, dim, rounds = 32, 2, 4
+    grams = {w: grams_by_hand(w, size) for t in texts for w in t.split()}
+    used = sorted({g for v in grams.values() for g in v})
+    place = {g: i for i, g in enumerate(used)}
+    rng = np.random.default_rng(7)
+    table = (rng.standard_normal((len(used), dim)) * 0.01).astype(np.float32).astype(float)
+    softmax = np.stack([-np.ones(dim), np.ones(dim)]) * rng.choice([-0.5, 0.5], dim)
+    parameters = np.concatenate([table.ravel(), softmax.ravel(), np.zeros(2)])
+    cut = table.size, table.size + 2 * dim
+
+    def loss(p):
+        t, s, b = p[: cut[0]].reshape(-1, dim), p[cut[0] : cut[1]].reshape(2, dim), p[cut[1] :]
+        out = toxicity.DECAY / 2 * ((t**2).sum() + (s**2).sum())
+        for text, label in zip(texts, y):
+            words = text.split()
+            trust = len(set(words)) / (len(set(words)) + toxicity.PRIOR_WORDS)
+            mean = toxicity.SCALE * trust * np.mean([np.mean([t[place[g]] for g in grams[w]], axis=0) for w in words], axis=0)
+            z = s @ mean + b
+            out += (np.log(np.exp(z).sum()) - z[label]) * 0.5 / (y == label).sum()
+        return out
+
+    m = v = np.zeros_like(parameters)
+    for k in range(1, rounds + 1):
+        gradient = np.array([(loss(parameters + d) - loss(parameters - d)) / 2e-6 for d in np.eye(len(parameters)) * 1e-6])
+        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
+        parameters = parameters - toxicity.RATE * (1 - k / (rounds + 1)) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
+    t, s, b = parameters[: cut[0]].reshape(-1, dim), parameters[cut[0] : cut[1]].reshape(2, dim), parameters[cut[1] :]
+    model = toxicity.train(texts, y, buckets_size=size, dim=dim, epochs=rounds)
+    want = np.zeros(size)
+    want[used] = t @ (s[1] - s[0])
+    assert model.weights == pytest.approx(want, abs=2e-2) and np.corrcoef(model.weights, want)[0, 1] > 0.999
+    assert model.bias + toxicity.CAUTION == pytest.approx(b[1] - b[0], abs=1e-2)
+
+
+def test_columns_of_clashing_names(spark):
+    """Whatever else the tables hold under the names that operators use or give."""
+    from loomgraph.llm import bpe, license_scan
+
+    names = "held_out string, score string, predicted string, n_tokens string, ids_sha256 string, lang_pred string, words string, n_words string, labels string, value string, toxic int"
+    docs = spark.createDataFrame([(i, t, *"abcdefghij", 1) for i, t in enumerate(["some words", None, "all rights reserved"])], f"doc_id long, text string, {names}")
+    plain = docs.select("doc_id", "text")
+    labels = spark.createDataFrame([(0, 1, "x"), (2, 0, "y")], "doc_id long, toxic int, text string")
+    model = toxicity.fit(docs, labels)
+    for run in (lambda d: toxicity.score(d, model), lambda d: bpe.encode_decode(d, PATH), license_scan.scan_licenses):
+        assert sorted(map(tuple, run(docs).collect()), key=str) == sorted(map(tuple, run(plain).collect()), key=str)
+    assert toxicity.keep_clean(docs, model).columns == docs.columns
+
+
+def test_licences_of_null_and_repeated_ids(spark):
+    from loomgraph.llm import license_scan
+
+    docs = spark.createDataFrame([(None, "all rights reserved"), (None, None), (3, "cc by"), (3, "cc by"), (3, "other")], "doc_id long, text string")
+    rows = sorted(((r.doc_id, r.n_base, r.base_labels) for r in license_scan.scan_licenses(docs).collect()), key=str)
+    assert rows == sorted([(None, 1, "reserved"), (None, 0, ""), (3, 1, "cc-by"), (3, 1, "cc-by"), (3, 0, "")], key=str)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "some words", "x"), (None, "!!!", "x")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
