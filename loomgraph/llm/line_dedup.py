@@ -13,16 +13,12 @@ bytes a key), broadcast too while both stay under BROADCAST_BYTES; beyond that b
 that passed the filters go, and only documents that lose lines are matched to their list. Where even the filters would
 not fit, all long lines are joined.
 
-LineDedupState is the incremental form, in a folder: memberships (digest, document, n) are appended, an insertion with
-n = 1 and a deletion with what takes them back; the exact counts and the filter of a shard are written anew only where a
-change touches the shard. A digest that reaches MIN_DOCS is inserted into its filter, one that falls below is deleted
-from it, and its lines come back; only a full filter is built again from its counts. A manifest, written last, names
-each shard's present files, so a failed change leaves the former state, and other sessions find the state as it is.
+line_state.LineDedupState is the incremental form, in a folder.
 
 Defined results: null or empty text is one empty line. Rows that repeat a document id count one by one, and each of
 them keeps its lines if the id is the largest. A null id counts as a document and is never the largest; where only
-null ids hold a line, all of them lose it. Deleting an id deletes all its rows, null included; unknown ids change
-nothing. Other columns are passed through only where `carry` names them.
+null ids hold a line, all of them lose it. Other columns are
+passed through only where `carry` names them.
 """
 
 from __future__ import annotations
@@ -31,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import checkpointed, small_batches
@@ -44,8 +40,6 @@ SHARD_KEYS = 65_536
 BROADCAST_BYTES = 64 << 20
 KEY_BYTES, FILTER_BYTES = 32, 6
 SALTS = 16
-#: Parts of the memberships of a state, by document.
-BUCKETS = 64
 #: The keep_id of lines that only null ids hold.
 NO_ID = -(2**63)
 #: White space at the ends of a line; bytes.strip() would be the same set, str.strip() would not.
@@ -155,10 +149,10 @@ def shard_filters(blocked: DataFrame, n_shards: int) -> DataFrame:
         made = CuckooFilter.of(sorted(rows["digest"].to_pylist()))
         return pa.table({"shard": rows["shard"].slice(0, 1), "filter": pa.array([made.table.tobytes()], pa.binary())})
 
-    return blocked.select(_shard(n_shards).alias("shard"), "digest").groupBy("shard").applyInArrow(build, "shard int, filter binary")
+    return blocked.select(shard_of(n_shards).alias("shard"), "digest").groupBy("shard").applyInArrow(build, "shard int, filter binary")
 
 
-def _shard(n_shards: int):
+def shard_of(n_shards: int) -> Column:
     return (F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int") % n_shards).cast("int")
 
 
@@ -306,109 +300,3 @@ def _passing(known, n_shards: int):
             yield batch.filter(pa.array(filters.may_hold(_keys(batch.column("digest").to_pylist()))))
 
     return passing
-
-
-class LineDedupState:
-    """Memberships, exact counts and filters under `path`, which all machines share; insert and delete are exact.
-
-    A document is inserted once; inserting an id again adds its lines again. `apply` drops the lines that the present
-    state blocks. One session changes a state at a time; any session reads it.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_shards: int = 64):
-        self.spark, self.path, self.min_chars, self.min_docs, self.n_shards = spark, path.rstrip("/"), min_chars, min_docs, n_shards
-        self.manifest: dict[int, int] = {}  # of each shard, the generation of its files
-        self.generation = 0
-        if self._exists(f"{self.path}/manifest"):
-            rows = spark.read.schema("shard int, files int, min_chars int, min_docs int, n_shards int, generation int").parquet(f"{self.path}/manifest")
-            last = rows.agg(F.max("generation")).first()[0] or 0
-            for r in rows.filter(F.col("generation") == last).collect():
-                self.min_chars, self.min_docs, self.n_shards, self.generation = r.min_chars, r.min_docs, r.n_shards, last
-                if r.shard is not None:
-                    self.manifest[r.shard] = r.files
-
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-    def _read(self, kind: str, schema: str, places: list[str]) -> DataFrame:
-        found = [p for p in places if self._exists(p)]
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*found) if found else self.spark.createDataFrame([], schema)
-
-    def _members(self) -> DataFrame:
-        schema = "digest binary, doc_id long, n long, generation int, bucket int"
-        return self._read("members", schema, [f"{self.path}/members/generation={g}" for g in range(1, self.generation + 1)])
-
-    def counts(self) -> DataFrame:
-        """The exact references: digest, n_docs, keep_id, shard."""
-        places = [f"{self.path}/counts/generation={g}/shard={k}" for k, g in self.manifest.items()]
-        return self._read("counts", "digest binary, n_docs long, keep_id long, generation int, shard int", places).drop("generation")
-
-    def filters(self) -> DataFrame:
-        """shard, filter."""
-        places = [f"{self.path}/filters/generation={g}/shard={k}" for k, g in self.manifest.items()]
-        return self._read("filters", "filter binary, generation int, shard int", places).select("shard", "filter")
-
-    def blocked(self) -> DataFrame:
-        return self.counts().filter(F.col("n_docs") >= self.min_docs)
-
-    def insert(self, docs: DataFrame) -> None:
-        self._change(memberships(docs, min_chars=self.min_chars).withColumn("n", F.lit(1).cast("long")))
-
-    def delete(self, doc_ids: DataFrame) -> None:
-        gone = checkpointed(doc_ids.select(F.col("doc_id").cast("long").alias("__gone"), self._bucket("doc_id").alias("__bucket")).distinct())
-        buckets = [r[0] for r in gone.select("__bucket").distinct().collect()]  # BUCKETS of them at most
-        here = self._members().filter(F.col("bucket").isin(buckets))
-        members = here.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.col("bucket") == F.col("__bucket")), "left_semi")
-        self._change(members.groupBy("digest", "doc_id").agg((-F.sum("n")).alias("n")).filter("n < 0"))
-
-    @staticmethod
-    def _bucket(column: str):
-        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BUCKETS)).cast("int")
-
-    def _change(self, changed: DataFrame) -> None:
-        """changed: digest, doc_id, n rows to add."""
-        new, folder = self.generation + 1, lambda kind: f"{self.path}/{kind}/generation={self.generation + 1}"
-        changed.groupBy("digest", "doc_id").agg(F.sum("n").alias("n")).withColumn("bucket", self._bucket("doc_id")).write.mode("overwrite").partitionBy("bucket").parquet(folder("members"))
-        added = self._read("members", "digest binary, doc_id long, n long, generation int, bucket int", [folder("members")])
-        delta = checkpointed(added.groupBy("digest").agg(F.sum("n").alias("n"), F.max(F.when(F.col("n") > 0, F.col("doc_id"))).alias("most"), F.max(F.when(F.col("n") < 0, F.col("doc_id"))).alias("most_gone")).withColumn("shard", _shard(self.n_shards)))
-        touched = [r[0] for r in delta.select("shard").distinct().collect()]  # n_shards of them at most
-        old = self.counts().filter(F.col("shard").isin(touched)).select("digest", F.col("n_docs").alias("before"), "keep_id", "shard")
-        both = checkpointed(old.join(delta.withColumnRenamed("shard", "__shard"), "digest", "full").select("digest", F.coalesce("shard", "__shard").alias("shard"), F.coalesce("before", F.lit(0)).alias("before"), (F.coalesce("before", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("keep_id", "most").alias("keep_id"), (F.col("most_gone") >= F.col("keep_id")).alias("lost")))
-        # where the largest document went, the next one is looked up: one pass over the memberships of those digests
-        lost = both.filter("lost and n_docs > 0").select("digest")
-        largest = self._members().unionAll(added).join(lost, "digest", "left_semi").groupBy("digest", "doc_id").agg(F.sum("n").alias("n")).filter("n > 0").groupBy("digest").agg(F.max("doc_id").alias("next"))
-        exact = both.join(largest, "digest", "left").select("digest", "n_docs", F.when(F.col("lost"), F.col("next")).otherwise(F.col("keep_id")).alias("keep_id"), "shard")
-        exact.filter("n_docs > 0").write.mode("overwrite").partitionBy("shard").parquet(folder("counts"))
-        crossed = both.select("shard", "digest", ((F.col("n_docs") >= self.min_docs).cast("int") - (F.col("before") >= self.min_docs).cast("int")).alias("turn"))
-        self._filters(crossed, both.filter(F.col("n_docs") >= self.min_docs).select("shard", "digest"), touched).write.mode("overwrite").partitionBy("shard").parquet(folder("filters"))
-        manifest = self.manifest | dict.fromkeys(touched, new)
-        rows = [(k, g, self.min_chars, self.min_docs, self.n_shards) for k, g in manifest.items()] or [(None, 0, self.min_chars, self.min_docs, self.n_shards)]
-        self.spark.createDataFrame(rows, "shard int, files int, min_chars int, min_docs int, n_shards int").coalesce(1).write.mode("overwrite").parquet(folder("manifest"))
-        self.manifest, self.generation = manifest, new
-
-    def _filters(self, crossed: DataFrame, blocked: DataFrame, touched: list[int]) -> DataFrame:
-        """shard, filter of the touched shards: keys that crossed the limit are inserted and deleted; a full filter is built again."""
-
-        def turn(key, changes: pa.Table, old: pa.Table) -> pa.Table:
-            made = set_of_marks(old["filter"][0].as_py()) if old.num_rows else CuckooFilter(0)
-            rows = list(zip(changes["digest"].to_pylist(), changes["turn"].to_pylist()))
-            whole = all([made.delete(k) for k, by in rows if by < 0]) and all(made.insert(k) for k, by in rows if by > 0)
-            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([made.table.tobytes() if whole else None], pa.binary())})
-
-        old = self.filters().filter(F.col("shard").isin(touched))
-        shards = self.spark.createDataFrame([(k, None, 0) for k in touched], "shard int, digest binary, turn int")
-        turned = checkpointed(crossed.filter("turn <> 0").unionAll(shards).groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(turn, "shard int, filter binary"))
-        full = [r.shard for r in turned.filter("filter is null").select("shard").collect()]
-        if not full:
-            return turned
-        again = shard_filters(blocked.filter(F.col("shard").isin(full)), self.n_shards)
-        return turned.filter("filter is not null").unionAll(again)
-
-    def apply(self, docs: DataFrame, carry: tuple[str, ...] = (), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-        return drop_blocked(docs, checkpointed(self.blocked()), carry=carry, min_chars=self.min_chars, broadcast_bytes=broadcast_bytes, filters=self.filters(), n_shards=self.n_shards)
-
-
-def set_of_marks(table: bytes) -> CuckooFilter:
-    return CuckooFilter(0, np.frombuffer(table, dtype=np.uint16).reshape(-1, CuckooFilter.SLOTS).copy())

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from loomgraph.llm import exact_dedup, license_scan, line_dedup, topk
+from loomgraph.llm import exact_dedup, license_scan, line_dedup, line_state, topk
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -90,7 +90,7 @@ def test_lines_of_repeated_ids_as_in_sql(spark, tmp_path):
 def test_lines_come_back(spark, tmp_path):
     docs = [d for d in some_docs() if d[0] is not None][:41]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    state = line_dedup.LineDedupState(spark, str(tmp_path))
+    state = line_state.LineDedupState(spark, str(tmp_path))
     assert state.blocked().count() == 0
     state.insert(frame.filter("doc_id < 20"))
     state.insert(frame.filter("doc_id >= 20"))
@@ -108,7 +108,7 @@ def test_state_over_sessions(spark, tmp_path):
     docs = {}
     lines = [f"A line that is shared by many, of number {k}, in the text" for k in range(12)]
     for turn in range(6):
-        state = line_dedup.LineDedupState(spark, str(tmp_path), n_shards=3)
+        state = line_state.LineDedupState(spark, str(tmp_path), shard_keys=3)
         if turn % 3 < 2:
             new = [(rng.choice([None, *range(30)]), "\n".join(rng.choices(lines, k=4))) for _ in range(15)]
             state.insert(spark.createDataFrame(new, "doc_id long, text string"))
@@ -119,27 +119,54 @@ def test_state_over_sessions(spark, tmp_path):
             state.delete(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
             docs = {i: t for i, t in docs.items() if i not in gone}
         rows = [(i, t) for i, some in docs.items() for t in some]
-        state = line_dedup.LineDedupState(spark, str(tmp_path))
-        assert state.n_shards == 3 and state.generation == turn + 1
+        state = line_state.LineDedupState(spark, str(tmp_path))
+        assert state.shard_keys == 3 and state.generation == turn + 1 and state.n_blocked <= 3 * state.n_shards
         frame = spark.createDataFrame(rows, "doc_id long, text string")
         for limit in (line_dedup.BROADCAST_BYTES, 200, 0):
             assert sorted(map(tuple, state.apply(frame, broadcast_bytes=limit).collect()), key=str) == lines_by_hand(rows, 40, 5)
-        filters = line_dedup.Filters([(r.shard, bytes(r.filter)) for r in state.filters().collect()], 3)
+        filters = line_dedup.Filters([(r.shard, bytes(r.filter)) for r in state.filters().collect()], state.n_shards)
         blocked = [bytes(r.digest) for r in state.blocked().collect()]
         held = sum(int((np.frombuffer(r.filter, dtype=np.uint16) != 0).sum()) for r in state.filters().collect())
         assert held == len(blocked) and filters.may_hold(line_dedup._keys(blocked)).all()
 
 
+def test_shards_grow_and_changes_write_little(spark, tmp_path):
+    def lines(part, n, k):
+        return [(part * 1000 + i, "\n".join(f"Line {part}.{i}.{j} with some words to make it long enough" for j in range(k))) for i in range(n)]
+
+    def size(folder):
+        return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+    state = line_state.LineDedupState(spark, str(tmp_path), min_docs=1, shard_keys=16)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for part, n in enumerate((2, 3, 150)):
+        state.insert(frame(lines(part, n, 100)))
+        filters = line_dedup.Filters([(r.shard, bytes(r.filter)) for r in state.filters().collect()], state.n_shards)
+        assert filters.may_hold(line_dedup._keys([bytes(r.digest) for r in state.blocked().collect()])).all()
+    assert state.n_blocked == state.blocked().count() == 15_500 and 15_500 / 16 <= state.n_shards <= 4 * 15_500 / 16
+    other = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(5000)]
+    assert filters.may_hold(line_dedup._keys(other)).mean() < 0.01
+    state.clean()
+    before, held = size(tmp_path), state.filters().count()
+    state.insert(frame(lines(9, 1, 4)))
+    assert size(tmp_path) - before < 0.05 * before and state.filters().count() == held
+    for kind, runs in state.runs.items():
+        assert len(runs) <= 3 and runs[-1][1] <= 8
+    assert state.n_blocked == state.counts().count() == 15_504
+    state.delete(spark.createDataFrame([(9000,)], "doc_id long"))
+    assert state.n_blocked == state.blocked().count() == 15_500
+    assert state.clean() >= 0 and line_state.LineDedupState(spark, str(tmp_path)).blocked().count() == 15_500
+
+
 def test_full_filters_are_built_again(spark, tmp_path):
-    state = line_dedup.LineDedupState(spark, str(tmp_path), min_docs=1, n_shards=2)
+    """All keys in one shard, whose filter grows."""
+    state = line_state.LineDedupState(spark, str(tmp_path), min_docs=1, shard_keys=10_000)
     for part in range(3):
         rows = [(part * 100 + i, "\n".join(f"Line {part}.{i}.{k} with some words to make it long enough" for k in range(20))) for i in range(20)]
         state.insert(spark.createDataFrame(rows, "doc_id long, text string"))
-    filters = line_dedup.Filters([(r.shard, bytes(r.filter)) for r in state.filters().collect()], 2)
+    filters = line_dedup.Filters([(r.shard, bytes(r.filter)) for r in state.filters().collect()], state.n_shards)
     blocked = [bytes(r.digest) for r in state.blocked().collect()]
-    assert len(blocked) == 1200 and filters.may_hold(line_dedup._keys(blocked)).all()
-    other = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(5000)]
-    assert filters.may_hold(line_dedup._keys(other)).mean() < 0.01
+    assert state.n_shards == 1 and len(blocked) == 1200 and filters.may_hold(line_dedup._keys(blocked)).all()
 
 
 def test_cuckoo_filter():
