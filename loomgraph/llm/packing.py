@@ -6,7 +6,8 @@ pieces first, cutting the last one; what no shorter tier can fill is packed end
 last tokens of a task, fewer than one longest window, are cut into windows of powers of two. So every sequence is
 exactly as long as its context and nothing is padded.
 
-Sequences of one tier are dealt into step groups of equal tokens (STEP_TOKENS), so steps cost the same.
+Sequences of one context size are dealt, within a task, into step groups of STEP_TOKENS tokens, so full steps cost the
+same. The last group of each size in a task may be smaller, and those of its last windows are.
 
 Packing runs inside the tasks that read the documents: nothing is shuffled, and a task holds at most PENDING_TOKENS
 tokens of open pieces beside one batch. A sequence id is the task's number and a counter, unique in the result; a task
