@@ -21,7 +21,7 @@ from loomgraph.sources.shared import reused
 BLOCK_ROWS = 1024
 #: Vectors that blocks are formed around, at most; they are broadcast.
 PIVOTS = 256
-#: Blocks along one side of a tile: with 1,024 vectors of 64 doubles each, 32 MB.
+#: Blocks along one side of a tile, at most: with 1,024 vectors of 64 doubles each, 32 MB.
 TILE = 64
 
 
@@ -122,10 +122,14 @@ def near_blocks(blocks: DataFrame, pivots: np.ndarray | None, threshold: float,
 def _tiled(left: DataFrame, right: DataFrame, pairs: DataFrame, meet, schema: str) -> DataFrame:
     """What meet(type, left block, right block) gives for these pairs (type, i, j); blocks are (number, ids, matrix, extra).
 
-    A tile is TILE x TILE pairs, and the unit of work: a block travels once for each tile, not once for each pair, and a
-    task holds the left blocks of one tile and a single right one.
+    A tile is the unit of work: a block travels once for each tile, not once for each pair, and a task holds the left
+    blocks of one tile and a single right one. Tiles have up to TILE blocks along a side, fewer where that would leave
+    tasks without any.
     """
-    numbers = pairs.select("type", "i", "j", (F.col("i") / TILE).cast("int").alias("ti"), (F.col("j") / TILE).cast("int").alias("tj"))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    along = [1 + (b.agg(F.max("block")).first()[0] or 0) for b in (left, right)]
+    tile = max(1, min(TILE, math.isqrt(along[0] * along[1] // (2 * parts))))
+    numbers = pairs.select("type", "i", "j", (F.col("i") / tile).cast("int").alias("ti"), (F.col("j") / tile).cast("int").alias("tj"))
     extra = lambda f: F.col("extra") if "extra" in f.columns else F.lit(None).cast("string").alias("extra")
     lefts = numbers.select("type", "ti", "tj", F.col("i").alias("block"), F.lit(None).cast("array<int>").alias("wanted")).distinct()
     rights = numbers.groupBy("type", "ti", "tj", F.col("j").alias("block")).agg(F.collect_list("i").alias("wanted"))
@@ -150,7 +154,6 @@ def _tiled(left: DataFrame, right: DataFrame, pairs: DataFrame, meet, schema: st
                     if i in held:
                         yield pa.RecordBatch.from_arrays(meet(here[0], held[i], block), names)
 
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows[0].unionAll(rows[1]).repartition(parts, "type", "ti", "tj").sortWithinPartitions("type", "ti", "tj", "side", "block").mapInArrow(run, schema)
 
 
