@@ -63,3 +63,15 @@ def test_weighted_degrees(spark):
     star = spark.createDataFrame([(0, k) for k in range(1, 400)], "a long, b long")
     (rows, n) = shuffled_rows(spark, lambda: g.weighted_degrees(star, [0.5, 1.0]).collect())
     assert n < 4000 and {(r.alpha, r.gwdegree) for r in rows} == {(r.alpha, r.gwdegree) for r in g.weighted_statistics(star, [0.5, 1.0]).collect()}
+
+
+def test_violations_look_up_pairs_in_tiles(spark):
+    yes = [(a, b, "Yes") for a in range(30) for b in range(30, 60)]
+    no = [(a, b, "No") for a, b in itertools.combinations(range(62), 2) if (a < 30) == (b < 30)]
+    rows, n = shuffled_rows(spark, lambda: g.violations(spark.createDataFrame(yes + no, "a long, b long, judgment string")).collect())
+    assert sorted(map(tuple, rows)) == [(a, b) for a, b, _ in no if b < 60] and n < 9000
+
+
+def test_reciprocity_of_repeated_arcs_and_loops(spark):
+    arcs = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (3, 4), (5, 5), (None, 1)], "u long, v long")
+    assert g.reciprocity(arcs).first()["reciprocity"] == round(4 / 6, 6)
