@@ -30,7 +30,7 @@ def in_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Write each micro-batch under its own number, so that a batch that runs again replaces itself."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").json(f"{path}/batch={number}")
+        batch.write.mode("overwrite").json(f"{path}/batch={number}", compression="gzip")
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
