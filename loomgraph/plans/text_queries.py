@@ -349,8 +349,12 @@ def crosstab(spark, d):
 @query("STA-17", "SELECT count(*) AS n, round(avg(similarity), 6) AS mean, round(stddev_samp(similarity), 6) AS std, min(similarity) AS low, max(similarity) AS high, round(quantile_cont(similarity, 0.25), 6) AS q1, round(quantile_cont(similarity, 0.5), 6) AS med, round(quantile_cont(similarity, 0.75), 6) AS q3 FROM je", "je")
 def described(spark, d):
     s = "similarity"
-    q = lambda x, n: F.round(F.percentile(s, F.lit(x)), 6).alias(n)
-    return a.judged_edges(spark, d).agg(N().alias("n"), F.round(F.avg(s), 6).alias("mean"), F.round(F.stddev_samp(s), 6).alias("std"), F.min(s).alias("low"), F.max(s).alias("high"), q(0.25, "q1"), q(0.5, "med"), q(0.75, "q3"))
+    # values have six digits, so there are few different ones: all is read from how often each occurs
+    often = a.judged_edges(spark, d).groupBy(s).agg(N().alias("n"))
+    n, total, squares = F.sum("n"), F.sum(F.col(s) * F.col("n")), F.sum(F.col(s) * F.col(s) * F.col("n"))
+    std = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), squares - total * total / n) / (n - 1)))
+    q = lambda x, name: F.round(F.percentile(s, F.lit(x), F.col("n")), 6).alias(name)
+    return often.agg(F.coalesce(n, F.lit(0)).alias("n"), F.round(total / n, 6).alias("mean"), F.round(std, 6).alias("std"), F.min(s).alias("low"), F.max(s).alias("high"), q(0.25, "q1"), q(0.5, "med"), q(0.75, "q3"))
 
 
 # --- vectors
