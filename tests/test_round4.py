@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_adjacency import shuffled_rows
 
-from loomgraph.operators import adjacency, triads
+from loomgraph.operators import adjacency, images, triads
 from loomgraph.operators import graph as g
 
 
@@ -72,3 +72,23 @@ def test_ranks_of_edges_come_from_the_graph(spark):
     of = {n: [s for a, b, s in pairs if n in (a, b)] for n in range(30)}
     got = {(r.a, r.b, r.sim): r["rank"] for r in adjacency.ranked_edges(edges).collect()}
     assert got == {(a, b, s): 1 + sum(x > s for x in of[a]) for a, b, s in pairs}
+
+
+def test_line_enhancement_has_all_modes(spark):
+    from loomgraph.plans.registry import QUERIES
+
+    assert QUERIES["IMG-06"](spark, "/root/testdata/sf0.001").columns == ["path", "none", "dilation", "closing", "gaussian"]
+
+    def dark(marks, mode, level=0):
+        p = np.full((9, 9, 3), 255, np.uint8)
+        p[tuple(zip(*marks))] = level
+        return sorted(map(tuple, np.argwhere(images.enhance_lines(p, mode) == 0).tolist()))
+
+    line = [(4, k) for k in range(9)]
+    assert dark(line, "none") == line and dark(line, "dilation") == [(r, k) for r in (3, 4, 5) for k in range(9)]
+    assert dark([(4, 4)], "gaussian") == []  # a dot is blurred away: (0.4987)^2 of it stays
+    double = sorted(line + [(5, k) for k in range(9)])
+    assert dark(double, "gaussian") == double  # 0.727 of each of the two stays
+    assert dark([(4, 2), (4, 4)], "closing") == [(4, 2), (4, 3), (4, 4)]
+    assert dark([(0, 4)], "closing") == []  # nothing is marked outside, as in binary_closing
+    assert dark([(4, 4)], "none", (0, 0, 255)) == [(4, 4)] and not dark([(4, 4)], "none", (0, 255, 0))  # by luminance
