@@ -92,3 +92,21 @@ def test_line_enhancement_has_all_modes(spark):
     assert dark([(4, 2), (4, 4)], "closing") == [(4, 2), (4, 3), (4, 4)]
     assert dark([(0, 4)], "closing") == []  # nothing is marked outside, as in binary_closing
     assert dark([(4, 4)], "none", (0, 0, 255)) == [(4, 4)] and not dark([(4, 4)], "none", (0, 255, 0))  # by luminance
+
+
+def test_verdicts_are_not_made_distinct_by_a_shuffle(spark):
+    yes = [(a, b, "Yes") for a in range(30) for b in range(30, 60)]
+    no = [(a, b, "No") for a, b in itertools.combinations(range(62), 2) if (a < 30) == (b < 30)]
+    both = [(0, 1, "Yes"), (5, 7, "Unknown")]
+    rows, n = shuffled_rows(spark, lambda: g.violations(spark.createDataFrame(yes + no + no + both, "a long, b long, judgment string")).collect())
+    assert sorted(map(tuple, rows)) == [(a, b) for a, b, _ in no if b < 60 and (a, b) != (0, 1)] and n < 500
+
+
+def test_ranked_rows_carry_their_order_once(spark):
+    rng = random.Random(5)
+    rows = [(a, b, c, rng.choice([0.0, 0.25, 0.5]), float(a + b)) for a, b, c in itertools.combinations(range(12), 3)]
+    scores = spark.createDataFrame(rows, "A long, B long, C long, confidence double, s_AB double").repartition(3)
+    out = triads.ranked(scores)
+    assert out.columns == ["A", "B", "C", "confidence", "s_AB", "rank"] and out.schema["confidence"].dataType == scores.schema["confidence"].dataType
+    want = sorted(rows, key=lambda r: (-r[3], r[:3]))
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[-1]) == [(*r, k) for k, r in enumerate(want, 1)]
